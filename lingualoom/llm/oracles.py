@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import lines, quality
 
 KEY = "CAST('0x' || substr(md5('{seed}|' || coalesce(CAST({col} AS VARCHAR), '')), 1, 15) AS BIGINT)"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -95,3 +95,35 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND coalesce(q >= 0.5, false) AS kept
 FROM judged"""
+
+
+def op6() -> str:
+    n, d, tokens, share, field = lines.MIN_DOCS, lines.DEPTH, lines.MIN_TOKENS, lines.SIMILARITY, lines.FIELD
+    return rf"""
+WITH parts AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+masked AS (
+  SELECT doc_id, text, line, list_transform(regexp_extract_all(content, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{field}' ELSE t END) AS w
+  FROM parts),
+found AS MATERIALIZED (
+  SELECT doc_id, text, line, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:{d}], ' ') AS leaf, array_to_string(w, ' ') AS content, w
+  FROM masked WHERE len(w) >= {tokens}),
+each_ AS MATERIALIZED (SELECT leaf, content, any_value(w) AS w, count(*) OVER (PARTITION BY leaf) AS n_leaf FROM found GROUP BY leaf, content),
+tokens AS (SELECT leaf, content, n_leaf, unnest(w) AS token, unnest(range(0, len(w))) AS place FROM each_),
+shared AS (SELECT *, count(*) OVER (PARTITION BY leaf, place, token) AS n FROM tokens),
+marked AS (SELECT leaf, content, place, CASE WHEN token <> '{field}' AND (n >= {n} OR 2 * n >= n_leaf) THEN token ELSE '{field}' END AS token FROM shared),
+made AS (
+  SELECT leaf, content, string_agg(token, ' ' ORDER BY place) AS t, avg(CASE WHEN token <> '{field}' THEN 1.0 ELSE 0.0 END) AS share, any_value(content) AS c
+  FROM marked GROUP BY leaf, content),
+known AS (
+  SELECT leaf, content, CASE WHEN n_leaf > 1 AND share >= {share} THEN t ELSE content END AS template FROM made JOIN (SELECT leaf, content, n_leaf FROM each_) USING (leaf, content)),
+placed AS (SELECT doc_id, text, line, leaf, template FROM found JOIN known USING (leaf, content)),
+recurring AS (
+  SELECT leaf, template, min(ROW(doc_id, line)) AS first_ FROM placed GROUP BY leaf, template HAVING count(DISTINCT text) >= {n}),
+drops AS (SELECT DISTINCT doc_id, line FROM placed JOIN recurring USING (leaf, template) WHERE ROW(doc_id, line) <> first_),
+clean AS (
+  SELECT p.doc_id, string_agg(p.content, chr(10) ORDER BY p.line) FILTER (WHERE x.line IS NULL) AS text, count(x.line) AS n_dropped
+  FROM parts p LEFT JOIN drops x ON p.doc_id = x.doc_id AND p.line = x.line GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       CAST(coalesce(length(c.text), 0) AS BIGINT) AS n_chars, md5(coalesce(c.text, '')) AS text_md5
+FROM documents d LEFT JOIN clean c USING (doc_id)"""

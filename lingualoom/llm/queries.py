@@ -50,6 +50,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    clean = drop_boilerplate(docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines)))
+    return clean.select(
+        "doc_id",
+        "n_lines",
+        F.size("dropped_lines").cast("long").alias("n_dropped"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, taken
 
@@ -70,10 +85,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op6_line_dedup, op8_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2()}
+    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op6_line_dedup": oracles.op6()}
