@@ -65,6 +65,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .support import shared_path
+    from .warc import ID, read, write
+
+    path = shared_path(spark, "warc")
+    write(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    page = lambda c: F.substring(c, len(ID) + 1, 20).cast("long")
+    return read(spark, path, payload=False).select(
+        page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to")
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, taken
 
@@ -85,7 +97,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op6_line_dedup, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op6_line_dedup, op7_warc, op8_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
