@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(docs, pieces).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """A fifth of the documents, from which nothing is learned."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprints, near_duplicates
     from .support import written
@@ -97,7 +109,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op6_line_dedup, op7_warc, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
