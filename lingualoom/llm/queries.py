@@ -50,6 +50,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    near = near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+    return near.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_boilerplate
 
@@ -109,7 +118,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
