@@ -159,7 +159,8 @@ def near_duplicates(prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_R
     shards = max(1, -(-n // shard_rows))
     sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * shards).toArrow() if shards > 1 else None
     tree = VantageTree(np.array([], dtype=np.uint64) if sample is None else sample["fp"].to_numpy().view(np.uint64), shards)
-    parts = max(1, 2 * parallelism(spark) // tree.shards)
+    # targets are copied to so many parts: few, or a large cluster would copy them thousands of times
+    parts = max(1, min(6, 2 * parallelism(spark) // tree.shards))
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A point goes as target to each part of its home, and as query to one
