@@ -50,6 +50,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_vectors
 
@@ -118,7 +125,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
