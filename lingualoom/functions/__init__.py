@@ -1 +1 @@
-
+"""Column functions on words, punctuation, case and vectors."""

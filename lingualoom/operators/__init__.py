@@ -1 +1 @@
-
+"""Operators: plain functions from DataFrame to DataFrame."""

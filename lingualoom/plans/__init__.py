@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 
+def _load():
+    from . import reading, reports, texts  # noqa: F401
+    from .registry import QUERIES, SQL
+
+    return QUERIES, SQL
+
+
 def queries() -> dict:
-    return {}
+    return dict(_load()[0])
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_load()[1])
