@@ -127,3 +127,52 @@ clean AS (
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
        CAST(coalesce(length(c.text), 0) AS BIGINT) AS n_chars, md5(coalesce(c.text, '')) AS text_md5
 FROM documents d LEFT JOIN clean c USING (doc_id)"""
+
+
+def op5() -> str:
+    return """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON r.b = p.a) SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+out AS (SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(least(reach.least, e.vec_id), e.vec_id) AS component_id
+  FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN reach ON reach.a = e.vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM out"""
+
+
+def op7() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    four = " || ".join(f"substr('{letters}', ((x >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform([CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) for k in range(8)], lambda x: {four}), '') AS payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM d"""
+
+
+def op8() -> str:
+    key = KEY.format(seed="mix-1", col="doc_id")
+    return f"""
+WITH base AS (SELECT doc_id, len({WORDS}) AS size, coalesce('s' || source, 'z') AS source_key, {key} AS key FROM documents),
+sizes AS (SELECT source_key, sum(size) AS source_size FROM base GROUP BY 1),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source_key) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM sizes),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(most) OVER (ORDER BY most / weight, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY most / weight, source_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+filled AS (SELECT source_key, source_size, weight, most, arg_min(level, ROW(most / weight, source_key)) FILTER (WHERE level * weight <= most) OVER () AS fill FROM levels),
+goals AS (SELECT source_key, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(most, coalesce(fill, 'inf'::DOUBLE) * weight) END AS target FROM filled),
+streams AS (
+  SELECT doc_id, size, source_key, coalesce(sum(size) OVER (PARTITION BY source_key ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM base)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+       CAST(least(size, greatest(0, round(target) - start)) + least(size, greatest(0, round(target) - source_size - start)) AS BIGINT) AS taken
+FROM streams JOIN goals USING (source_key)"""

@@ -131,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op6_line_dedup": oracles.op6()}
+    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op5_embedding_dedup": oracles.op5(), "op6_line_dedup": oracles.op6(), "op7_warc": oracles.op7(), "op8_mixing": oracles.op8()}
