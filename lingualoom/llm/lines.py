@@ -19,7 +19,7 @@ unchanged; repeated rows are treated alike; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .support import BLANK, written
@@ -32,6 +32,11 @@ SIMILARITY = 0.6
 FIELD = "<*>"
 
 
+def _fields(tokens: Column) -> Column:
+    """Tokens with a digit become variable fields."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
 def parsed(df: DataFrame, id_col: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, text_key, line, leaf, tokens) of each line; a narrow pass."""
     own = df.select(
@@ -40,24 +45,29 @@ def parsed(df: DataFrame, id_col: str, text: str, depth: int = DEPTH, min_tokens
         F.posexplode(F.split(F.col(text), "\n")).alias("line", "content"),
     ).where("id IS NOT NULL")
     own = own.withColumn("tokens", F.array_remove(F.split("content", BLANK), "")).where(F.size("tokens") >= min_tokens)
-    own = own.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth))
+    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), _fields(F.slice("tokens", 1, depth)))
     return own.select("id", "text_key", "line", leaf.alias("leaf"), "tokens")
 
 
-def templates(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """(leaf, content, template) of a table (leaf, content) of masked lines."""
-    each = lines.select("leaf", "content").distinct()
+def _key(*parts: Column) -> Column:
+    """16 bytes in place of strings, for what is shuffled."""
+    return F.unhex(F.md5(F.concat_ws("\n", *parts).cast("binary")))
+
+
+def templates(each: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(key, template) of different masked lines (leaf, key, content); both are
+    keys of a leaf and a string, equal where the strings are."""
     several = each.groupBy("leaf").agg(F.count("*").alias("of")).where("of > 1")
-    tokens = each.join(several, "leaf").select("leaf", "content", "of", F.posexplode(F.split("content", " ")).alias("at", "token"))
-    shared = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    constant = (F.col("token") != FIELD) & ((F.col("n") >= min_docs) | (2 * F.col("n") >= F.col("of")))
-    marked = tokens.join(shared, ["leaf", "at", "token"]).select("leaf", "content", "at", F.when(constant, F.col("token")).otherwise(FIELD).alias("token"))
-    made = marked.groupBy("leaf", "content").agg(
+    tokens = each.join(several, "leaf").select("leaf", "key", "of", F.posexplode(F.split("content", " ")).alias("at", "token"))
+    shared = tokens.groupBy("leaf", "of", "at", "token").agg(F.count("*").alias("n"))
+    shared = shared.where((F.col("token") != FIELD) & ((F.col("n") >= min_docs) | (2 * F.col("n") >= F.col("of"))))
+    marked = tokens.join(shared.select("leaf", "at", "token", F.lit(True).alias("constant")), ["leaf", "at", "token"], "left")
+    marked = marked.select("leaf", "key", "at", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token"))
+    made = marked.groupBy("leaf", "key").agg(
         F.sort_array(F.collect_list(F.struct("at", "token"))).alias("t"), F.avg((F.col("token") != FIELD).cast("double")).alias("share")
     )
-    made = made.where(F.col("share") >= similarity).select("leaf", "content", F.array_join("t.token", " ").alias("template"))
-    return each.join(made, ["leaf", "content"], "left").select("leaf", "content", F.coalesce("template", "content").alias("template"))
+    made = made.where(F.col("share") >= similarity).select("key", _key(F.hex("leaf"), F.array_join("t.token", " ")).alias("template"))
+    return each.select("key").join(made, "key", "left").select("key", F.coalesce("template", "key").alias("template"))
 
 
 def drop_boilerplate(
@@ -68,15 +78,18 @@ def drop_boilerplate(
     lines = parsed(df, id_col, text, depth, min_tokens).withColumn("leaf_key", F.xxhash64("leaf"))
     large = written(lines.groupBy("leaf_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf_key"), "leaves")
     # Spark broadcasts the leaves if their table is below its threshold, else it shuffles
-    some = lines.join(large, "leaf_key", "left_semi").select("id", "text_key", "line", "leaf", F.array_join("tokens", " ").alias("content"))
-    some = written(some, "lines")
-    known = written(templates(some, min_docs, similarity), "templates")
-    found = some.join(known, ["leaf", "content"]).drop("content")
-    per_text = found.groupBy("leaf", "template", "text_key").agg(F.min(F.struct("id", "line")).alias("first"))
-    recurring = per_text.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_docs)
-    drops = found.join(recurring, ["leaf", "template"]).where("NOT (id = first.id AND line = first.line)")
+    some = lines.join(large, "leaf_key", "left_semi").select("id", "text_key", "line", _key(F.col("leaf")).alias("leaf"), F.array_join(_fields(F.col("tokens")), " ").alias("content"))
+    some = written(some.withColumn("key", _key(F.hex("leaf"), F.col("content"))), "lines")
+    each = written(some.select("leaf", "key", "content").dropDuplicates(["leaf", "key"]), "contents")
+    known = written(templates(each, min_docs, similarity), "templates")
+    found = written(some.select("id", "text_key", "line", "key").join(known, "key").drop("key"), "found")
+    per_text = found.groupBy("template", "text_key").agg(F.min(F.struct("id", "line")).alias("first"))
+    recurring = per_text.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_docs)
+    recurring = written(recurring.select("template", "first"), "recurring")
+    drops = found.join(recurring, "template").where("NOT (id = first.id AND line = first.line)")
     drops = written(drops.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_set("line")).alias("__lines")), "drops")
-    out = df.drop("dropped_lines").join(drops, F.col(id_col) == F.col("__id"), "left")
+    # both sides grow with the corpus: never a broadcast, which would only do for small tables
+    out = df.drop("dropped_lines").join(drops.hint("merge"), F.col(id_col) == F.col("__id"), "left")
     content = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(content) - 1), F.col("__lines"))
     clean = F.expr("array_join(transform(__kept, i -> element_at(__split, i + 1)), '\n')")
