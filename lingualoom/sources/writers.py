@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 def tsv(df: DataFrame, path: str, partition: str | None = None, header: bool = True) -> None:
     """Tabs, no quoting, backslash escapes; a folder a value of ``partition``."""
-    special = r"([\\\t])"
-    text = [F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), special, r"\\$1"), "\n", r"\\n").alias(c) if c != partition else F.col(c) for c in df.columns]
-    out = df.select(*text).write.mode("overwrite")
-    (out.partitionBy(partition) if partition else out).csv(path, sep="\t", header=header, quote="", escape="", nullValue="NA", emptyValue="")
+    names = [c for c in df.columns if c != partition]
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"([\\\t])", r"\\$1"), "\n", r"\\n")
+    line = F.concat_ws("\t", *[F.coalesce(safe(c), F.lit("NA")) for c in names])
+    # one column, whose separator no line holds: the writer has nothing to quote
+    out = df.select(line.alias("\t".join(names)), *([partition] if partition else [])).write.mode("overwrite")
+    out = out.partitionBy(partition) if partition else out
+    out.csv(path, sep="\x01", header=header, quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_lines(df: DataFrame, path: str, order: Sequence[str] = (), partition: str | None = None) -> None:
