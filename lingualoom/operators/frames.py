@@ -124,6 +124,13 @@ def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.orderBy(order))).where(F.col("__r").isin(picks)).drop("__r")
 
 
+def first_appearance(df: DataFrame, key: str, order: str, out: str = "rank") -> DataFrame:
+    """(key, rank from 1) by the first row in which a key appears: minima first, so
+    only the keys are sorted."""
+    firsts = df.groupBy(key).agg(F.min(order).alias("__f"))
+    return firsts.select(key, F.row_number().over(Window.orderBy("__f", key)).alias(out))
+
+
 def level_order(name: Column, canonical: Sequence[str]) -> Column:
     """Sort key: listed levels in their order, then the rest by name."""
     rank = F.create_map(*[F.lit(x) for i, level in enumerate(canonical) for x in (level, i)])

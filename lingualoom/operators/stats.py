@@ -132,6 +132,38 @@ def cross_validated_gain(
     return one.groupBy(*(grid or ["__all"])).applyInPandas(solve, ", ".join([*keys, "dll double"]))
 
 
+def per_row_gain(df: DataFrame, fold: str, y: str, base: Sequence[str], target: Sequence[str], out: str = "dll") -> DataFrame:
+    """Add each row's gain in log density, by models fit on the other folds.
+
+    The models are one row a fold, joined by broadcast.
+    """
+    formulas = {"b": list(base), "t": list(dict.fromkeys([*base, *target]))}
+    terms = formulas["t"]
+    stats = sufficient(df, [fold], terms, y)
+    p, kind = len(terms) + 2, stats.schema[fold].dataType.simpleString()
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        grams = [_gram(r, p) for _, r in rows.iterrows()]
+        total, made = sum(grams), {}
+        for name, formula in formulas.items():
+            fits = [fit_gram(total - g, [1 + terms.index(c) for c in formula]) for g in grams]
+            made |= {f"__{name}": [b.tolist() for b, _ in fits], f"__{name}_sd": [s for _, s in fits]}
+        return pd.DataFrame({fold: rows[fold], **made})
+
+    models = stats.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(
+        solve, f"{fold} {kind}, __b array<double>, __b_sd double, __t array<double>, __t_sd double"
+    )
+    rows = df.dropna(subset=[*terms, y]).join(F.broadcast(models), fold)
+
+    def density(name: str) -> Column:
+        mu = F.col(f"__{name}")[0]
+        for i, c in enumerate(formulas[name], 1):
+            mu = mu + F.col(f"__{name}")[i] * F.col(c)
+        return log_density(F.col(y), mu, F.col(f"__{name}_sd"))
+
+    return rows.withColumn(out, density("t") - density("b")).drop("__b", "__b_sd", "__t", "__t_sd")
+
+
 def fold_summary(folds: DataFrame, by: Sequence[str], value: str = "dll", z: float = Z95) -> DataFrame:
     """Folds, mean and mean -+ z * sd / sqrt(folds); bounds are null for one fold."""
     return mean_ci(folds, by, value, z).drop("sd").withColumnRenamed("n", "n_folds")

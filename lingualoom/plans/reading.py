@@ -160,6 +160,38 @@ def group_mean_regression(spark, sf_dir):
     return rounded(stats.group_means(df, "grp", "l_quantity").select("grp", "n", "estimate", "df", "std_error"))
 
 
+@query(dll_sql([], ["wlen"], "obs", OBS))
+def cv_dll_per_row(spark, sf_dir):
+    """Gains of single rows; their means by fold are those of the sums."""
+    df = frames.zscore(observations(spark, sf_dir), ["wlen"]).withColumn("rt", F.col("rt") / 10000)
+    gains = stats.per_row_gain(frames.balanced_folds(df, key(), K), "fold", "rt", [], ["wlen"])
+    return rounded(gains.groupBy("fold").agg(F.avg("dll").alias("dll")))
+
+
+@query("""SELECT l_orderkey AS story, row_number() OVER (ORDER BY first_, l_orderkey) AS rank FROM (SELECT l_orderkey, min(l_partkey) AS first_ FROM lineitem GROUP BY 1)""")
+def story_rank(spark, sf_dir):
+    ranks = frames.first_appearance(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return ranks.select(F.col("l_orderkey").alias("story"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS story, count(*) AS expected FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS story, count(*) AS found FROM orders GROUP BY 1)
+  SELECT story, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM a FULL JOIN b USING (story) WHERE coalesce(expected, 0) <> coalesce(found, 0)""")
+def count_validation(spark, sf_dir):
+    from ..operators.align import validate_counts
+
+    expected = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("story"))
+    return validate_counts(expected, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("story")), ["story"])
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_linenumber, avg(l_quantity) AS dll FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, l_linenumber, avg(l_tax) AS mean_surp FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)
+  SELECT l_returnflag, l_linenumber, round(dll, 6) AS dll, round(mean_surp, 6) AS mean_surp FROM r LEFT JOIN s USING (l_returnflag, l_linenumber)""")
+def results_with_sanity(spark, sf_dir):
+    rows, by = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"]
+    results = rows.groupBy(*by).agg(F.avg("l_quantity").alias("dll"))
+    sanity = rows.where("l_linestatus = 'F'").groupBy(*by).agg(F.avg("l_tax").alias("mean_surp"))
+    return rounded(results.join(sanity, by, "left"))
+
+
 @query("""SELECT l_returnflag, count(*) AS n, round(avg(l_tax - 0.039), 6) AS mean, round(avg(l_tax - 0.039) / (stddev_samp(l_tax - 0.039) / sqrt(count(*))), 4) AS t, count(*) - 1 AS df
   FROM lineitem GROUP BY 1""")
 def ttest_stat(spark, sf_dir):

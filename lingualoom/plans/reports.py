@@ -181,3 +181,22 @@ def windowed_outcomes(spark, sf_dir):
     from ..streaming.outcomes import windowed_outcomes as windowed
 
     return rounded(windowed(table(spark, sf_dir, "events")))
+
+
+@query("""SELECT lang, count(DISTINCT source) AS n_sources, array_to_string(list_sort(list_distinct(list(source))), '|') AS sources FROM documents GROUP BY 1""")
+def distinct_levels(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy("lang")
+    return d.agg(F.countDistinct("source").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"))
+
+
+@query("""WITH r AS (SELECT p_size, row_number() OVER (ORDER BY p_size) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT p_size FROM part))
+  SELECT p_size FROM r WHERE n <= 16 OR r IN (SELECT CAST(floor(1 + k * (n - 1) / 15.0 + 0.5) AS BIGINT) FROM (SELECT unnest(range(0, 16)) AS k), (SELECT DISTINCT n FROM r))""")
+def evenly_spaced(spark, sf_dir):
+    return frames.evenly_spaced(table(spark, sf_dir, "part").select("p_size").distinct(), "p_size", 16)
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH')""")
+def membership(spark, sf_dir):
+    big = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return orders.join(big, "o_orderkey", "left_semi").where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))

@@ -31,6 +31,13 @@ def number_in_name(path: Column, pattern: str, offset: int = 0) -> Column:
     return F.coalesce(found + offset, F.raise_error(F.concat(F.lit("no number in "), path)).cast("int"))
 
 
+def corpora(spark: SparkSession, folder: str, supported: Sequence[str], suffix: str = ".tsv") -> DataFrame:
+    """(corpus, path) of the supported corpora that have a file in a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*{suffix}").select("path")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"{suffix.replace('.', '[.]')}$", "")
+    return files.select(name.alias("corpus"), "path").where(F.col("corpus").isin(*supported))
+
+
 def documents(spark: SparkSession, path: str, ordinal: bool = False) -> DataFrame:
     """(path, doc_id, text): a document a non-blank line, numbered by physical line,
     or with ``ordinal`` by its place among the non-blank ones."""

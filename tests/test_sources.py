@@ -96,3 +96,9 @@ def test_writers_round_trip(spark, tmp_path):
     assert os.path.exists(f"{tmp_path}/c/_SUCCESS")
     writers.tsv(df, f"{tmp_path}/p", partition="story")
     assert os.path.isdir(f"{tmp_path}/p/story=s")
+
+
+def test_corpora(spark, put, tmp_path):
+    for name in ("ns.tsv", "brown.tsv", "other.tsv", "ns.txt"):
+        put(name, "x")
+    assert sorted(r.corpus for r in readers.corpora(spark, str(tmp_path), ["ns", "brown", "provo"]).collect()) == ["brown", "ns"]
