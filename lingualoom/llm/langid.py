@@ -64,18 +64,19 @@ def has_letter(text: str | None) -> bool:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
+    """Rows of presence, packed or not, as vectors of unit length."""
+    x = (np.unpackbits(x, axis=1) if x.shape[1] < BUCKETS else x).astype(np.float32)
     return x / np.sqrt(np.maximum(1.0, x.sum(axis=1, dtype=np.float64)))[:, None].astype(np.float32)
 
 
 def sampled(df: DataFrame, text: str, label: str, key: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, presence rows and labels of a bounded sample, by least shuffle key."""
+    """Languages, presence rows (packed) and labels of a bounded sample, by least shuffle key."""
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key"))
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     counts = counts.orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
     names = sorted(r["label"] for r in counts)
     if not names:
-        return [], np.zeros((0, BUCKETS), np.uint8), np.zeros(0, int)
+        return [], np.zeros((0, BUCKETS // 8), np.uint8), np.zeros(0, int)
     each = max(8, min(PER_LANGUAGE, MAX_SAMPLE // len(names)))
     # the share of each language's keys that gives twice the rows wanted
     upto = {r["label"]: min(1.0, 2.0 * each / r["n"]) for r in counts}
@@ -100,29 +101,31 @@ def sampled(df: DataFrame, text: str, label: str, key: Column) -> tuple[list[str
         seen[r["label"]] = seen.get(r["label"], 0) + 1
         if seen[r["label"]] <= each:
             kept.append(r)
-    x = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in kept], dtype=np.uint8).reshape(-1, BUCKETS)
+    x = np.frombuffer(b"".join(r["bits"] for r in kept), dtype=np.uint8).reshape(-1, BUCKETS // 8)
     y = np.array([names.index(r["label"]) for r in kept], dtype=int)
     some = x.any(axis=1)
     return names, x[some], y[some]
 
 
-def fit(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Weights (BUCKETS x n) of presence vectors of unit length."""
-    x = _unit(x).astype(np.float64)
+def fit(x: np.ndarray, y: np.ndarray, n: int, block: int = 128) -> np.ndarray:
+    """Weights (BUCKETS x n) of presence vectors of unit length.
+
+    Rows come packed and are unpacked in blocks: only the landmarks are held.
+    """
     # landmarks: rows of each language in turn
     turn = np.zeros(len(y), dtype=int)
     for k in range(n):
         turn[y == k] = np.arange((y == k).sum())
-    z = x[np.lexsort((y, turn))[:LANDMARKS]]
-    values, vectors = np.linalg.eigh(z @ z.T)
-    good = values > 1e-8 * values.max()
+    z = _unit(x[np.lexsort((y, turn))[:LANDMARKS]])
+    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    good = values > 1e-5 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = x @ z.T @ root
+    mapped = np.concatenate([(_unit(x[k : k + block]) @ z.T).astype(np.float64) for k in range(0, len(x), block)]) @ root
     # every language weighs the same
     weight = 1.0 / np.bincount(y, minlength=n)[y]
     goal = np.where(y[:, None] == np.arange(n), 1.0, -1.0)
     left = mapped.T @ (mapped * weight[:, None]) + RIDGE / max(1, len(y)) * np.eye(mapped.shape[1])
-    return (z.T @ (root @ np.linalg.solve(left, mapped.T @ (goal * weight[:, None])))).astype(np.float32)
+    return z.T @ (root @ np.linalg.solve(left, mapped.T @ (goal * weight[:, None]))).astype(np.float32)
 
 
 def identify(df: DataFrame, teach: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
