@@ -42,7 +42,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder of one vocabulary file (normaliser: NFC, white space, lower case)."""
 
-    def __init__(self, path: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, cache_entries: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
