@@ -2,9 +2,10 @@
 
 Lines are parsed to a fixed depth: a leaf of the tree is a token count and the
 first tokens, in which every token with a digit is already a variable field.
-Within a leaf, a token that few of the leaf's lines share at its place is a
+Within a leaf, a token that less than half of the lines share at its place is a
 variable field too, so lines which differ in such fields fall under one
-template. A template found in at least ``min_docs`` different texts is
+template, however many they are. Lines that share too few of those tokens are
+split by the most frequent token at a place, and treated again. A template found in at least ``min_docs`` different texts is
 boilerplate: its lines are dropped everywhere but at its first place (least id,
 then line), so that no group of copies loses its last copy.
 
@@ -54,19 +55,52 @@ def _key(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\n", *parts).cast("binary")))
 
 
-def templates(each: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """(key, template) of different masked lines (leaf, key, content); both are
-    keys of a leaf and a string, equal where the strings are."""
-    several = each.groupBy("leaf").agg(F.count("*").alias("of")).where("of > 1")
-    tokens = each.join(several, "leaf").select("leaf", "key", "of", F.posexplode(F.split("content", " ")).alias("at", "token"))
-    shared = tokens.groupBy("leaf", "of", "at", "token").agg(F.count("*").alias("n"))
-    shared = shared.where((F.col("token") != FIELD) & ((F.col("n") >= min_docs) | (2 * F.col("n") >= F.col("of"))))
-    marked = tokens.join(shared.select("leaf", "at", "token", F.lit(True).alias("constant")), ["leaf", "at", "token"], "left")
-    marked = marked.select("leaf", "key", "at", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token"))
-    made = marked.groupBy("leaf", "key").agg(
-        F.sort_array(F.collect_list(F.struct("at", "token"))).alias("t"), F.avg((F.col("token") != FIELD).cast("double")).alias("share")
+def _round(now: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(leaf, group, key, content, rows, template) of lines in groups that could
+    hold a template: the template of lines that keep enough constants; the other
+    lines (null) are in smaller groups, split at the place of the most frequent
+    token that not all lines have."""
+    sizes = now.groupBy("group").agg(F.count("*").alias("of"), F.sum("rows").alias("in_all"))
+    # of two lines every token is a constant: each is its own template
+    several = sizes.where((F.col("of") > 2) & (F.col("in_all") >= min_docs)).select("group", "of")
+    tokens = now.join(several, "group").select("group", "key", "of", F.posexplode(F.split("content", " ")).alias("at", "token"))
+    shared = tokens.where(F.col("token") != FIELD).groupBy("group", "of", "at", "token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(shared, "shared")
+    constant = shared.where("2 * n >= of").select("group", "at", "token", F.lit(True).alias("constant"))
+    marked = tokens.join(constant, ["group", "at", "token"], "left")
+    made = marked.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token")))).alias("t"),
+        F.avg(F.coalesce("constant", F.lit(False)).cast("double")).alias("share"),
     )
-    made = made.where(F.col("share") >= similarity).select("key", _key(F.hex("leaf"), F.array_join("t.token", " ")).alias("template"))
+    # a group without a token to split by is done
+    split = shared.where("n < of").groupBy("group").agg(F.max(F.struct("n", (-F.col("at")).alias("back"))).alias("most"))
+    split = split.select("group", (-F.col("most.back")).alias("place"))
+    out = now.join(made, "key").join(split, "group", "left").withColumn("token", F.element_at(F.split("content", " "), F.col("place") + 1))
+    own = shared.select("group", F.col("at").alias("place"), "token", F.lit(True).alias("own"))
+    out = out.join(own, ["group", "place", "token"], "left")
+    parts = [F.hex("group"), F.col("place").cast("string"), F.when(F.col("own") | (F.col("token") == FIELD), F.col("token")).otherwise("")]
+    done = F.when(F.col("share") >= similarity, _key(F.hex("leaf"), F.array_join("t.token", " "))).when(F.col("place").isNull(), F.col("key"))
+    return out.select("leaf", _key(*parts).alias("group"), "key", "content", "rows", done.alias("template"))
+
+
+def templates(each: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(key, template) of different masked lines (leaf, key, content, rows); both
+    are keys of a leaf and a string, equal where the strings are.
+
+    Constants are the tokens of half of a group's lines. Lines that keep too few
+    of them are split into smaller groups until all are settled, so a leaf may
+    mix templates. Each round settles lines or makes groups smaller.
+    """
+    now, settled = each.withColumn("group", F.col("leaf")), []
+    while True:
+        now = written(_round(now, min_docs, similarity), "round")
+        settled.append(now.where("template IS NOT NULL").select("key", "template"))
+        now = now.where("template IS NULL").drop("template")
+        if now.isEmpty():
+            break
+    made = settled[0]
+    for more in settled[1:]:
+        made = made.unionAll(more)
     return each.select("key").join(made, "key", "left").select("key", F.coalesce("template", "key").alias("template"))
 
 
@@ -80,7 +114,7 @@ def drop_boilerplate(
     # Spark broadcasts the leaves if their table is below its threshold, else it shuffles
     some = lines.join(large, "leaf_key", "left_semi").select("id", "text_key", "line", _key(F.col("leaf")).alias("leaf"), F.array_join(_fields(F.col("tokens")), " ").alias("content"))
     some = written(some.withColumn("key", _key(F.hex("leaf"), F.col("content"))), "lines")
-    each = written(some.select("leaf", "key", "content").dropDuplicates(["leaf", "key"]), "contents")
+    each = written(some.groupBy("leaf", "key", "content").agg(F.count("*").alias("rows")), "contents")
     known = written(templates(each, min_docs, similarity), "templates")
     found = written(some.select("id", "text_key", "line", "key").join(known, "key").drop("key"), "found")
     per_text = found.groupBy("template", "text_key").agg(F.min(F.struct("id", "line")).alias("first"))

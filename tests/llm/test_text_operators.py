@@ -122,6 +122,20 @@ def test_recurring_templates_are_dropped_but_once(docs):
     assert all(got[k].text == prose(k) and got[k].dropped_lines == [3, 4] for k in range(1, 12))
 
 
+def letters(k):
+    return "".join(chr(97 + int(d)) for d in f"{k:05d}")
+
+
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_templates_recur_at_any_size(docs, n):
+    # two fields of few values each, and a leaf that mixes three templates
+    one = lambda k: f"Read more from {letters(k % 41)} about {letters(k % 37)} in our archive"
+    mixed = lambda k: f"See also the {('old list of all', 'next page for more', 'short note on every')[k % 3]} {letters(k % 29)} of it"
+    rows = [(k, "\n".join([f"{letters(k)} is own", one(k), mixed(k)]), "en", "a") for k in range(n)]
+    got = {r.doc_id: r.dropped_lines for r in lines.drop_boilerplate(docs(rows)).collect()}
+    assert got[0] == [] and got[1] == got[2] == [1] and all(got[k] == [1, 2] for k in range(3, n))
+
+
 def test_copies_short_lines_and_rare_lines_stay(docs):
     same = prose(99)
     rows = [(k, same, "en", "a") for k in range(20)] + [(100 + k, prose(k) + "\nThe end.\n" + ("Only four of us share" if k < 4 else ""), "en", "a") for k in range(10)]
