@@ -17,7 +17,7 @@ whatever their names, are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +35,13 @@ SAMPLE_PER_SHARD = 64
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def counters(text: str | None, width: int = 4, words: int = 1, block: int = 1 << 20) -> tuple[np.ndarray, int]:
-    """For each of 64 * ``words`` bits the number of shingles whose hash has it,
-    and the number of shingles. Long texts go through in blocks.
-
-    The first 64 bits are those of XXH64; further words are mixed from it.
-    """
+def _hashes(text: str | None, width: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles; long texts go through in blocks."""
     import xxhash
 
     data = (text or "").encode("utf-8", "replace").lower()  # of bytes: A-Z only
     digest = xxhash.xxh64_intdigest
-    total, n, held, at = np.zeros(64 * words, dtype=np.int64), 0, [], 0
-
-    def add(hashes: np.ndarray) -> None:
-        for k in range(0, len(hashes), 1 << 15):
-            h = hashes[k : k + (1 << 15)]
-            for w in range(words):
-                bits = np.unpackbits((_mixed(h, w) if w else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                total[64 * w : 64 * w + 64] += bits.sum(axis=0, dtype=np.int64)
-
+    some, held, at = False, [], 0
     while at < len(data):
         stop = at + block
         if stop < len(data):
@@ -66,13 +54,36 @@ def counters(text: str | None, width: int = 4, words: int = 1, block: int = 1 <<
         joined = b" ".join(held)
         ends = np.cumsum([len(w) + 1 for w in held]) - 1
         starts = [0, *(ends[: len(held) - width] + 1).tolist()]
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
-        n += len(hashes)
-        add(hashes)
+        some = True
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
         held = held[1 - width :] if width > 1 else []
-    if not n and held:
-        n = 1
-        add(np.array([digest(b" ".join(held), SEED)], dtype="<u8"))
+    if not some and held:
+        yield np.array([digest(b" ".join(held), SEED)], dtype="<u8")
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The different hashes, sorted."""
+    return np.unique(np.concatenate([np.array([], dtype="<u8"), *(np.unique(h) for h in _hashes(text, width))]))
+
+
+def counters(text: str | None, width: int = 4, words: int = 1, block: int = 1 << 20) -> tuple[np.ndarray, int]:
+    """For each of 64 * ``words`` bits the number of shingles whose hash has it,
+    and the number of shingles.
+
+    The first 64 bits are those of XXH64; further words are mixed from it.
+    """
+    return _counted(_hashes(text, width, block), words)
+
+
+def _counted(parts: Iterable[np.ndarray], words: int) -> tuple[np.ndarray, int]:
+    total, n = np.zeros(64 * words, dtype=np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for k in range(0, len(hashes), 1 << 15):
+            h = hashes[k : k + (1 << 15)]
+            for w in range(words):
+                bits = np.unpackbits((_mixed(h, w) if w else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                total[64 * w : 64 * w + 64] += bits.sum(axis=0, dtype=np.int64)
     return total, n
 
 
@@ -89,6 +100,12 @@ def fingerprint(text: str | None, width: int = 4, block: int = 1 << 20) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def _wide(text: str | None, width: int, words: int) -> tuple[bytes, int]:
+    """A fingerprint of 64 * ``words`` bits, and the number of shingles."""
+    total, n = counters(text, width, words)
+    return np.packbits(2 * total > n, bitorder="little").tobytes(), n
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, words: int = 1) -> DataFrame:
     """(id, fp long), for more than one word also (wide binary, n long), n being
     the number of shingles: one narrow pass over the whole texts, no shuffle."""
@@ -96,10 +113,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     def make(texts: list) -> list[pa.Array]:
         if words == 1:
             return [pa.array(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))]
-        found = [counters(t, width, words) for t in texts]
-        wide = [np.packbits(2 * total > n, bitorder="little").tobytes() for total, n in found]
-        first = np.array([int.from_bytes(w[:8], "little") for w in wide], dtype=np.uint64).view(np.int64)
-        return [pa.array(first), pa.array(wide, pa.binary()), pa.array([n for _, n in found], pa.int64())]
+        found = [_wide(t, width, words) for t in texts]
+        first = np.array([int.from_bytes(w[:8], "little") for w, _ in found], dtype=np.uint64).view(np.int64)
+        return [pa.array(first), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
 
     names = ["fp"] if words == 1 else ["fp", "wide", "n"]
 
@@ -180,13 +196,18 @@ def pairs(t: np.ndarray, q: np.ndarray, reach: int, seen, ti=None, qi=None, dept
             pairs(t, q, reach, seen, own, other, depth + 1, room)
 
 
-def near_duplicates(prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_ROWS, wide_reach: int | None = None, size_ratio: float = 0.0) -> DataFrame:
+def near_duplicates(
+    prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_ROWS, wide_reach: int | None = None, size_ratio: float = 0.0,
+    verified: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(id, fp, component) of a table (id, fp): the least id reachable by links.
 
     Equal fingerprints are one point. A shard's task returns a spanning forest
     of its links, at most one row a point, not the links. With ``wide_reach``
     the table also has (wide, n); a link then needs wide fingerprints within
     that distance too, and numbers of shingles of at least ``size_ratio``.
+    ``verified`` takes the points and their (node, component) and returns the
+    components that hold.
     """
     spark = prints.sparkSession
     keys = ["fp"] if wide_reach is None else ["fp", "wide"]
@@ -238,19 +259,22 @@ def near_duplicates(prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_R
                 other = q[low:high]
 
                 def seen(x: np.ndarray, y: np.ndarray, own: np.ndarray = own, other: np.ndarray = other) -> None:
-                    a, b = own[x], other[y]
-                    near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= wide_reach
-                    near &= np.minimum(size[a], size[b]) >= size_ratio * np.maximum(size[a], size[b])
-                    forest.unite(place[a[near]], place[b[near]])
+                    for k in range(0, len(x), 1 << 16):
+                        a, b = own[x[k : k + (1 << 16)]], other[y[k : k + (1 << 16)]]
+                        near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= wide_reach
+                        near &= np.minimum(size[a], size[b]) >= size_ratio * np.maximum(size[a], size[b])
+                        forest.unite(place[a[near]], place[b[near]])
 
                 # so wide a reach lets the triangle bound rule out next to nothing: compare all that are left
-                pairs(fp[own], fp[other], reach, seen, depth=4 if reach > 8 else 0)
+                pairs(fp[own], fp[other], reach, seen, depth=4 if reach > 8 else 0, room=1 << 20)
         moved = np.flatnonzero(forest.label != np.arange(len(order)))
         return pa.table({"a": order[moved], "b": order[forest.label[moved]]})
 
     kind = "cell long, target boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
     dealt = points.where("rep IS NOT NULL").mapInArrow(deal, kind)
     linked = components(dealt.groupBy("cell").applyInArrow(search, "a long, b long"))
+    if verified is not None:
+        linked = verified(points, written(linked, "candidates"))
     of_point = points.join(linked, points.rep == linked.node, "left").select(
         *[F.col(k).alias(f"p_{k}") for k in keys], F.coalesce("component", "rep").alias("component")
     )
@@ -260,14 +284,59 @@ def near_duplicates(prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_R
     return prints.join(of_point, same).select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def near_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+def similar(sets: list[np.ndarray], wide: np.ndarray, reach: int, least: float) -> np.ndarray:
+    """The first place of each set's component, by links of a Jaccard similarity
+    of ``least`` or more among fingerprints within reach. Pairs that are linked
+    already are not compared."""
+    label = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    size = np.array([len(x) for x in sets])
+    for i in range(1, len(sets)):
+        near = np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1, dtype=np.int64) <= reach
+        near &= np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])
+        for j in np.flatnonzero(near).tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= least * (size[i] + size[j] - both):
+                    label[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(sets))], dtype=np.int64)
+
+
+def near_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """(id, fp, component) for word shingles with a similarity of 0.8 or more.
 
     Two documents whose shingles have a Jaccard similarity of 0.8 differ in a
-    fraction acos(8 / 9) / pi = 0.151 of a fingerprint's bits. With 256 bits a
-    link is a distance of 50 (2 standard deviations above that: 0.98 of pairs
-    right at 0.8 are found, more above it; unrelated texts are 10 deviations
-    off). Its first 64 bits are searched with reach 18 (3 deviations).
+    fraction acos(8 / 9) / pi = 0.151 of a fingerprint's bits. With 256 bits
+    candidates have a distance of 64 (4 standard deviations above that), with a
+    reach of 22 in the first 64 bits (4 deviations). The candidates' components
+    are read again with their texts, and linked by the similarity itself.
     """
     prints = written(fingerprints(df, id_col, text, width, words=4), "fingerprints")
-    return near_duplicates(prints, reach=18, wide_reach=50, size_ratio=0.7)
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def link(table: pa.Table) -> pa.Table:
+        rows = {}
+        for i, t, w in zip(table["id"].to_pylist(), table["text"].to_pylist(), table["wide"].to_pylist(), strict=True):
+            # of repeated ids the text that this fingerprint is of
+            if (i, w) not in rows and _wide(t, width, len(w) // 8)[0] == w:
+                rows[i, w] = shingles(t, width)
+        keys = sorted(rows)
+        wide = np.frombuffer(b"".join(w for _, w in keys), dtype=np.uint64).reshape(len(keys), -1)
+        ids = np.array([i for i, _ in keys], dtype=np.int64)
+        first = ids[similar([rows[k] for k in keys], wide, 64, least)]
+        return pa.table({"node": ids[first != ids], "component": first[first != ids]})
+
+    def verified(points: DataFrame, linked: DataFrame) -> DataFrame:
+        both = linked.select("node", "component").unionAll(linked.select(F.col("component").alias("node"), "component").distinct())
+        both = both.join(points.select(F.col("rep").alias("node"), "wide"), "node").join(texts, F.col("node") == F.col("id"))
+        found = both.select("id", "component", "wide", "text").groupBy("component").applyInArrow(link, "node long, component long")
+        # a repeated id may be several points
+        return components(found, "node", "component")
+
+    return near_duplicates(prints, reach=22, wide_reach=64, size_ratio=0.7, verified=verified)

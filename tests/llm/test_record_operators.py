@@ -236,6 +236,25 @@ def test_similar_documents_are_found(docs):
     assert sum(got[2 * k + 1] == 2 * k for k in range(30)) >= 27 and all(v in (k, k - 1) for k, v in got.items())
 
 
+def test_documents_below_the_similarity_stay_apart(docs):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(20):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 404)]
+        for near in range(2):  # five shingles a changed word: a similarity of 350 / 450, and of 365 / 435
+            other = list(w)
+            for at in range(15, 270, 40) if near else range(5, 200, 20):
+                other[at] = "changed"
+            rows.append((3 * k + 1 + near, " ".join(other), "en", "a"))
+        rows.append((3 * k, " ".join(w), "en", "a"))
+    sets = {r[0]: {tuple(r[1].split()[i : i + 5]) for i in range(400)} for r in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = {r.id: r.component for r in simhash.near_documents(docs(rows)).collect()}
+    for k in range(0, 60, 3):
+        assert 0.7 < alike(k, k + 1) < 0.8 <= alike(k, k + 2) and alike(k + 1, k + 2) < 0.8
+        assert (got[k], got[k + 1], got[k + 2]) == (k, k + 1, k)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
