@@ -32,6 +32,8 @@ SEED = 42
 SHARD_ROWS = 60_000
 #: Sample rows for each shard of the tree; the tree has two numbers a split.
 SAMPLE_PER_SHARD = 64
+#: For rounding: a similarity of exactly 0.8 counts.
+SLACK = 1e-9
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -101,14 +103,15 @@ def fingerprint(text: str | None, width: int = 4, block: int = 1 << 20) -> int:
 
 
 def _wide(text: str | None, width: int, words: int) -> tuple[bytes, int]:
-    """A fingerprint of 64 * ``words`` bits, and the number of shingles."""
-    total, n = counters(text, width, words)
+    """A fingerprint of 64 * ``words`` bits of the set of shingles, so repeated
+    passages have no weight, and the number of different shingles."""
+    total, n = _counted([shingles(text, width)], words)
     return np.packbits(2 * total > n, bitorder="little").tobytes(), n
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, words: int = 1) -> DataFrame:
-    """(id, fp long), for more than one word also (wide binary, n long), n being
-    the number of shingles: one narrow pass over the whole texts, no shuffle."""
+    """(id, fp long), for more than one word also (wide binary, n long), of the
+    different shingles, n being their number: one narrow pass over the whole texts, no shuffle."""
 
     def make(texts: list) -> list[pa.Array]:
         if words == 1:
@@ -298,12 +301,12 @@ def similar(sets: list[np.ndarray], wide: np.ndarray, reach: int, least: float)
     size = np.array([len(x) for x in sets])
     for i in range(1, len(sets)):
         near = np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1, dtype=np.int64) <= reach
-        near &= np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])
+        near &= np.minimum(size[:i], size[i]) >= (least - SLACK) * np.maximum(size[:i], size[i])
         for j in np.flatnonzero(near).tolist():
             a, b = root(i), root(j)
             if a != b:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= least * (size[i] + size[j] - both):
+                if both >= least * (size[i] + size[j] - both) - SLACK:
                     label[max(a, b)] = min(a, b)
     return np.array([root(i) for i in range(len(sets))], dtype=np.int64)
 
@@ -314,7 +317,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     Two documents whose shingles have a Jaccard similarity of 0.8 differ in a
     fraction acos(8 / 9) / pi = 0.151 of a fingerprint's bits. With 256 bits
     candidates have a distance of 64 (4 standard deviations above that), with a
-    reach of 22 in the first 64 bits (4 deviations). The candidates' components
+    reach of 22 in the first 64 bits (4 deviations), and numbers of different
+    shingles in a ratio of 0.8 or more, as follows from the similarity. The candidates' components
     are read again with their texts, and linked by the similarity itself.
     """
     prints = written(fingerprints(df, id_col, text, width, words=4), "fingerprints")
@@ -339,4 +343,4 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         # a repeated id may be several points
         return components(found, "node", "component")
 
-    return near_duplicates(prints, reach=22, wide_reach=64, size_ratio=0.7, verified=verified)
+    return near_duplicates(prints, reach=22, wide_reach=64, size_ratio=least - SLACK, verified=verified)

@@ -255,6 +255,15 @@ def test_documents_below_the_similarity_stay_apart(docs):
         assert (got[k], got[k + 1], got[k + 2]) == (k, k + 1, k)
 
 
+def test_repeated_passages_have_no_weight(docs):
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(10):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows += [(3 * k, " ".join(w), "en", "a"), (3 * k + 1, " ".join(w + w), "en", "a"), (3 * k + 2, " ".join(w + w[:100]), "en", "a")]
+    assert all(r.component == r.id // 3 * 3 for r in simhash.near_documents(docs(rows)).collect())
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
