@@ -14,7 +14,8 @@ don't look like a template. A host's pages are dealt to many partial wrappers,
 which are merged in rounds; no host meets in one task.
 
 Defined results: a null or empty html gives the empty text; pages without URL
-get no template; a page whose whole text is template keeps it; broken and
+get no template; a page whose whole text is template, or in
+elements that are passed over, keeps it; broken and
 unclosed markup is closed as browsers do; repeated rows get equal results; an
 empty table gives an empty table. Other columns are kept.
 """
@@ -53,12 +54,15 @@ BLOCK = frozenset(
 SPACE = frozenset("br td th img input wbr".split())
 NO_ARTICLE = frozenset("head nav footer aside form button select dialog menu object canvas audio video fieldset search".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
-#: Parts of class and id names of what isn't the article.
+#: Class and id names of what isn't the article: alone, or before or after one of NAME_PARTS.
 NO_ARTICLE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead "
     "menu modal nav navbar navigation newsletter notice notices popup promo promos related share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+NAME_PARTS = frozenset("area bar block box button buttons container form global icons inner item items link links list page section site slot top unit wrap wrapper".split())
+#: Elements that hold the article whatever their names say (classes like no-sidebar tell the layout).
+NAMED_FREELY = frozenset("html body main article".split())
 #: An open element of the first kind is closed by the start of one of the second.
 CLOSED_BY = {
     "p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
@@ -89,6 +93,11 @@ class Block:
         self.node, self.text, self.article, self.skipped = node, text, article, skipped
 
 
+def _names_other(token: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    return not NO_ARTICLE_NAMES.isdisjoint(parts) and all(x in NO_ARTICLE_NAMES or x in NAME_PARTS or x.isdigit() for x in parts)
+
+
 def _skips(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in NO_ARTICLE or (tag == "header" and not in_article):
         return True
@@ -97,7 +106,7 @@ def _skips(tag: str, attributes: str, in_article: bool) -> bool:
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "role" and value in NO_ARTICLE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and any(not NO_ARTICLE_NAMES.isdisjoint(re.split(r"[-_]+", token)) for token in value.split()):
+            if name in ("class", "id") and tag not in NAMED_FREELY and any(_names_other(token) for token in value.split()):
                 return True
     return False
 
@@ -298,6 +307,11 @@ def constants(n: Node) -> Node:
     return out
 
 
+def _kept(blocks: list[tuple[Node, Block, str]]) -> list[tuple[Node, Block, str]]:
+    """Blocks that aren't skipped, or all if the page has no other."""
+    return [x for x in blocks if not x[1].skipped] or blocks
+
+
 def main_text(page: str | None, wrapper: Node | None) -> str:
     if not page:
         return ""
@@ -309,7 +323,7 @@ def main_text(page: str | None, wrapper: Node | None) -> str:
             w, n = stack.pop()
             template[id(n)] = w.texts
             stack += [(x, y) for x, y in pairs(w, n) if x and y]
-    kept = [(n, b, h) for n, b, h in blocks if not b.skipped]
+    kept = _kept(blocks)
     if any(b.article for _, b, _ in kept):
         kept = [x for x in kept if x[1].article]
     content = [b.text for n, b, h in kept if h not in template.get(id(n), ())]
@@ -347,7 +361,7 @@ def induce(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                     tree, blocks = tree_of(p or "")
                     made.append(json.dumps(dump(tree), separators=(",", ":")))
                     # pages of equal article texts are one
-                    own = [h for _, b, h in blocks if not b.skipped]
+                    own = [h for _, _, h in _kept(blocks)]
                     digests.append(int.from_bytes(hashlib.blake2b("".join(own).encode(), digest_size=8).digest(), "little", signed=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), pa.array(made, pa.string())], names=["host", "digest", "tree"])
 

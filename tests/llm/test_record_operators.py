@@ -57,6 +57,20 @@ def test_extraction_rules(source, want):
     assert html.main_text(source, None) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body class='no-sidebar'><p>a</p><div class='site-footer'>f</div></body>", "a"),
+        ("<div class='content with-sidebar'><p>a</div><div id='sidebar_2'>s</div>", "a"),
+        ("<article class='post comments-open'><p>a</article><p>b", "a"),
+        ("<main id='page-with-ads' class='widget'><p>a</main>", "a"),
+        ("<form id='all'><div class='comments'><p>a</div></form>", "a"),
+    ],
+)
+def test_layout_names_lose_no_article(source, want):
+    assert html.main_text(source, None) == want
+
+
 def test_simple_tree_matching():
     leaf = lambda key, *kids: (lambda n: (n.children.extend(kids), n)[1])(html.Node(key))
     a = leaf("r", leaf("a", leaf("x"), leaf("y")), leaf("b"), leaf("c"))
