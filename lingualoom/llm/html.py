@@ -3,7 +3,8 @@
 Pages of one host are aligned by simple tree matching. The wrapper is the
 merged tree: each of its slots counts the pages that have it and, in a bounded
 summary (Misra-Gries, so every frequent text is in it), the texts found there.
-A text that most pages of a host share at its slot is template; the varying
+The frequent texts are then counted exactly, by aligning every page with the
+wrapper. A text that most pages of a host share at its slot is template; the varying
 texts are content. Elements which never hold an article (menus, forms, scripts,
 ...) are passed over, and pages that mark their article keep to it.
 
@@ -26,6 +27,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +40,10 @@ from .support import slices, written
 #: A text is template if this share of a slot's pages has it there, of so many pages at least.
 CONSTANT_SHARE = 0.7
 LEAST_PAGES = 4
-#: Counters of a slot's summary: a count is short by less than pages / COUNTERS.
+#: Counters of a slot's summary for each text that a page may have there: a count is short by less than pages / COUNTERS.
 COUNTERS = 32
+#: Texts with this share in the summary are counted exactly; below CONSTANT_SHARE by more than a summary is short.
+CANDIDATE_SHARE = 0.6
 #: Pages of a partial wrapper, and partial wrappers merged at once.
 PAGES_AT_ONCE = 256
 MERGED_AT_ONCE = 16
@@ -76,14 +80,16 @@ ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s
 
 
 class Node:
-    """An element with block children; ``texts`` are the blocks of text it holds."""
+    """An element with block children; ``texts`` are the blocks of text it holds,
+    ``most`` the largest number of them that one of the merged pages has."""
 
-    __slots__ = ("children", "count", "key", "texts")
+    __slots__ = ("children", "count", "key", "most", "texts")
 
     def __init__(self, key: str, count: int = 1):
         self.key, self.count = key, count
         self.children: list[Node] = []
         self.texts: dict[str, int] = {}
+        self.most = 0
 
 
 class Block:
@@ -230,11 +236,11 @@ def pairs(a: Node, b: Node) -> list[tuple[Node | None, Node | None]]:
     return out[::-1]
 
 
-def _trim(texts: dict[str, int]) -> dict[str, int]:
-    """Misra-Gries: keep COUNTERS texts, take the next one's count off all."""
-    if len(texts) <= COUNTERS:
+def _trim(texts: dict[str, int], room: int) -> dict[str, int]:
+    """Misra-Gries: keep so many texts, take the next one's count off all."""
+    if len(texts) <= room:
         return texts
-    off = sorted(texts.values(), reverse=True)[COUNTERS]
+    off = sorted(texts.values(), reverse=True)[room]
     return {k: n - off for k, n in texts.items() if n > off}
 
 
@@ -244,7 +250,8 @@ def merge(a: Node, b: Node) -> Node:
     out.texts = dict(a.texts)
     for k, n in b.texts.items():
         out.texts[k] = out.texts.get(k, 0) + n
-    out.texts = _trim(out.texts)
+    out.most = max(x.most or len(x.texts) for x in (a, b))
+    out.texts = _trim(out.texts, COUNTERS * max(1, out.most))
     out.children = [merge(x, y) if x and y else x or y for x, y in pairs(a, b)]
     return out
 
@@ -288,25 +295,53 @@ def tree_of(page: str) -> tuple[Node, list[tuple[Node, Block, str]]]:
 
 
 def dump(n: Node) -> list:
-    return [n.key, n.count, n.texts, [dump(c) for c in n.children]]
+    return [n.key, n.count, n.texts, [dump(c) for c in n.children], n.most]
 
 
 def load(x: list) -> Node:
     n = Node(x[0], x[1])
     n.texts = x[2]
     n.children = [load(c) for c in x[3]]
+    n.most = x[4]
     return n
 
 
-def constants(n: Node) -> Node:
-    """The wrapper with template texts only."""
+def candidates(n: Node) -> Node:
+    """The wrapper with the texts only that may be template."""
     out = Node(n.key, n.count)
     if n.count >= LEAST_PAGES:
-        out.texts = {k: c for k, c in n.texts.items() if c >= CONSTANT_SHARE * n.count}
-    out.children = [constants(c) for c in n.children]
+        out.texts = {k: c for k, c in n.texts.items() if c >= CANDIDATE_SHARE * n.count}
+    out.children = [candidates(c) for c in n.children]
     return out
 
 
+def slots_of(n: Node) -> list[Node]:
+    """All nodes, each before its children: their places number the slots."""
+    out, stack = [], [n]
+    while stack:
+        out.append(stack.pop())
+        stack += out[-1].children[::-1]
+    return out
+
+
+def aligned(wrapper: Node, tree: Node) -> Iterator[tuple[Node, Node]]:
+    """Slots of the wrapper with the nodes of a page's tree that they match."""
+    stack = [(wrapper, tree)]
+    while stack:
+        w, n = stack.pop()
+        yield w, n
+        stack += [(x, y) for x, y in pairs(w, n) if x and y]
+
+
+def constants(wrapper: Node, counts: dict[tuple[int, str], int]) -> Node:
+    """The wrapper with template texts only, by exact (slot, text) counts; the text "" has the slot's pages."""
+    for k, n in enumerate(slots_of(wrapper)):
+        n.count = counts.get((k, ""), 0)
+        found = {t: counts.get((k, t), 0) for t in n.texts} if n.count >= LEAST_PAGES else {}
+        n.texts = {t: c for t, c in found.items() if c >= CONSTANT_SHARE * n.count}
+    return wrapper
+
+
 def _kept(blocks: list[tuple[Node, Block, str]]) -> list[tuple[Node, Block, str]]:
     """Blocks that aren't skipped, or all if the page has no other."""
     return [x for x in blocks if not x[1].skipped] or blocks
@@ -318,11 +353,7 @@ def main_text(page: str | None, wrapper: Node | None) -> str:
     tree, blocks = tree_of(page)
     template: dict[int, dict[str, int]] = {}
     if wrapper is not None:
-        stack = [(wrapper, tree)]
-        while stack:
-            w, n = stack.pop()
-            template[id(n)] = w.texts
-            stack += [(x, y) for x, y in pairs(w, n) if x and y]
+        template = {id(n): w.texts for w, n in aligned(wrapper, tree)}
     kept = _kept(blocks)
     if any(b.article for _, b, _ in kept):
         kept = [x for x in kept if x[1].article]
@@ -337,14 +368,14 @@ def host(url):
 
 
 def _joined(last: bool):
-    """A function that merges the trees of a group; the last one keeps template texts only."""
+    """A function that merges the trees of a group; the last one keeps texts only that may be template."""
 
     def join(table: pa.Table) -> pa.Table:
         own = None
         for x in table["tree"]:
             tree = load(json.loads(x.as_py()))
             own = tree if own is None else merge(own, tree)
-        own = constants(own) if last else own
+        own = candidates(own) if last else own
         return pa.table({"host": table["host"][:1], "part": table["part"][:1], "tree": pa.array([json.dumps(dump(own), separators=(",", ":"))])})
 
     return join
@@ -366,7 +397,7 @@ def induce(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), pa.array(made, pa.string())], names=["host", "digest", "tree"])
 
     own = df.select(host(F.col(url)).alias("host"), F.col(page).alias("page")).where("host IS NOT NULL AND page IS NOT NULL")
-    now = written(own.mapInArrow(trees, "host string, digest long, tree string").dropDuplicates(["host", "digest"]), "page-trees")
+    pages = now = written(own.mapInArrow(trees, "host string, digest long, tree string").dropDuplicates(["host", "digest"]), "page-trees")
     most = now.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = 1
     while parts * PAGES_AT_ONCE < most:
@@ -376,11 +407,45 @@ def induce(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
         last = parts == 1
         now = written(now.groupBy("host", "part").applyInArrow(_joined(last), "host string, part long, tree string"), "wrappers")
         if last:
-            return now.select("host", F.col("tree").alias("wrapper"))
+            return _counted(pages, now.select("host", F.col("tree").alias("wrapper")))
         parts //= MERGED_AT_ONCE
         now = now.withColumn("part", F.pmod("part", F.lit(parts)))
 
 
+def _counted(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """The wrappers (host, wrapper) with the texts only that are template by an exact count over all page trees."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 16 << 20):
+                known: dict[str, tuple[Node, dict[int, int]]] = {}
+                counts: Counter = Counter()
+                for own, tree, w in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if own not in known:
+                        wrapper = load(json.loads(w))
+                        known[own] = wrapper, {id(n): k for k, n in enumerate(slots_of(wrapper))}
+                    wrapper, at = known[own]
+                    for slot, n in aligned(wrapper, load(json.loads(tree))):
+                        k = at[id(slot)]
+                        counts[own, k, ""] += 1
+                        counts.update((own, k, t) for t in slot.texts.keys() & n.texts.keys())
+                columns = zip(*((*k, n) for k, n in counts.items()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["host", "slot", "text", "n"])
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for w, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = constants(load(json.loads(w)), {(c["slot"], c["text"]): c["n"] for c in counts or ()})
+                made.append(json.dumps(dump(own), separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
+
+    found = pages.select("host", "tree").join(wrappers, "host").mapInArrow(count, "host string, slot long, text string, n long")
+    # of bounded size a host: the slots of its wrapper and their candidates
+    found = found.groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).groupBy("host").agg(F.collect_list(F.struct("slot", "text", "n")).alias("counts"))
+    return written(wrappers.join(found, "host", "left").select("host", "wrapper", "counts").mapInArrow(final, "host string, wrapper string"), "templates")
+
+
 def extract(df: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
     """Add ``main_text``; the html is dropped. Wrappers are joined by host."""
     kept = [f for f in df.schema if f.name not in (page, "main_text")]

@@ -88,6 +88,17 @@ def test_summaries_keep_frequent_texts():
     assert n.count == 500 and len(n.texts) <= html.COUNTERS and n.texts["often"] >= 250 - 500 / html.COUNTERS
 
 
+def test_frequent_texts_among_many_siblings_are_template(spark):
+    menu = "".join(f"<li>Entry {j}" for j in range(40))
+    body = lambda k: "".join(f"<p>Own {k} {j}" for j in range(16))
+    # the notice is on 72 % of the pages, the hint on 68 %
+    html_of = lambda k: f"<ul>{menu}</ul><div>{body(k)}{'<p>Subscribe now' * (k % 25 < 18)}{'<p>A hint' * (k % 25 < 17)}</div>"
+    rows = [(k, "http://a.org/", html_of(k)) for k in range(300)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        own = [f"Own {r.page_id} {j}" for j in range(16)] + ["A hint"] * (r.page_id % 25 < 17)
+        assert r.main_text.split("\n\n") == own
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, "<p>a"), (2, "http://x.org", None), (2, "http://x.org", None), (None, "bad url", ""), (3, "", "<p>" * 3000 + "deep")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, tree string")
