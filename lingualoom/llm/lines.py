@@ -104,11 +104,23 @@ def templates(each: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     return each.select("key").join(made, "key", "left").select("key", F.coalesce("template", "key").alias("template"))
 
 
+def _passages(lines: DataFrame) -> DataFrame:
+    """(id, line) of lines whose tokens are in another text too, but the first place of each."""
+    own = written(lines.select("id", "text_key", "line", _key(F.array_join("tokens", " ")).alias("passage")), "passages")
+    places = own.groupBy("passage").agg(F.min(F.struct("id", "line")).alias("first"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
+    repeated = places.where("lo != hi").select("passage", "first")
+    return own.join(repeated, "passage").where("NOT (id = first.id AND line = first.line)").select("id", "line")
+
+
 def drop_boilerplate(
     df: DataFrame, *, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
-    min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+    min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_tokens: int | None = None,
 ) -> DataFrame:
-    """The rows of ``df`` with ``text`` cleaned, and ``dropped_lines`` (array<int>, from 0)."""
+    """The rows of ``df`` with ``text`` cleaned, and ``dropped_lines`` (array<int>, from 0).
+
+    With ``long_tokens`` lines of so many tokens are dropped from the second
+    different text on that has the same tokens.
+    """
     lines = parsed(df, id_col, text, depth, min_tokens).withColumn("leaf_key", F.xxhash64("leaf"))
     large = written(lines.groupBy("leaf_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf_key"), "leaves")
     # Spark broadcasts the leaves if their table is below its threshold, else it shuffles
@@ -121,6 +133,9 @@ def drop_boilerplate(
     recurring = per_text.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_docs)
     recurring = written(recurring.select("template", "first"), "recurring")
     drops = found.join(recurring, "template").where("NOT (id = first.id AND line = first.line)")
+    drops = drops.select("id", "line")
+    if long_tokens is not None:
+        drops = drops.unionAll(_passages(lines.where(F.size("tokens") >= long_tokens)))
     drops = written(drops.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_set("line")).alias("__lines")), "drops")
     # both sides grow with the corpus: never a broadcast, which would only do for small tables
     out = df.drop("dropped_lines").join(drops.hint("merge"), F.col(id_col) == F.col("__id"), "left")

@@ -143,6 +143,15 @@ def test_copies_short_lines_and_rare_lines_stay(docs):
         assert r.dropped_lines == [] and r.text == dict((x[0], x[1]) for x in rows)[r.doc_id]
 
 
+def test_long_passages_stay_in_one_text(spark, docs):
+    import corpus_pipeline
+
+    long, short = " ".join(prose(50, 7).split()), " ".join(prose(51, 6).split())
+    rows = [(k, "\n".join([prose(k), long, short]), "en", "a") for k in range(3)] + [(9, rows_text := prose(9) + "\n" + long, "en", "a"), (10, rows_text, "en", "a")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs(rows), "").collect()}
+    assert got == {0: rows[0][1], 1: prose(1) + "\n" + short, 2: prose(2) + "\n" + short, 9: prose(9), 10: prose(9)}
+
+
 def test_lines_of_odd_rows(odd, docs, clashing):
     got = lines.drop_boilerplate(clashing(odd)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
