@@ -289,6 +289,16 @@ def test_repeated_passages_have_no_weight(docs):
     assert all(r.component == r.id // 3 * 3 for r in simhash.near_documents(docs(rows)).collect())
 
 
+def test_rows_without_or_with_repeated_ids(spark, docs):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(50))
+    rows = [(None, text(0), "en", "a"), (None, text(0), "en", "a"), (None, text(1), "en", "a"), (7, text(1), "en", "a")]
+    rows += [(5, text(2), "en", "a"), (5, text(2), "en", "a"), (5, text(3), "en", "a")]
+    got = corpus_pipeline.near_duplicates(spark, docs(rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, text(0)), (5, text(2)), (5, text(3)), (7, text(1))]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
