@@ -30,6 +30,44 @@ from .support import texts_to_batches
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Python's str.split() also splits at these four, which are not White_Space.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+# What separates Unicode 16, which the tokenizers library knows, from
+# the tables here. Code points that became letters or numbers later, so are neither:
+LATER_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 "
+    "1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Lower case of capitals that Python's table may not have yet:
+LOWER = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+)
+# Marks younger than the library's normaliser (Unicode 9), which neither reorders nor composes them:
+LATER_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 "
+    "1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE "
+    "1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def _set(ranges: str) -> str:
+    """A character set of a pattern from ranges of code points."""
+    return "[" + "".join("-".join(rf"\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split()) + "]"
+
+
+#: All of those code points lie above this one.
+LAST_PLAIN = "\u0557"
+_UNKNOWN = regex.compile(f"({_set(LATER_MARKS)}+)")
+
+
+def composed(text: str) -> str:
+    """NFC by the library's tables: what lies between unknown marks is composed by itself."""
+    if not _UNKNOWN.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join([part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(_UNKNOWN.split(text))])
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +94,11 @@ class WordBpe:
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + end] for c in letters]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE_SPACE))
+        pattern = split["pattern"]["Regex"].replace(r"\s", WHITE_SPACE)
+        self.words = regex.compile(pattern)
+        for name, later in (("L", LATER_LETTERS), ("N", LATER_NUMBERS)):
+            pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--{_set(later)}]")
+        self.pinned_words = regex.compile(pattern, regex.V1)
         self.blank = regex.compile(f"[{WHITE_SPACE}]+")
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         #: Results of runs without white space, and of words, in two generations each:
@@ -119,12 +161,15 @@ class WordBpe:
         """Ids (as 32-bit integers) and vocabulary strings of a run without white space."""
         found = self.older_chunks.get(raw)
         if found is None:
+            words = self.words
             if raw.isascii():
                 text = raw.lower()
-            else:
+            elif max(raw) <= LAST_PLAIN:
                 text = "".join(map(str.lower, unicodedata.normalize("NFC", raw)))
+            else:
+                text, words = "".join(map(str.lower, composed(raw))).translate(LOWER), self.pinned_words
             done = []
-            for word in (text,) if text.isascii() and text.isalpha() else self.words.findall(text):
+            for word in (text,) if text.isascii() and text.isalpha() else words.findall(text):
                 own = self.known.get(word) or self.older_known.get(word)
                 if own is None:
                     own = self.word(word)

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +95,16 @@ def test_bpe_is_the_library(library):
         assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want), t
 
 
+def test_bpe_of_every_code_point(library):
+    own = bpe.WordBpe(VOCABULARY)
+    every = [chr(c) for c in range(1, 0x34000) if not 0xD800 <= c < 0xE000]
+    marks = [m for m in every if unicodedata.combining(m)]
+    texts = [f"a{c}b {c}1" for c in every] + [t for m in marks for o in "\u0334\u0301\u0327" for t in (f"e{m}{o}", f"e{o}{m}")]
+    texts += [unicodedata.normalize("NFD", c) for c in every]
+    wrong = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(own.encode(t)[0], np.int32).tolist() != e.ids]
+    assert not wrong
+
+
 def test_bpe_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in queries.op3_bpe(spark, DATA).collect():
