@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -49,3 +52,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(plans.queries()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_part(tmp_path, also):
+    home, left = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "left"
+    shutil.copytree(home, left, ignore=lambda at, names: {n for n in names if n in ("llm", ".git", *also)})
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(s) <= set(q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=left, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
