@@ -87,7 +87,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path, min_bytes=0)
-    page = lambda c: F.substring(c, len(ID) + 1, 20).cast("long")
+    page = lambda c: F.substring(c, len(ID) + 1, 20).try_cast("long")
     return read(spark, path, payload=False).select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to")
     )

@@ -11,7 +11,8 @@ separator is an empty gzip member, which every gzip reader passes over.
 Defined results: a null payload is written as an empty one; a null URL becomes
 the record's id; equal payloads of at least ``min_bytes`` are stored once, as
 the response of the largest id, and revisited by the others (repeated rows with
-that id are all responses); rows whose id is null are always responses; an
+that id are all responses); rows whose id is null are always responses, whose
+record id ends in "none"; an
 empty table gives an archive without records. Other columns are not read.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import slices
+from .support import parallelism, slices
 
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of no bytes.
@@ -36,6 +37,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 ID = "urn:x-page:"
 SPLIT_BYTES = 8 << 20
+#: Ranges that a task reads one after the other at most, once all cores have some.
+RANGES_A_TASK = 16
 
 
 def digest(payload: bytes) -> str:
@@ -180,7 +183,9 @@ def read(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES, payl
     store that Arrow's file systems open on the executors."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # ranges are tiny rows: without a number Spark would put a million of them into one task
+    n = ranges.count()
+    ranges = ranges.repartition(max(min(n, 4 * parallelism(spark)), -(-n // RANGES_A_TASK), 1))
     schema = FIELDS if payload else pa.schema([f for f in FIELDS if f.name != "payload"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,6 +175,26 @@ def test_warc_round_trip_at_any_split(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_query_of_odd_pages(spark, tmp_path):
+    rows = [(1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, None, "other"), (3, "u", None), (4, "u", ""), (5, "u", "x"), (5, "u", "x"), (6, "u", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op7_warc(spark, str(tmp_path)).collect()
+    want = [(1, "revisit", 2), (2, "response", None), (None, "response", None), (None, "response", None), (3, "revisit", 4), (4, "response", None), (5, "revisit", 6), (5, "revisit", 6), (6, "response", None)]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    for r in got:
+        bodies = [(h or "").encode() for p, _, h in rows if p == r.page_id]
+        assert (r.payload_bytes, r.payload_digest) in [(len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for b in bodies]
+
+
+def test_warc_reader_uses_all_cores(spark):
+    df = spark.range(400).selectExpr("id page_id", "'u' url", "repeat(md5(string(id)), 3000) html").repartition(4)
+    path = shared_path(spark, "warc-test")
+    warc.write(df, path)
+    got = warc.read(spark, path, split_bytes=4096)
+    assert got.rdd.getNumPartitions() >= 16 and got.select("record_id").distinct().count() == 400
+
+
 def test_warc_passes_over_noise():
     one = warc.member(1, "u", b"payload", None)
     noise = b"\x1f\x8b\x08\x00junk" + gzip.compress(b"not a record") + one[:20]
