@@ -1,40 +1,49 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Each source's documents, shuffled by a seeded key, form a stream of words that
-is cut into blocks of equal word counts; the stream repeats once more, so a
-document is taken at most twice. Slot k of the mix lies at the golden-ratio
-point frac(k * phi); the cumulative target shares map that point to a source,
-and the r-th slot of a source takes that source's r-th block. A source stops at
-its target exactly, inside its last block.
+The mix is a sequence of 2**m slots of equal word counts. Slot k lies at the
+k-th van der Corput point (the m bits of k in reverse); the cumulative target
+shares map that point to a source, and the r-th slot of a source takes that
+source's r-th block. A source's blocks are cut from its stream: its documents,
+shuffled by a seeded key, and then the same once more, so that a document is
+taken at most twice. Nothing but the slots decides what is taken; as the first
+2**m points lie evenly, a source's words are within one block of its target.
+
+A block has BLOCK words or less: 2**m slots are the fewest that allow it, but
+2**LEAST_BITS at least, where there are as many words.
 
 Defined results: a null source is a source of its own and comes last; a null
 text has size 0; documents of size 0 are never taken; repeated rows are
-separate documents; an empty table gives an empty table. Sources that the
-schedule gave too few slots (a rounding matter) append theirs at its end.
+separate documents; rows without id are shuffled by their text; an empty table
+gives an empty table. Columns whose names clash with those here are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import WORD, buckets_for, key_bucket, running_sum, shuffle_key, source_key, written
+from .support import WORD, buckets_for, key_bucket, row_key, running_sum, source_key, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BLOCK = 2048
-#: 2**32 / golden ratio, to the nearest odd integer; points are multiples of 2**-32.
-GOLDEN = 2654435769
-#: The unit interval is cut into cells to find a point's source by an equi-join.
-CELLS = 4096
+#: Words of a block at most, and bits of the number of slots at least.
+BLOCK = 1024
+LEAST_BITS = 16
+#: The points are cut into 2**CELL_BITS cells to find a point's source by an equi-join.
+CELL_BITS = 12
+
+
+def slot_bits(words: int, block: int = BLOCK, least: int = LEAST_BITS) -> int:
+    """m: the mix has 2**m slots, each of ``block`` words or less and one word or more."""
+    return max(0, min(words.bit_length() - 1, max(least, (-(-words // block) - 1).bit_length())))
 
 
-def golden_point(k: Column) -> Column:
-    """k * GOLDEN mod 2**32, in steps that stay far below 2**63."""
-    k = k % F.lit(1 << 32)
-    high, low = F.floor(k / 65536).cast("long"), k % 65536
-    return (low * GOLDEN + (high * GOLDEN % 65536) * 65536) % F.lit(1 << 32)
+def radical_inverse(k: Column, bits: int) -> Column:
+    """The van der Corput point of k in base 2, as a multiple of 2**-bits: its bits in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -59,73 +68,77 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return s.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(full)).select("source_key", "source_size", "target")
 
 
-def _schedule(sources: DataFrame, slots: int, block: int) -> DataFrame:
-    """(slot, source_key, block): which block each slot of the mix takes."""
+def schedule(sources: DataFrame, bits: int, step: float) -> DataFrame:
+    """(slot, source_key, block): which block of which source each slot of the mix takes.
+
+    ``sources`` has (source_key, quota), the quotas adding up to ``step`` * 2**bits words.
+    """
+    upto = F.sum("quota").over(Window.orderBy("source_key"))
+    point = lambda words: F.ceil(words.cast("double") / F.lit(step)).cast("long")
+    shares = sources.where("quota > 0").select("source_key", point(upto - F.col("quota")).alias("from"), point(upto).alias("to")).where("from < to")
+    shift = max(0, bits - CELL_BITS)
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.shiftright("from", shift), F.shiftright(F.col("to") - 1, shift))))
     spark = sources.sparkSession
-    unit = F.lit(float(1 << 32))
-    upto = F.sum("target").over(Window.orderBy("source_key"))
-    all_ = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    shares = sources.where("target > 0").select("source_key", ((upto - F.col("target")) / all_ * unit).alias("from"), (upto / all_ * unit).alias("to"))
-    last = F.max("to").over(Window.partitionBy(F.lit(0)))
-    shares = shares.withColumn("to", F.when(F.col("to") == last, unit).otherwise(F.col("to")))
-    width = (1 << 32) // CELLS
-    cells = shares.withColumn(
-        "cell", F.explode(F.sequence(F.floor(F.col("from") / width), F.least(F.floor(F.col("to") / width), F.lit(CELLS - 1))))
-    )
-    n = buckets_for(spark, slots)
-    points = spark.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") / width))
-    given = points.join(cells, "cell").where("point >= from AND point < to").select("slot", "source_key")
-    given = given.withColumn("bucket", F.floor(F.col("slot") / F.lit(float(-(-slots // n)))).cast("long"))
+    n = 1 << bits
+    points = spark.range(n).select(F.col("id").alias("slot"), radical_inverse(F.col("id"), bits).alias("point"))
+    given = points.withColumn("cell", F.shiftright("point", shift)).join(cells, "cell").where("point >= from AND point < to").select("slot", "source_key")
+    width = -(-n // buckets_for(spark, n))
+    given = given.withColumn("bucket", F.expr(f"slot div {width}L"))
     return running_sum(given, group=["source_key"], bucket="bucket", order=["slot"], measure=F.lit(1), name="block").select("slot", "source_key", "block")
 
 
 def mix(
-    df: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", block: int = BLOCK
+    df: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", block: int = BLOCK,
+    least_bits: int = LEAST_BITS, keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """The documents and the pieces of the mix.
 
     Documents: (id, source_key, size, source_size, target, start, ...), ``start``
     being the document's place in its source's stream. Pieces: (slot, epoch,
-    source_key, block, id, start, from_word, to_word) for each stretch of a
-    document that a slot takes, words counted from 0 in the document.
+    source_key, block, id, start, from_word, to_word, ...) for each stretch of a
+    document that a slot takes, words counted from 0 in the document. Both have
+    the columns ``keep`` too.
     """
     spark = df.sparkSession
     base = df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         source_key(F.col(source)).alias("source_key"),
-        shuffle_key(seed, F.col(id_col)).alias("key"),
+        row_key(seed, F.col(id_col), F.col(text)).alias("key"),
+        F.xxhash64(F.col(text)).alias("text_key"),
+        *keep,
     )
     base = written(base, "mix-rows")
     n = buckets_for(spark, base.count())
     sizes = base.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = written(targets(sizes), "mix-sources").withColumn("quota", F.round("target").cast("long"))
-    slots = sources.agg(F.sum(F.ceil(F.col("quota") / block))).first()[0] or 0
+    words = sources.agg(F.sum("quota")).first()[0] or 0
+    bits = slot_bits(words, block, least_bits)
+    step = words / (1 << bits)
 
     base = base.withColumn("bucket", key_bucket(F.col("key"), n))
-    docs = running_sum(base, group=["source_key"], bucket="bucket", order=["key", "id", "size"], measure=F.col("size"), name="start")
-    docs = docs.drop("bucket").join(sources, "source_key")
-
-    spans = docs.where("size > 0").withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
-    spans = spans.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where("at < quota")
-    spans = spans.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("quota")))
-    pieces = spans.withColumn("block", F.explode(F.expr(f"sequence(at div {block}L, (end - 1) div {block}L)")))
-    pieces = pieces.withColumn("from_word", F.greatest("at", F.col("block") * block) - F.col("at"))
-    pieces = pieces.withColumn("to_word", F.least("end", (F.col("block") + 1) * block) - F.col("at"))
-    schedule = _schedule(sources, slots, block)
-    pieces = pieces.join(schedule, ["source_key", "block"], "left")
-    pieces = pieces.withColumn("slot", F.coalesce("slot", F.col("block") + slots))
-    return docs, pieces.select("slot", "epoch", "source_key", "block", "id", "start", "size", "source_size", "target", "from_word", "to_word")
+    docs = running_sum(base, group=["source_key"], bucket="bucket", order=["key", "id", "size", "text_key"], measure=F.col("size"), name="start")
+    docs = docs.drop("bucket", "key", "text_key").join(sources, "source_key")
+
+    edge = lambda b: F.floor(b.cast("double") * F.lit(step)).cast("long")
+    spans = docs.where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(MOST)])))
+    spans = spans.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where(F.col("at") < F.col("quota") + 2 * step)
+    spans = spans.withColumn("end", F.col("at") + F.col("size"))
+    # a block more on either side, for rounding: what doesn't overlap goes
+    reach = F.sequence(F.greatest(F.floor(F.col("at") / F.lit(step)) - 1, F.lit(0)), F.least(F.floor(F.col("end") / F.lit(step)), F.ceil((F.col("quota") + 2) / F.lit(step))) + 1)
+    pieces = spans.withColumn("block", F.explode(reach))
+    pieces = pieces.withColumn("from_word", F.greatest("at", edge(F.col("block"))) - F.col("at"))
+    pieces = pieces.withColumn("to_word", F.least("end", edge(F.col("block") + 1)) - F.col("at")).where("from_word < to_word")
+    pieces = pieces.join(schedule(sources, bits, step), ["source_key", "block"]) if words else pieces.withColumn("slot", F.col("block")).where("false")
+    return docs, pieces.select("slot", "epoch", "source_key", "block", "id", "start", "size", "source_size", "target", "from_word", "to_word", *keep)
 
 
 def taken(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(id, source_key, start, size, source_size, target, taken): words taken of each document.
+    """(id, source_key, start, size, source_size, target, taken): words that the slots take of each document.
 
-    Words are summed from the pieces; a document without any is added with 0.
     A document with words is known by its source and start, which are its own.
     """
     keys = ["id", "source_key", "start", "size", "source_size", "target"]
-    some = pieces.groupBy(*keys).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    none = docs.where("size = 0 OR start >= quota").select(*keys, F.lit(0).cast("long").alias("taken"))
-    return some.unionAll(none)
+    zero = F.lit(0).cast("long").alias("taken")
+    some = pieces.select(*keys, (F.col("to_word") - F.col("from_word")).alias("taken")).unionAll(docs.where("size > 0").select(*keys, zero))
+    return some.groupBy(*keys).agg(F.sum("taken").alias("taken")).unionAll(docs.where("size = 0").select(*keys, zero))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, quality
+from . import lines, mixing, quality
 
-KEY = "CAST('0x' || substr(md5('{seed}|' || coalesce(CAST({col} AS VARCHAR), '')), 1, 15) AS BIGINT)"
+KEY = "CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15) AS BIGINT)"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -26,7 +26,7 @@ def crc32_sql(column: str) -> str:
 
 
 def op1() -> str:
-    key = KEY.format(seed="shard-1", col="doc_id")
+    key = KEY.format(seed="shard-1")
     return f"""
 WITH base AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
@@ -159,7 +159,7 @@ FROM d"""
 
 
 def op8() -> str:
-    key = KEY.format(seed="mix-1", col="doc_id")
+    key = KEY.format(seed="mix-1")
     return f"""
 WITH base AS (SELECT doc_id, len({WORDS}) AS size, coalesce('s' || source, 'z') AS source_key, {key} AS key FROM documents),
 sizes AS (SELECT source_key, sum(size) AS source_size FROM base GROUP BY 1),
@@ -170,9 +170,21 @@ levels AS (
   FROM weighed),
 filled AS (SELECT source_key, source_size, weight, most, arg_min(level, ROW(most / weight, source_key)) FILTER (WHERE level * weight <= most) OVER () AS fill FROM levels),
 goals AS (SELECT source_key, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(most, coalesce(fill, 'inf'::DOUBLE) * weight) END AS target FROM filled),
+quotas AS (SELECT *, CAST(round(target) AS BIGINT) AS quota FROM goals),
+words AS (SELECT CAST(sum(quota) AS BIGINT) AS words FROM quotas),
+-- bits of the number of slots
+bits AS (SELECT words, greatest(0, least(length(bin(words)) - 1, greatest({mixing.LEAST_BITS}, CASE WHEN words <= {mixing.BLOCK} THEN 0 ELSE length(bin((words + {mixing.BLOCK - 1}) // {mixing.BLOCK} - 1)) END))) AS m FROM words),
+slots AS (SELECT m, words / pow(2, m) AS step FROM bits),
+upto AS (SELECT source_key, quota, CAST(sum(quota) OVER (ORDER BY source_key) AS BIGINT) AS upto FROM quotas),
+shares AS (SELECT source_key, ceil((upto - quota)::DOUBLE / step) AS from_, ceil(upto::DOUBLE / step) AS to_ FROM upto, slots WHERE quota > 0),
+-- van der Corput points: the bits of the slot's number in reverse
+points AS (SELECT CAST(list_sum(list_transform(range(0, m), lambda i: ((k >> i) & 1) << (m - 1 - i))) AS BIGINT) AS point FROM (SELECT m, unnest(range(0, 1::BIGINT << m)) AS k FROM slots)),
+given AS (SELECT source_key, count(*) AS n FROM shares JOIN points ON coalesce(point, 0) >= from_ AND coalesce(point, 0) < to_ GROUP BY source_key),
+-- a source's slots take its first blocks
+ends AS (SELECT q.*, coalesce(CAST(floor(n * step) AS BIGINT), 0) AS stop FROM quotas q LEFT JOIN given USING (source_key), slots),
 streams AS (
   SELECT doc_id, size, source_key, coalesce(sum(size) OVER (PARTITION BY source_key ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM base)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-       CAST(least(size, greatest(0, round(target) - start)) + least(size, greatest(0, round(target) - source_size - start)) AS BIGINT) AS taken
-FROM streams JOIN goals USING (source_key)"""
+       CAST(least(size, greatest(0, stop - start)) + least(size, greatest(0, stop - source_size - start)) AS BIGINT) AS taken
+FROM streams JOIN ends USING (source_key)"""

@@ -9,7 +9,8 @@ Both ranks are sums over buckets first (see ``support.running_sum``): neither a
 source with a third of all rows nor the global order meets in one task.
 
 Defined results: a null source is a source of its own; a null text counts no
-bytes and is hashed as the empty text; repeated rows take places of their own;
+bytes and is hashed as the empty text; rows without id are shuffled by their
+text; repeated rows take places of their own;
 an empty table gives an empty table; with fewer rows than shards some shards
 are empty. Only the id, text and source columns are read.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import buckets_for, key_bucket, running_sum, shuffle_key, source_key, written
+from .support import buckets_for, key_bucket, row_key, running_sum, source_key, written
 
 
 def interleave(
@@ -37,7 +38,7 @@ def interleave(
         (F.octet_length(content).cast("long") + 1).alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         source_key(F.col(source)).alias("source_key"),
-        shuffle_key(seed, F.col(id_col)).alias("key"),
+        row_key(seed, F.col(id_col), F.col(text)).alias("key"),
     )
     base = written(base, "shard-rows")
     rows = base.count()

@@ -70,6 +70,11 @@ def shuffle_key(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def row_key(seed: str, id_col: Column, text: Column) -> Column:
+    """A shuffle key of a row's id, or of its text where it has none: rows without id don't share a key."""
+    return shuffle_key(seed, F.coalesce(id_col.cast("string"), F.md5(text.cast("binary"))))
+
+
 def key_bucket(key: Column, n: int) -> Column:
     """Bucket 0..n-1 of a shuffle key; buckets follow the order of the key."""
     return F.floor(key / F.lit(float((1 << KEY_BITS) // n + 1))).cast("long")
