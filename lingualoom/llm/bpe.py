@@ -80,7 +80,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder of one vocabulary file (normaliser: NFC, white space, lower case)."""
 
-    def __init__(self, path: str, cache_entries: int = 100_000):
+    def __init__(self, path: str, cache_entries: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -101,12 +101,10 @@ class WordBpe:
         self.pinned_words = regex.compile(pattern, regex.V1)
         self.blank = regex.compile(f"[{WHITE_SPACE}]+")
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        #: Results of runs without white space, and of words, in two generations each:
-        #: when the newer is full it becomes the older, so memory is bounded.
+        #: Results of runs without white space and of normal words (a word's own run has the
+        #: same), in two generations: when the newer is full it becomes the older, so memory is bounded.
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.older_chunks: dict[str, tuple[bytes, str]] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older_known: dict[str, tuple[bytes, str]] = {}
         self.cache_entries = cache_entries
 
     def merge(self, word: bytes) -> list[int]:
@@ -157,6 +155,12 @@ class WordBpe:
         strings = self.strings
         return array("i", ids).tobytes(), " ".join([strings[i] for i in ids])
 
+    def keep(self, text: str, found: tuple[bytes, str]) -> None:
+        if len(text) <= 64:
+            if len(self.chunks) >= self.cache_entries:
+                self.chunks, self.older_chunks = {}, self.chunks
+            self.chunks[text] = found
+
     def chunk(self, raw: str) -> tuple[bytes, str]:
         """Ids (as 32-bit integers) and vocabulary strings of a run without white space."""
         found = self.older_chunks.get(raw)
@@ -170,19 +174,13 @@ class WordBpe:
                 text, words = "".join(map(str.lower, composed(raw))).translate(LOWER), self.pinned_words
             done = []
             for word in (text,) if text.isascii() and text.isalpha() else words.findall(text):
-                own = self.known.get(word) or self.older_known.get(word)
+                own = self.chunks.get(word) or self.older_chunks.get(word)
                 if own is None:
                     own = self.word(word)
-                    if len(word) <= 64:
-                        if len(self.known) >= self.cache_entries:
-                            self.known, self.older_known = {}, self.known
-                        self.known[word] = own
+                    self.keep(word, own)
                 done.append(own)
             found = done[0] if len(done) == 1 else (b"".join([i for i, _ in done]), " ".join([s for _, s in done]))
-        if len(raw) <= 64:
-            if len(self.chunks) >= self.cache_entries:
-                self.chunks, self.older_chunks = {}, self.chunks
-            self.chunks[raw] = found
+        self.keep(raw, found)
         return found
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
