@@ -98,35 +98,53 @@ FROM judged"""
 
 
 def op6() -> str:
-    n, d, tokens, share, field = lines.MIN_DOCS, lines.DEPTH, lines.MIN_TOKENS, lines.SIMILARITY, lines.FIELD
+    n, d, share, field = lines.MIN_DOCS, lines.DEPTH, lines.SIMILARITY, lines.FIELD
+    levels = []
+    for k in range(lines.SPLITS + 1):
+        levels.append(rf"""
+s{k} AS (SELECT *, count(*) OVER (PARTITION BY node) AS of_, sum(n_rows) OVER (PARTITION BY node) AS in_all FROM e{k}),
+l{k} AS MATERIALIZED (SELECT * FROM s{k} WHERE of_ > 2 AND in_all >= {n}),
+t{k} AS (SELECT leaf, node, content, of_, unnest(w) AS token, unnest(range(0, len(w))) AS at_ FROM l{k}),
+c{k} AS MATERIALIZED (SELECT node, of_, at_, token, count(*) AS n FROM t{k} GROUP BY ALL),
+b{k} AS (
+  SELECT node, at_ FROM c{k} WHERE token <> '{field}' AND n > 1 AND n < of_ QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, at_) = 1),
+m{k} AS (
+  SELECT t.leaf, t.node, t.content, string_agg(CASE WHEN token <> '{field}' AND 2 * n >= t.of_ THEN token ELSE '{field}' END, ' ' ORDER BY at_) AS template,
+         count(*) FILTER (WHERE token <> '{field}' AND 2 * n >= t.of_) >= {share} * count(*) - 1e-9 AS enough
+  FROM t{k} t JOIN c{k} c USING (node, at_, token) GROUP BY ALL),
+r{k} AS MATERIALIZED (
+  SELECT l.*, m.template, enough, b.at_, l.w[b.at_ + 1] AS token FROM l{k} l JOIN m{k} m USING (leaf, node, content) LEFT JOIN b{k} b USING (node)),
+d{k} AS (SELECT leaf, content, CASE WHEN enough THEN template ELSE content END AS template FROM r{k} WHERE enough OR at_ IS NULL),
+e{k + 1} AS MATERIALIZED (
+  SELECT r.leaf, r.node || chr(1) || r.at_ || chr(1) || CASE WHEN c.n > 1 AND {lines.BRANCHES} * c.n >= r.of_ THEN r.token ELSE '' END AS node, r.content, r.w, r.n_rows
+  FROM r{k} r JOIN c{k} c ON c.node = r.node AND c.at_ = r.at_ AND c.token = r.token WHERE NOT enough),""")
+    settled = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(lines.SPLITS + 1))
     return rf"""
 WITH parts AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
-masked AS (
-  SELECT doc_id, text, line, list_transform(regexp_extract_all(content, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{field}' ELSE t END) AS w
-  FROM parts),
+tokens AS (SELECT doc_id, text, line, regexp_extract_all(content, '[^ 	-]+') AS v FROM parts),
+masked AS (SELECT *, list_transform(v, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{field}' ELSE t END) AS w FROM tokens WHERE len(v) > 0),
 found AS MATERIALIZED (
-  SELECT doc_id, text, line, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:{d}], ' ') AS leaf, array_to_string(w, ' ') AS content, w
-  FROM masked WHERE len(w) >= {tokens}),
-each_ AS MATERIALIZED (SELECT leaf, content, any_value(w) AS w, count(*) OVER (PARTITION BY leaf) AS n_leaf FROM found GROUP BY leaf, content),
-tokens AS (SELECT leaf, content, n_leaf, unnest(w) AS token, unnest(range(0, len(w))) AS place FROM each_),
-shared AS (SELECT *, count(*) OVER (PARTITION BY leaf, place, token) AS n FROM tokens),
-marked AS (SELECT leaf, content, place, CASE WHEN token <> '{field}' AND (n >= {n} OR 2 * n >= n_leaf) THEN token ELSE '{field}' END AS token FROM shared),
-made AS (
-  SELECT leaf, content, string_agg(token, ' ' ORDER BY place) AS t, avg(CASE WHEN token <> '{field}' THEN 1.0 ELSE 0.0 END) AS share, any_value(content) AS c
-  FROM marked GROUP BY leaf, content),
-known AS (
-  SELECT leaf, content, CASE WHEN n_leaf > 1 AND share >= {share} THEN t ELSE content END AS template FROM made JOIN (SELECT leaf, content, n_leaf FROM each_) USING (leaf, content)),
-placed AS (SELECT doc_id, text, line, leaf, template FROM found JOIN known USING (leaf, content)),
-recurring AS (
-  SELECT leaf, template, min(ROW(doc_id, line)) AS first_ FROM placed GROUP BY leaf, template HAVING count(DISTINCT text) >= {n}),
-drops AS (SELECT DISTINCT doc_id, line FROM placed JOIN recurring USING (leaf, template) WHERE ROW(doc_id, line) <> first_),
+  SELECT doc_id, text, line, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:{d}], ' ') AS leaf, array_to_string(w, ' ') AS content, array_to_string(v, ' ') AS plain, w
+  FROM masked),
+e0 AS MATERIALIZED (
+  SELECT leaf, leaf AS node, content, any_value(w) AS w, count(*) AS n_rows FROM found WHERE len(list_filter(w, lambda t: t <> '{field}')) > 0 GROUP BY leaf, content),
+{"".join(levels)}
+settled AS ({settled}),
+placed AS (
+  SELECT f.doc_id, f.text, f.line, f.leaf, coalesce(s.template, f.content) AS template
+  FROM found f JOIN (SELECT leaf, content FROM e0) USING (leaf, content) LEFT JOIN settled s USING (leaf, content)),
+recurring AS (SELECT leaf, template, min(ROW(doc_id, line)) AS first_ FROM placed GROUP BY leaf, template HAVING count(DISTINCT text) >= {n}),
+passages AS (SELECT plain, min(ROW(doc_id, line)) AS first_ FROM found WHERE len(w) >= {lines.LONG_TOKENS} GROUP BY plain HAVING count(DISTINCT text) >= 2),
+drops AS (
+  SELECT doc_id, text, line FROM placed JOIN recurring USING (leaf, template) WHERE ROW(doc_id, line) <> first_
+  UNION SELECT doc_id, text, line FROM found JOIN passages USING (plain) WHERE ROW(doc_id, line) <> first_),
 clean AS (
-  SELECT p.doc_id, string_agg(p.content, chr(10) ORDER BY p.line) FILTER (WHERE x.line IS NULL) AS text, count(x.line) AS n_dropped
-  FROM parts p LEFT JOIN drops x ON p.doc_id = x.doc_id AND p.line = x.line GROUP BY p.doc_id)
+  SELECT p.doc_id, p.text AS whole, string_agg(p.content, chr(10) ORDER BY p.line) FILTER (WHERE x.line IS NULL) AS text, count(x.line) AS n_dropped
+  FROM parts p LEFT JOIN drops x ON p.doc_id = x.doc_id AND p.line = x.line AND p.text = x.text GROUP BY p.doc_id, p.text)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
        CAST(coalesce(length(c.text), 0) AS BIGINT) AS n_chars, md5(coalesce(c.text, '')) AS text_md5
-FROM documents d LEFT JOIN clean c USING (doc_id)"""
+FROM documents d LEFT JOIN clean c ON d.doc_id = c.doc_id AND d.text = c.whole"""
 
 
 def op5() -> str:

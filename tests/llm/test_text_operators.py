@@ -147,13 +147,28 @@ def test_templates_recur_at_any_size(docs, n):
     assert got[0] == [] and got[1] == got[2] == [1] and all(got[k] == [1, 2] for k in range(3, n))
 
 
-def test_copies_short_lines_and_rare_lines_stay(docs):
+def test_copies_fields_and_rare_lines_stay(docs):
     same = prose(99)
-    rows = [(k, same, "en", "a") for k in range(20)] + [(100 + k, prose(k) + "\nThe end.\n" + ("Only four of us share" if k < 4 else ""), "en", "a") for k in range(10)]
+    rows = [(k, same, "en", "a") for k in range(20)] + [(100 + k, prose(k) + "\n12 40\n\n" + ("Only four of us share" if k < 4 else ""), "en", "a") for k in range(10)]
     for r in lines.drop_boilerplate(docs(rows)).collect():
         assert r.dropped_lines == [] and r.text == dict((x[0], x[1]) for x in rows)[r.doc_id]
 
 
+def test_short_recurring_lines_go(docs):
+    rows = [(k, prose(k) + "\nThe end.", "en", "a") for k in range(10)]
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(docs(rows)).collect()}
+    assert got == {k: prose(k) + ("\nThe end." if k == 0 else "") for k in range(10)}
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(docs):
+    note = "Posted by me today at noon"
+    own = [(1, prose(1) + "\n" + note), (1, prose(2) + "\nunlike any other"), (None, prose(3) + "\n" + note), (None, prose(4) + "\nof its own too")]
+    rows = own + [(k, prose(k) + "\n" + note) for k in range(10, 15)]
+    got = Counter((r.doc_id, r.text) for r in lines.drop_boilerplate(docs([(*r, "en", "a") for r in rows])).collect())
+    # the first place is that of the least id
+    assert got == Counter([*own[:2], (None, prose(3)), own[3], *((k, prose(k)) for k in range(10, 15))])
+
+
 def test_long_passages_stay_in_one_text(spark, docs):
     import corpus_pipeline
 
@@ -166,7 +181,7 @@ def test_long_passages_stay_in_one_text(spark, docs):
 def test_lines_of_odd_rows(odd, docs, clashing):
     got = lines.drop_boilerplate(clashing(odd)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
-    assert got[0].text is None or True
+    assert {r.doc_id: r.text for r in got}[1] is None and not any(r.dropped_lines for r in got)
     assert lines.drop_boilerplate(docs([])).count() == 0
 
 
