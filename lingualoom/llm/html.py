@@ -5,20 +5,22 @@ merged tree: each of its slots counts the pages that have it and, in a bounded
 summary (Misra-Gries, so every frequent text is in it), the texts found there.
 The frequent texts are then counted exactly, by aligning every page with the
 wrapper. A text that most pages of a host share at its slot is template; the varying
-texts are content. Elements which never hold an article (menus, forms, scripts,
+texts are content. Tags decide what pages alone can't show: elements which never hold an article (menus, forms, scripts,
 ...) are passed over, and pages that mark their article keep to it.
 
 Runs of equal siblings are merged into one node before matching, so a wrapper
-has few nodes however many paragraphs or menu entries the pages have. Pages of
-a host that differ in nothing but their id count once, so copies of an article
-don't look like a template. A host's pages are dealt to many partial wrappers,
-which are merged in rounds; no host meets in one task.
+has few nodes however many paragraphs or menu entries the pages have; of more
+than NODES, the slots of the fewest pages go. Pages of a host that differ in
+nothing but their id count once, so copies of an article don't look like a
+template. A host's pages are dealt to many partial wrappers, which are merged in
+rounds; no host meets in one task.
 
 Defined results: a null or empty html gives the empty text; pages without URL
-get no template; a page whose whole text is template, or in
+get no template, nor do hosts of fewer than LEAST_PAGES different pages, where
+tags alone decide; a page whose whole text is template, or in
 elements that are passed over, keeps it; broken and
-unclosed markup is closed as browsers do; repeated rows get equal results; an
-empty table gives an empty table. Other columns are kept.
+unclosed markup is closed as browsers do, at any depth; repeated rows get equal
+results; an empty table gives an empty table. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ from .support import slices, written
 
 #: A text is template if this share of a slot's pages has it there, of so many pages at least.
 CONSTANT_SHARE = 0.7
-LEAST_PAGES = 4
+LEAST_PAGES = 3
 #: Counters of a slot's summary for each text that a page may have there: a count is short by less than pages / COUNTERS.
 COUNTERS = 32
 #: Texts with this share in the summary are counted exactly; below CONSTANT_SHARE by more than a summary is short.
 CANDIDATE_SHARE = 0.6
+#: Slots of a wrapper at most: of more, those of the fewest pages go.
+NODES = 4096
 #: Pages of a partial wrapper, and partial wrappers merged at once.
 PAGES_AT_ONCE = 256
 MERGED_AT_ONCE = 16
@@ -202,26 +206,51 @@ def text_hash(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def matching(a: Node, b: Node) -> int:
-    """Simple tree matching: the size of the largest order-keeping match of two trees."""
-    return 0 if a.key != b.key else 1 + _aligned(a, b)[-1][-1][0]
+Memo = dict[tuple[int, int], int]
 
 
-def _aligned(a: Node, b: Node) -> list[list[tuple[int, int]]]:
+def matching(a: Node, b: Node, memo: Memo | None = None) -> int:
+    """Simple tree matching: the size of the largest order-keeping match of two trees.
+
+    Trees may be of any depth: pairs of nodes are matched from the leaves up,
+    on a stack, and each pair once.
+    """
+    memo = {} if memo is None else memo
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if (id(x), id(y)) in memo:
+            stack.pop()
+        elif x.key != y.key:
+            memo[id(x), id(y)] = 0
+        else:
+            below = [(c, d) for c in x.children for d in y.children if c.key == d.key and (id(c), id(d)) not in memo]
+            if below:
+                stack += below
+            else:
+                memo[id(x), id(y)] = 1 + _aligned(x, y, memo)[-1][-1][0]
+    return memo[id(a), id(b)]
+
+
+def _aligned(a: Node, b: Node, memo: Memo) -> list[list[tuple[int, int]]]:
+    """The table of the best matches of two nodes' children, whose own matches are known."""
     table = [[(0, 0)] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
     for i, x in enumerate(a.children, 1):
         for j, y in enumerate(b.children, 1):
-            up, left, both = table[i - 1][j][0], table[i][j - 1][0], matching(x, y)
+            up, left = table[i - 1][j][0], table[i][j - 1][0]
+            both = memo[id(x), id(y)] if x.key == y.key else 0
             best = (table[i - 1][j - 1][0] + both, 2) if both else (-1, 2)
             table[i][j] = max(best, (up, 1), (left, 0))
     return table
 
 
-def pairs(a: Node, b: Node) -> list[tuple[Node | None, Node | None]]:
+def pairs(a: Node, b: Node, memo: Memo | None = None) -> list[tuple[Node | None, Node | None]]:
     """Children of two matched nodes in merged order, matched ones together."""
     if [x.key for x in a.children] == [y.key for y in b.children]:
         return list(zip(a.children, b.children, strict=True))
-    table, i, j, out = _aligned(a, b), len(a.children), len(b.children), []
+    memo = {} if memo is None else memo
+    matching(a, b, memo)
+    table, i, j, out = _aligned(a, b, memo), len(a.children), len(b.children), []
     while i or j:
         move = 0 if not i else 1 if not j else table[i][j][1]
         if move == 2:
@@ -246,41 +275,59 @@ def _trim(texts: dict[str, int], room: int) -> dict[str, int]:
 
 def merge(a: Node, b: Node) -> Node:
     """The wrapper of both; counts are added."""
-    out = Node(a.key, a.count + b.count)
-    out.texts = dict(a.texts)
-    for k, n in b.texts.items():
-        out.texts[k] = out.texts.get(k, 0) + n
-    out.most = max(x.most or len(x.texts) for x in (a, b))
-    out.texts = _trim(out.texts, COUNTERS * max(1, out.most))
-    out.children = [merge(x, y) if x and y else x or y for x, y in pairs(a, b)]
-    return out
+    memo: Memo = {}
+    whole = Node(a.key, a.count + b.count)
+    stack = [(a, b, whole)]
+    while stack:
+        x, y, out = stack.pop()
+        out.texts = dict(x.texts)
+        for k, n in y.texts.items():
+            out.texts[k] = out.texts.get(k, 0) + n
+        out.most = max(n.most or len(n.texts) for n in (x, y))
+        out.texts = _trim(out.texts, COUNTERS * max(1, out.most))
+        for c, d in pairs(x, y, memo):
+            if c and d:
+                out.children.append(Node(c.key, c.count + d.count))
+                stack.append((c, d, out.children[-1]))
+            else:
+                out.children.append(c or d)
+    return pruned(whole)
+
+
+def pruned(n: Node, room: int = NODES) -> Node:
+    """Without the slots of the fewest pages, if there are more than ``room``: bounded however pages name their elements."""
+    nodes = slots_of(n)
+    if len(nodes) > room:
+        least = sorted((x.count for x in nodes), reverse=True)[room]
+        for x in nodes:
+            x.children = [c for c in x.children if c.count > least]
+    return n
 
 
 def compact(node: Node) -> tuple[Node, dict[int, Node]]:
     """Merge runs of equal siblings; also where each node has gone."""
     gone: dict[int, Node] = {}
-
-    def into(target: Node, source: Node) -> None:
+    out = Node(node.key)
+    stack = [(out, node)]
+    while stack:
+        target, source = stack.pop()
         gone[id(source)] = target
         target.texts |= source.texts
+        below = []
         for child in source.children:
             if target.children and target.children[-1].key == child.key:
-                into(target.children[-1], child)
+                own = target.children[-1]
             else:
+                # of a further source, children go to their likes
                 own = next((c for c in target.children if c.key == child.key), None) if target.count > 1 else None
                 if own is None:
                     own = Node(child.key)
                     target.children.append(own)
-                into(own, child)
-        target.count = 2  # of a further source, children go to their likes
-
-    out = Node(node.key)
-    into(out, node)
-    stack = [out]
-    while stack:
-        n = stack.pop()
+            below.append((own, child))
+        target.count = 2
+        stack += below[::-1]
+    for n in slots_of(out):
         n.count = 1
-        stack += n.children
     return out, gone
 
 
@@ -295,24 +342,31 @@ def tree_of(page: str) -> tuple[Node, list[tuple[Node, Block, str]]]:
 
 
 def dump(n: Node) -> list:
-    return [n.key, n.count, n.texts, [dump(c) for c in n.children], n.most]
+    """Flat, as trees may be deep: nodes before their children, with the number of these."""
+    return [[x.key, x.count, x.texts, len(x.children), x.most] for x in slots_of(n)]
 
 
-def load(x: list) -> Node:
-    n = Node(x[0], x[1])
-    n.texts = x[2]
-    n.children = [load(c) for c in x[3]]
-    n.most = x[4]
-    return n
+def load(rows: list) -> Node:
+    root = Node("")
+    stack = [(root, 1)]  # nodes that wait for so many children
+    for key, count, texts, below, most in rows:
+        parent, missing = stack.pop()
+        n = Node(key, count)
+        n.texts, n.most = texts, most
+        parent.children.append(n)
+        if missing > 1:
+            stack.append((parent, missing - 1))
+        if below:
+            stack.append((n, below))
+    return root.children[0]
 
 
 def candidates(n: Node) -> Node:
-    """The wrapper with the texts only that may be template."""
-    out = Node(n.key, n.count)
-    if n.count >= LEAST_PAGES:
-        out.texts = {k: c for k, c in n.texts.items() if c >= CANDIDATE_SHARE * n.count}
-    out.children = [candidates(c) for c in n.children]
-    return out
+    """The wrapper, now with the texts only that may be template."""
+    for x in slots_of(n):
+        x.texts = {k: c for k, c in x.texts.items() if c >= CANDIDATE_SHARE * x.count} if x.count >= LEAST_PAGES else {}
+        x.most = 0
+    return n
 
 
 def slots_of(n: Node) -> list[Node]:
@@ -326,11 +380,12 @@ def slots_of(n: Node) -> list[Node]:
 
 def aligned(wrapper: Node, tree: Node) -> Iterator[tuple[Node, Node]]:
     """Slots of the wrapper with the nodes of a page's tree that they match."""
+    memo: Memo = {}
     stack = [(wrapper, tree)]
     while stack:
         w, n = stack.pop()
         yield w, n
-        stack += [(x, y) for x, y in pairs(w, n) if x and y]
+        stack += [(x, y) for x, y in pairs(w, n, memo) if x and y]
 
 
 def constants(wrapper: Node, counts: dict[tuple[int, str], int]) -> Node:
@@ -348,6 +403,10 @@ def _kept(blocks: list[tuple[Node, Block, str]]) -> list[tuple[Node, Block, str]
 
 
 def main_text(page: str | None, wrapper: Node | None) -> str:
+    """What the wrapper doesn't know as template is content. Tags decide what the
+    wrapper can't: varying texts in elements that never hold an article aren't
+    content, nor is what lies outside a marked article; and in a marked article a
+    text stays though it recurs."""
     if not page:
         return ""
     tree, blocks = tree_of(page)
@@ -356,8 +415,9 @@ def main_text(page: str | None, wrapper: Node | None) -> str:
         template = {id(n): w.texts for w, n in aligned(wrapper, tree)}
     kept = _kept(blocks)
     if any(b.article for _, b, _ in kept):
-        kept = [x for x in kept if x[1].article]
-    content = [b.text for n, b, h in kept if h not in template.get(id(n), ())]
+        content = [b.text for _, b, _ in kept if b.article]
+    else:
+        content = [b.text for n, b, h in kept if h not in template.get(id(n), ())]
     return "\n\n".join(content or [b.text for _, b, _ in kept])
 
 
