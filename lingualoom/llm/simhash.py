@@ -1,9 +1,12 @@
 """SimHash near-duplicates through vantage-point trees.
 
+Near-duplicates by the similarity of shingles, for which the radius would be
+too wide for such a tree, are in :mod:`similar`.
+
 Fingerprints are partitioned by Hamming distance to vantage points. A tree fit
 on a bounded sample splits all distinct fingerprints into shards; every
 fingerprint is at home in one shard, and also queries each shard which the
-triangle bound cannot rule out for its radius. Inside a shard the same bound
+triangle bound cannot rule out for its radius (later ones only: of a pair one asks). Inside a shard the same bound
 prunes by bands of equal distance to further vantage points, and what remains
 is compared exactly, so no pair within the radius is missed.
 
@@ -17,7 +20,7 @@ whatever their names, are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,9 @@ from .support import parallelism, texts_to_batches, written
 SEED = 42
 #: A shard's fingerprints are 8 bytes each; this many are compared in seconds.
 SHARD_ROWS = 60_000
-#: Sample rows for each shard of the tree; the tree has two numbers a split.
+#: Leaves of the tree at most, and sample rows for each; the tree has two numbers a split.
+TOP_SHARDS = 1024
 SAMPLE_PER_SHARD = 64
-#: For rounding: a similarity of exactly 0.8 counts.
-SLACK = 1e-9
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -102,31 +104,17 @@ def fingerprint(text: str | None, width: int = 4, block: int = 1 << 20) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def _wide(text: str | None, width: int, words: int) -> tuple[bytes, int]:
-    """A fingerprint of 64 * ``words`` bits of the set of shingles, so repeated
-    passages have no weight, and the number of different shingles."""
-    total, n = _counted([shingles(text, width)], words)
-    return np.packbits(2 * total > n, bitorder="little").tobytes(), n
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, words: int = 1) -> DataFrame:
-    """(id, fp long), for more than one word also (wide binary, n long), of the
-    different shingles, n being their number: one narrow pass over the whole texts, no shuffle."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+    """(id, fp long): one narrow pass over the whole texts, no shuffle."""
 
     def make(texts: list) -> list[pa.Array]:
-        if words == 1:
-            return [pa.array(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))]
-        found = [_wide(t, width, words) for t in texts]
-        first = np.array([int.from_bytes(w[:8], "little") for w, _ in found], dtype=np.uint64).view(np.int64)
-        return [pa.array(first), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
-
-    names = ["fp"] if words == 1 else ["fp", "wide", "n"]
+        return [pa.array(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return texts_to_batches(rows, "text", make, names)
+        return texts_to_batches(rows, "text", make, ["fp"])
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "id long, fp long" + ", wide binary, n long" * (words > 1))
+    return own.mapInArrow(run, "id long, fp long")
 
 
 def _far(a: np.ndarray, v: int) -> np.ndarray:
@@ -199,148 +187,63 @@ def pairs(t: np.ndarray, q: np.ndarray, reach: int, seen, ti=None, qi=None, dept
             pairs(t, q, reach, seen, own, other, depth + 1, room)
 
 
-def near_duplicates(
-    prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_ROWS, wide_reach: int | None = None, size_ratio: float = 0.0,
-    verified: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-) -> DataFrame:
+def near_duplicates(prints: DataFrame, reach: int = 4, shard_rows: int = SHARD_ROWS, top_shards: int = TOP_SHARDS) -> DataFrame:
     """(id, fp, component) of a table (id, fp): the least id reachable by links.
 
     Equal fingerprints are one point. A shard's task returns a spanning forest
-    of its links, at most one row a point, not the links. With ``wide_reach``
-    the table also has (wide, n); a link then needs wide fingerprints within
-    that distance too, and numbers of shingles of at least ``size_ratio``.
-    ``verified`` takes the points and their (node, component) and returns the
-    components that hold.
+    of its links, at most one row a point, not the links. The tree on the driver
+    has ``top_shards`` leaves at most; leaves of more than ``shard_rows`` points are
+    split again by a hash, and each part of a leaf is asked.
     """
     spark = prints.sparkSession
-    keys = ["fp"] if wide_reach is None else ["fp", "wide"]
-    sizes = [] if wide_reach is None else [F.max("n").alias("n")]
-    points = written(prints.groupBy(*keys).agg(F.min("id").alias("rep"), *sizes), "points")
+    points = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "points")
     n = points.count()
-    shards = max(1, -(-n // shard_rows))
+    shards = min(top_shards, max(1, -(-n // shard_rows)))
     sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * shards).toArrow() if shards > 1 else None
     tree = VantageTree(np.array([], dtype=np.uint64) if sample is None else sample["fp"].to_numpy().view(np.uint64), shards)
-    # targets are copied to so many parts: few, or a large cluster would copy them thousands of times
-    parts = max(1, min(6, 2 * parallelism(spark) // tree.shards))
-    names = ["cell", "target", *points.columns]
+    # so many parts of a leaf's targets, and of the queries to each of them: the latter
+    # few, or a large cluster would copy targets thousands of times
+    split = max(1, -(-n // (tree.shards * shard_rows)))
+    parts = max(1, min(6, 2 * parallelism(spark) // (tree.shards * split)))
+
+    def dealt_to(fp: np.ndarray, factor: int, n: int) -> np.ndarray:
+        return (fp * np.uint64(factor) >> np.uint64(40)).astype(np.int64) % n
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A point goes as target to each part of its home, and as query to one
-        part of its home and of each later shard within reach."""
+        """A point goes as target to one part of its home, for each part of the queries,
+        and as query to each part of its home and of each later shard within reach."""
         for batch in rows:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            part = (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
+            own, asked = dealt_to(fp, 0x9E3779B97F4A7C15, split), dealt_to(fp, 0xD6E8FEB86659FD93, parts)
             home = np.zeros(len(fp), dtype=np.int64)
             visits = list(tree.visit(fp, reach))
-            for shard, at, own in visits:
-                home[at[own]] = shard
-            for shard, at, own in visits:
-                asks = at[own | (home[at] < shard)]
-                kept = np.repeat(at[own], parts)
-                for target, at_, to in ((True, kept, np.tile(np.arange(parts), own.sum())), (False, asks, part[asks])):
-                    if len(at_):
-                        some = batch.take(pa.array(at_))
-                        yield pa.RecordBatch.from_arrays([pa.array(shard * parts + to), pa.array(np.full(len(at_), target)), *some.columns], names=names)
+            for shard, at, is_home in visits:
+                home[at[is_home]] = shard
+            for shard, at, is_home in visits:
+                kept, asks = at[is_home], at[is_home | (home[at] < shard)]
+                for k in range(parts):
+                    if len(kept):
+                        yield rows_of(batch, kept, (shard * split + own[kept]) * parts + k, True)
+                for k in range(split):
+                    if len(asks):
+                        yield rows_of(batch, asks, (shard * split + k) * parts + asked[asks], False)
+
+    def rows_of(batch: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, target: bool) -> pa.RecordBatch:
+        some = batch.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(at), target)), *some.columns], names=["cell", "target", "fp", "rep"])
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        target = table["target"].to_numpy()
-        fp, rep = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy()
+        target, fp, rep = table["target"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy()
         # places of equal points fall together: a query may also be a target
         order, place = np.unique(rep, return_inverse=True)
         forest = Forest(len(order))
         t, q = np.flatnonzero(target), np.flatnonzero(~target)
-        if wide_reach is None:
-            pairs(fp[t], fp[q], reach, lambda x, y: forest.unite(place[t[x]], place[q[y]]))
-        else:
-            wide = np.frombuffer(b"".join(table["wide"].to_pylist()), dtype=np.uint64).reshape(len(fp), -1)
-            size = table["n"].to_numpy()
-            t, q = t[np.argsort(size[t], kind="stable")], q[np.argsort(size[q], kind="stable")]
-            for k in range(0, len(t), 2048):
-                own = t[k : k + 2048]
-                low, high = np.searchsorted(size[q], [size[own[0]] * size_ratio, size[own[-1]] / max(size_ratio, 1e-9) + 1])
-                other = q[low:high]
-
-                def seen(x: np.ndarray, y: np.ndarray, own: np.ndarray = own, other: np.ndarray = other) -> None:
-                    for k in range(0, len(x), 1 << 16):
-                        a, b = own[x[k : k + (1 << 16)]], other[y[k : k + (1 << 16)]]
-                        near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= wide_reach
-                        near &= np.minimum(size[a], size[b]) >= size_ratio * np.maximum(size[a], size[b])
-                        forest.unite(place[a[near]], place[b[near]])
-
-                # so wide a reach lets the triangle bound rule out next to nothing: compare all that are left
-                pairs(fp[own], fp[other], reach, seen, depth=4 if reach > 8 else 0, room=1 << 20)
+        pairs(fp[t], fp[q], reach, lambda x, y: forest.unite(place[t[x]], place[q[y]]))
         moved = np.flatnonzero(forest.label != np.arange(len(order)))
         return pa.table({"a": order[moved], "b": order[forest.label[moved]]})
 
-    kind = "cell long, target boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    dealt = points.where("rep IS NOT NULL").mapInArrow(deal, kind)
+    dealt = points.where("rep IS NOT NULL").mapInArrow(deal, "cell long, target boolean, fp long, rep long")
     linked = components(dealt.groupBy("cell").applyInArrow(search, "a long, b long"))
-    if verified is not None:
-        linked = verified(points, written(linked, "candidates"))
-    of_point = points.join(linked, points.rep == linked.node, "left").select(
-        *[F.col(k).alias(f"p_{k}") for k in keys], F.coalesce("component", "rep").alias("component")
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"p_{k}"))
-    return prints.join(of_point, same).select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
-
-
-def similar(sets: list[np.ndarray], wide: np.ndarray, reach: int, least: float) -> np.ndarray:
-    """The first place of each set's component, by links of a Jaccard similarity
-    of ``least`` or more among fingerprints within reach. Pairs that are linked
-    already are not compared."""
-    label = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = i = label[label[i]]
-        return i
-
-    size = np.array([len(x) for x in sets])
-    for i in range(1, len(sets)):
-        near = np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1, dtype=np.int64) <= reach
-        near &= np.minimum(size[:i], size[i]) >= (least - SLACK) * np.maximum(size[:i], size[i])
-        for j in np.flatnonzero(near).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= least * (size[i] + size[j] - both) - SLACK:
-                    label[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(sets))], dtype=np.int64)
-
-
-def near_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, fp, component) for word shingles with a similarity of 0.8 or more.
-
-    Two documents whose shingles have a Jaccard similarity of 0.8 differ in a
-    fraction acos(8 / 9) / pi = 0.151 of a fingerprint's bits. With 256 bits
-    candidates have a distance of 64 (4 standard deviations above that), with a
-    reach of 22 in the first 64 bits (4 deviations), and numbers of different
-    shingles in a ratio of 0.8 or more, as follows from the similarity. The candidates' components
-    are read again with their texts, and linked by the similarity itself.
-    """
-    prints = written(fingerprints(df, id_col, text, width, words=4), "fingerprints")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-
-    def link(table: pa.Table) -> pa.Table:
-        rows = {}
-        for i, t, w in zip(table["id"].to_pylist(), table["text"].to_pylist(), table["wide"].to_pylist(), strict=True):
-            # of repeated ids the text that this fingerprint is of
-            if (i, w) not in rows and _wide(t, width, len(w) // 8)[0] == w:
-                rows[i, w] = shingles(t, width)
-        keys = sorted(rows)
-        wide = np.frombuffer(b"".join(w for _, w in keys), dtype=np.uint64).reshape(len(keys), -1)
-        ids = np.array([i for i, _ in keys], dtype=np.int64)
-        first = ids[similar([rows[k] for k in keys], wide, 64, least)]
-        return pa.table({"node": ids[first != ids], "component": first[first != ids]})
-
-    def verified(points: DataFrame, linked: DataFrame) -> DataFrame:
-        both = linked.select("node", "component").unionAll(linked.select(F.col("component").alias("node"), "component").distinct())
-        both = both.join(points.select(F.col("rep").alias("node"), "wide"), "node").join(texts, F.col("node") == F.col("id"))
-        found = both.select("id", "component", "wide", "text").groupBy("component").applyInArrow(link, "node long, component long")
-        # a repeated id may be several points
-        return components(found, "node", "component")
-
-    return near_duplicates(prints, reach=22, wide_reach=64, size_ratio=least - SLACK, verified=verified)
+    of_point = points.join(linked, points.rep == linked.node, "left").select(F.col("fp").alias("p_fp"), F.coalesce("component", "rep").alias("component"))
+    return prints.join(of_point, F.col("fp") == F.col("p_fp")).select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

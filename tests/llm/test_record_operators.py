@@ -5,13 +5,13 @@ import glob
 import gzip
 import hashlib
 import io
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
 
-from lingualoom.llm import components, embeddings, html, oracles, queries, simhash, warc
+from lingualoom.llm import components, embeddings, html, oracles, queries, simhash, similar, warc
 from lingualoom.llm.support import shared_path
 
 DATA = "/root/testdata/sf0.001"
@@ -99,6 +99,46 @@ def test_frequent_texts_among_many_siblings_are_template(spark):
         assert r.main_text.split("\n\n") == own
 
 
+def test_near_copies_keep_their_marked_article(spark):
+    same = "".join(f"<p>Shared paragraph {j}" for j in range(5))
+    rows = [(k, f"http://a.org/{k}", f"<div>Site name</div><article>{same}<p>Of day {k}</article>") for k in range(10)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.main_text.split("\n\n") == [*(f"Shared paragraph {j}" for j in range(5)), f"Of day {r.page_id}"]
+
+
+def test_wrapper_against_brute_force_on_pages_without_helpful_tags(spark):
+    """Nothing but div elements: what 70 % of a host's pages have at a place is template, the rest is content."""
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+    for h in range(4):
+        menu = [f"Menu {h} {j}" for j in range(6)]
+        for k in range(12):
+            own = [f"Paragraph {h} {k} {j} {rng.integers(10**6)}" for j in range(rng.integers(1, 5))]
+            notice = ["Accept our notice"] * bool(rng.random() < 0.9)
+            parts = [menu, notice, own, [f"Copyright of host {h}"]]
+            rows.append((100 * h + k, f"https://h{h}.org/{k}", "".join("<div>" + "".join(f"<div>{x}</div>" for x in p) + "</div>" for p in parts if p)))
+            want[100 * h + k] = parts
+    share = {h: Counter(x for k in range(12) for p in want[100 * h + k] for x in p) for h in range(4)}
+    got = {r.page_id: r.main_text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page_id, parts in want.items():
+        assert got[page_id].split("\n\n") == [x for p in parts for x in p if share[page_id // 100][x] < 0.7 * 12]
+
+
+def test_pages_nested_deeply(spark):
+    deep = lambda k: "<div>" * 5000 + f"<p>Text {k}" + "</div>" * 2000 + f"<b>{k}"
+    rows = [(k, "http://a.org/" if k % 2 else None, deep(k)) for k in range(6)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.main_text for r in got} == {k: f"Text {k}\n\n{k}" for k in range(6)}
+
+
+def test_wrappers_are_bounded():
+    own = html.Node("r", 0)
+    for k in range(300):
+        tree = html.tree_of("".join(f"<div class=c{k}x{j}>a</div>" for j in range(40)) + "<ul><li>menu</ul>")[0]
+        own = html.merge(own, tree) if own.count else tree
+    assert len(html.slots_of(own)) <= html.NODES and any(n.key == "li" and n.count == 300 for n in html.slots_of(own))
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, "<p>a"), (2, "http://x.org", None), (2, "http://x.org", None), (None, "bad url", ""), (3, "", "<p>" * 3000 + "deep")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, tree string")
@@ -139,12 +179,41 @@ def test_vectors_against_brute_force(spark):
     df = spark.createDataFrame(list(zip(ids, vectors, ["x"] * len(ids), strict=True)), "vec_id long, embedding array<double>, rep string")
     want = sorted(brute_links(ids, vectors), key=str)
     for rows in (100, 5000):
-        got = sorted(((r.id, r.n_links, r.component) for r in embeddings.near_vectors(df, cell_rows=rows).collect()), key=str)
+        got = sorted(((r.id, r.n_links, r.component) for r in embeddings.near_vectors(df, block_rows=rows).collect()), key=str)
         assert sum(a != b for a, b in zip(got, want, strict=True)) <= len(want) // 200  # calibrated recall, 0.9999 a pair
         assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 64])
+def test_vectors_around_the_limit(spark, dim):
+    """Pairs just above and below a cosine of 0.9, among vectors far from all others, and a dense cluster."""
+    rng = np.random.default_rng(dim)
+    vectors, want = [], []
+    for c in [0.89, 0.8999999, 0.9000001, 0.91, 0.95] * 60:
+        a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        want.append((len(vectors), c >= 0.9))
+        vectors += [a, c * a + np.sqrt(1 - c * c) * b]
+    centre = rng.normal(size=dim)
+    vectors += [centre + 0.01 * rng.normal(size=dim) for _ in range(500)]
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    got = {r.id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=200).collect()}
+    brute = {i: (n, c) for i, n, c in brute_links([r[0] for r in rows], [r[1] for r in rows])}
+    assert sum((r.n_links, r.component) != brute[k] for k, r in got.items()) <= 2  # calibrated recall, 0.9999 a pair
+    if dim == 64:  # chance pairs are far below the limit
+        assert sum((got[k].n_links > 0) != linked for k, linked in want) <= 2
+
+
+def test_windows_are_centred_on_queries():
+    rng = np.random.default_rng(5)
+    t, q = rng.normal(size=(300, 3)), rng.normal(size=(70, 3))
+    place, first, more = embeddings.windows(t, q, 0.1)
+    for j in range(3):
+        hit = ((place[j][None, :] - first[j][:, None]).astype(np.uint8) <= more[j][:, None]).astype(bool)
+        inside = np.abs(q[:, j][:, None] - t[:, j][None, :]) <= 0.1
+        assert (hit | ~inside).all() and (hit & ~inside).mean() < 0.02
+
+
 def test_calibration():
     assert embeddings.least_collisions(10, 100.0, 0.99) == 10
     k, p = embeddings.least_collisions(32, 2.25, 0.9999), 0.97555
@@ -238,8 +307,8 @@ def test_near_duplicates_against_brute_force(spark):
         least[root] = min(least.get(root, 10**9), ids[k])
     want = {ids[k]: least[root] for k, root in enumerate(forest.label)}
     df = spark.createDataFrame(rows, "id long, fp long")
-    for shard in (50, 10**6):
-        got = simhash.near_duplicates(df, 4, shard).collect()
+    for shard, top in ((50, 1024), (50, 2), (10**6, 1024)):
+        got = simhash.near_duplicates(df, 4, shard, top).collect()
         assert {r.id: r.component for r in got} == want | {None: None} and len(got) == len(rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
@@ -265,7 +334,7 @@ def test_simhash_of_odd_rows(odd, docs, clashing):
     got = simhash.near_duplicates(simhash.fingerprints(clashing(odd))).collect()
     group = {r.id: r.component for r in got}
     assert len(got) == 11 and group[1] == group[2] == group[3] == 1 and group[4] == group[5] == 4 and group[None] is None
-    assert simhash.near_documents(docs([])).count() == 0
+    assert similar.near_documents(docs([])).count() == 0
 
 
 def test_similar_documents_are_found(docs):
@@ -277,7 +346,7 @@ def test_similar_documents_are_found(docs):
         for _ in range(6):  # six changed words of 400 leave a similarity of about 0.86
             w[rng.integers(0, 400)] = "changed"
         rows.append((2 * k + 1, " ".join(w), "en", "a"))
-    got = {r.id: r.component for r in simhash.near_documents(docs(rows)).collect()}
+    got = {r.id: r.component for r in similar.near_documents(docs(rows)).collect()}
     assert sum(got[2 * k + 1] == 2 * k for k in range(30)) >= 27 and all(v in (k, k - 1) for k, v in got.items())
 
 
@@ -294,7 +363,7 @@ def test_documents_below_the_similarity_stay_apart(docs):
         rows.append((3 * k, " ".join(w), "en", "a"))
     sets = {r[0]: {tuple(r[1].split()[i : i + 5]) for i in range(400)} for r in rows}
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    got = {r.id: r.component for r in simhash.near_documents(docs(rows)).collect()}
+    got = {r.id: r.component for r in similar.near_documents(docs(rows)).collect()}
     for k in range(0, 60, 3):
         assert 0.7 < alike(k, k + 1) < 0.8 <= alike(k, k + 2) and alike(k + 1, k + 2) < 0.8
         assert (got[k], got[k + 1], got[k + 2]) == (k, k + 1, k)
@@ -306,7 +375,40 @@ def test_repeated_passages_have_no_weight(docs):
     for k in range(10):
         w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
         rows += [(3 * k, " ".join(w), "en", "a"), (3 * k + 1, " ".join(w + w), "en", "a"), (3 * k + 2, " ".join(w + w[:100]), "en", "a")]
-    assert all(r.component == r.id // 3 * 3 for r in simhash.near_documents(docs(rows)).collect())
+    assert all(r.component == r.id // 3 * 3 for r in similar.near_documents(docs(rows)).collect())
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20_000])
+def test_near_documents_against_brute_force(docs, block_bytes):
+    """Chains of copies around the limit, copies of copies, and texts that share a passage only."""
+    rng = np.random.default_rng(15)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, shared = [], word(60)
+    for k in range(12):
+        base = word(int(rng.integers(100, 300)))
+        for c in range(20):
+            w = list(base)
+            for at in rng.integers(0, len(w), c % 7 + (c > 14)):
+                w[at] = f"c{c}x{at}"
+            rows.append(" ".join(w + shared[: 60 * (k % 3 == 0)]))
+            base = w if c % 4 == 3 else base
+    rows += ["", None, " ", "one two", "one  two", rows[0], rows[0] + " more"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in rows]
+    forest = components.Forest(len(rows))
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                forest.unite(np.array([x]), np.array([y]))
+    got = {r.id: r.component for r in similar.near_documents(docs([(k, t, "en", "a") for k, t in enumerate(rows)]), block_bytes=block_bytes).collect()}
+    assert got == {k: int(forest.label[k]) for k in range(len(rows))}
+
+
+def test_rows_of_one_id_are_apart(docs):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(50))
+    rows = [(5, text(2)), (5, text(3)), (5, text(3)), (4, text(3) + " end"), (9, text(2) + " end"), (None, text(2))]
+    got = sorted((r.id or 0, r.component or 0) for r in similar.near_documents(docs([(*r, "en", "a") for r in rows])).collect())
+    assert got == [(0, 0), (4, 4), (5, 4), (5, 4), (5, 5), (9, 5)]
 
 
 def test_rows_without_or_with_repeated_ids(spark, docs):
