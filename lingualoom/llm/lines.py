@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import BLANK, written
+from .support import written
 
 DEPTH = 3
 SPLITS = 3
@@ -44,9 +44,11 @@ FIELD = "<*>"
 SALTS = 16
 
 
-def _fields(tokens: Column) -> Column:
-    """Tokens with a digit become variable fields."""
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def _masked(tokens: Column) -> Column:
+    """The tokens joined by blanks, those with a digit as variable fields."""
+    joined = F.array_join(tokens, " ")
+    fields = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    return F.when(joined.rlike("[0-9]"), F.array_join(fields, " ")).otherwise(joined)
 
 
 def _key(*parts: Column) -> Column:
@@ -60,13 +62,15 @@ def _place() -> Column:
 
 def parsed(df: DataFrame, id_col: str, text: str, depth: int = DEPTH) -> DataFrame:
     """(id, text_key, line, leaf, tokens) of each line with a token; a narrow pass."""
+    # one blank for all: to split at a single character is far cheaper than at a pattern
+    blanks = F.when(F.col(text).rlike(r"[\x09\x0B-\x0D]"), F.translate(F.col(text), "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
     own = df.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.col(text)).alias("text_key"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line", "content"),
+        F.posexplode(F.split(blanks, "\n")).alias("line", "content"),
     )
-    own = own.withColumn("tokens", F.array_remove(F.split("content", BLANK), "")).where(F.size("tokens") > 0)
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), _fields(F.slice("tokens", 1, depth)))
+    own = own.withColumn("tokens", F.array_remove(F.split("content", " "), "")).where(F.size("tokens") > 0)
+    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), _masked(F.slice("tokens", 1, depth)))
     return own.select("id", "text_key", "line", leaf.alias("leaf"), "tokens")
 
 
@@ -141,7 +145,7 @@ def drop_boilerplate(
 ) -> DataFrame:
     """The rows of ``df`` with ``text`` cleaned, and ``dropped_lines`` (array<int>, from 0)."""
     lines = parsed(df, id_col, text, depth).withColumn("leaf_key", F.xxhash64("leaf"))
-    masked = F.array_join(_fields(F.col("tokens")), " ")
+    masked = _masked(F.col("tokens"))
     large = lines.groupBy("leaf_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf_key", F.lit(True).alias("large"))
     # Spark broadcasts the leaves if their table is below its threshold, else it shuffles
     some = lines.join(written(large, "leaves"), "leaf_key", "left").where(F.col("large") | (F.size("tokens") >= long_tokens))
@@ -160,10 +164,11 @@ def drop_boilerplate(
     # both sides grow with the corpus: never a broadcast, which would only do for small tables
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__text_key"))
     out = df.drop("dropped_lines").join(written(drops, "drops").hint("merge"), same, "left")
-    content = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(content) - 1), F.col("__lines"))
+    # texts without such a line aren't split
+    content = F.when(F.col("__lines").isNotNull(), F.split(F.col(text), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__lines"))
     clean = F.expr("array_join(transform(__kept, i -> element_at(__split, i + 1)), '\n')")
-    out = out.withColumn("__split", content).withColumn("__kept", kept)
-    out = out.withColumn(text, F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(clean))
+    out = out.withColumn("__split", content).withColumn("__kept", F.when(F.col("__split").isNotNull(), kept))
+    out = out.withColumn(text, F.when(F.col("__kept").isNotNull(), clean).otherwise(F.col(text)))
     out = out.withColumn("dropped_lines", F.coalesce("__lines", F.array().cast("array<int>")))
     return out.drop("__id", "__text_key", "__lines", "__split", "__kept")
