@@ -13,7 +13,9 @@ CONTRACTIONS = ("n't", "'s", "'re", "'ve", "'ll", "'d", "'m")
 OPENING = ("(", "[", "{", "“", "‘")
 CURRENCY = ("$", "£", "€", "¥")
 BOTH_SIDES = ("-", "/")
-OPENING_MARKS = ("\"", "'", "“", "‘", "(", "[", "{", ":")
+# Marks that may open a sentence: as tokens of their own, and in running text.
+OPENING_TOKENS = ("\"", "'", "“", "‘", "(", "[", "{")
+OPENING_MARKS = (*OPENING_TOKENS, ":")
 PRONOUNS = tuple(
     "he she it they you we i me us him her them my mine your yours our ours his hers its their theirs "
     "myself yourself ourselves himself herself itself themselves".split()
@@ -64,7 +66,7 @@ def starts_sentence(text: Column, at: Column) -> Column:
 
 def starts_sentence_tokens(array: Column, at: Column) -> Column:
     """Whether only opening marks come before index ``at`` (from 0)."""
-    return F.forall(F.slice(array, F.lit(1), at), lambda t: t.isin(*OPENING_MARKS))
+    return F.forall(F.slice(array, F.lit(1), at), lambda t: t.isin(*OPENING_TOKENS))
 
 
 def cased(pronoun: Column, at_start: Column) -> Column:
@@ -137,7 +139,7 @@ def detokenized(text: str | None) -> str | None:
             opens = not single and not before.lower().endswith("s")
             left, right = not opens, opens
             single = opens
-        elif word in "‘’":
+        elif word in ("‘", "’"):
             single = word == "‘"
             left, right = not single, single
         joins.append((left, right))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import OPENING_MARKS, clean_replacement, leading_marks, normal_tokens, trailing_marks
+from ..functions.text import OPENING_TOKENS, clean_replacement, leading_marks, normal_tokens, trailing_marks
 
 
 def running_offsets(df: DataFrame, order: Sequence[str], length: Column, by: Sequence[str] = (), block: str | None = None) -> DataFrame:
@@ -103,83 +102,80 @@ def validate_counts(expected: DataFrame, found: DataFrame, by: Sequence[str]) ->
     return a.join(b, list(by), "full").fillna(0, ["expected", "found"]).where("expected <> found")
 
 
-def _find(tokens: list, wanted: list, start: int) -> int:
-    """First place from ``start`` at which ``wanted`` stands; -1 if none, or if it is empty."""
-    if not wanted:
-        return -1
-    n = len(wanted)
-    while True:
-        try:
-            start = tokens.index(wanted[0], start)
-        except ValueError:
-            return -1
-        if tokens[start : start + n] == wanted:
-            return start
-        start += 1
+def _placed_targets(last_free: bool) -> str:
+    """SQL: the targets of a sentence with the place (from 0) of their phrase, null if
+    it isn't there; a phrase takes its last place free of earlier ones, or its first."""
+    starts = "filter(sequence(0, size(tokens) - size(t.tokens)), k -> slice(tokens, k + 1, size(t.tokens)) = t.tokens"
+    free = " AND NOT arrays_overlap(a.taken, sequence(k, k + size(t.tokens) - 1))" if last_free else ""
+    found = f"CASE WHEN size(t.tokens) BETWEEN 1 AND size(tokens) THEN {'array_max' if last_free else 'array_min'}({starts}{free})) END"
+    step = f"""transform(array({found}), at -> struct(
+        if(at IS NULL, a.taken, concat(a.taken, sequence(at, at + size(t.tokens) - 1))) AS taken,
+        concat(a.done, array(struct(at AS at, size(t.tokens) AS n, t.pronoun AS pronoun))) AS done))[0]"""
+    start = "struct(cast(array() AS array<int>) AS taken, cast(array() AS array<struct<at:int,n:int,pronoun:string>>) AS done)"
+    return f"aggregate(targets, {start}, (a, t) -> {step}, a -> a.done)"
 
 
-def _find_last_free(tokens: list, wanted: list, taken: set) -> int:
-    n = len(wanted)
-    places = range(len(tokens) - n, -1, -1) if n else ()
-    return next((k for k in places if tokens[k : k + n] == wanted and taken.isdisjoint(range(k, k + n))), -1)
+def _grams(tokens: str, n: int) -> str:
+    """SQL: (gram, at) of all runs of n tokens."""
+    return f"transform(if(size({tokens}) >= {n}, sequence(0, size({tokens}) - {n}), cast(array() AS array<int>)), i -> struct(array_join(slice({tokens}, i + 1, {n}), '\x01') AS gram, i AS at))"
 
 
-def annotate_story(words: pd.DataFrame, sentences: pd.DataFrame, label: str = "NOT_REPLACED", last_free: bool = True) -> pd.DataFrame:
+def annotate(words: DataFrame, records: DataFrame, last_free: bool = True, label: str = "NOT_REPLACED", cell: str = "pronoun_replacement") -> DataFrame:
     """Write replacements into the words that a story's target phrases cover.
 
-    ``words``: (story, row_no, word, tokens, lead, trail), ``sentences``: (story,
-    sentence, tokens, targets), targets being structs (placeholder, tokens,
-    pronoun). Sentences are sought one after the other from a cursor; one that
-    isn't found leaves the cursor in place and all its targets missed.
+    ``words``: (story, row_no, word) and maybe the ``cell`` to append to, ``records``:
+    (story, sentence, original, target_mapping array, pronoun_mapping map). Result:
+    (story, row_no, word, pronoun_replacement, matched, flagged, missed).
+
+    Where a sentence may stand follows from an equi-join of its first tokens with
+    the story's; where its phrases stand, from the sentence alone. Sentences are
+    then placed one after the other, each behind the last: one fold a story. One
+    that isn't found leaves the others where they are, and all its targets missed.
     """
-    words = words.sort_values("row_no")
-    stream, row = [], []
-    for k, own in enumerate(words["tokens"]):
-        stream += list(own)
-        row += [k] * len(own)
-    values: list[list[str]] = [[] for _ in range(len(words))]
-    lead, trail = list(words["lead"]), list(words["trail"])
-    counts, cursor = {"matched": 0, "flagged": 0, "missed": 0}, 0
-    for own, wanted in zip(*(sentences.sort_values("sentence")[c] for c in ("tokens", "targets")), strict=True):
-        sentence, wanted, taken = list(own), [] if wanted is None else list(wanted), set()
-        at = _find(stream, sentence, cursor)
-        if at < 0:
-            counts["missed"] += len(wanted)
-            continue
-        for target in wanted:
-            phrase, pronoun = list(target["tokens"]), target["pronoun"]
-            k = _find_last_free(sentence, phrase, taken) if last_free else _find(sentence, phrase, 0)
-            if k < 0:
-                counts["missed"] += 1
-                continue
-            taken.update(range(k, k + len(phrase)))
-            rows = list(dict.fromkeys(row[at + k : at + k + len(phrase)]))
-            value = label
-            if pronoun is not None:
-                begins = all(t in OPENING_MARKS for t in sentence[:k])
-                value = pronoun[:1].upper() + pronoun[1:] if begins or pronoun.lower() == "i" else pronoun
-                value = f"{lead[rows[0]]}{value}{trail[rows[-1]]}"
-            counts["flagged" if pronoun is None else "matched"] += 1
-            for r in rows:
-                if value and value not in values[r]:
-                    values[r].append(value)
-        cursor = at + len(sentence)
-    out = words[["story", "row_no", "word"]].copy()
-    out["pronoun_replacement"] = ["|".join(v) or "NA" for v in values]
-    return out.assign(**counts)
-
-
-def annotate(words: DataFrame, records: DataFrame, last_free: bool = True) -> DataFrame:
-    """``annotate_story`` of every story: (story, row_no, word, pronoun_replacement,
-    matched, flagged, missed). ``words``: (story, row_no, word), ``records``: (story,
-    sentence, original, target_mapping array, pronoun_mapping map)."""
-    w = words.select("story", "row_no", "word", normal_tokens(F.col("word")).alias("tokens"), leading_marks(F.col("word")).alias("lead"), trailing_marks(F.col("word")).alias("trail"))
-    target = lambda t: F.struct(t["placeholder"].alias("placeholder"), normal_tokens(t["phrase"]).alias("tokens"), F.try_element_at(F.col("pronoun_mapping"), t["placeholder"]).alias("pronoun"))
-    s = records.select("story", "sentence", normal_tokens(F.col("original")).alias("tokens"), F.transform("target_mapping", target).alias("targets"))
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
-    schema = f"story {kinds['story']}, row_no {kinds['row_no']}, word string, pronoun_replacement string, matched long, flagged long, missed long"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return annotate_story(left, right, last_free=last_free)
-
-    return w.groupBy("story").cogroup(s.groupBy("story")).applyInPandas(run, schema)
+    spell = "\x01"
+    w = words.select("story", "row_no", normal_tokens(F.col("word")).alias("tokens"), leading_marks(F.col("word")).alias("lead"), trailing_marks(F.col("word")).alias("trail"))
+    stories = w.groupBy("story").agg(F.sort_array(F.collect_list(F.struct("row_no", "tokens", "lead", "trail"))).alias("rows"))
+    stories = stories.withColumns({"stream": F.flatten("rows.tokens"), "row_at": F.expr("flatten(transform(rows, (r, i) -> array_repeat(i, size(r.tokens))))")})
+
+    target = lambda t: F.struct(normal_tokens(t["phrase"]).alias("tokens"), F.try_element_at(F.col("pronoun_mapping"), t["placeholder"]).alias("pronoun"))
+    s = records.select("story", "sentence", normal_tokens(F.col("original")).alias("tokens"), F.coalesce(F.transform("target_mapping", target), F.array().cast("array<struct<tokens:array<string>,pronoun:string>>")).alias("targets"))
+    s = s.withColumn("targets", F.expr(_placed_targets(last_free)))
+
+    # a sentence of one or two tokens is sought by these, longer ones by their first three
+    size = F.least(F.size("tokens"), F.lit(3))
+    first = s.where(F.size("tokens") > 0).select("story", "sentence", size.alias("n"), F.array_join(F.slice("tokens", F.lit(1), size), spell).alias("gram"))
+    grams = None
+    for n in (1, 2, 3):
+        own = stories.select("story", F.lit(n).alias("n"), F.inline(F.expr(_grams("stream", n))))
+        grams = own if grams is None else grams.unionAll(own)
+    places = first.join(grams, ["story", "n", "gram"]).groupBy("story", "sentence").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    s = s.join(places, ["story", "sentence"], "left")
+    s = s.groupBy("story").agg(F.sort_array(F.collect_list(F.struct("sentence", "tokens", "targets", "places"))).alias("sentences"))
+
+    both = stories.join(s, "story", "left")
+    fold = """aggregate(coalesce(sentences, array()), struct(0 AS next, cast(array() AS array<int>) AS at), (a, s) ->
+        transform(array(get(filter(s.places, p -> p >= a.next AND slice(stream, p + 1, size(s.tokens)) = s.tokens), 0)), p ->
+            struct(if(p IS NULL, a.next, p + size(s.tokens)) AS next, concat(a.at, array(p)) AS at))[0], a -> a.at)"""
+    both = both.withColumn("at", F.expr(fold))
+    rows_of = "array_distinct(slice(row_at, p.at + t.at + 1, t.n))"
+    opens = f"forall(slice(p.s.tokens, 1, t.at), x -> x IN ({', '.join(repr(m) if m != chr(39) else chr(34) + chr(39) + chr(34) for m in OPENING_TOKENS)}))"
+    cased = f"if(lower(t.pronoun) = 'i', 'I', if({opens}, concat(upper(substr(t.pronoun, 1, 1)), substr(t.pronoun, 2)), t.pronoun))"
+    value = f"if(t.pronoun IS NULL, '{label}', concat(rows[{rows_of}[0]].lead, {cased}, rows[{rows_of}[size({rows_of}) - 1]].trail))"
+    both = both.withColumn("placed", F.expr("transform(coalesce(sentences, array()), (s, k) -> struct(s AS s, at[k] AS at))"))
+    made = f"""flatten(transform(placed, (p, i) -> if(p.at IS NULL, array(), transform(filter(transform(p.s.targets, (t, k) -> struct(t.at AS at, t.n AS n, t.pronoun AS pronoun, k AS k)), t -> t.at IS NOT NULL),
+        t -> struct({rows_of} AS covered, i AS i, t.k AS k, {value} AS value)))))"""
+    count = lambda test: F.expr(f"aggregate(placed, 0L, (n, p) -> n + size(filter(p.s.targets, t -> {test})))")
+    both = both.withColumns(
+        {"matched": count("p.at IS NOT NULL AND t.at IS NOT NULL AND t.pronoun IS NOT NULL"), "flagged": count("p.at IS NOT NULL AND t.at IS NOT NULL AND t.pronoun IS NULL"), "missed": count("p.at IS NULL OR t.at IS NULL")}
+    )
+    new = both.select("story", "rows", F.inline(F.expr(made))).where("value <> ''").select("story", "i", "k", "value", F.explode(F.expr("transform(covered, c -> rows[c].row_no)")).alias("row_no"))
+    new = new.groupBy("story", "row_no").agg(F.sort_array(F.collect_list(F.struct("i", "k", "value"))).alias("__new"))
+    out = words.join(new, ["story", "row_no"], "left").join(both.select("story", "matched", "flagged", "missed"), "story")
+    return out.select("story", "row_no", "word", appended(F.col(cell) if cell in words.columns else F.lit(None), F.col("__new.value")).alias("pronoun_replacement"), "matched", "flagged", "missed")
+
+
+def appended(cell: Column, values: Column) -> Column:
+    """A cell of values joined by |, with those appended that aren't in it, in order; empty and NA hold none, and none is NA."""
+    held = F.when(F.coalesce(cell, F.lit("")).isin("", "NA"), F.array().cast("array<string>")).otherwise(F.split(cell, r"\|"))
+    joined = F.array_join(F.concat(held, F.array_except(F.coalesce(values, F.array().cast("array<string>")), held)), "|")
+    return F.when(joined == "", "NA").otherwise(joined)

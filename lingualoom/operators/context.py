@@ -23,6 +23,14 @@ def windows(tokens: DataFrame, size: int, by: Sequence[str] = ("doc",), at: str
     return out
 
 
+def window_rows(docs: DataFrame, size: int, tokens: str = "tokens") -> DataFrame:
+    """As ``windows`` for one row a document with its tokens in an array: (..., at,
+    target, window) without a shuffle. Other columns are kept."""
+    kept = [c for c in docs.columns if c != tokens]
+    slices = F.expr(f"transform({tokens}, (t, i) -> struct(i AS at, t AS target, slice({tokens}, greatest(i - {size - 2}, 1), least(i + 1, {size})) AS window))")
+    return docs.select(*kept, F.explode(slices).alias("__w")).select(*kept, "__w.*")
+
+
 def masked_windows(tokens: DataFrame, size: int, hidden: str, by: Sequence[str] = ("doc",), at: str = "at", token: str = "token") -> DataFrame:
     """As ``windows``; tokens flagged ``hidden`` get mask 0, but never the target."""
     w = Window.partitionBy(*by).orderBy(at).rowsBetween(-(size - 1), 0)
@@ -154,3 +162,18 @@ def usable_contexts(requested: Sequence[int], limit: int) -> list[int]:
 
 def batch_rows(token_budget: int, size: int) -> int:
     return max(1, token_budget // size)
+
+
+#: Fixed value: families whose models take no position ids.
+WITHOUT_POSITION_IDS = ("opt",)
+
+
+def scorer_setup(families: DataFrame, family: str = "family") -> DataFrame:
+    """Add a scorer's settings: the padding token and side, and whether position ids are passed."""
+    own = ~F.lower(family).isin(*WITHOUT_POSITION_IDS)
+    return families.withColumns({"pad_token": F.lit("eos"), "padding_side": F.lit("left"), "position_ids": own})
+
+
+def token_totals(docs: DataFrame, by: Sequence[str], tokens: Column) -> DataFrame:
+    """Documents, tokens and the shortest document, by group and (null) in all; empty documents are an error for a scorer."""
+    return docs.withColumn("__n", F.size(tokens)).rollup(*by).agg(F.count("*").alias("n_docs"), F.sum("__n").alias("n_tokens"), F.min("__n").alias("least"))

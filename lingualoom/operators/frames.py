@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,16 +92,35 @@ def balanced_folds(df: DataFrame, key: Column, k: int = 10, out: str = "fold") -
     return hashed_rank(df, key, "__rank").withColumn(out, (F.col("__rank") % k).cast("int")).drop("__rank")
 
 
-def attach_vector(df: DataFrame, vector: DataFrame, row_no: str, name: str) -> DataFrame:
+def attach_vector(df: DataFrame, vector: DataFrame, row_no: str, name: str, mismatch: str = "error") -> DataFrame:
     """Attach values by explicit row number; both sides must have as many rows.
 
-    ``vector`` has (row_no, value). A difference in length is an error.
+    ``vector`` has (row_no, value). A difference in length is an error; with
+    ``mismatch`` "skip" a warning, the column being left out, and with "fill" the
+    column is null.
     """
+    values = vector.select(F.col(row_no), F.col("value").alias(name))
+    if mismatch != "error":
+        a, b = df.count(), vector.count()
+        if a == b:
+            return df.join(values, row_no)
+        if mismatch == "skip":
+            warnings.warn(f"{name}: {a} rows but {b} values; left out", stacklevel=2)
+            return df
+        return df.withColumn(name, F.lit(None).cast(vector.schema["value"].dataType))
     counts = df.agg(F.count("*").alias("a")).crossJoin(vector.agg(F.count("*").alias("b")))
     same = F.assert_true(F.col("a") == F.col("b"), F.concat_ws(" ", F.lit("rows and values differ:"), "a", "b"))
     checked = counts.where(same.isNull()).select(F.lit(1).alias("__one"))
-    joined = df.join(vector.select(F.col(row_no), F.col("value").alias(name)), row_no)
-    return joined.crossJoin(F.broadcast(checked)).drop("__one")
+    return df.join(values, row_no).crossJoin(F.broadcast(checked)).drop("__one")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join in which null keys match each other."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(named, same).drop(*[f"__{k}" for k in keys])
 
 
 def large_groups(df: DataFrame, by: Sequence[str], least: int, out: str = "group_n") -> DataFrame:
@@ -131,6 +151,16 @@ def first_appearance(df: DataFrame, key: str, order: str, out: str = "rank") ->
     return firsts.select(key, F.row_number().over(Window.orderBy("__f", key)).alias(out))
 
 
+def chosen_stories(df: DataFrame, story: str, order: str, ids: Sequence | None = None, numbers: Sequence[int] | None = None) -> DataFrame:
+    """Rows of the stories with these ids, or with these numbers (from 1, by first appearance); all if neither is given."""
+    if ids is not None:
+        return df.where(F.col(story).isin(*ids))
+    if numbers is None:
+        return df
+    picked = first_appearance(df, story, order, "__rank").where(F.col("__rank").isin(*numbers)).select(story)
+    return df.join(picked, story, "left_semi")
+
+
 def level_order(name: Column, canonical: Sequence[str]) -> Column:
     """Sort key: listed levels in their order, then the rest by name."""
     rank = F.create_map(*[F.lit(x) for i, level in enumerate(canonical) for x in (level, i)])
@@ -158,9 +188,22 @@ def union_frames(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def parameter_grid(*dimensions: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables."""
+def parameter_grid(*dimensions: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """All combinations of small dimension tables; with ``available``, those that it has (by its columns)."""
     out = dimensions[0]
     for d in dimensions[1:]:
         out = out.crossJoin(F.broadcast(d))
-    return out
+    return out if available is None else out.join(available, available.columns, "left_semi")
+
+
+def draws_long(draws: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """(keys, parameter, value) of the columns that begin with a prefix, which is taken off."""
+    names = [c for c in draws.columns if c.startswith(prefix)]
+    long = draws.unpivot(list(keys), names, "parameter", "value")
+    return long.withColumn("parameter", F.substr(F.col("parameter"), F.lit(len(prefix) + 1)))
+
+
+def recoded(name: Column, labels: dict[str, str]) -> Column:
+    """A level's label; others stay as they are."""
+    pairs = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, name), name)

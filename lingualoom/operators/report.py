@@ -20,11 +20,20 @@ def chosen(label: str, a: str, b: str) -> Column:
 
 
 def missed_rows(answers: DataFrame) -> DataFrame:
-    """Wrong answers with the chosen text, ordered by condition and numeric ids."""
+    """Wrong answers with the chosen text."""
     wrong = answers.where(~F.coalesce(is_true("is_correct"), F.lit(False)))
-    wrong = wrong.withColumn("generated_answer", chosen("generated_label", "option_a", "option_b"))
+    return wrong.withColumn("generated_answer", chosen("generated_label", "option_a", "option_b"))
+
+
+def in_report_order(rows: DataFrame) -> DataFrame:
+    """By condition and numeric ids, for a report that is written out; ids that aren't numbers come last."""
     number = lambda c: (F.col(c).try_cast("long").isNull(), F.col(c).try_cast("long"), F.col(c).cast("string"))
-    return wrong.orderBy("condition", *number("story_index"), *number("question_index"))
+    return rows.orderBy("condition", *number("story_index"), *number("question_index"))
+
+
+def first_levels(rows: DataFrame, order: Sequence[Column], n: int = 11) -> DataFrame:
+    """The first n levels of a small table; also what a report prints at most."""
+    return rows.orderBy(*order).limit(n)
 
 
 def sanity(scores: DataFrame, by: Sequence[str], value: str = "surprisal", reference: str = "unisurp") -> DataFrame:

@@ -26,20 +26,25 @@ def ngram_surprisal(tokens: DataFrame, size: int, by: Sequence[str] = ("doc",),
     """Add ``surprisal`` of a count model over all tokens, with back-off.
 
     The longest seen context of up to ``size`` - 1 tokens counts; each step to a
-    shorter one costs a factor. Counts are groups and equi-joins only.
+    shorter one costs a factor. Counts are groups and equi-joins only; of equal
+    grams and contexts that are frequent Spark splits the join.
     """
     w = Window.partitionBy(*by).orderBy(at)
     rows = tokens
     for k in range(size):
-        gram = F.concat_ws("\x01", *[F.lag(token, j).over(w) for j in range(k, 0, -1)], F.col(token))
+        before = [F.lag(token, j).over(w) for j in range(k, 0, -1)]
         there = F.row_number().over(w) > k
-        rows = rows.withColumn(f"__g{k}", F.when(there, gram))
-        rows = rows.withColumn(f"__c{k}", F.when(there, F.concat_ws("\x01", F.lit("c"), *[F.lag(token, j).over(w) for j in range(k, 0, -1)])))
-    out = rows
+        rows = rows.withColumn(f"__g{k}", F.when(there, F.concat_ws("\x01", *before, F.col(token))))
+        if k:
+            rows = rows.withColumn(f"__c{k}", F.when(there, F.concat_ws("\x01", *before)))
+    # without a context there is one count for all: a row, joined by broadcast
+    out = rows.crossJoin(F.broadcast(tokens.agg(F.count("*").alias("__m0"))))
     for k in range(size):
         n = rows.where(F.col(f"__g{k}").isNotNull()).groupBy(f"__g{k}").agg(F.count("*").alias(f"__n{k}"))
-        m = rows.where(F.col(f"__g{k}").isNotNull()).groupBy(f"__c{k}").agg(F.count("*").alias(f"__m{k}"))
-        out = out.join(n, f"__g{k}", "left").join(m, f"__c{k}", "left")
+        out = out.join(n, f"__g{k}", "left")
+        if k:
+            m = rows.where(F.col(f"__c{k}").isNotNull()).groupBy(f"__c{k}").agg(F.count("*").alias(f"__m{k}"))
+            out = out.join(m, f"__c{k}", "left")
     # counts include the token itself: leave it out, so that a gram seen once backs off
     p = F.col("__n0") / F.col("__m0")
     for k in range(1, size):

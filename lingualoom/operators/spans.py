@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(df: DataFrame, by: Sequence[str], at: str) -> DataFrame:
-    """(by, start, end) of runs of consecutive integers; end exclusive. Repeated values count once."""
-    one = df.select(*by, at).distinct()
+def islands(df: DataFrame, by: Sequence[str], at: str, unique: bool = False) -> DataFrame:
+    """(by, start, end) of runs of consecutive integers; end exclusive. Repeated values
+    count once; where there are none (``unique``) this saves a shuffle."""
+    one = df.select(*by, at) if unique else df.select(*by, at).distinct()
     w = Window.partitionBy(*by).orderBy(at)
     g = one.withColumn("__g", F.col(at) - F.row_number().over(w))
     return g.groupBy(*by, "__g").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("end")).drop("__g")
@@ -31,10 +32,22 @@ def sentences(words: DataFrame, doc: str = "doc", pos: str = "pos", word: str =
     return out.withColumn("at", (F.row_number().over(Window.partitionBy(doc, "sentence").orderBy(pos)) - 1).cast("int"))
 
 
+def sentence_rows(docs: DataFrame, tokens: str = "tokens", terminator: str = ".") -> DataFrame:
+    """As ``sentences`` for one row a document with its words in an array: (..., sentence,
+    pos, at, word) without a shuffle. Other columns are kept."""
+    kept = [c for c in docs.columns if c != tokens]
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(t == terminator, i + 1)), lambda x: x.isNotNull())
+    ends = docs.withColumn("__ends", places)
+    parts = F.expr(f"transform(__ends, (e, k) -> struct(k AS sentence, if(k = 0, 0, __ends[k - 1]) AS start, slice({tokens}, if(k = 0, 0, __ends[k - 1]) + 1, e - if(k = 0, 0, __ends[k - 1])) AS words))")
+    own = ends.select(*kept, F.explode(parts).alias("__s"))
+    rows = own.select(*kept, F.col("__s.sentence").alias("sentence"), F.col("__s.start").alias("__start"), F.posexplode("__s.words").alias("at", "word"))
+    return rows.withColumn("pos", F.col("__start") + F.col("at")).drop("__start")
+
+
 def mentions(words: DataFrame, doc: str = "doc", sentence: str = "sentence", at: str = "at", chains: str = "chains") -> DataFrame:
-    """(doc, sentence, chain, start, end): runs of a chain inside a sentence."""
+    """(doc, sentence, chain, start, end): runs of a chain inside a sentence; one row a word."""
     exploded = words.select(doc, sentence, at, F.explode(F.array_distinct(chains)).alias("chain"))
-    return islands(exploded, [doc, sentence, "chain"], at)
+    return islands(exploded, [doc, sentence, "chain"], at, unique=True)
 
 
 def mention_starts(words: DataFrame, doc: str = "doc", pos: str = "pos", chains: str = "chains") -> DataFrame:
@@ -45,18 +58,28 @@ def mention_starts(words: DataFrame, doc: str = "doc", pos: str = "pos", chains:
 
 
 def not_nested(spans: DataFrame, by: Sequence[str], key: Sequence[str] = ("start", "end")) -> DataFrame:
-    """Spans that no strictly larger span of the same group contains."""
+    """Spans (of whole numbers) that no strictly larger span of the same group contains.
+
+    A larger span starts earlier and doesn't end earlier, or starts at the same
+    place and ends later: two running maxima, no join.
+    """
     start, end = key
-    o = spans.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(start).alias("__s"), F.col(end).alias("__e")).distinct()
-    cond = (F.col("__s") <= F.col(start)) & (F.col("__e") >= F.col(end)) & ((F.col("__s") < F.col(start)) | (F.col("__e") > F.col(end)))
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"__{c}"))
-    return spans.join(o, cond, "left_anti")
+    earlier = F.max(end).over(Window.partitionBy(*by).orderBy(F.col(start).cast("long")).rangeBetween(Window.unboundedPreceding, -1))
+    longest = F.max(end).over(Window.partitionBy(*by, start))
+    out = spans.withColumns({"__earlier": earlier, "__longest": longest})
+    return out.where((F.col("__longest") <= F.col(end)) & (F.col("__earlier").isNull() | (F.col("__earlier") < F.col(end)))).drop("__earlier", "__longest")
+
+
+def mention_counts(found: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, chain, n): mentions of each chain, where its starts weren't counted."""
+    return found.groupBy(doc, "chain").agg(F.count("*").alias("n"))
 
 
-def select_mentions(found: DataFrame, starts: DataFrame, repeated: bool, doc: str = "doc", sentence: str = "sentence") -> DataFrame:
-    """Mentions of chains that begin more than once (or just once), without nested ones."""
-    wanted = starts.where(F.col("n") > 1 if repeated else F.col("n") == 1).select(doc, "chain")
+def select_mentions(found: DataFrame, starts: DataFrame | None, repeated: bool, doc: str = "doc", sentence: str = "sentence") -> DataFrame:
+    """Mentions of chains that begin more than once (or just once), without nested ones.
+    Without ``starts`` mentions are counted."""
+    counts = mention_counts(found, doc) if starts is None else starts
+    wanted = counts.where(F.col("n") > 1 if repeated else F.col("n") == 1).select(doc, "chain")
     return not_nested(found.join(wanted, [doc, "chain"], "left_semi"), [doc, sentence])
 
 

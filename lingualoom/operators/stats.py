@@ -24,17 +24,16 @@ def mean_ci(df: DataFrame, by: Sequence[str], value: str, z: float = Z95) -> Dat
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """count, mean, std, min, interpolated quartiles, max."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
-        q(0.25).alias("q25"),
-        q(0.5).alias("q50"),
-        q(0.75).alias("q75"),
+        F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"),  # one map of values for all
         F.max(value).alias("max"),
     )
+    quartiles = [F.col("__q")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75"))]
+    return out.select(*by, "count", "mean", "std", "min", *quartiles, "max")
 
 
 def correlation(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "r") -> DataFrame:
@@ -55,12 +54,8 @@ def accuracy(df: DataFrame, correct: Column, sets: Sequence[Sequence[str]]) -> D
 
 def posterior_summary(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median, central 95 % interval, share above zero, and the sign that this share supports."""
-    s = draws.groupBy(*by).agg(
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.025)).alias("q025"),
-        F.percentile(value, F.lit(0.975)).alias("q975"),
-        F.avg((F.col(value) > 0).cast("double")).alias("prob_pos"),
-    )
+    s = draws.groupBy(*by).agg(F.percentile(value, [0.5, 0.025, 0.975]).alias("__q"), F.avg((F.col(value) > 0).cast("double")).alias("prob_pos"))
+    s = s.select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(("median", "q025", "q975"))], "prob_pos")
     s = s.withColumn("significant", (F.col("prob_pos") > 0.975) | (F.col("prob_pos") < 0.025))
     return s.withColumn(
         "direction", F.when(~F.col("significant"), "none").when(F.col("prob_pos") > 0.5, "positive").otherwise("negative")
@@ -295,27 +290,52 @@ def box_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return s.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def gibbs_random_intercept(rows: pd.DataFrame, y: str, x: str, group: str, draws: int = 2000, warm_up: int = 1000, seed: int = 1) -> pd.DataFrame:
-    """Draws of y ~ x + (1 | group) for a small result table, by Gibbs sampling.
+def indicators(values: Sequence) -> tuple[np.ndarray, list]:
+    """One column a level, in sorted order."""
+    codes, levels = pd.factorize(pd.Series(values), sort=True)
+    return np.eye(len(levels))[codes], list(levels)
+
+
+def gibbs(
+    y: np.ndarray, fixed: np.ndarray, groups: Sequence[tuple[Sequence, np.ndarray]], draws: int = 2000, warm_up: int = 1000, seed: int = 1
+) -> dict[str, np.ndarray]:
+    """Draws of a linear mixed model y ~ fixed + (slopes | group) + ..., by Gibbs sampling.
 
-    Normal priors on coefficients (variance 100), inverse-gamma (2, 1) on variances. For
-    summary tables of at most some thousand rows, on the driver.
+    ``groups``: for each factor its values and the matrix of its slopes (ones for an
+    intercept, ``indicators`` for 0 + factor); slopes vary independently. Normal
+    priors on coefficients (variance 100), inverse-gamma (2, 1) on variances. For
+    summary tables of at most some thousand rows, on the driver. Result: "b" (draws x
+    coefficients), "sigma", and for factor k "u{k}" (draws x levels x slopes) and "sd{k}".
     """
-    rng = np.random.default_rng(seed)
-    yv, xv = rows[y].to_numpy(float), np.column_stack([np.ones(len(rows)), rows[x].to_numpy(float)])
-    codes, levels = pd.factorize(rows[group])
-    beta, u, s2, t2, out = np.zeros(2), np.zeros(len(levels)), 1.0, 1.0, []
-    counts = np.bincount(codes, minlength=len(levels))
+    rng, y, fixed = np.random.default_rng(seed), np.asarray(y, float), np.asarray(fixed, float)
+    coded = [(pd.factorize(pd.Series(g), sort=True), np.asarray(z, float).reshape(len(y), -1)) for g, z in groups]
+    u = [np.zeros((len(levels), z.shape[1])) for (_, levels), z in coded]
+    t2, s2, out = [np.ones(z.shape[1]) for _, z in coded], 1.0, []
+    parts = [np.zeros(len(y)) for _ in coded]
     for k in range(draws + warm_up):
-        prec = xv.T @ xv / s2 + np.eye(2) / 100
-        cov = np.linalg.inv(prec)
-        beta = rng.multivariate_normal(cov @ (xv.T @ (yv - u[codes]) / s2), cov)
-        r = np.bincount(codes, weights=yv - xv @ beta, minlength=len(levels))
-        v = 1 / (counts / s2 + 1 / t2)
-        u = rng.normal(v * r / s2, np.sqrt(v))
-        e = yv - xv @ beta - u[codes]
-        s2 = (1 + e @ e / 2) / rng.gamma(2 + len(yv) / 2)
-        t2 = (1 + u @ u / 2) / rng.gamma(2 + len(levels) / 2)
+        cov = np.linalg.inv(fixed.T @ fixed / s2 + np.eye(fixed.shape[1]) / 100)
+        beta = rng.multivariate_normal(cov @ (fixed.T @ (y - sum(parts, np.zeros(len(y)))) / s2), cov)
+        left = y - fixed @ beta
+        for j, ((codes, levels), z) in enumerate(coded):
+            own = left - sum((p for i, p in enumerate(parts) if i != j), np.zeros(len(y)))
+            for level in range(len(levels)):
+                at = codes == level
+                cov = np.linalg.inv(z[at].T @ z[at] / s2 + np.diag(1 / t2[j]))
+                u[j][level] = rng.multivariate_normal(cov @ (z[at].T @ own[at]) / s2, cov)
+            parts[j] = np.einsum("ij,ij->i", z, u[j][codes])
+            t2[j] = (1 + (u[j] ** 2).sum(axis=0) / 2) / rng.gamma(2 + len(levels) / 2, size=z.shape[1])
+        e = left - sum(parts, np.zeros(len(y)))
+        s2 = (1 + e @ e / 2) / rng.gamma(2 + len(y) / 2)
         if k >= warm_up:
-            out.append((*beta, math.sqrt(s2), math.sqrt(t2)))
-    return pd.DataFrame(out, columns=["intercept", x, "sigma", f"sd_{group}"])
+            out.append((beta, math.sqrt(s2), [x.copy() for x in u], [np.sqrt(t) for t in t2]))
+    found = {"b": np.array([o[0] for o in out]), "sigma": np.array([o[1] for o in out])}
+    for j in range(len(coded)):
+        found |= {f"u{j}": np.array([o[2][j] for o in out]), f"sd{j}": np.array([o[3][j] for o in out])}
+    return found
+
+
+def gibbs_random_intercept(rows: pd.DataFrame, y: str, x: str, group: str, draws: int = 2000, warm_up: int = 1000, seed: int = 1) -> pd.DataFrame:
+    """Draws of y ~ x + (1 | group) for a small result table."""
+    fixed = np.column_stack([np.ones(len(rows)), rows[x].to_numpy(float)])
+    found = gibbs(rows[y].to_numpy(float), fixed, [(rows[group], np.ones(len(rows)))], draws, warm_up, seed)
+    return pd.DataFrame({"intercept": found["b"][:, 0], x: found["b"][:, 1], "sigma": found["sigma"], f"sd_{group}": found["sd0"][:, 0]})

@@ -186,17 +186,63 @@ def test_global_offsets(spark):
     assert [r.start for r in out] == [3 * k for k in range(100)]
 
 
-def test_annotate_story_cursor_and_policies():
-    words = pd.DataFrame({"story": "s", "row_no": range(6), "word": ["The", "cat", "saw", "the", "cat.", "Bye"]})
-    words["tokens"] = [["the"], ["cat"], ["saw"], ["the"], ["cat", "."], ["bye"]]
-    words["lead"], words["trail"] = "", ["", "", "", "", ".", ""]
-    target = {"placeholder": "[[TARGET_0]]", "tokens": ["the", "cat"], "pronoun": "it"}
-    lost = {"placeholder": "[[TARGET_1]]", "tokens": ["dog"], "pronoun": "it"}
-    sentences = pd.DataFrame({"story": "s", "sentence": [0, 1, 2], "tokens": [["not", "here"], ["the", "cat", "saw", "the", "cat", "."], ["bye"]], "targets": [[target], [target, lost], [{"placeholder": "x", "tokens": ["bye"], "pronoun": None}]]})
-    out = align.annotate_story(words, sentences)
-    assert list(out.pronoun_replacement) == ["NA", "NA", "NA", "it.", "it.", "NOT_REPLACED"]
-    assert out[["matched", "flagged", "missed"]].iloc[0].tolist() == [1, 1, 2]
-    assert list(align.annotate_story(words, sentences, last_free=False).pronoun_replacement)[:2] == ["It", "It"]
+RECORD = "story string, sentence int, original string, target_mapping array<struct<placeholder:string,phrase:string>>, pronoun_mapping map<string,string>"
+
+
+def annotated(spark, words, records, **options):
+    w = spark.createDataFrame([("s", k, *(x if isinstance(x, tuple) else (x,))) for k, x in enumerate(words)], "story string, row_no int, word string" + ", pronoun_replacement string" * isinstance(words[0], tuple))
+    r = spark.createDataFrame([("s", k, text, [(f"[[TARGET_{i}]]", phrase) for i, phrase in enumerate(phrases)], mapping) for k, (text, phrases, mapping) in enumerate(records)], RECORD)
+    got = align.annotate(w, r, **options).orderBy("row_no").collect()
+    return [x.pronoun_replacement for x in got], [got[0].matched, got[0].flagged, got[0].missed]
+
+
+def test_annotate_cursor_and_policies(spark):
+    words = ["The", "cat", "saw", "the", "cat.", "Bye"]
+    it = {"[[TARGET_0]]": "it", "[[TARGET_1]]": "it"}
+    records = [("not here", ["the cat"], it), ("The cat saw the cat.", ["the cat", "dog"], it), ("Bye", ["bye"], {})]
+    assert annotated(spark, words, records) == (["NA", "NA", "NA", "it.", "it.", "NOT_REPLACED"], [1, 1, 2])
+    assert annotated(spark, words, records, last_free=False)[0][:2] == ["It", "It"]
+    # a second phrase takes the place that the first has left free
+    assert annotated(spark, words, [("The cat saw the cat.", ["the cat", "cat"], it)])[0] == ["NA", "it", "NA", "it.", "it.", "NA"]
+
+
+def test_annotate_appends_to_cells(spark):
+    words = [("The", ""), ("cat", "NA"), ("ran", "x|y"), ("ran", "he")]
+    records = [("The cat ran ran", ["ran", "ran"], {"[[TARGET_0]]": "he", "[[TARGET_1]]": "x"})]
+    assert annotated(spark, words, records)[0] == ["NA", "NA", "x|y", "he"]
+    assert annotated(spark, words, [("The cat ran ran", ["the cat ran"], {"[[TARGET_0]]": "i"})])[0] == ["I", "I", "x|y|I", "he"]
+
+
+def test_a_colon_opens_text_but_no_tokens(spark):
+    words, it = [":", "Cats", "ran", "“", "dogs", "ran"], {"[[TARGET_0]]": "they"}
+    assert annotated(spark, words, [(": Cats ran", ["cats"], it), ("“ dogs ran", ["dogs"], it)])[0] == ["NA", "they", "NA", "NA", "They", "NA"]
+    df = spark.createDataFrame([([":", "cats"], ": cats"), (["(", "cats"], "( cats")], "t array<string>, s string")
+    got = df.select(fn.starts_sentence_tokens(F.col("t"), F.lit(1)), fn.starts_sentence(F.col("s"), F.lit(2))).collect()
+    assert [tuple(r) for r in got] == [(False, True), (True, True)]
+
+
+def test_quotes_of_two_signs_are_a_word():
+    assert fn.detokenized("a ‘’ b") == "a ‘’ b"
+
+
+def test_larger_spans_starting_anywhere(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), int(s), int(s + n)) for g, s, n in zip(rng.integers(0, 20, 600), rng.integers(0, 30, 600), rng.integers(1, 8, 600))]
+    inside = lambda a, b: a[0] == b[0] and b[1] <= a[1] and b[2] >= a[2] and a != b
+    got = spans.not_nested(spark.createDataFrame(rows, "g int, start int, end int"), ["g"]).collect()
+    assert sorted(map(tuple, got)) == sorted(a for a in rows if not any(inside(a, b) for b in rows))
+
+
+def test_rows_without_a_shuffle_are_the_same(spark):
+    rng = np.random.default_rng(9)
+    texts = [rng.choice(["a", "b", "."], rng.integers(0, 30)).tolist() for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, tokens array<string>")
+    words = docs.select("doc", F.posexplode("tokens").alias("pos", "word"))
+    columns = ["doc", "sentence", "pos", "at", "word"]
+    assert sorted(map(tuple, spans.sentence_rows(docs).select(columns).collect())) == sorted(map(tuple, spans.sentences(words).select(columns).collect()))
+    for size in (1, 2, 5):
+        wide = context.windows(words, size, at="pos", token="word")
+        assert sorted((r.doc, r["at"], r.target, r.window) for r in context.window_rows(docs, size).collect()) == sorted((r.doc, r.pos, r.target, r.window) for r in wide.collect())
 
 
 def naive_windows(ids, replacements, size, pronoun, extend):
