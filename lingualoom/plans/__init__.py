@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import reading, reports, texts  # noqa: F401
+    from . import files, reading, reports, texts  # noqa: F401
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames, stats
+from ..shared import written
 from .registry import query, rounded, table
 
 K = 10
@@ -109,6 +110,8 @@ def dll_sql(base: list[str], target: list[str], source: str = "lagged", prefix:
 
 def _gain(df: DataFrame, base: list[str], target: list[str]) -> DataFrame:
     terms = list(dict.fromkeys([*base, *target]))
+    # statistics, bucket counts, ranks and sums each read the observations: make them once
+    df = written(df.select("story", "zone", "rt", *[t for t in terms if t not in ("story", "zone", "rt")]), "observations")
     df = frames.zscore(df, terms).withColumn("rt", F.col("rt") / 10000)
     return stats.cross_validated_gain(frames.balanced_folds(df, key(), K), [], "fold", "rt", base, target)
 
@@ -233,3 +236,62 @@ def context_change(spark, sf_dir):
 
     s = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_quantity").alias("v"))
     return rounded(change(s, ["l_returnflag"], "l_linenumber", 2, 7, "v"))
+
+
+GRID = (("tax", 1), ("tax", 2), ("part", 1))
+PREDICTORS = """preds AS (SELECT l_orderkey AS story, l_linenumber AS zone, avg(l_quantity) AS wlen, avg(l_discount) AS unisurp, avg(l_tax) AS tax_ctx1, avg(l_tax * l_discount) AS tax_ctx2,
+  avg(l_partkey % 97) AS part_ctx1, max(CASE WHEN l_linestatus = 'O' AND l_linenumber = 5 THEN 1 ELSE 0 END) AS is_punct, max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS bos,
+  max(CASE WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN 1 ELSE 0 END) AS eos FROM lineitem GROUP BY 1, 2)"""
+LAG_COLUMNS = ("wlen", "unisurp", *(f"{m}_ctx{c}" for m, c in GRID))
+CONTROLS = ["zone", "wlen", "wlen_so1", "wlen_so2"]
+UNIGRAM = ["unisurp", "unisurp_so1", "unisurp_so2"]
+READING = f"""{PREDICTORS}, rts AS (SELECT l_orderkey AS story, l_linenumber AS zone, avg(l_extendedprice) AS rt FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1, 2),
+  spill AS (SELECT o.*, {", ".join(f"{t}.{c} AS {c}_so{k}" for k, t in ((1, "a"), (2, "b")) for c in LAG_COLUMNS)}
+    FROM preds o JOIN preds a ON a.story = o.story AND a.zone + 1 = o.zone JOIN preds b ON b.story = o.story AND b.zone + 2 = o.zone),
+  reading AS (SELECT s.*, s.zone AS zone_no, rt FROM spill s JOIN rts ON s.story IS NOT DISTINCT FROM rts.story AND s.zone IS NOT DISTINCT FROM rts.zone WHERE is_punct = 0 AND bos = 0 AND eos = 0)"""
+
+
+def _grid_sql() -> str:
+    """Gains of every model and context over both baselines, and their summaries by fold."""
+    parts = []
+    for m, c in GRID:
+        own = [f"{m}_ctx{c}{lag}" for lag in ("", "_so1", "_so2")]
+        for kind, base in (("no_unisurp", CONTROLS), ("with_unisurp", [*CONTROLS, *UNIGRAM])):
+            named = ["zone_no" if x == "zone" else x for x in base]
+            parts.append(f"SELECT '{m}' AS model, {c} AS context, '{kind}' AS baseline, fold, dll FROM ({dll_sql(named, [*named, *own], 'reading', READING)})")
+    return f"""WITH g AS ({" UNION ALL ".join(parts)}) SELECT model, context, baseline, count(*) AS n_folds, round(avg(dll), 5) AS mean,
+      round(avg(dll) - 1.96 * stddev_samp(dll) / sqrt({K}), 5) AS lower, round(avg(dll) + 1.96 * stddev_samp(dll) / sqrt({K}), 5) AS upper FROM g GROUP BY ALL"""
+
+
+@query(_grid_sql())
+def reading_path(spark, sf_dir):
+    """Lags, then the filter of marks and ends, the join with reading times, scaling,
+    folds, and the gain of every model and context over two baselines."""
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "story", "l_linenumber": "zone"})
+    flag = lambda test: F.max(F.when(F.expr(test), 1).otherwise(0))
+    preds = rows.groupBy("story", "zone").agg(
+        F.avg("l_quantity").alias("wlen"),
+        F.avg("l_discount").alias("unisurp"),
+        F.avg("l_tax").alias("tax_ctx1"),
+        F.avg(F.col("l_tax") * F.col("l_discount")).alias("tax_ctx2"),
+        F.avg(F.col("l_partkey") % 97).alias("part_ctx1"),
+        flag("l_linestatus = 'O' AND zone = 5").alias("is_punct"),
+        flag("zone = 1").alias("bos"),
+        flag("zone = 7 AND l_returnflag = 'A'").alias("eos"),
+    )
+    spill = frames.spillover_range(preds, "story", "zone", LAG_COLUMNS)
+    spill = spill.where("is_punct = 0 AND bos = 0 AND eos = 0").drop("is_punct", "bos", "eos").dropna()
+    times = frames.mean_outcome(rows.where("l_extendedprice > 0"), ["story", "zone"], "l_extendedprice", "rt")
+    df = written(frames.join_null_safe(times, spill, ["story", "zone"]).dropna(), "reading")
+    scores = [f"{m}_ctx{c}{lag}" for m, c in GRID for lag in ("", "_so1", "_so2")]
+    df = frames.balanced_folds(df.withColumn("rt", F.col("rt") / 10000), key(), K)
+    df = frames.zscore(df, [*CONTROLS, *UNIGRAM, *scores])
+    # one row for each model and context that has its scores
+    points = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("context"), *[F.col(f"{m}_ctx{c}{lag}").alias(f"surp{lag}") for lag in ("", "_so1", "_so2")]) for m, c in GRID])
+    long = df.select("fold", "rt", *CONTROLS, *UNIGRAM, F.inline(points))
+    gains = None
+    for kind, base in (("no_unisurp", CONTROLS), ("with_unisurp", [*CONTROLS, *UNIGRAM])):
+        own = stats.cross_validated_gain(long, ["model", "context"], "fold", "rt", base, [*base, "surp", "surp_so1", "surp_so2"])
+        own = own.withColumn("baseline", F.lit(kind))
+        gains = own if gains is None else gains.unionByName(own)
+    return rounded(stats.fold_summary(gains, ["model", "context", "baseline"]), 5)

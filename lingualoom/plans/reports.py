@@ -83,9 +83,10 @@ def union_by_name(spark, sf_dir):
     return frames.union_frames(a, b).select("id", "tag", "value")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    return table(spark, sf_dir, "orders").select("o_custkey").subtract(rich)
 
 
 @query("SELECT n_nationkey FROM nation INTERSECT SELECT s_nationkey FROM supplier")
@@ -200,3 +201,55 @@ def membership(spark, sf_dir):
     big = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return orders.join(big, "o_orderkey", "left_semi").where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+
+
+@query("""SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def dimension_lookup(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return table(spark, sf_dir, "nation").join(regions, "n_regionkey", "left").select("n_name", "r_name")
+
+
+@query("""SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3, 9)""")
+def available_grid(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    numbers = spark.createDataFrame([(k,) for k in (1, 3, 9)], "l_linenumber int")
+    names = ("l_returnflag", "l_linestatus", "l_linenumber")
+    return frames.parameter_grid(*[rows.select(c).distinct() for c in names[:2]], numbers, available=rows.select(*names)).select(*names)
+
+
+@query("""SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 11""")
+def first_levels(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return report.first_levels(sizes, [F.desc("n"), F.col("p_brand")])
+
+
+@query("""WITH r AS (SELECT l_orderkey, row_number() OVER (ORDER BY min(l_partkey), l_orderkey) AS rank FROM lineitem GROUP BY 1)
+  SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN r USING (l_orderkey) WHERE rank IN (1, 3, 20) GROUP BY 1, 2
+  UNION ALL SELECT l_orderkey, l_linenumber, count(*) FROM lineitem WHERE l_orderkey IN (2, 5) GROUP BY 1, 2""")
+def story_selection(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    numbered = frames.chosen_stories(rows, "l_orderkey", "l_partkey", numbers=[1, 3, 20])
+    named = frames.chosen_stories(rows, "l_orderkey", "l_partkey", ids=[2, 5])
+    each = lambda df: df.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    return each(numbered).unionAll(each(named))
+
+
+@query("""SELECT l_linestatus, parameter, round(value, 6) AS value FROM (SELECT l_linestatus, avg(l_quantity) AS qty, avg(l_tax) AS tax FROM lineitem GROUP BY 1)
+  UNPIVOT (value FOR parameter IN (qty, tax))""")
+def draws_long(spark, sf_dir):
+    wide = table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.avg("l_quantity").alias("b_qty"), F.avg("l_tax").alias("b_tax"), F.count("*").alias("n"))
+    return rounded(frames.draws_long(wide.drop("n"), ["l_linestatus"], "b_"))
+
+
+@query(f"""WITH {WIDE} SELECT l_linestatus, 'quantity' AS kind, round(mean_a, 6) AS mean, lower_a AS lower, upper_a AS upper FROM w UNION ALL SELECT l_linestatus, 'b', round(mean_b, 6), lower_b, upper_b FROM w""")
+def recoded_long(spark, sf_dir):
+    long = frames.long_with_bounds(_wide(spark, sf_dir), ["l_linestatus"], ["a", "b"])
+    return rounded(long.withColumn("kind", frames.recoded(F.col("kind"), {"a": "quantity"})))
+
+
+@query("""SELECT DISTINCT lower(p_brand) AS family, 'eos' AS pad_token, 'left' AS padding_side, true AS position_ids FROM part UNION ALL SELECT 'opt', 'eos', 'left', false""")
+def scorer_setup(spark, sf_dir):
+    from ..operators.context import scorer_setup as setup
+
+    names = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("family")).distinct()
+    return setup(names.unionAll(spark.createDataFrame([("opt",)], "family string")))

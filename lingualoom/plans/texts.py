@@ -27,17 +27,26 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with a tag and chains: letters make a chain of their lower-cased word."""
-    w = doc_tokens(spark, sf_dir)
+    return tagged(doc_tokens(spark, sf_dir))
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """Words with a tag and chains: letters make a chain of their lower-cased word."""
     low = F.lower("word")
     tag = F.when(low.isin(*PRON), "PRON").when(F.col("word").rlike("(?U)^[A-Z]"), "PROPN").when(F.col("word").rlike(r"(?U)^\w"), "NOUN").otherwise("PUNCT")
     chains = F.when(F.length("word") >= 3, F.array(low)).otherwise(F.array().cast("array<string>"))
-    return w.withColumn("upos", tag).withColumn("chains", chains)
+    return rows.withColumn("upos", tag).withColumn("chains", chains)
+
+
+def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of sentences, numbered inside each document's row."""
+    d = table(spark, sf_dir, "documents")
+    return spans.sentence_rows(d.select(F.col("doc_id").alias("doc"), fn.tokens(F.col("text")).alias("tokens")))
 
 
 @query(f"WITH {SENTENCES_SQL} SELECT doc, sentence, count(*) AS n_words, min(pos) AS first_pos FROM sent GROUP BY 1, 2")
 def sentence_split(spark, sf_dir):
-    s = spans.sentences(doc_tokens(spark, sf_dir))
+    s = doc_sentences(spark, sf_dir)
     return s.groupBy("doc", "sentence").agg(F.count("*").alias("n_words"), F.min("pos").cast("long").alias("first_pos"))
 
 
@@ -46,7 +55,7 @@ def sentence_split(spark, sf_dir):
   m AS (SELECT doc, sentence, chain, min(at_) AS s, max(at_) + 1 AS e FROM g GROUP BY doc, sentence, chain, g)
   SELECT doc, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e - s) AS BIGINT) AS words FROM m GROUP BY doc""")
 def islands_mentions(spark, sf_dir):
-    m = spans.mentions(spans.sentences(doc_words(spark, sf_dir)))
+    m = spans.mentions(tagged(doc_sentences(spark, sf_dir)))
     return m.groupBy("doc").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("words"))
 
 
@@ -68,7 +77,7 @@ def coref_distance(spark, sf_dir):
     from ..operators.stats import describe
 
     words = doc_words(spark, sf_dir).withColumn("chain", F.explode("chains"))
-    m = spans.islands(words, ["doc", "chain"], "pos").withColumn("lone", F.col("chain").isin(*PRON))
+    m = spans.islands(words, ["doc", "chain"], "pos", unique=True).withColumn("lone", F.col("chain").isin(*PRON))
     d = spans.previous_mention_distance(m, ["doc", "chain"], "lone").withColumn("distance", F.col("distance").cast("long"))
     return rounded(describe(d, [], "distance"))
 
@@ -84,7 +93,7 @@ def nested_antijoin(spark, sf_dir):
 
 @query()
 def targets_masking(spark, sf_dir):
-    words = spans.sentences(doc_words(spark, sf_dir))
+    words = tagged(doc_sentences(spark, sf_dir))
     found, starts = spans.mentions(words), spans.mention_starts(doc_words(spark, sf_dir))
     chosen = spans.select_mentions(found, starts, repeated=True)
     m = spans.masked(spans.targets(words, chosen))
@@ -126,7 +135,8 @@ def replacement_spans(spark, sf_dir):
 @query(f"""WITH {TOKENS_SQL}, w AS (SELECT doc, list(word) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS win FROM tok)
   SELECT doc, count(*) AS n_windows, count(DISTINCT array_to_string(win, ' ')) AS n_different, CAST(sum(len(win)) AS BIGINT) AS n_tokens, max(array_to_string(win, ' ')) AS last_window FROM w GROUP BY doc""")
 def context_window(spark, sf_dir):
-    w = context.windows(doc_tokens(spark, sf_dir), 5, at="pos", token="word")
+    d = table(spark, sf_dir, "documents")
+    w = context.window_rows(d.select(F.col("doc_id").alias("doc"), fn.tokens(F.col("text")).alias("tokens")), 5)
     return w.groupBy("doc").agg(
         F.count("*").alias("n_windows"), F.countDistinct(F.array_join("window", " ")).alias("n_different"), F.sum(F.size("window")).alias("n_tokens"), F.max(F.array_join("window", " ")).alias("last_window")
     )
@@ -230,7 +240,17 @@ def edge_marks(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.leading_marks(t).alias("lead"), fn.trailing_marks(t).alias("trail"), fn.letters_only(t).alias("letters"))
 
 
-@query()
+def _ngram_sql(size: int, discount: float) -> str:
+    grams = ", ".join(f"CASE WHEN at_ >= {k} THEN list(word) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) END AS g{k}" for k in range(size))
+    counts = ", ".join(f"count(*) OVER (PARTITION BY g{k}) AS n{k}, count(*) FILTER (WHERE g{k} IS NOT NULL) OVER (PARTITION BY g{k}[1:{k}]) AS m{k}" for k in range(size))
+    p = "n0 / m0"
+    for k in range(1, size):
+        p = f"CASE WHEN g{k} IS NOT NULL AND n{k} > 1 AND m{k} > 1 THEN (n{k} - 1) / (m{k} - 1) ELSE {discount} * ({p}) END"
+    return f"""WITH {TOKENS_SQL}, gr AS (SELECT doc, pos, {grams} FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS at_ FROM tok)), c AS (SELECT *, {counts} FROM gr)
+  SELECT doc, count(*) AS n, round(avg(-log2({p})), 6) AS mean_surprisal FROM c GROUP BY doc"""
+
+
+@query(_ngram_sql(3, 0.4))
 def ngram_surprisal(spark, sf_dir):
     t = score.ngram_surprisal(doc_tokens(spark, sf_dir), 3, at="pos", token="word")
     return rounded(t.groupBy("doc").agg(F.count("*").alias("n"), F.avg("surprisal").alias("mean_surprisal")))
@@ -287,3 +307,26 @@ def rendered_text(spark, sf_dir):
     _, records = _records(spark, sf_dir)
     m = spans.masked(records.withColumn("phrases", F.array_distinct(F.col("target_mapping")["phrase"])).drop("target_mapping"))
     return spans.rendered(m).select("story", "sentence", "rendered")
+
+
+@query(f"""WITH {SENTENCES_SQL}, c AS (SELECT DISTINCT doc, sentence, lower(word) AS chain, at_ FROM sent WHERE length(word) >= 3),
+  g AS (SELECT *, at_ - row_number() OVER (PARTITION BY doc, sentence, chain ORDER BY at_) AS g FROM c),
+  m AS (SELECT doc, chain, count(DISTINCT (sentence, g)) AS n FROM g GROUP BY doc, chain)
+  SELECT doc, count(*) AS chains, count(*) FILTER (WHERE n > 1) AS repeated, CAST(sum(n) AS BIGINT) AS mentions FROM m GROUP BY doc""")
+def mention_counts(spark, sf_dir):
+    n = spans.mention_counts(spans.mentions(tagged(doc_sentences(spark, sf_dir))))
+    return n.groupBy("doc").agg(F.count("*").alias("chains"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("mentions"))
+
+
+@query(r"""SELECT lang, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(min(n) AS INT) AS least FROM
+  (SELECT lang, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM documents) GROUP BY ROLLUP (lang)""")
+def token_totals(spark, sf_dir):
+    return context.token_totals(table(spark, sf_dir, "documents"), ["lang"], fn.tokens(F.col("text")))
+
+
+@query()
+def annotation_outcomes(spark, sf_dir):
+    """Targets matched, flagged and missed, by story and in all."""
+    words, records = _records(spark, sf_dir)
+    each = align.annotate(words, records).groupBy("story").agg(*[F.max(c).alias(c) for c in ("matched", "flagged", "missed")])
+    return each.rollup("story").agg(*[F.sum(c).alias(c) for c in ("matched", "flagged", "missed")])

@@ -114,6 +114,11 @@ def table(spark: SparkSession, path: str, schema: str, missing: Sequence[str] =
     return raw.select(*[clean(f).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A table with header whose types follow from its values: one pass more over the files."""
+    return spark.read.csv(path, header=True, inferSchema=True, sep=sep)
+
+
 def score_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(model, n_gram, row_no, value) of <model>/context_<n>.txt files, a number a line."""
     rows = _lines(spark, path).where(F.trim("line") != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,26 @@ def score_vector(df: DataFrame, value: str, path: str, order: Sequence[str], dec
 
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def document_files(df: DataFrame, line: Column, name: Column, path: str, order: Sequence[str]) -> None:
+    """One text file a document, ``path``/``name``, its lines in order.
+
+    Rows of a name meet in one task, which writes them sorted through Spark's commit
+    protocol; then only the files are renamed, by the driver.
+    """
+    spark = df.sparkSession
+    rows = df.select(line.cast("string").alias("value"), name.alias("__name"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(order)])
+    rows = rows.repartition("__name").sortWithinPartitions("__name", *[f"__{k}" for k in range(len(order))])
+    rows.select("value", "__name").write.mode("overwrite").partitionBy("__name").text(f"{path}/_parts")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(f"{path}/_parts")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for folder in fs.listStatus(root):
+        if folder.isDirectory() and folder.getPath().getName().startswith("__name="):
+            to = fs_path(f"{path}/{unescaped(folder.getPath().getName().split('=', 1)[1])}")
+            fs.mkdirs(to.getParent())
+            for part in fs.listStatus(folder.getPath()):
+                fs.rename(part.getPath(), to)
+    fs.delete(root, True)
