@@ -2,7 +2,7 @@
 
 Every round replaces neighbours by the least neighbour, first for the larger
 and then for the smaller side, until nothing changes. All steps are partial
-minima and equi-joins; no neighbourhood is gathered in one task. Each round is
+minima and equi-joins; the edges of a hub don't meet in one task. Each round is
 written to the shared folder, which cuts the lineage.
 
 Defined results: loops, repeated and null-ended edges are ignored; an empty
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .support import forget, written
 
+#: A node with more edges is a hub.
+HUB = 1_000_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge that isn't the least of its
@@ -41,15 +44,29 @@ def _state(e: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _with_least(e: DataFrame, on: str) -> DataFrame:
+    """Add ``m``: the least neighbour of the node in column ``on`` among the lesser ones, null if it has none.
+
+    Edges of nodes with more than HUB edges don't meet by the node: such nodes
+    are fewer than the edges / HUB, so they are broadcast.
+    """
+    least = e.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"))
+    degree = e.groupBy(F.col(on).alias("h")).agg(F.count("*").alias("n"))
+    if (degree.agg(F.max("n")).first()[0] or 0) <= HUB:
+        return e.join(least, F.col(on) == F.col("k"), "left").drop("k")
+    hubs = written(degree.where(F.col("n") > HUB).join(least, F.col("h") == F.col("k"), "left").select("h", "m"), "hubs")
+    usual = e.join(F.broadcast(hubs.select("h")), F.col(on) == F.col("h"), "left_anti").join(least, F.col(on) == F.col("k"), "left")
+    return usual.drop("k").unionByName(e.join(F.broadcast(hubs), F.col(on) == F.col("h")).drop("h"))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    """The greater neighbours of each node move to its least one."""
+    return _with_least(e, "lo").select("hi", F.least("lo", "m").alias("lo")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    out = e.join(least, "hi").select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("x"))
+    """The lesser neighbours of each node, and the node, move to its least one."""
+    out = _with_least(e, "hi").select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("x"))
     return out.where("x.hi != x.m").select(F.col("x.hi").alias("hi"), F.col("x.m").alias("lo")).distinct()
 
 

@@ -13,7 +13,7 @@ lower-cased; ASCII characters other than letters count as one blank.
 
 Defined results: a null text and one without a letter are ``und`` with score 0,
 as is every text if nothing can be learned; rows without label or text teach
-nothing; repeated rows get equal results; texts of any length are read whole;
+nothing, and repeated rows once; repeated rows get equal results; texts of any length are read whole;
 an empty table gives an empty table. Label, source and id are never inputs of a
 prediction.
 """
@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import KEY_BITS, shuffle_key, slices
+from .support import KEY_BITS, give_back, row_key, slices
 
 ORDER = 3
 BUCKETS = 1 << 15
-#: Bounds of what is learned from: rows a language, rows in all, languages (the most frequent).
+#: Bounds of what is learned from: rows a language, and rows in all. With more
+#: languages each has fewer rows; only of more than MAX_SAMPLE are the rarest left out.
 PER_LANGUAGE = 400
 MAX_SAMPLE = 6000
-MAX_LANGUAGES = 150
 LANDMARKS = 320
 RIDGE = 0.3
 UND = "und"
@@ -73,15 +73,15 @@ def sampled(df: DataFrame, text: str, label: str, key: Column) -> tuple[list[str
     """Languages, presence rows (packed) and labels of a bounded sample, by least shuffle key."""
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key"))
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    counts = counts.orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
+    counts = counts.orderBy(F.desc("n"), "label").limit(MAX_SAMPLE).collect()
     names = sorted(r["label"] for r in counts)
     if not names:
         return [], np.zeros((0, BUCKETS // 8), np.uint8), np.zeros(0, int)
-    each = max(8, min(PER_LANGUAGE, MAX_SAMPLE // len(names)))
+    each = min(PER_LANGUAGE, MAX_SAMPLE // len(names))
     # the share of each language's keys that gives twice the rows wanted
-    upto = {r["label"]: min(1.0, 2.0 * each / r["n"]) for r in counts}
-    limit = F.create_map(*[F.lit(x) for k, v in upto.items() for x in (k, int(v * (1 << KEY_BITS)))])
-    rows = rows.where(F.col("key") < F.coalesce(F.try_element_at(limit, F.col("label")), F.lit(-1)))
+    upto = [(r["label"], int(min(1.0, (2.0 * each + 16) / r["n"]) * (1 << KEY_BITS))) for r in counts]
+    limits = F.broadcast(df.sparkSession.createDataFrame(upto, "label string, upto long"))  # MAX_SAMPLE rows at most
+    rows = rows.join(limits, "label").where(F.col("key") < F.col("upto")).select("text", "label", "key")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +94,8 @@ def sampled(df: DataFrame, text: str, label: str, key: Column) -> tuple[list[str
                     made.append(np.packbits(row).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), part.column(1), part.column(2)], names=["bits", "label", "key"])
 
-    found = rows.mapInArrow(bits, "bits binary, label string, key long").toArrow().to_pylist()
+    # copies of a row teach once, so that a key that many rows share is no more than one
+    found = rows.mapInArrow(bits, "bits binary, label string, key long").distinct().toArrow().to_pylist()
     found.sort(key=lambda r: (r["label"], r["key"], r["bits"]))
     kept, seen = [], {}
     for r in found:
@@ -107,8 +108,9 @@ def sampled(df: DataFrame, text: str, label: str, key: Column) -> tuple[list[str
     return names, x[some], y[some]
 
 
-def fit(x: np.ndarray, y: np.ndarray, n: int, block: int = 128) -> np.ndarray:
-    """Weights (BUCKETS x n) of presence vectors of unit length.
+def fit(x: np.ndarray, y: np.ndarray, n: int, block: int = 128) -> tuple[np.ndarray, ...]:
+    """Matrices whose product (BUCKETS x n) weighs presence vectors of unit length:
+    one, or, of more languages than landmarks, the smaller two.
 
     Rows come packed and are unpacked in blocks: only the landmarks are held.
     """
@@ -125,13 +127,14 @@ def fit(x: np.ndarray, y: np.ndarray, n: int, block: int = 128) -> np.ndarray:
     weight = 1.0 / np.bincount(y, minlength=n)[y]
     goal = np.where(y[:, None] == np.arange(n), 1.0, -1.0)
     left = mapped.T @ (mapped * weight[:, None]) + RIDGE / max(1, len(y)) * np.eye(mapped.shape[1])
-    return z.T @ (root @ np.linalg.solve(left, mapped.T @ (goal * weight[:, None]))).astype(np.float32)
+    of_landmark = (root @ np.linalg.solve(left, mapped.T @ (goal * weight[:, None]))).astype(np.float32)
+    return (z.T @ of_landmark,) if n <= LANDMARKS else (np.ascontiguousarray(z.T), of_landmark)
 
 
 def identify(df: DataFrame, teach: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to ``df``; rows where ``teach`` holds may be learned from."""
     spark = df.sparkSession
-    names, x, y = sampled(df.where(teach), text, label, shuffle_key("language-1", F.col(id_col)))
+    names, x, y = sampled(df.where(teach), text, label, row_key("language-1", F.col(id_col), F.col(text)))
     model = spark.sparkContext.broadcast((names, fit(x, y, len(names)) if len(x) else None))
     df = df.drop("lang_pred", "score")
     at = df.columns.index(text)
@@ -149,12 +152,15 @@ def identify(df: DataFrame, teach: Column, *, id_col: str = "doc_id", text: str
                     rows = np.zeros((len(some), BUCKETS), dtype=np.uint8)
                     for r, i in enumerate(some):
                         presence(texts[i], rows[r])
-                    value = _unit(rows) @ weights
+                    value = _unit(rows)
+                    for m in weights:
+                        value = value @ m
                     best = value.argmax(axis=1)
                     for r, i in enumerate(some):
                         langs[i] = own[best[r]]
                         scores[i] = min(1.0, max(0.0, (float(value[r, best[r]]) + 1) / 2))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+        give_back()
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return df.mapInArrow(predict, schema)

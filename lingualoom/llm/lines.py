@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import written
+from .support import Scratch, written
 
 DEPTH = 3
 SPLITS = 3
@@ -81,14 +81,14 @@ def _to_lines(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return lines.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["node", "__salt"]).drop("__salt")
 
 
-def _level(now: DataFrame, min_docs: int, similarity: float, last: bool) -> DataFrame:
+def _level(now: DataFrame, min_docs: int, similarity: float, last: bool, scratch: Scratch) -> DataFrame:
     """(leaf, node, key, content, rows, template) of the lines of nodes that could
     hold a template: the template of lines that keep enough constants; null for
     the others, whose ``node`` is that of the next level."""
     sizes = now.groupBy("node").agg(F.count("*").alias("of"), F.sum("rows").alias("in_all"))
     # of two lines every token is a constant: each is its own template
     sizes = sizes.where((F.col("of") > 2) & (F.col("in_all") >= min_docs)).select("node", "of")
-    some = written(_to_lines(now, sizes), "node-lines")
+    some = scratch(_to_lines(now, sizes), "node-lines")
     tokens = some.select("node", "of", F.posexplode(F.split("content", " ")).alias("at", "token"))
     counts = tokens.groupBy("node", "of", "at", "token").agg(F.count("*").alias("n"))
     n, of, word = F.col("n"), F.col("of"), F.col("token") != FIELD
@@ -115,12 +115,12 @@ def _level(now: DataFrame, min_docs: int, similarity: float, last: bool) -> Data
     return out.select("leaf", child.alias("node"), "key", "content", "rows", template.alias("template"))
 
 
-def templates(each: DataFrame, min_docs: int, similarity: float, splits: int = SPLITS) -> DataFrame:
+def templates(each: DataFrame, min_docs: int, similarity: float, splits: int, scratch: Scratch) -> DataFrame:
     """(key, template) of different masked lines (leaf, key, content, rows); both
     are keys of a leaf and a string, equal where the strings are."""
     now, settled = each.withColumn("node", F.col("leaf")), []
     for k in range(splits + 1):
-        now = written(_level(now, min_docs, similarity, k == splits), "level")
+        now = scratch(_level(now, min_docs, similarity, k == splits, scratch), "level")
         settled.append(now.where("template IS NOT NULL").select("key", "template"))
         now = now.where("template IS NULL").drop("template")
         if now.isEmpty():
@@ -131,11 +131,11 @@ def templates(each: DataFrame, min_docs: int, similarity: float, splits: int = S
     return each.select("key").join(made, "key", "left").select("key", F.coalesce("template", "key").alias("template"))
 
 
-def _elsewhere(lines: DataFrame, group: str, least: int) -> DataFrame:
+def _elsewhere(lines: DataFrame, group: str, least: int, scratch: Scratch) -> DataFrame:
     """(id, text_key, line) of lines whose ``group`` is in so many different texts, but the first place of each group."""
     per_text = lines.groupBy(group, "text_key").agg(F.min(_place()).alias("first"))
     repeated = per_text.groupBy(group).agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
-    repeated = written(repeated.select(group, "first"), "repeated")
+    repeated = scratch(repeated.select(group, "first"), "repeated")
     return lines.join(repeated, group).where(_place() != F.col("first")).select("id", "text_key", "line")
 
 
@@ -144,26 +144,29 @@ def drop_boilerplate(
     similarity: float = SIMILARITY, long_tokens: int = LONG_TOKENS,
 ) -> DataFrame:
     """The rows of ``df`` with ``text`` cleaned, and ``dropped_lines`` (array<int>, from 0)."""
+    scratch = Scratch()
     lines = parsed(df, id_col, text, depth).withColumn("leaf_key", F.xxhash64("leaf"))
     masked = _masked(F.col("tokens"))
     large = lines.groupBy("leaf_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf_key", F.lit(True).alias("large"))
     # Spark broadcasts the leaves if their table is below its threshold, else it shuffles
-    some = lines.join(written(large, "leaves"), "leaf_key", "left").where(F.col("large") | (F.size("tokens") >= long_tokens))
+    some = lines.join(scratch(large, "leaves"), "leaf_key", "left").where(F.col("large") | (F.size("tokens") >= long_tokens))
     some = some.select(
         "id", "text_key", "line", F.when(F.col("large"), _key(F.col("leaf"))).alias("leaf"), F.when(F.col("large"), masked).alias("content"),
         F.when(F.size("tokens") >= long_tokens, _key(F.array_join("tokens", " "))).alias("passage"),
     )
-    some = written(some.withColumn("key", F.when(F.col("leaf").isNotNull(), _key(F.hex("leaf"), F.col("content")))), "lines")
+    some = scratch(some.withColumn("key", F.when(F.col("leaf").isNotNull(), _key(F.hex("leaf"), F.col("content")))), "lines")
     worded = F.exists(F.split("content", " "), lambda t: t != FIELD)
-    each = written(some.where(F.col("leaf").isNotNull() & worded).groupBy("leaf", "key", "content").agg(F.count("*").alias("rows")), "contents")
-    known = written(templates(each, min_docs, similarity, splits), "templates")
-    found = written(some.select("id", "text_key", "line", "key").join(known, "key").drop("key"), "found")
+    each = scratch(some.where(F.col("leaf").isNotNull() & worded).groupBy("leaf", "key", "content").agg(F.count("*").alias("rows")), "contents")
+    known = scratch(templates(each, min_docs, similarity, splits, scratch), "templates")
+    found = scratch(some.select("id", "text_key", "line", "key").join(known, "key").drop("key"), "found")
     passages = some.where(F.col("passage").isNotNull()).select("id", "text_key", "line", "passage")
-    drops = _elsewhere(found, "template", min_docs).unionAll(_elsewhere(passages, "passage", 2))
+    drops = _elsewhere(found, "template", min_docs, scratch).unionAll(_elsewhere(passages, "passage", 2, scratch))
     drops = drops.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__text_key")).agg(F.sort_array(F.collect_set("line")).alias("__lines"))
+    drops = written(drops, "drops")
+    scratch.remove()
     # both sides grow with the corpus: never a broadcast, which would only do for small tables
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__text_key"))
-    out = df.drop("dropped_lines").join(written(drops, "drops").hint("merge"), same, "left")
+    out = df.drop("dropped_lines").join(drops.hint("merge"), same, "left")
     # texts without such a line aren't split
     content = F.when(F.col("__lines").isNotNull(), F.split(F.col(text), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__lines"))

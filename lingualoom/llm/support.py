@@ -2,56 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words are maximal runs without these six white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-BLANK = r"[\x20\x09-\x0D]+"
-#: Bits of the seeded shuffle key.
-KEY_BITS = 60
-
+from ..shared import forget, shared_dir, shared_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a local temporary folder is
-    made, and remembered in the session.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="lingualoom-")
-        spark.sparkContext.setCheckpointDir(there)
-    return there
+__all__ = ["Scratch", "forget", "shared_dir", "shared_path", "written"]
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lingualoom/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """Tables written on the way to a result that doesn't read them any more."""
 
+    def __init__(self):
+        self.made: list[DataFrame] = []
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no recomputation of what was written."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(written(df, name))
+        return self.made[-1]
 
+    def remove(self) -> None:
+        while self.made:
+            forget(self.made.pop())
 
-def forget(df: DataFrame) -> None:
-    """Remove a table of :func:`written` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Words are maximal runs without these six white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D]+"
+#: Bits of the seeded shuffle key.
+KEY_BITS = 60
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -126,6 +107,18 @@ def texts_to_batches(
             yield pa.RecordBatch.from_arrays(
                 [part.column(i) for i in kept] + made, names=[batch.schema.field(i).name for i in kept] + names
             )
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: idle workers stay while later stages run."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, at: int, bytes_at_once: int) -> Iterator[pa.RecordBatch]:

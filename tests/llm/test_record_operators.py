@@ -421,7 +421,9 @@ def test_rows_without_or_with_repeated_ids(spark, docs):
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, text(0)), (5, text(2)), (5, text(3)), (7, text(1))]
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("hub", [10**6, 5])
+def test_components_of_paths_and_stars(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 201)} | {1000 + k: 1000 for k in range(1, 50)} | {2001: 2000}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lingualoom.llm import bpe, langid, lines, mixing, quality, queries, sharding
+from lingualoom.llm.support import row_key
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -278,3 +279,51 @@ def test_presence_is_whole():
     langid.presence(text, a)
     langid.presence(text, b, block=7)
     assert (a == b).all() and a.sum() > 30
+
+
+def test_language_against_brute_force(spark):
+    """The kernel and the ridge regression written out over sets of n-grams and rows of the sample."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+
+    def places(text):
+        row = np.zeros(langid.BUCKETS, dtype=np.uint8)
+        langid.presence(text, row)
+        return set(np.flatnonzero(row).tolist())
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b)) if a and b else 0.0
+
+    key = lambda r: int(hashlib.md5(f"language-1|{r.doc_id}".encode()).hexdigest()[:15], 16)
+    taught = [r for r in docs if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    names = sorted({r.lang for r in taught})
+    sample = [(names.index(n), s) for n in names for r in sorted((r for r in taught if r.lang == n), key=key)[: langid.PER_LANGUAGE] if langid.has_letter(r.text) and (s := places(r.text))]
+    assert len(sample) <= langid.LANDMARKS  # so that all are landmarks
+    y, sets = np.array([k for k, _ in sample]), [s for _, s in sample]
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    # the mapped space of all landmarks: weights of the sample's kernel rows
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors[:, values > 1e-5 * values.max()] / np.sqrt(values[values > 1e-5 * values.max()])
+    mapped, weight = gram @ root, 1.0 / np.bincount(y)[y]
+    goal = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
+    w = root @ np.linalg.solve(mapped.T @ (mapped * weight[:, None]) + langid.RIDGE / len(y) * np.eye(mapped.shape[1]), mapped.T @ (goal * weight[:, None]))
+    got = {r.doc_id: r for r in queries.op9_language_id(spark, DATA).collect()}
+    for r in docs:
+        if not langid.has_letter(r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        value = np.array([kernel(places(r.text), s) for s in sets]) @ w
+        assert abs(got[r.doc_id].score - min(1.0, max(0.0, (value.max() + 1) / 2))) < 2e-3
+        assert got[r.doc_id].lang_pred == names[value.argmax()] or np.sort(value)[-1] - np.sort(value)[-2] < 4e-3
+
+
+def test_more_languages_than_landmarks(docs, monkeypatch):
+    monkeypatch.setattr(langid, "LANDMARKS", 4)
+    rows = [(k, f"{chr(97 + k % 6)}{chr(97 + k % 6)} " * 9 + chr(97 + k % 26), chr(65 + k % 6), "s") for k in range(120)]
+    got = langid.identify(docs(rows), F.lit(True)).collect()
+    assert {r.lang_pred for r in got} <= set("ABCDEF") and sum(r.lang == r.lang_pred for r in got) > 60
+
+
+def test_many_rows_of_one_key_teach_once(docs):
+    rows = [(None, "the same text", "en", "s")] * 500 + [(k, f"der die das {k}", "de", "s") for k in range(30)]
+    names, x, y = langid.sampled(docs(rows), "text", "lang", row_key("language-1", F.col("doc_id"), F.col("text")))
+    assert names == ["de", "en"] and (y == 1).sum() == 1 and (y == 0).sum() == 30
