@@ -49,7 +49,7 @@ CANDIDATE_SHARE = 0.6
 #: Slots of a wrapper at most: of more, those of the fewest pages go.
 NODES = 4096
 #: Pages of a partial wrapper, and partial wrappers merged at once.
-PAGES_AT_ONCE = 256
+PAGES_AT_ONCE = 64
 MERGED_AT_ONCE = 16
 
 # Element names of the HTML standard, by how they are treated here.
@@ -410,14 +410,11 @@ def main_text(page: str | None, wrapper: Node | None) -> str:
     if not page:
         return ""
     tree, blocks = tree_of(page)
-    template: dict[int, dict[str, int]] = {}
-    if wrapper is not None:
-        template = {id(n): w.texts for w, n in aligned(wrapper, tree)}
     kept = _kept(blocks)
     if any(b.article for _, b, _ in kept):
-        content = [b.text for _, b, _ in kept if b.article]
-    else:
-        content = [b.text for n, b, h in kept if h not in template.get(id(n), ())]
+        return "\n\n".join([b.text for _, b, _ in kept if b.article])
+    template = {} if wrapper is None else {id(n): w.texts for w, n in aligned(wrapper, tree)}
+    content = [b.text for n, b, h in kept if h not in template.get(id(n), ())]
     return "\n\n".join(content or [b.text for _, b, _ in kept])
 
 
@@ -442,7 +439,7 @@ def _joined(last: bool):
 
 
 def induce(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, wrapper): the template of every host with enough different pages."""
+    """(host, wrapper): the template of every host whose pages have one."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -495,10 +492,11 @@ def _counted(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for w, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = constants(load(json.loads(w)), {(c["slot"], c["text"]): c["n"] for c in counts or ()})
-                made.append(json.dumps(dump(own), separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
+            for own, w, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                wrapper = constants(load(json.loads(w)), {(c["slot"], c["text"]): c["n"] for c in counts or ()})
+                if any(n.texts for n in slots_of(wrapper)):  # without any the host has no template
+                    made.append({"host": own, "wrapper": json.dumps(dump(wrapper), separators=(",", ":"))})
+            yield pa.RecordBatch.from_pylist(made, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
     found = pages.select("host", "tree").join(wrappers, "host").mapInArrow(count, "host string, slot long, text string, n long")
     # of bounded size a host: the slots of its wrapper and their candidates

@@ -492,3 +492,59 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     for r in done:
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage's own input, the documents, and what SQL, the library or all pairs make of it."""
+    import math
+
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lingualoom.llm.support import written
+
+    def by_sql(sql, rows):
+        con = duckdb.connect()
+        documents = pd.DataFrame([r.asDict() for r in rows])  # noqa: F841
+        con.execute("CREATE TABLE documents AS SELECT * FROM documents")
+        return {r["doc_id"]: r for r in con.sql(sql).df().to_dict("records")}
+
+    raw = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = written(corpus_pipeline.language(spark, raw, DATA), "stage")
+    before = docs.collect()
+    assert sorted(r.doc_id for r in before) == sorted(r.doc_id for r in raw.collect() if r.text and any(map(str.isalpha, r.text)))
+
+    docs = written(corpus_pipeline.lines(spark, docs, DATA), "stage")
+    rows, want = docs.collect(), by_sql(oracles.op6(), before)
+    kept = {k: r for k, r in want.items() if r["n_dropped"] == 0 or r["n_chars"] > 0}
+    for r in rows:
+        assert hashlib.md5(r.text.encode()).hexdigest() == want[r.doc_id]["text_md5"] and r.n_chars == len(r.text)
+    assert {r.doc_id for r in rows} <= set(kept) and all(want[k]["n_dropped"] > 0 for k in set(kept) - {r.doc_id for r in rows})
+
+    docs = written(corpus_pipeline.near_duplicates(spark, docs, DATA), "stage")
+    words = [[w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text.translate({c: c + 32 for c in range(65, 91)})) if w] for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    forest = components.Forest(len(rows))
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                forest.unite(np.array([x]), np.array([y]))
+    least = {}
+    for k, root in enumerate(forest.label.tolist()):
+        least[root] = min(least.get(root, math.inf), rows[k].doc_id)
+    alone = docs.collect()
+    assert sorted(r.doc_id for r in alone) == sorted(least.values())
+
+    docs = written(corpus_pipeline.mixture(spark, docs, DATA), "stage")
+    want = by_sql(oracles.op8(), alone)
+    mixed = docs.collect()
+    assert Counter(r.doc_id for r in mixed) == Counter({k: math.ceil(r["taken"] / r["size"]) for k, r in want.items() if r["taken"]})
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    done = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.tokens(spark, docs, DATA).collect())
+    ids = lambda t: " ".join(map(str, library.encode(t, add_special_tokens=False).ids))
+    assert done == Counter((r.doc_id, hashlib.sha256(ids(r.text).encode()).hexdigest()) for r in mixed)
