@@ -36,6 +36,12 @@ def first_levels(rows: DataFrame, order: Sequence[Column], n: int = 11) -> DataF
     return rows.orderBy(*order).limit(n)
 
 
+def summary_lines(rows: DataFrame, pattern: str, columns: Sequence[str]) -> DataFrame:
+    """(line): a printed summary, a line a row, in the pattern of ``format_string``; NA for null."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) if t == "string" else F.col(c) for c, t in rows.select(*columns).dtypes]
+    return rows.select(F.format_string(pattern, *shown).alias("line"))
+
+
 def sanity(scores: DataFrame, by: Sequence[str], value: str = "surprisal", reference: str = "unisurp") -> DataFrame:
     """Mean with interval, and correlation with a reference predictor."""
     return mean_ci(scores, by, value).join(correlation(scores, by, value, reference).drop("n"), list(by), "left")

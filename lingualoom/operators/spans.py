@@ -128,6 +128,18 @@ def masked(df: DataFrame, original: str = "original", phrases: str = "phrases")
     return out.withColumn("masked", F.col("__f.m")).withColumn("target_mapping", F.col("__f.e")).drop("__f")
 
 
+def with_replies(records: DataFrame, replies: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add ``pronoun_mapping``: of the reply with the record's key (a ``mapping``) the
+    pronouns for its placeholders; empty where there is no reply or none fits. Of
+    several replies to a record the last (by ``file_pos``) counts."""
+    from ..functions.text import allowed_pronouns
+
+    last = replies.groupBy(*by).agg(F.max_by("mapping", "file_pos").alias("__reply"))
+    out = records.join(last, list(by), "left")
+    reply = F.coalesce("__reply", F.create_map().cast("map<string,string>"))
+    return out.withColumn("pronoun_mapping", allowed_pronouns(reply, F.col("target_mapping.placeholder"))).drop("__reply")
+
+
 def replay(prepared: DataFrame, saved: DataFrame, by: Sequence[str]) -> DataFrame:
     """Saved pronoun maps joined to prepared records; the last saved record of a key
     (by ``file_pos``) counts. A missing record, another mask or a missing

@@ -253,3 +253,11 @@ def scorer_setup(spark, sf_dir):
 
     names = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("family")).distinct()
     return setup(names.unionAll(spark.createDataFrame([("opt",)], "family string")))
+
+
+@query("""SELECT coalesce(lang, 'NA') || ': ' || count(*) || ' texts, ' || CAST(sum(quality) AS BIGINT) || ' good, ' || CAST(sum(toxic) AS BIGINT) || ' toxic' AS line
+  FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)""")
+def printed_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    each = rows.rollup("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
+    return report.summary_lines(each, "%s: %d texts, %d good, %d toxic", ["lang", "n", "good", "toxic"])

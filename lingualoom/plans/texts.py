@@ -330,3 +330,40 @@ def annotation_outcomes(spark, sf_dir):
     words, records = _records(spark, sf_dir)
     each = align.annotate(words, records).groupBy("story").agg(*[F.max(c).alias(c) for c in ("matched", "flagged", "missed")])
     return each.rollup("story").agg(*[F.sum(c).alias(c) for c in ("matched", "flagged", "missed")])
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN 'they' END AS first, CASE WHEN turn % 3 <> 0 THEN 'it' END AS second FROM conversations""")
+def reply_join(spark, sf_dir):
+    """Replies name placeholders in several ways; what isn't a pronoun is left out."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    mark = lambda k: F.struct(F.lit(f"[[TARGET_{k}]]").alias("placeholder"), F.lit("x").alias("phrase"))
+    records = c.withColumn("target_mapping", F.array(mark(0), mark(1)))
+    first = F.when(F.col("turn") % 3 == 1, F.lit(" They ")).otherwise("cat")
+    replies = c.where("turn % 3 <> 0").withColumn("mapping", F.create_map(F.lit("TARGET_0"), first, F.lit("target_1"), F.lit("It"))).withColumn("file_pos", F.lit(1))
+    older = replies.withColumns({"mapping": F.create_map(F.lit("TARGET_0"), F.lit("he")), "file_pos": F.lit(0)})
+    got = spans.with_replies(records, replies.unionAll(older), ["conv_id", "turn"])
+    of = lambda k: F.try_element_at("pronoun_mapping", F.lit(f"[[TARGET_{k}]]"))
+    return got.select("conv_id", "turn", of(0).alias("first"), of(1).alias("second"))
+
+
+@query(f"""WITH {SENTENCES_SQL}, st AS (SELECT doc, chain, count(*) AS n FROM (SELECT doc, lower(word) AS chain, lag(lower(word)) OVER (PARTITION BY doc ORDER BY pos) AS prev FROM tok)
+    WHERE length(chain) >= 3 AND prev IS DISTINCT FROM chain GROUP BY 1, 2),
+  g AS (SELECT *, at_ - row_number() OVER (PARTITION BY doc, sentence, chain ORDER BY at_) AS g FROM (SELECT doc, sentence, lower(word) AS chain, at_ FROM sent WHERE length(word) >= 3)),
+  m AS (SELECT DISTINCT doc, sentence, chain, g FROM g), r AS (SELECT doc, count(*) AS raw FROM m JOIN st USING (doc, chain) WHERE n > 1 GROUP BY doc)
+  SELECT doc, count(*) AS chains, count(*) FILTER (WHERE n > 1) AS selected_chains, coalesce(any_value(raw), 0) AS raw, coalesce(any_value(raw), 0) AS selected, CAST(0 AS BIGINT) AS nested
+  FROM st LEFT JOIN r USING (doc) GROUP BY doc""")
+def selection_stats(spark, sf_dir):
+    """Words have one chain here, so no mention is nested."""
+    return spans.selection_stats(spans.mentions(tagged(doc_sentences(spark, sf_dir))), spans.mention_starts(doc_words(spark, sf_dir)), repeated=True)
+
+
+@query(f"""WITH {TOKENS_SQL} SELECT doc, CAST(pos // 4 AS INT) AS word, round(sum(length(word) / 3.0), 6) AS surprisal FROM tok GROUP BY 1, 2""")
+def scored_words(spark, sf_dir):
+    """Any scorer as a function of batches (here a token's length), and its sums by word."""
+
+    def scorer(rows):
+        return rows.assign(surprisal=rows["word"].str.len() / 3.0)[["doc", "pos", "surprisal"]]
+
+    tokens = doc_tokens(spark, sf_dir).select(F.col("doc"), "pos", "word")
+    scored = score.with_scorer(tokens, scorer, "doc long, pos int, surprisal double", rows_at_once=1000)
+    return rounded(score.word_surprisal(scored.withColumn("word", F.expr("CAST(pos div 4 AS INT)"))))
