@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import BLANK, written
+from .support import BLANK, WORD, written
 
 #: Bits of a packed window for its place in the text; the rest is of its hash.
 PLACE_BITS = 21
@@ -46,8 +46,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _count(pattern: str) -> Column:
+    return F.regexp_count("t", F.lit(pattern)).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -92,18 +92,18 @@ def features(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split("t", BLANK), "")
     df = df.select(F.col(id_col).alias("id"), t.alias("t"))
-    df = df.select("id", "t", words.alias("words"), F.filter(F.split("t", "\n"), lambda x: _without(x, " \t\n\x0b\x0c\r") > 0).alias("lines"))
+    df = df.select("id", "t", words.alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     long = lambda c, name: c.cast("long").alias(name)
     return df.select(
         "id",
         long(F.size("words"), "n_words"),
-        long(_without(F.col("t"), " \t\n\x0b\x0c\r"), "word_chars"),
-        long(F.length("t") - _without(F.col("t"), "#*$%&|<>"), "n_symbols"),
+        long(F.length(F.array_join("words", "")), "word_chars"),
+        _count("[#*$%&|<>]").alias("n_symbols"),
         long(F.size("lines"), "n_lines"),
         long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
-        long(F.length("t") - _without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_capitals"),
-        long(F.length("t") - _without(F.col("t"), ".!?"), "n_marks"),
+        _count("[A-Z]").alias("n_capitals"),
+        _count("[.!?]").alias("n_marks"),
         long(F.size(F.array_distinct("words")), "n_distinct_words"),
     )
 
