@@ -117,7 +117,8 @@ def _placed_targets(last_free: bool) -> str:
 
 def _grams(tokens: str, n: int) -> str:
     """SQL: (gram, at) of all runs of n tokens."""
-    return f"transform(if(size({tokens}) >= {n}, sequence(0, size({tokens}) - {n}), cast(array() AS array<int>)), i -> struct(array_join(slice({tokens}, i + 1, {n}), '\x01') AS gram, i AS at))"
+    one = f"transform(if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() AS array<int>)), i -> struct(array_join(slice(w, i + 1, {n}), '\x01') AS gram, i AS at))"
+    return f"transform(array({tokens}), w -> {one})[0]"
 
 
 def annotate(words: DataFrame, records: DataFrame, last_free: bool = True, label: str = "NOT_REPLACED", cell: str = "pronoun_replacement") -> DataFrame:

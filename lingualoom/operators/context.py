@@ -27,7 +27,9 @@ def window_rows(docs: DataFrame, size: int, tokens: str = "tokens") -> DataFrame
     """As ``windows`` for one row a document with its tokens in an array: (..., at,
     target, window) without a shuffle. Other columns are kept."""
     kept = [c for c in docs.columns if c != tokens]
-    slices = F.expr(f"transform({tokens}, (t, i) -> struct(i AS at, t AS target, slice({tokens}, greatest(i - {size - 2}, 1), least(i + 1, {size})) AS window))")
+    # bound to a name: else an expression behind the column could be evaluated for every token
+    one = f"transform(w, (t, i) -> struct(i AS at, t AS target, slice(w, greatest(i - {size - 2}, 1), least(i + 1, {size})) AS window))"
+    slices = F.expr(f"transform(array({tokens}), w -> {one})[0]")
     return docs.select(*kept, F.explode(slices).alias("__w")).select(*kept, "__w.*")
 
 

@@ -36,10 +36,11 @@ def sentence_rows(docs: DataFrame, tokens: str = "tokens", terminator: str = "."
     """As ``sentences`` for one row a document with its words in an array: (..., sentence,
     pos, at, word) without a shuffle. Other columns are kept."""
     kept = [c for c in docs.columns if c != tokens]
-    places = F.filter(F.transform(tokens, lambda t, i: F.when(t == terminator, i + 1)), lambda x: x.isNotNull())
-    ends = docs.withColumn("__ends", places)
-    parts = F.expr(f"transform(__ends, (e, k) -> struct(k AS sentence, if(k = 0, 0, __ends[k - 1]) AS start, slice({tokens}, if(k = 0, 0, __ends[k - 1]) + 1, e - if(k = 0, 0, __ends[k - 1])) AS words))")
-    own = ends.select(*kept, F.explode(parts).alias("__s"))
+    # bound to names: else an expression behind the column could be evaluated for every sentence
+    ends = "filter(transform(w, (t, i) -> if(t = :end, i + 1, null)), e -> e IS NOT NULL)".replace(":end", "'" + terminator.replace("\\", "\\\\").replace("'", "\\'") + "'")
+    part = "transform(ends, (e, k) -> struct(k AS sentence, if(k = 0, 0, ends[k - 1]) AS start, slice(w, if(k = 0, 0, ends[k - 1]) + 1, e - if(k = 0, 0, ends[k - 1])) AS words))"
+    parts = F.expr(f"transform(array({tokens}), w -> transform(array({ends}), ends -> {part})[0])[0]")
+    own = docs.select(*kept, F.explode(parts).alias("__s"))
     rows = own.select(*kept, F.col("__s.sentence").alias("sentence"), F.col("__s.start").alias("__start"), F.posexplode("__s.words").alias("at", "word"))
     return rows.withColumn("pos", F.col("__start") + F.col("at")).drop("__start")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import align, context, score, spans
+from ..shared import spread
 from .registry import query, rounded, table
 
 PRON = ("the", "der", "la", "el", "le", "it", "he")
@@ -21,9 +22,14 @@ SENTENCES_SQL = f"""{TOKENS_SQL}, sn AS (SELECT *, coalesce(sum(CASE WHEN word =
   sent AS (SELECT doc, CAST(sentence AS INT) AS sentence, pos, word, row_number() OVER (PARTITION BY doc, sentence ORDER BY pos) - 1 AS at_ FROM sn WHERE sentence < n)"""
 
 
+def doc_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, tokens): one row a document."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("doc_id").alias("doc"), fn.tokens(F.col("text")).alias("tokens"))
+
+
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("doc"), F.posexplode(fn.tokens(F.col("text"))).alias("pos", "word"))
+    return doc_arrays(spark, sf_dir).select("doc", F.posexplode("tokens").alias("pos", "word"))
 
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +46,7 @@ def tagged(rows: DataFrame) -> DataFrame:
 
 def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of sentences, numbered inside each document's row."""
-    d = table(spark, sf_dir, "documents")
-    return spans.sentence_rows(d.select(F.col("doc_id").alias("doc"), fn.tokens(F.col("text")).alias("tokens")))
+    return spans.sentence_rows(doc_arrays(spark, sf_dir))
 
 
 @query(f"WITH {SENTENCES_SQL} SELECT doc, sentence, count(*) AS n_words, min(pos) AS first_pos FROM sent GROUP BY 1, 2")
@@ -135,11 +140,10 @@ def replacement_spans(spark, sf_dir):
 @query(f"""WITH {TOKENS_SQL}, w AS (SELECT doc, list(word) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS win FROM tok)
   SELECT doc, count(*) AS n_windows, count(DISTINCT array_to_string(win, ' ')) AS n_different, CAST(sum(len(win)) AS BIGINT) AS n_tokens, max(array_to_string(win, ' ')) AS last_window FROM w GROUP BY doc""")
 def context_window(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    w = context.window_rows(d.select(F.col("doc_id").alias("doc"), fn.tokens(F.col("text")).alias("tokens")), 5)
-    return w.groupBy("doc").agg(
-        F.count("*").alias("n_windows"), F.countDistinct(F.array_join("window", " ")).alias("n_different"), F.sum(F.size("window")).alias("n_tokens"), F.max(F.array_join("window", " ")).alias("last_window")
-    )
+    w = context.window_rows(doc_arrays(spark, sf_dir), 5).select("doc", F.size("window").alias("n"), F.array_join("window", " ").alias("w"))
+    # equal windows of a document once, with their number
+    each = w.groupBy("doc", "w").agg(F.count("*").alias("times"), F.sum("n").alias("n"))
+    return each.groupBy("doc").agg(F.sum("times").alias("n_windows"), F.count("*").alias("n_different"), F.sum("n").alias("n_tokens"), F.max("w").alias("last_window"))
 
 
 @query(f"""WITH {TOKENS_SQL}, w AS (SELECT doc, list(lower(word) IN {PRON}) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM tok)
@@ -223,7 +227,7 @@ def asof_fallback(spark, sf_dir):
 @query(r"""SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(list_transform(t, lambda x: lower(x)), ' ')) AS tokens_md5 FROM
   (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t FROM documents)""")
 def regex_tokenize(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", fn.lowered(fn.tokens(F.col("text"))).alias("t"))
+    t = doc_arrays(spark, sf_dir).select(F.col("doc").alias("doc_id"), fn.lowered(F.col("tokens")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 

@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out evenly if they lie in fewer splits than there are cores: one
+    large file, or a file of one row group. A table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table of :func:`written` that nothing will read again."""
     spark = df.sparkSession
