@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .support import texts_to_batches
+from .support import spread, texts_to_batches
 
 #: Characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -219,7 +219,7 @@ def encoder(path: str) -> WordBpe:
 
 
 def encode_decode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
-    """Replace ``text`` by ``ids`` (array<int>) and ``decoded``: one narrow pass, no shuffle.
+    """Replace ``text`` by ``ids`` (array<int>) and ``decoded``: one narrow pass.
 
     ``vocab_path`` must be readable on every executor, as an installed package's
     file is.
@@ -240,4 +240,4 @@ def encode_decode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFra
 
     fields = [f for f in df.schema if f.name != text]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

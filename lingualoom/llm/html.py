@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import slices, written
+from .support import slices, spread, written
 
 #: A text is template if this share of a slot's pages has it there, of so many pages at least.
 CONSTANT_SHARE = 0.7
@@ -454,7 +454,7 @@ def induce(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), pa.array(made, pa.string())], names=["host", "digest", "tree"])
 
     own = df.select(host(F.col(url)).alias("host"), F.col(page).alias("page")).where("host IS NOT NULL AND page IS NOT NULL")
-    pages = now = written(own.mapInArrow(trees, "host string, digest long, tree string").dropDuplicates(["host", "digest"]), "page-trees")
+    pages = now = written(spread(own).mapInArrow(trees, "host string, digest long, tree string").dropDuplicates(["host", "digest"]), "page-trees")
     most = now.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = 1
     while parts * PAGES_AT_ONCE < most:
@@ -507,7 +507,7 @@ def _counted(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 def extract(df: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
     """Add ``main_text``; the html is dropped. Wrappers are joined by host."""
     kept = [f for f in df.schema if f.name not in (page, "main_text")]
-    rows = df.select(*[f.name for f in kept], F.col(page).alias("__page"), host(F.col(url)).alias("__host"))
+    rows = spread(df.select(*[f.name for f in kept], F.col(page).alias("__page"), host(F.col(url)).alias("__host")))
     wrappers = induce(df, url, page).select(F.col("host").alias("__of"), F.col("wrapper").alias("__wrapper"))
     rows = rows.join(wrappers, F.col("__host") == F.col("__of"), "left").select(*[f.name for f in kept], "__page", "__wrapper")
     n = len(kept)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import KEY_BITS, give_back, row_key, slices
+from .support import KEY_BITS, give_back, row_key, slices, spread
 
 ORDER = 3
 BUCKETS = 1 << 15
@@ -163,4 +163,4 @@ def identify(df: DataFrame, teach: Column, *, id_col: str = "doc_id", text: str
         give_back()
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(predict, schema)
+    return spread(df).mapInArrow(predict, schema)

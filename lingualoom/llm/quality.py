@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import BLANK, WORD, written
+from .support import BLANK, WORD, spread, written
 
 #: Bits of a packed window for its place in the text; the rest is of its hash.
 PLACE_BITS = 21
@@ -91,7 +91,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     """(id, counts ...) of every whole text; one narrow pass."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split("t", BLANK), "")
-    df = df.select(F.col(id_col).alias("id"), t.alias("t"))
+    df = spread(df.select(F.col(id_col).alias("id"), t.alias("t")))
     df = df.select("id", "t", words.alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     long = lambda c, name: c.cast("long").alias(name)
     return df.select(

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .support import parallelism, texts_to_batches, written
+from .support import parallelism, spread, texts_to_batches, written
 
 SEED = 42
 #: A shard's fingerprints are 8 bytes each; this many are compared in seconds.
@@ -105,7 +105,7 @@ def fingerprint(text: str | None, width: int = 4, block: int = 1 << 20) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp long): one narrow pass over the whole texts, no shuffle."""
+    """(id, fp long): one narrow pass over the whole texts."""
 
     def make(texts: list) -> list[pa.Array]:
         return [pa.array(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))]
@@ -114,7 +114,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
         return texts_to_batches(rows, "text", make, ["fp"])
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "id long, fp long")
+    return spread(own).mapInArrow(run, "id long, fp long")
 
 
 def _far(a: np.ndarray, v: int) -> np.ndarray:

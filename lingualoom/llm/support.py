@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import forget, shared_dir, shared_path, written
+from ..shared import forget, shared_dir, shared_path, spread, written
 
-__all__ = ["Scratch", "forget", "shared_dir", "shared_path", "written"]
+__all__ = ["Scratch", "forget", "shared_dir", "shared_path", "spread", "written"]
 
 
 class Scratch:
