@@ -40,8 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out evenly if they lie in fewer splits than there are cores: one
-    large file, or a file of one row group. A table of many splits stays as it is."""
+    large file, or a file of one row group. A table of many splits stays as it is, and
+    so does what comes out of a shuffle (to ask for its splits would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

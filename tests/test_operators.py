@@ -365,3 +365,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((str(r.start), r.event_type, r.n, round(r.mean_value, 6)) for r in df.collect())
     assert key(spark.table("outcomes")) == key(windowed_outcomes(src))
+
+
+def test_few_splits_are_dealt_out(spark):
+    from lingualoom.shared import spread
+
+    one = spark.range(1000, numPartitions=1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == cores and spread(one).count() == 1000
+    many = spark.range(1000, numPartitions=cores + 3)
+    assert spread(many) is many
+    behind = one.groupBy("id").count()
+    assert spread(behind) is behind
