@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import threading
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .support import spread, texts_to_batches
+from .support import give_back, spread, texts_to_batches
 
 #: Characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -80,7 +81,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder of one vocabulary file (normaliser: NFC, white space, lower case)."""
 
-    def __init__(self, path: str, cache_entries: int = 250_000):
+    def __init__(self, path: str, cache_entries: int = 180_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -106,6 +107,7 @@ class WordBpe:
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.older_chunks: dict[str, tuple[bytes, str]] = {}
         self.cache_entries = cache_entries
+        self.used: object = None
 
     def merge(self, word: bytes) -> list[int]:
         """Apply merges lowest rank first, leftmost first among equal ranks."""
@@ -207,17 +209,32 @@ class WordBpe:
         return " ".join(self.strings[i] for i in ids)
 
 
+#: One encoder and cache for each Python worker, emptied when it has had nothing to do for so many seconds.
 _LOADED: dict[str, WordBpe] = {}
+IDLE_SECONDS = 3.0
 
 
 def encoder(path: str) -> WordBpe:
-    """One encoder and cache for each Python worker."""
     if path not in _LOADED:
         gc.set_threshold(100_000, 50, 100)  # the caches hold no cycles; scanning them often is slow
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
 
 
+def forget_when_idle(own: WordBpe) -> None:
+    """Workers outlive their stage: the caches of one that has become idle would stay."""
+    at = own.used = object()
+
+    def check() -> None:
+        if own.used is at:
+            own.chunks, own.older_chunks = {}, {}
+            give_back()
+
+    timer = threading.Timer(IDLE_SECONDS, check)
+    timer.daemon = True
+    timer.start()
+
+
 def encode_decode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
     """Replace ``text`` by ``ids`` (array<int>) and ``decoded``: one narrow pass.
 
@@ -230,13 +247,15 @@ def encode_decode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFra
         import numpy as np
 
         own = encoder(vocab_path)
+        own.used = None
         done = [own.encode(t) for t in texts]
         ends = np.cumsum([0, *(len(b) // 4 for b, _ in done)])
         ids = np.frombuffer(b"".join([b for b, _ in done]), dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array([s for _, s in done], pa.string())]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return texts_to_batches(rows, text, make, ["ids", "decoded"], 4 << 20)
+        yield from texts_to_batches(rows, text, make, ["ids", "decoded"], 4 << 20)
+        forget_when_idle(encoder(vocab_path))
 
     fields = [f for f in df.schema if f.name != text]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])

@@ -38,6 +38,8 @@ PER_LANGUAGE = 400
 MAX_SAMPLE = 6000
 LANDMARKS = 320
 RIDGE = 0.3
+#: Text and rows of presence that a worker holds at once.
+SLICE_BYTES, ROWS_AT_ONCE = 4 << 20, 64
 UND = "und"
 #: Multipliers of the hash of an n-gram's characters.
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -85,7 +87,7 @@ def sampled(df: DataFrame, text: str, label: str, key: Column) -> tuple[list[str
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 16 << 20):
+            for part in slices(batch, 0, SLICE_BYTES):
                 made = []
                 for t in part.column(0).to_pylist():
                     row = np.zeros(BUCKETS, dtype=np.uint8)
@@ -143,12 +145,12 @@ def identify(df: DataFrame, teach: Column, *, id_col: str = "doc_id", text: str
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = model.value
         for batch in batches:
-            for part in slices(batch, at, 16 << 20):
+            for part in slices(batch, at, SLICE_BYTES):
                 texts = part.column(at).to_pylist()
                 langs, scores = [UND] * len(texts), np.zeros(len(texts))
                 known = [i for i, t in enumerate(texts) if weights is not None and has_letter(t)]
-                for k in range(0, len(known), 128):
-                    some = known[k : k + 128]
+                for k in range(0, len(known), ROWS_AT_ONCE):
+                    some = known[k : k + ROWS_AT_ONCE]
                     rows = np.zeros((len(some), BUCKETS), dtype=np.uint8)
                     for r, i in enumerate(some):
                         presence(texts[i], rows[r])

@@ -106,6 +106,21 @@ def test_bpe_of_every_code_point(library):
     assert not wrong
 
 
+def test_idle_caches_are_emptied(monkeypatch):
+    import time
+
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.2)
+    own = bpe.WordBpe(VOCABULARY)
+    want = own.encode("some words of a text")
+    bpe.forget_when_idle(own)
+    own.used = None  # in use again
+    time.sleep(0.6)
+    assert own.chunks
+    bpe.forget_when_idle(own)
+    time.sleep(0.6)
+    assert not own.chunks and own.encode("some words of a text") == want
+
+
 def test_bpe_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in queries.op3_bpe(spark, DATA).collect():
