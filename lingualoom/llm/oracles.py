@@ -122,7 +122,8 @@ e{k + 1} AS MATERIALIZED (
     return rf"""
 WITH parts AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
-tokens AS (SELECT doc_id, text, line, regexp_extract_all(content, '[^ 	-]+') AS v FROM parts),
+tokens AS (SELECT doc_id, text, line, regexp_extract_all(content, '[^ 	-
+]+') AS v FROM parts),
 masked AS (SELECT *, list_transform(v, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{field}' ELSE t END) AS w FROM tokens WHERE len(v) > 0),
 found AS MATERIALIZED (
   SELECT doc_id, text, line, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:{d}], ' ') AS leaf, array_to_string(w, ' ') AS content, array_to_string(v, ' ') AS plain, w
@@ -206,3 +207,40 @@ streams AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
        CAST(least(size, greatest(0, stop - start)) + least(size, greatest(0, stop - source_size - start)) AS BIGINT) AS taken
 FROM streams JOIN ends USING (source_key)"""
+
+
+def op11() -> str:
+    return f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, said FROM c JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, said FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(said.text)) AS bytes, list(said) OVER w AS prefix
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+m AS (
+  SELECT conv_id, depth, bytes, prefix FROM p
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+lengths AS (SELECT conv_id, max(depth) AS n FROM m GROUP BY 1),
+v AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+         sha256(coalesce(string_agg(CASE WHEN depth = n THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM m JOIN lengths USING (conv_id) GROUP BY 1, 2),
+kids AS (
+  SELECT a.depth, a.prefix, count(*) AS n FROM v JOIN m a ON a.conv_id = v.conv_id AND a.depth = v.depth - 1 GROUP BY 1, 2),
+w AS (
+  SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN kids k ON k.depth = v.depth AND k.prefix = v.prefix),
+sums AS (
+  SELECT a.depth, a.prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w.bytes) AS saved
+  FROM w JOIN m a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY 1, 2),
+above AS (
+  SELECT w.depth, w.prefix, u.conv_id FROM w JOIN m a ON a.conv_id = w.conv_id AND a.depth = w.depth - 1 JOIN v u ON u.depth = a.depth AND u.prefix = a.prefix)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM w JOIN sums s ON s.depth = w.depth AND s.prefix = w.prefix LEFT JOIN above u ON u.depth = w.depth AND u.prefix = w.prefix
+"""

@@ -124,11 +124,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie, rebuilt
+
+    nodes = prefix_trie(*rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return nodes.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op5_embedding_dedup": oracles.op5(), "op6_line_dedup": oracles.op6(), "op7_warc": oracles.op7(), "op8_mixing": oracles.op8()}
+    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op5_embedding_dedup": oracles.op5(), "op6_line_dedup": oracles.op6(), "op7_warc": oracles.op7(), "op8_mixing": oracles.op8(), "op11_prefix_trie": oracles.op11()}
