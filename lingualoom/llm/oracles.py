@@ -244,3 +244,30 @@ SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
        CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
 FROM w JOIN sums s ON s.depth = w.depth AND s.prefix = w.prefix LEFT JOIN above u ON u.depth = w.depth AND u.prefix = w.prefix
 """
+
+
+def op12() -> str:
+    form = lambda name: rf"nullif(regexp_replace(translate({name}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]', '', 'g'), '')"
+    some = lambda top, test: f"list_bool_or([{test} for i in range(1, {top} + 1)])"
+    cut = lambda a: f"left({a}, i - 1) || substr({a}, i + 1)"
+    swap = "left(a, i - 1) || substr(a, i + 1, 1) || substr(a, i, 1) || substr(a, i + 2)"
+    return f"""
+WITH v AS (
+  SELECT vendor_id, CASE WHEN h % 2 = 0 AND length(name) > 1
+           THEN left(name, h % (length(name) - 1)) || substr(name, h % (length(name) - 1) + 2, 1) || substr(name, h % (length(name) - 1) + 1, 1) || substr(name, h % (length(name) - 1) + 3)
+           ELSE name END AS name
+  FROM (SELECT vendor_id, name, {crc32_sql("CAST(vendor_id AS VARCHAR)")} AS h FROM vendors)),
+a AS (SELECT vendor_id, {form("name")} AS a FROM v),
+b AS (
+  SELECT {form("name")} AS b, count(*) AS n, min(client_id) AS first, sum(coalesce({crc32_sql("CAST(client_id AS VARCHAR)")}, 0)) AS crc
+  FROM clients GROUP BY 1),
+d AS (
+  SELECT vendor_id, n, first, crc, CASE
+    WHEN a = b THEN 0
+    WHEN length(a) = length(b) AND ({some("length(a)", f"({cut('a')}) = ({cut('b')})")} OR {some("length(a)", f"({swap}) = b")}) THEN 1
+    WHEN length(a) = length(b) + 1 AND {some("length(a)", f"({cut('a')}) = b")} THEN 1
+    WHEN length(b) = length(a) + 1 AND {some("length(b)", f"({cut('b')}) = a")} THEN 1 END AS distance
+  FROM a JOIN b ON a IS NOT NULL AND b IS NOT NULL AND abs(length(a) - length(b)) <= 1)
+SELECT vendor_id, CAST(distance AS INT) AS distance, CAST(sum(n) AS BIGINT) AS n_clients, min(first) AS first_client_id, CAST(sum(crc) AS BIGINT) AS clients_crc
+FROM d WHERE distance IS NOT NULL GROUP BY 1, 2
+"""

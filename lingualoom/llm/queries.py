@@ -134,11 +134,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .names import joined
+
+    return joined(table(spark, sf_dir, "vendors").select("vendor_id", "name"), table(spark, sf_dir, "clients").select("client_id", "name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash, op11_prefix_trie, op12_name_join)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op5_embedding_dedup": oracles.op5(), "op6_line_dedup": oracles.op6(), "op7_warc": oracles.op7(), "op8_mixing": oracles.op8(), "op11_prefix_trie": oracles.op11()}
+    return {"op1_sharding": oracles.op1(), "op2_quality_rules": oracles.op2(), "op5_embedding_dedup": oracles.op5(), "op6_line_dedup": oracles.op6(), "op7_warc": oracles.op7(), "op8_mixing": oracles.op8(), "op11_prefix_trie": oracles.op11(), "op12_name_join": oracles.op12()}
