@@ -140,8 +140,21 @@ def op12_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "vendors").select("vendor_id", "name"), table(spark, sf_dir, "clients").select("client_id", "name"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash, op11_prefix_trie, op12_name_join)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_bpe, op4_html_extraction, op5_embedding_dedup, op6_line_dedup, op7_warc, op8_mixing, op9_language_id, op10_simhash, op11_prefix_trie, op12_name_join, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
