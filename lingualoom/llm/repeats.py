@@ -13,8 +13,8 @@ suffixes that share ``length`` bytes all but the first go.
 Hashes are of 64 bits; equal strings never differ in them. Different pieces with
 one anchor and one hash (2^-64 a pair) would pass as equal.
 
-A frequent anchor: each task sends on the first of equal pieces of a block of
-text only, so an anchor's rows are no more than the blocks. The shard of an
+A frequent anchor: each task sends on the first of equal pieces of a batch of
+texts only, so an anchor's rows are no more than the batches. The shard of an
 anchor with very many different pieces may be larger than others; its queue is
 on disk.
 
@@ -38,8 +38,8 @@ from .support import Scratch, give_back, parallelism, spread, written
 
 #: Bytes of a gram; of a block of text; of a shard.
 GRAM = 48
-BLOCK = 2 << 20
-SHARD = 2 << 20
+BLOCK = 64 << 10
+SHARD = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 #: Low bits of a gram's hash that hold its place instead where the least is sought; a block is shorter.
 _PLACES = (1 << 23) - 1
@@ -128,22 +128,27 @@ def _blocks(batch: pa.RecordBatch, overlap: int, size: int) -> Iterator[tuple[li
 def _found(docs: DataFrame, length: int, block: int) -> DataFrame:
     """(row, at, key): pieces that go whole (key null), and those that differ from another with their anchor (key)."""
 
+    def first_of_copies(anchor: np.ndarray, whole: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """Copies within a batch, which is in the order of rows, are dealt out by themselves: to no anchor, and without hash."""
+        once = np.zeros(len(anchor), dtype=bool)
+        once[np.unique(anchor ^ _mixed(whole), return_index=True)[1]] = True
+        key = np.where(once, anchor, _mixed(anchor + np.arange(len(anchor), dtype=np.uint64)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64), mask=~once), pa.array(row), pa.array(at)], names=["key", "hash", "row", "at"]
+        )
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Pieces(length)
         for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
             for rows, offsets, parts in _blocks(batch, length - 1, block):
                 sizes = np.array([len(p) for p in parts], dtype=np.int64)
                 starts = np.cumsum(sizes) - sizes
                 anchor, whole, text, first, n, again = cutter.cut(np.frombuffer(b"".join(parts), dtype=np.uint8), starts, sizes)
-                row = np.array(rows, dtype=np.int64)[text]
                 at = (np.array(offsets, dtype=np.int64)[text] + first - starts[text]) << 32 | n | again * _AGAIN
-                once = np.zeros(len(anchor), dtype=bool)
-                once[np.unique(anchor ^ _mixed(whole), return_index=True)[1]] = True
-                # copies within the block are dealt out by themselves, to no anchor
-                key = np.where(once, anchor, _mixed(anchor + np.arange(len(anchor), dtype=np.uint64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64), mask=~once), pa.array(row), pa.array(at)], names=["key", "hash", "row", "at"]
-                )
+                held.append((anchor, whole, np.array(rows, dtype=np.int64)[text], at))
+            if held:
+                yield first_of_copies(*(np.concatenate(x) for x in zip(*held, strict=True)))
         give_back()
 
     rows = spread(docs.select("row", "text")).mapInArrow(pieces, "key long, hash long, row long, at long")
@@ -164,13 +169,13 @@ def repeated(rows: np.ndarray, at: np.ndarray, texts: list[bytes], length: int,
     rows, at, texts = rows[order], at[order], [texts[i] for i in order]
     sizes = np.array([len(x) + 1 for x in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
-    t = np.frombuffer(b"\x00".join(texts) + b"\x00\x00", dtype=np.uint8).astype(np.int64) + 2
+    t = np.frombuffer(b"\x00".join(texts) + b"\x00\x00", dtype=np.uint8).astype(np.int32) + 2
     t[starts[1:] - 1], t[-2], t[-1] = 1, 1, 0
     inside = np.zeros(len(t) + 1, dtype=np.int8)
     np.add.at(inside, starts, 1)
     np.add.at(inside, starts + (at & 0xFFFFFFFF), -1)
     inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    place, prefix = suffixes(t, room)
+    place, prefix = suffixes(t, length, room)
     group = np.cumsum(prefix < length)
     own = inside[place]
     place, group = place[own], group[own]

@@ -20,15 +20,18 @@ import tempfile
 
 import numpy as np
 
-#: Common prefixes are known up to this length.
+#: Common prefixes are known up to this length, if no other is asked for.
 CAP = 255
 #: Parts that a name looks ahead before there is a recursion.
-LOOK = 64
-#: Ranges of first symbols of a queue, and tuples (of 16 bytes) it holds in memory.
+LOOK = 1 << 16
+#: Ranges of first symbols of a queue, and tuples (of 8 bytes) it holds in memory.
 RANGES = 64
 ROOM = 8_000_000
 
 
+_NONE = np.int32((1 << 31) - 1)
+
+
 class Queue:
     """Tuples (place, rank) by range of first symbols, in the order in which they came."""
 
@@ -39,7 +42,7 @@ class Queue:
 
     def push(self, home: np.ndarray, place: np.ndarray, rank: np.ndarray) -> None:
         order = np.argsort(home, kind="stable")
-        home, rows = home[order], np.empty((len(home), 2), dtype=np.int64)
+        home, rows = home[order], np.empty((len(home), 2), dtype=np.int32)
         rows[:, 0], rows[:, 1] = place[order], rank[order]
         begin = 0
         for end in [*((home[1:] != home[:-1]).nonzero()[0] + 1).tolist(), len(home)]:
@@ -63,11 +66,11 @@ class Queue:
         parts = []
         for at, n in self.runs[home]:
             self.file.seek(at)
-            parts.append(np.fromfile(self.file, dtype=np.int64, count=2 * n).reshape(-1, 2))
+            parts.append(np.fromfile(self.file, dtype=np.int32, count=2 * n).reshape(-1, 2))
         parts += self.held[home]
         self.size -= sum(map(len, self.held[home]))
         self.held[home], self.runs[home] = [], []
-        return np.concatenate(parts) if parts else np.empty((0, 2), dtype=np.int64)
+        return np.concatenate(parts) if parts else np.empty((0, 2), dtype=np.int32)
 
     def close(self) -> None:
         if self.file:
@@ -95,22 +98,22 @@ class Minima:
 
     def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of first..last, both included."""
-        k = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        k = np.frexp((last - first + 1).astype(np.float64))[1].astype(np.int32) - 1
         return np.minimum(self.table[k, last], self.table[k, first + (1 << k) - 1])
 
 
-def _induced(t: np.ndarray, kind: np.ndarray, runs: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, room: int):
+def _induced(t: np.ndarray, kind: np.ndarray, runs: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, cap: int, room: int):
     """Order of the suffixes of a kind and of the seeds: (places, common prefix with the one before).
 
     ``seeds`` are in order, and come behind the induced suffixes with the same first symbol.
     """
-    n, top = len(t), int(t.max()) + 1
+    top = int(t.max()) + 1
     total = int(kind.sum()) + len(seeds)
     counts = np.cumsum(np.bincount(t[kind], minlength=top))
     range_of = (counts - 1) * RANGES // max(1, int(counts[-1])) if top > 4 * RANGES else np.arange(top)
-    range_of = np.maximum(range_of, 0)
+    range_of = np.maximum(range_of, 0).astype(np.int16)
     ranges = int(range_of[-1]) + 1
-    places, prefix = np.empty(total, dtype=np.int64), np.zeros(total, dtype=np.uint8)
+    places, prefix = np.empty(total, dtype=np.int32), np.zeros(total, dtype=np.uint8)
     queue, minima, done = Queue(ranges, room), Minima(total), 0
     seed_char = t[seeds]
     seed_range = range_of[seed_char]
@@ -127,24 +130,24 @@ def _induced(t: np.ndarray, kind: np.ndarray, runs: np.ndarray, seeds: np.ndarra
             if s == e:
                 key, own, origin = 2 * char[:size], place[:size], rank[:size]
             elif not len(place):
-                key, own, origin = 2 * seed_char[s:e] + 1, seeds[s:e], np.arange(s, e)
+                key, own, origin = 2 * seed_char[s:e] + 1, seeds[s:e], np.arange(s, e, dtype=np.int32)
             else:
                 key = np.concatenate([2 * char[:size], 2 * seed_char[s:e] + 1])
                 order = np.argsort(key, kind="stable")[:size]
                 key = key[order]
                 own = np.concatenate([place[:size], seeds[s:e]])[order]
-                origin = np.concatenate([rank[:size], np.arange(s, e)])[order]
+                origin = np.concatenate([rank[:size], np.arange(s, e, dtype=np.int32)])[order]
             before = own - 1
             induces = (own > 0) & kind[before]
-            bound = np.where(induces, 2 * t[before], 1 << 62)
+            bound = np.where(induces, 2 * t[before], _NONE)
             late = (key[1:] > np.minimum.accumulate(bound)[:-1]).nonzero()[0]
             m = int(late[0]) + 1 if len(late) else len(key)
             size = 2 * size if m == len(key) else max(64, 2 * m)
             key, own, origin, before, induces = key[:m], own[:m], origin[:m], before[:m], induces[:m]
 
             # common prefix with the one before, which is in front of the arrays now
-            c = np.empty(m + 1, dtype=np.int64)
-            seeded, owns, origins = np.empty(m + 1, dtype=bool), np.empty(m + 1, dtype=np.int64), np.empty(m + 1, dtype=np.int64)
+            c = np.empty(m + 1, dtype=np.int32)
+            seeded, owns, origins = np.empty(m + 1, dtype=bool), np.empty(m + 1, dtype=np.int32), np.empty(m + 1, dtype=np.int32)
             c[0], seeded[0], owns[0], origins[0] = last
             np.right_shift(key, 1, out=c[1:])
             np.not_equal(key & 1, 0, out=seeded[1:])
@@ -154,12 +157,12 @@ def _induced(t: np.ndarray, kind: np.ndarray, runs: np.ndarray, seeds: np.ndarra
             same = c[1:] == c[:-1]
             both = (same & ~seeded[1:]).nonzero()[0]
             if len(both):
-                lcp[both] = np.minimum(minima.least(origins[both] + 1, origins[both + 1]), CAP - 1) + 1
+                lcp[both] = np.minimum(minima.least(origins[both] + 1, origins[both + 1]), cap - 1) + 1
             if seeded[m] or seeded.any():
                 pair = (same & seeded[:-1] & seeded[1:]).nonzero()[0]
                 lcp[pair] = seed_lcp[origins[pair + 1]]
                 edge = (same & seeded[1:] & ~seeded[:-1]).nonzero()[0]
-                lcp[edge] = np.minimum(np.minimum(runs[owns[edge]], runs[owns[edge + 1]]), CAP)
+                lcp[edge] = np.minimum(np.minimum(runs[owns[edge]], runs[owns[edge + 1]]), cap)
             places[done : done + m], prefix[done : done + m] = own, lcp
             minima.append(done, lcp)
 
@@ -168,7 +171,7 @@ def _induced(t: np.ndarray, kind: np.ndarray, runs: np.ndarray, seeds: np.ndarra
             place, rank, char = place[m - taken :], rank[m - taken :], char[m - taken :]
             new = induces.nonzero()[0]
             if len(new):
-                p, r = before[new], done + new
+                p, r = before[new], (done + new).astype(np.int32)
                 pc = bound[new] >> 1
                 home = range_of[pc]
                 here = home == b
@@ -246,46 +249,59 @@ def _looked_ahead(names: np.ndarray, parts: int = LOOK) -> np.ndarray:
     return (np.cumsum(used) - 1)[rank]
 
 
-def _seed_prefixes(t: np.ndarray, seeds: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """Common prefixes of neighbours among the sorted seeds, from those of their names."""
-    found = np.zeros(len(order), dtype=np.int64)
-    if len(order) > 1:
-        a, b, h = order[:-1], order[1:], lcp[1:].astype(np.int64)
-        x, y = seeds[a + h], seeds[b + h]
-        length = x - seeds[a]
-        live = np.flatnonzero(length < CAP)
-        while len(live):
-            live = live[t[x[live] + 0] == t[y[live]]]
-            x[live] += 1
-            y[live] += 1
-            length[live] += 1
-            live = live[length[live] < CAP]
-        found[1:] = np.minimum(length, CAP)
-    return found.astype(np.uint8)
-
-
-def suffixes(t: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all suffixes in order, and their common prefixes with the one before (CAP at most).
-
-    ``t``: whole numbers from 0; its last symbol is 0 and occurs nowhere else.
+def _seed_prefixes(t: np.ndarray, seeds: np.ndarray, order: np.ndarray, lcp: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of neighbours among the sorted seeds, from those of their names on."""
+    found = np.zeros(len(order), dtype=np.uint8)
+    if len(order) < 2:
+        return found
+    h = lcp[1:].astype(np.int32)
+    x, y = seeds[order[:-1] + h], seeds[order[1:] + h]
+    length = x - seeds[order[:-1]]
+    live = np.flatnonzero(length < cap)
+    if int(t.max()) < 1 << 15:  # four symbols at once first
+        four = np.zeros(len(t), dtype=np.int64)
+        for k in range(4):
+            four[: len(t) - k] |= t[k:].astype(np.int64) << 16 * k
+        some = live
+        while len(some):
+            some = some[four[x[some]] == four[y[some]]]
+            x[some] += 4
+            y[some] += 4
+            length[some] += 4
+            some = some[length[some] < cap]
+        live = live[length[live] < cap]
+    while len(live):
+        live = live[t[x[live]] == t[y[live]]]
+        x[live] += 1
+        y[live] += 1
+        length[live] += 1
+        live = live[length[live] < cap]
+    found[1:] = np.minimum(length, cap)
+    return found
+
+
+def suffixes(t: np.ndarray, cap: int = CAP, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes in order, and their common prefixes with the one before (``cap`` at most).
+
+    ``t``: up to 2^30 whole numbers from 0 to below 2^30; its last symbol is 0 and occurs nowhere else.
     """
-    t, n = np.asarray(t, dtype=np.int64), len(t)
+    t, n = np.asarray(t, dtype=np.int32), len(t)
     if n == 1:
-        return np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint8)
-    at = np.where(t[:-1] != t[1:], np.arange(n - 1), n)
+        return np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.uint8)
+    at = np.where(t[:-1] != t[1:], np.arange(n - 1, dtype=np.int32), np.int32(n))
     ends = np.minimum.accumulate(at[::-1])[::-1]  # last place of the run of equal symbols
     small = np.r_[(t[:-1] < t[1:])[ends], True]
-    runs = np.r_[ends - np.arange(n - 1) + 1, 1]
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    runs = np.r_[ends - np.arange(n - 1, dtype=np.int32) + np.int32(1), np.int32(1)]
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     names = _looked_ahead(_named(t, seeds))
     if int(names.max()) + 1 == len(seeds):
-        order, lcp = np.argsort(names), np.zeros(len(seeds), dtype=np.uint8)
+        order, lcp = np.argsort(names).astype(np.int32), np.zeros(len(seeds), dtype=np.uint8)
     else:
-        order, lcp = suffixes(names, room)
-    lcp = _seed_prefixes(t, seeds, order, lcp)
-    places, prefix = _induced(t, ~small, runs, seeds[order], lcp, room)
+        order, lcp = suffixes(names, cap, room)
+    lcp = _seed_prefixes(t, seeds, order, lcp, cap)
+    places, prefix = _induced(t, ~small, runs, seeds[order], lcp, cap, room)
     large = ~small[places]
-    down, between = places[large][::-1], np.r_[0, prefix[large][:0:-1]].astype(np.uint8)
+    down, between = places[large][::-1], np.r_[np.uint8(0), prefix[large][:0:-1]]
     small[-1] = False  # the end is nobody's predecessor, and comes first
-    places, prefix = _induced(int(t.max()) - t, small, runs, down, between, room)
-    return np.r_[n - 1, places[::-1]], np.r_[0, 0, prefix[:0:-1]].astype(np.uint8)
+    places, prefix = _induced(t.max() - t, small, runs, down, between, cap, room)
+    return np.r_[np.int32(n - 1), places[::-1]], np.r_[np.zeros(2, dtype=np.uint8), prefix[:0:-1]]
