@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import OPENING_TOKENS, clean_replacement, leading_marks, normal_tokens, trailing_marks
+from ..functions.text import OPENING_TOKENS, clean_replacement, leading_marks, letters_only, normal_tokens, trailing_marks
+from .ranges import as_of, running_sums
 
 
 def running_offsets(df: DataFrame, order: Sequence[str], length: Column, by: Sequence[str] = (), block: str | None = None) -> DataFrame:
@@ -28,33 +29,40 @@ def running_offsets(df: DataFrame, order: Sequence[str], length: Column, by: Seq
     return out.withColumn("start", F.col("end") - F.col("__l")).drop("__l")
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], bucket: int = 64) -> DataFrame:
-    """Pairs of half-open intervals of a group that overlap.
+def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], empty: bool = False) -> DataFrame:
+    """Pairs of half-open intervals (of whole numbers) of a group that overlap.
 
     Left columns keep their names, right ones (but ``by``) get the prefix ``r_``.
-    Both sides are dealt to buckets of positions, so this is an equi-join; a pair
-    counts in the bucket where its overlap starts, hence once.
+    With ``empty`` intervals of no length overlap those around them. Of two that
+    overlap, the one that starts later (the right one, if both start together)
+    starts inside the other: each interval is cut into dyadic cells, two a level at
+    most, and the starts look for the cells that hold them, one a level. So an
+    interval has as many copies as its length has binary digits, times three.
     """
-    cells = lambda s, e: F.sequence(F.floor(s / bucket), F.floor((e - 1) / bucket))
-    lf = left.where("start < end").withColumn("__b", F.explode(cells(F.col("start"), F.col("end"))))
-    rt = right.where("start < end").select(*by, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
-    rt = rt.withColumn("__b", F.explode(cells(F.col("r_start"), F.col("r_end"))))
-    out = lf.join(rt, [*by, "__b"]).where("r_start < end AND r_end > start")
-    return out.where(F.col("__b") == F.floor(F.greatest("start", "r_start") / bucket)).drop("__b")
-
-
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the ``values`` of the last right row at or before it; of
-    left rows before all right rows, with those of the first. One sort a group."""
-    pack = F.struct(*[F.col(c) for c in values])
-    r = right.select(*by, F.col(right_at).alias("__at"), pack.alias("__v"), F.lit(0).alias("__side"))
-    lf = left.select(*by, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
-    both = r.unionByName(lf, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__at", "__side")
-    last = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = both.withColumn("__found", F.coalesce(last, first)).where("__side = 1")
-    return out.select("__row.*", *[F.col(f"__found.{c}").alias(f"asof_{c}") for c in values])
+    width = lambda df: df.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    top = max(1, int(max(width(left), width(right)))).bit_length()
+    if not empty:
+        left, right = left.where("start < end"), right.where("start < end")
+
+    def cells(df: DataFrame) -> DataFrame:
+        low, high = "(-shiftright(-start, j))", "shiftright(end, j)"
+        own = f"array(if({low} < {high} AND {low} % 2 <> 0, {low}, NULL), if({low} < {high} AND {high} % 2 <> 0, {high} - 1, NULL))"
+        at = f"filter(flatten(transform(sequence(0, {top}), j -> transform({own}, c -> if(c IS NULL, NULL, struct(j AS level, c AS cell))))), x -> x IS NOT NULL)"
+        return df.select("*", F.inline(F.expr(at)))
+
+    def starts(df: DataFrame) -> DataFrame:
+        return df.select("*", F.inline(F.expr(f"transform(sequence(0, {top}), j -> struct(j AS level, shiftright(start, j) AS cell))")))
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.select(*by, "level", "cell", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
+
+    whole = [F.col(c).cast("long").alias(c) for c in ("start", "end")]
+    left = left.withColumns({"start": whole[0], "end": whole[1]})
+    right = right.withColumns({"start": whole[0], "end": whole[1]})
+    keys = [*by, "level", "cell"]
+    found = cells(left).join(other(starts(right)), keys).where("r_start >= start")
+    found = found.unionByName(starts(left).join(other(cells(right)), keys).where("start > r_start"))
+    return found.where("r_start < end AND r_end > start").drop("level", "cell")
 
 
 def tag_words(words: DataFrame, tagged: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -68,6 +76,30 @@ def tag_words(words: DataFrame, tagged: DataFrame, by: Sequence[str]) -> DataFra
     return out.withColumn("tag", F.coalesce("overlap_tag", "asof_tag")).drop("overlap_tag", "asof_tag")
 
 
+def aligned_tags(words: DataFrame, tokens: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Each word with the tag of the first token that it shares letters with.
+
+    Two cuts of one text meet by their letters: ``words`` (order, word) and
+    ``tokens`` (order, word, tag) are reduced to letters and digits, which are
+    numbered through the whole table. A word without letters inside a token has
+    that token's tag; one that overlaps none has the tag of the last token that
+    starts at or before it, or else of the first.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        size = F.length(letters_only(F.col("word"))).cast("long")
+        out = running_sums(df.withColumn("__l", size), [], order, F.col("__l"), "end")
+        return out.withColumn("start", F.col("end") - F.col("__l")).drop("__l")
+
+    w = placed(words)
+    t = placed(tokens).select("start", "end", "tag", F.struct(*order).alias("__key"))
+    w = w.withColumn("__key", F.struct(*order))
+    hit = overlaps(w.select("__key", "start", "end"), t, [], empty=True)
+    first = hit.groupBy("__key").agg(F.min_by("r_tag", F.struct("r_start", "r___key")).alias("overlap_tag"))
+    out = as_of(w.join(first, "__key", "left"), t, [], "start", "start", ["tag"], tie="__key")
+    return out.withColumn("tag", F.coalesce("overlap_tag", "asof_tag")).drop("overlap_tag", "asof_tag", "__key")
+
+
 def word_spans(words: DataFrame, tokens: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, word, first_token, end_token): tokens of each word by character overlap.
     A token that straddles two words belongs to the first only."""

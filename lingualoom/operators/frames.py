@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import warnings
 from collections.abc import Sequence
@@ -9,6 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import join_null_safe, quantiles, ranks
+
+__all__ = ["join_null_safe"]
+
 
 def value_of(column: str) -> Column:
     """The column with NaN as null, so that means and counts leave it out."""
@@ -24,10 +29,6 @@ def composite_key(*columns: str, missing: str = "NA", separator: str = "-") -> C
     return F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns])
 
 
-def suffixed(df: DataFrame, suffix: str, but: Sequence[str] = ()) -> DataFrame:
-    return df.select(*[F.col(c) if c in but else F.col(c).alias(c + suffix) for c in df.columns])
-
-
 def matching_columns(df: DataFrame, pattern: str) -> list[str]:
     return [c for c in df.columns if re.search(pattern, c)]
 
@@ -72,16 +73,23 @@ def zscore(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame
     return out.drop(*stats.columns)
 
 
-def hashed_rank(df: DataFrame, key: Column, out: str, digits: int = 3) -> DataFrame:
+def hashed_rank(df: DataFrame, key: Column, out: str, digits: int | None = None) -> DataFrame:
     """Gapless rank from 0 by (md5 of the key, key), without a one-task sort.
 
-    Rows are dealt by the first hex digits of the hash, whose 16**digits counts
-    are summed first.
+    Rows are dealt by the first hex digits of the hash, whose counts are summed
+    first; so many digits that a bucket has some 20,000 rows, 3 at least.
     """
+    if digits is None:
+        digits = max(3, math.ceil(math.log(max(1, df.count() / 20_000), 16)))
     text = key.cast("string")
     df = df.withColumn("__k", text).withColumn("__h", F.md5(text.cast("binary"))).withColumn("__b", F.substring("__h", 1, digits))
     counts = df.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    # in two steps, so that no task sums all buckets
+    head = F.substring("__b", 1, max(1, digits - 3))
+    heads = counts.groupBy(head.alias("__h3")).agg(F.sum("__n").alias("__s"))
+    heads = heads.select("__h3", (F.sum("__s").over(Window.orderBy("__h3")) - F.col("__s")).alias("__earlier"))
+    own = F.sum("__n").over(Window.partitionBy("__h3").orderBy("__b")) - F.col("__n")
+    before = counts.withColumn("__h3", head).withColumn("__own", own).join(heads, "__h3").select("__b", (F.col("__own") + F.col("__earlier")).alias("__before"))
     inner = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "__k"))
     out_df = df.withColumn("__r", inner).join(before, "__b").withColumn(out, (F.col("__before") + F.col("__r") - 1).cast("long"))
     return out_df.drop("__k", "__h", "__b", "__r", "__before")
@@ -114,15 +122,6 @@ def attach_vector(df: DataFrame, vector: DataFrame, row_no: str, name: str, mism
     return df.join(values, row_no).crossJoin(F.broadcast(checked)).drop("__one")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join in which null keys match each other."""
-    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(named, same).drop(*[f"__{k}" for k in keys])
-
-
 def large_groups(df: DataFrame, by: Sequence[str], least: int, out: str = "group_n") -> DataFrame:
     """Rows of groups with at least ``least`` rows, with the group's size."""
     sizes = df.groupBy(*by).agg(F.count("*").alias(out)).where(F.col(out) >= least)
@@ -131,7 +130,7 @@ def large_groups(df: DataFrame, by: Sequence[str], least: int, out: str = "group
 
 def quantile_trim(df: DataFrame, by: Sequence[str], value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Rows within the group's interpolated quantiles, bounds included."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("__q"))
+    bounds = quantiles(df, by, value, [low, high], "__q")
     return df.join(bounds, list(by)).where(F.col(value).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
@@ -146,9 +145,9 @@ def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def first_appearance(df: DataFrame, key: str, order: str, out: str = "rank") -> DataFrame:
     """(key, rank from 1) by the first row in which a key appears: minima first, so
-    only the keys are sorted."""
+    only the keys are sorted, by ranges."""
     firsts = df.groupBy(key).agg(F.min(order).alias("__f"))
-    return firsts.select(key, F.row_number().over(Window.orderBy("__f", key)).alias(out))
+    return ranks(firsts, ["__f", key], out).select(key, out)
 
 
 def chosen_stories(df: DataFrame, story: str, order: str, ids: Sequence | None = None, numbers: Sequence[int] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import quantiles, with_quantiles
+
 Z95 = 1.96
 
 
@@ -29,9 +31,9 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
-        F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"),  # one map of values for all
         F.max(value).alias("max"),
     )
+    out = with_quantiles(out, df, by, value, [0.25, 0.5, 0.75], "__q")
     quartiles = [F.col("__q")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75"))]
     return out.select(*by, "count", "mean", "std", "min", *quartiles, "max")
 
@@ -54,7 +56,8 @@ def accuracy(df: DataFrame, correct: Column, sets: Sequence[Sequence[str]]) -> D
 
 def posterior_summary(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median, central 95 % interval, share above zero, and the sign that this share supports."""
-    s = draws.groupBy(*by).agg(F.percentile(value, [0.5, 0.025, 0.975]).alias("__q"), F.avg((F.col(value) > 0).cast("double")).alias("prob_pos"))
+    s = draws.groupBy(*by).agg(F.avg((F.col(value) > 0).cast("double")).alias("prob_pos"))
+    s = with_quantiles(s, draws, by, value, [0.5, 0.025, 0.975], "__q")
     s = s.select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(("median", "q025", "q975"))], "prob_pos")
     s = s.withColumn("significant", (F.col("prob_pos") > 0.975) | (F.col("prob_pos") < 0.025))
     return s.withColumn(
@@ -286,7 +289,7 @@ def kernel_density(df: DataFrame, value: str, grid: Sequence[float], bandwidth:
 
 def box_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     names = ("low", "q1", "median", "q3", "high")
-    s = df.groupBy(*by).agg(F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("__q"))
+    s = with_quantiles(df.select(*by).distinct(), df, by, value, [0.0, 0.25, 0.5, 0.75, 1.0], "__q")
     return s.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 

@@ -215,6 +215,23 @@ def word_spans(spark, sf_dir):
     return align.word_spans(words, parts.withColumnRenamed("tag", "at"), ["conv_id", "turn"])
 
 
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS at_ FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM conversations)),
+  k AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS at_ FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM conversations)),
+  wl AS (SELECT *, length(lower(regexp_replace(word, '[^a-z0-9]', '', 'g'))) AS n FROM w), kl AS (SELECT *, length(lower(regexp_replace(word, '[^a-z0-9]', '', 'g'))) AS n FROM k),
+  wo AS (SELECT *, sum(n) OVER o AS e, sum(n) OVER o - n AS s, row_number() OVER o AS i FROM wl WINDOW o AS (ORDER BY conv_id, turn, at_)),
+  ko AS (SELECT *, sum(n) OVER o AS e, sum(n) OVER o - n AS s, row_number() OVER o AS i, CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'PROPN' WHEN regexp_matches(word, '^[\p{L}\p{N}_]') THEN 'NOUN' ELSE 'PUNCT' END AS tag FROM kl WINDOW o AS (ORDER BY conv_id, turn, at_)),
+  h AS (SELECT wo.i, arg_min(ko.tag, ko.i) AS tag FROM wo JOIN ko ON ko.s < wo.e AND ko.e > wo.s GROUP BY 1),
+  m AS (SELECT s, arg_max(tag, i) AS tag FROM ko GROUP BY 1),
+  f AS (SELECT wo.i, m.tag FROM wo ASOF JOIN m ON wo.s >= m.s)
+  SELECT conv_id, turn, CAST(at_ AS INT) AS "at", coalesce(h.tag, f.tag) AS tag FROM wo LEFT JOIN h USING (i) LEFT JOIN f USING (i)""")
+def aligned_tags(spark, sf_dir):
+    """Words between blanks and tokens with tags, aligned by letters through the whole table."""
+    cut = lambda pattern: table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("at", "word"))
+    tag = F.when(F.col("word").rlike("^[A-Z]"), "PROPN").when(F.col("word").rlike(r"^[\p{L}\p{N}_]"), "NOUN").otherwise("PUNCT")
+    tokens = cut(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]").withColumn("tag", tag)
+    return align.aligned_tags(cut(r"[^ \t\n\r]+"), tokens, ["conv_id", "turn", "at"]).select("conv_id", "turn", "at", "tag")
+
+
 @query("""WITH r AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), l AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'view'),
   first_ AS (SELECT user_id, arg_min(event_id, ts) AS first_id FROM r GROUP BY 1)
   SELECT l.event_id, coalesce(r.event_id, first_id) AS view_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts LEFT JOIN first_ ON l.user_id = first_.user_id""")

@@ -174,7 +174,7 @@ def test_expand_tokens_rejects_bad_counts(spark):
 def test_overlap_and_as_of(spark):
     a = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 100, 100), (1, 2, 100, 130)], "g int, at int, start int, end int")
     b = spark.createDataFrame([(1, 10, 90, "x"), (1, 95, 120, "y")], "g int, start int, end int, tag string")
-    got = sorted((r["at"], r.r_tag) for r in align.overlaps(a, b, ["g"], bucket=16).collect())
+    got = sorted((r["at"], r.r_tag) for r in align.overlaps(a, b, ["g"]).collect())
     assert got == [(0, "x"), (0, "y"), (2, "y")]
     tagged = {r["at"]: r.tag for r in align.tag_words(a, b, ["g"]).collect()}
     assert tagged == {0: "x", 1: "y", 2: "y"}  # the empty word takes the last one at or before it
