@@ -89,10 +89,19 @@ def quantiles(
     return done
 
 
-def with_quantiles(df: DataFrame, of: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles") -> DataFrame:
-    """Add to a table of groups the quantiles of the rows ``of`` each group; null where all values are."""
-    found = quantiles(of, by, value, probs, out)
-    return join_null_safe(df, found, by, "left") if by else df.join(F.broadcast(found), how="left")
+def summarised(
+    df: DataFrame, by: Sequence[str], value: str, aggregates: Sequence[Column], probs: Sequence[float], out: str = "quantiles"
+) -> DataFrame:
+    """(by, aggregates of ``value``, array of its exact quantiles): a row a group, quantiles null where all values are.
+
+    The values are written first, so what leads to them is run once.
+    """
+    rows = written(df.select(*by, value), "values")
+    base, found = rows.groupBy(*by).agg(*aggregates), quantiles(rows, by, value, probs, out)
+    done = written(join_null_safe(base, found, by, "left") if by else base.join(F.broadcast(found), how="left"), "summary")
+    forget(rows)
+    forget(found)
+    return done
 
 
 def as_of(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranges import quantiles, with_quantiles
+from .ranges import summarised
 
 Z95 = 1.96
 
@@ -26,14 +26,14 @@ def mean_ci(df: DataFrame, by: Sequence[str], value: str, z: float = Z95) -> Dat
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """count, mean, std, min, interpolated quartiles, max."""
-    out = df.groupBy(*by).agg(
+    aggregates = [
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-    )
-    out = with_quantiles(out, df, by, value, [0.25, 0.5, 0.75], "__q")
+    ]
+    out = summarised(df, by, value, aggregates, [0.25, 0.5, 0.75], "__q")
     quartiles = [F.col("__q")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75"))]
     return out.select(*by, "count", "mean", "std", "min", *quartiles, "max")
 
@@ -56,8 +56,8 @@ def accuracy(df: DataFrame, correct: Column, sets: Sequence[Sequence[str]]) -> D
 
 def posterior_summary(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median, central 95 % interval, share above zero, and the sign that this share supports."""
-    s = draws.groupBy(*by).agg(F.avg((F.col(value) > 0).cast("double")).alias("prob_pos"))
-    s = with_quantiles(s, draws, by, value, [0.5, 0.025, 0.975], "__q")
+    above = F.avg((F.col(value) > 0).cast("double")).alias("prob_pos")
+    s = summarised(draws, by, value, [above], [0.5, 0.025, 0.975], "__q")
     s = s.select(*by, *[F.col("__q")[i].alias(q) for i, q in enumerate(("median", "q025", "q975"))], "prob_pos")
     s = s.withColumn("significant", (F.col("prob_pos") > 0.975) | (F.col("prob_pos") < 0.025))
     return s.withColumn(
@@ -287,58 +287,55 @@ def kernel_density(df: DataFrame, value: str, grid: Sequence[float], bandwidth:
     return points.groupBy("x").agg(F.greatest(F.avg(kernel), F.lit(0.0)).alias("density"))
 
 
-def box_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    names = ("low", "q1", "median", "q3", "high")
-    s = with_quantiles(df.select(*by).distinct(), df, by, value, [0.0, 0.25, 0.5, 0.75, 1.0], "__q")
-    return s.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+def automatic_bins(df: DataFrame, value: str) -> tuple[float, float, int]:
+    """(low, high, bins): the narrower of the widths by Freedman and Diaconis (2 IQR / cube
+    root of n) and Sturges (range / (log2 n + 1)); the latter if the quartiles agree."""
+    found = describe(df, [], value).first()
+    n, low, high = found["count"], found["min"], found["max"]
+    if not n or low == high:
+        return (low or 0.0) - 0.5, (high or 0.0) + 0.5, 1
+    width, iqr = (high - low) / (math.log2(n) + 1), found["q75"] - found["q25"]
+    if iqr > 0:
+        width = min(width, 2 * iqr / n ** (1 / 3))
+    return float(low), float(high), math.ceil((high - low) / width)
 
 
-def indicators(values: Sequence) -> tuple[np.ndarray, list]:
-    """One column a level, in sorted order."""
-    codes, levels = pd.factorize(pd.Series(values), sort=True)
-    return np.eye(len(levels))[codes], list(levels)
+def automatic_histogram(df: DataFrame, value: str) -> DataFrame:
+    """(bin, from, to, n, density) of the automatic bins that hold a value."""
+    low, high, bins = automatic_bins(df, value)
+    width = (high - low) / bins
+    h = histogram(df, [], value, low, high, bins)
+    return h.select("bin", (F.col("bin") * width + low).alias("from"), ((F.col("bin") + 1) * width + low).alias("to"), "n", "density")
 
 
-def gibbs(
-    y: np.ndarray, fixed: np.ndarray, groups: Sequence[tuple[Sequence, np.ndarray]], draws: int = 2000, warm_up: int = 1000, seed: int = 1
-) -> dict[str, np.ndarray]:
-    """Draws of a linear mixed model y ~ fixed + (slopes | group) + ..., by Gibbs sampling.
+def automatic_density(
+    df: DataFrame, value: str, points: int = 200, cut: float = 3.0, least: float | None = None, most: float | None = None, cells: int = 4096
+) -> DataFrame:
+    """(x, density): Gaussian kernel density at evenly spaced points from ``cut`` bandwidths
+    below the least value to as many above the largest, within ``least`` and ``most``.
 
-    ``groups``: for each factor its values and the matrix of its slopes (ones for an
-    intercept, ``indicators`` for 0 + factor); slopes vary independently. Normal
-    priors on coefficients (variance 100), inverse-gamma (2, 1) on variances. For
-    summary tables of at most some thousand rows, on the driver. Result: "b" (draws x
-    coefficients), "sigma", and for factor k "u{k}" (draws x levels x slopes) and "sd{k}".
+    The bandwidth is Scott's: sd * n^(-1/5). Each value is shared by the two nearest
+    of ``cells`` places, so rows cost two terms each, and then places cost terms at
+    points: no product of rows and points. Empty where the deviation is null or zero.
     """
-    rng, y, fixed = np.random.default_rng(seed), np.asarray(y, float), np.asarray(fixed, float)
-    coded = [(pd.factorize(pd.Series(g), sort=True), np.asarray(z, float).reshape(len(y), -1)) for g, z in groups]
-    u = [np.zeros((len(levels), z.shape[1])) for (_, levels), z in coded]
-    t2, s2, out = [np.ones(z.shape[1]) for _, z in coded], 1.0, []
-    parts = [np.zeros(len(y)) for _ in coded]
-    for k in range(draws + warm_up):
-        cov = np.linalg.inv(fixed.T @ fixed / s2 + np.eye(fixed.shape[1]) / 100)
-        beta = rng.multivariate_normal(cov @ (fixed.T @ (y - sum(parts, np.zeros(len(y)))) / s2), cov)
-        left = y - fixed @ beta
-        for j, ((codes, levels), z) in enumerate(coded):
-            own = left - sum((p for i, p in enumerate(parts) if i != j), np.zeros(len(y)))
-            for level in range(len(levels)):
-                at = codes == level
-                cov = np.linalg.inv(z[at].T @ z[at] / s2 + np.diag(1 / t2[j]))
-                u[j][level] = rng.multivariate_normal(cov @ (z[at].T @ own[at]) / s2, cov)
-            parts[j] = np.einsum("ij,ij->i", z, u[j][codes])
-            t2[j] = (1 + (u[j] ** 2).sum(axis=0) / 2) / rng.gamma(2 + len(levels) / 2, size=z.shape[1])
-        e = left - sum(parts, np.zeros(len(y)))
-        s2 = (1 + e @ e / 2) / rng.gamma(2 + len(y) / 2)
-        if k >= warm_up:
-            out.append((beta, math.sqrt(s2), [x.copy() for x in u], [np.sqrt(t) for t in t2]))
-    found = {"b": np.array([o[0] for o in out]), "sigma": np.array([o[1] for o in out])}
-    for j in range(len(coded)):
-        found |= {f"u{j}": np.array([o[2][j] for o in out]), f"sd{j}": np.array([o[3][j] for o in out])}
-    return found
-
-
-def gibbs_random_intercept(rows: pd.DataFrame, y: str, x: str, group: str, draws: int = 2000, warm_up: int = 1000, seed: int = 1) -> pd.DataFrame:
-    """Draws of y ~ x + (1 | group) for a small result table."""
-    fixed = np.column_stack([np.ones(len(rows)), rows[x].to_numpy(float)])
-    found = gibbs(rows[y].to_numpy(float), fixed, [(rows[group], np.ones(len(rows)))], draws, warm_up, seed)
-    return pd.DataFrame({"intercept": found["b"][:, 0], x: found["b"][:, 1], "sigma": found["sigma"], f"sd_{group}": found["sd0"][:, 0]})
+    s = df.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high")).first()
+    if not s["n"] or not s["sd"]:
+        return df.sparkSession.createDataFrame([], "x double, density double")
+    width = s["sd"] * s["n"] ** -0.2
+    first, last = s["low"] - cut * width, s["high"] + cut * width
+    first, last = first if least is None else max(first, least), last if most is None else min(last, most)
+    step = (s["high"] - s["low"]) / (cells - 1)
+    place = (F.col(value).cast("double") - s["low"]) / step
+    cell = F.least(F.floor(place), F.lit(cells - 2))
+    shares = F.array(F.struct(cell.alias("cell"), (cell + 1 - place).alias("w")), F.struct((cell + 1).alias("cell"), (place - cell).alias("w")))
+    mass = df.where(F.col(value).isNotNull()).select(F.inline(shares)).groupBy("cell").agg(F.sum("w").alias("w"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k * ((last - first) / (points - 1)) + first)
+    kernel = F.exp(-F.pow((F.col("x") - (F.col("cell") * step + s["low"])) / width, F.lit(2.0)) / 2)
+    out = mass.withColumn("x", F.explode(grid)).groupBy("x").agg(F.sum(F.col("w") * kernel).alias("__s"))
+    return out.select("x", (F.col("__s") / (s["n"] * width * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def box_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    names = ("low", "q1", "median", "q3", "high")
+    s = summarised(df, by, value, [F.count("*").alias("__n")], [0.0, 0.25, 0.5, 0.75, 1.0], "__q")
+    return s.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import align
+from ..operators import align, ranges
 from ..shared import shared_path
 from ..sources import readers, writers
 from .registry import query, rounded, table
@@ -156,5 +156,5 @@ def text_line_files(spark, sf_dir):
     path = shared_path(spark, "lines")
     writers.text_lines(table(spark, sf_dir, "part"), "p_name", path, ["p_partkey"])
     got = readers.documents(spark, path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return got.select(F.row_number().over(Window.orderBy(name, "doc_id")).cast("long").alias("row_no"), "text")
+    got = got.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return ranges.ranks(got, ["name", "doc_id"], "row_no").select("row_no", "text")

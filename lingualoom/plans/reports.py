@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frames, report, stats
+from ..shared import written
 from .registry import query, rounded, table
 
 
@@ -109,6 +110,17 @@ def histogram_density(spark, sf_dir):
     return rounded(stats.histogram(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", 0, 50, 10))
 
 
+@query()
+def mixed_model_summary(spark, sf_dir):
+    """l_discount ~ log quantity + (1 | return flag) + (1 | line number): four chains, their summary and R-hat."""
+    from ..operators import mixed
+
+    rows = table(spark, sf_dir, "lineitem").select("l_discount", F.ln("l_quantity").alias("log_quantity"), "l_returnflag", "l_linenumber")
+    one = [mixed.INTERCEPT]
+    draws = mixed.mixed_model(rows, "l_discount", [*one, "log_quantity"], {"l_returnflag": one, "l_linenumber": one}, draws=500, warm_up=200)
+    return mixed.model_summary(written(draws, "draws"))
+
+
 GRID = [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import align, context, score, spans
-from ..shared import spread
+from ..operators import align, context, score, spans, stats
+from ..shared import spread, written
 from .registry import query, rounded, table
 
 PRON = ("the", "der", "la", "el", "le", "it", "he")
@@ -71,20 +71,43 @@ def mention_starts(spark, sf_dir):
     return s.groupBy("doc").agg(F.sum("n").alias("starts"), F.count("*").alias("chains"))
 
 
-@query(f"""WITH {TOKENS_SQL}, c AS (SELECT DISTINCT doc, lower(word) AS chain, pos FROM tok WHERE length(word) >= 3),
+DISTANCES_SQL = f"""{TOKENS_SQL}, c AS (SELECT DISTINCT doc, lower(word) AS chain, pos FROM tok WHERE length(word) >= 3),
   g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc, chain ORDER BY pos) AS g FROM c),
   m AS (SELECT doc, chain, min(pos) AS s, max(pos) + 1 AS e, chain IN {PRON} AS lone FROM g GROUP BY doc, chain, g),
-  d AS (SELECT doc, e - coalesce(last_value(CASE WHEN NOT lone THEN s END IGNORE NULLS) OVER w, first_value(s) OVER w) AS distance FROM m
-    WINDOW w AS (PARTITION BY doc, chain ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT count(*) AS count, round(avg(distance), 6) AS mean, round(stddev_samp(distance), 6) AS std, CAST(min(distance) AS BIGINT) AS min, round(quantile_cont(distance, 0.25), 6) AS q25,
-  round(quantile_cont(distance, 0.5), 6) AS q50, round(quantile_cont(distance, 0.75), 6) AS q75, CAST(max(distance) AS BIGINT) AS max FROM d WHERE distance IS NOT NULL""")
-def coref_distance(spark, sf_dir):
-    from ..operators.stats import describe
+  dn AS (SELECT doc, e - coalesce(last_value(CASE WHEN NOT lone THEN s END IGNORE NULLS) OVER w, first_value(s) OVER w) AS distance FROM m
+    WINDOW w AS (PARTITION BY doc, chain ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  d AS (SELECT doc, distance FROM dn WHERE distance IS NOT NULL)"""
+
 
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(distance): from each mention to the last one of its chain."""
     words = doc_words(spark, sf_dir).withColumn("chain", F.explode("chains"))
     m = spans.islands(words, ["doc", "chain"], "pos", unique=True).withColumn("lone", F.col("chain").isin(*PRON))
-    d = spans.previous_mention_distance(m, ["doc", "chain"], "lone").withColumn("distance", F.col("distance").cast("long"))
-    return rounded(describe(d, [], "distance"))
+    return spans.previous_mention_distance(m, ["doc", "chain"], "lone").select(F.col("distance").cast("long").alias("distance"))
+
+
+@query(f"""WITH {DISTANCES_SQL}
+  SELECT count(*) AS count, round(avg(distance), 6) AS mean, round(stddev_samp(distance), 6) AS std, CAST(min(distance) AS BIGINT) AS min, round(quantile_cont(distance, 0.25), 6) AS q25,
+  round(quantile_cont(distance, 0.5), 6) AS q50, round(quantile_cont(distance, 0.75), 6) AS q75, CAST(max(distance) AS BIGINT) AS max FROM d""")
+def coref_distance(spark, sf_dir):
+    return rounded(stats.describe(distances(spark, sf_dir), [], "distance"))
+
+
+@query(f"""WITH {DISTANCES_SQL}, s AS (SELECT count(*) AS n, min(distance) AS low, max(distance) AS high, quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS iqr FROM d),
+  b AS (SELECT *, CAST(ceil((high - low) / least((high - low) / (log2(n) + 1), CASE WHEN iqr > 0 THEN 2 * iqr / pow(n, 1 / 3.0) ELSE high - low END)) AS INT) AS bins FROM s),
+  h AS (SELECT least(CAST(floor((distance - low) / ((high - low) / bins)) AS INT), bins - 1) AS bin, count(*) AS k FROM d, b GROUP BY 1)
+  SELECT bin, round(low + bin * (high - low) / bins, 6) AS "from", round(low + (bin + 1) * (high - low) / bins, 6) AS "to", k AS n, round(k / (n * (high - low) / bins), 6) AS density FROM h, b""")
+def distance_histogram(spark, sf_dir):
+    return rounded(stats.automatic_histogram(written(distances(spark, sf_dir).dropna(), "distances"), "distance"))
+
+
+@query(f"""WITH {DISTANCES_SQL}, s AS (SELECT count(*) AS n, min(distance) AS low, max(distance) AS high, stddev_samp(distance) * pow(count(*), -0.2) AS bw, (max(distance) - min(distance)) / 4095.0 AS step FROM d),
+  p AS (SELECT (distance - low) / step AS place, least(floor((distance - low) / step), 4094) AS cell FROM d, s),
+  w AS (SELECT cell, sum(w) AS w FROM (SELECT cell, cell + 1 - place AS w FROM p UNION ALL SELECT cell + 1, place - cell FROM p) GROUP BY 1),
+  x AS (SELECT greatest(low - 3 * bw, 0) + k * (high + 3 * bw - greatest(low - 3 * bw, 0)) / 199 AS x FROM s, (SELECT unnest(range(0, 200)) AS k))
+  SELECT round(x, 6) AS x, round(sum(w.w * exp(-pow((x - (w.cell * step + low)) / bw, 2) / 2)) / any_value(n * bw) / sqrt(2 * pi()), 6) AS density FROM x, w, s GROUP BY x""")
+def distance_density(spark, sf_dir):
+    return rounded(stats.automatic_density(written(distances(spark, sf_dir).dropna(), "distances"), "distance", least=0.0))
 
 
 SPANS_SQL = "sp AS (SELECT DISTINCT l_orderkey AS grp, l_linenumber AS s, l_linenumber + 1 + CAST(l_quantity AS INT) % 4 AS e FROM lineitem)"

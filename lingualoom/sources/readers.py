@@ -1,7 +1,6 @@
 """Readers: text, annotation tables, records, tables and score vectors.
 
-Whole-text readers keep line numbers, which distributed line readers don't. A
-file is one document there, so each fits a task.
+Line-based readers split files into byte ranges and keep physical line numbers.
 """
 
 from __future__ import annotations
@@ -18,11 +17,31 @@ RECORD = (
 MISSING = ("", "NA", ".")
 
 
-def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, line_no from 1, line) of whole files."""
-    df = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
-    text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    return df.select(F.col("file_path").alias("path"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+def _lines(spark: SparkSession, path: str | Sequence[str], kept: Column | None = None) -> DataFrame:
+    """(path, line_no from 1, line) of text files; with ``kept``, only lines of which it
+    holds, and ``ordinal``, their number among these.
+
+    Files are read in byte ranges, as many tasks as there are: lines are counted by
+    range, the counts of earlier ranges of a file are summed, and a line's number is
+    that sum and its place in the range. CR, LF and both end a line; a byte-order
+    mark is dropped.
+    """
+    where = ["path", "__block"]
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line")
+    )
+    hit = F.lit(True) if kept is None else kept
+    blocks = rows.groupBy(*where).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"), F.count_if(hit).alias("__k"))
+    over = Window.partitionBy("path").orderBy("__block")  # a row a range
+    blocks = blocks.select(
+        *where, (F.sum("__n").over(over) - F.col("__n") - F.col("__first") + 1).alias("__shift"), (F.sum("__k").over(over) - F.col("__k")).alias("__before")
+    )
+    if kept is not None:
+        rows = rows.where(kept).withColumn("__rank", F.row_number().over(Window.partitionBy(*where).orderBy("__id")))
+    out = rows.join(blocks, where)
+    number = (F.col("__id") + F.col("__shift")).cast("int").alias("line_no")
+    line = F.when(F.col("__id") + F.col("__shift") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line")
+    return out.select("path", number, line, *([(F.col("__before") + F.col("__rank")).cast("int").alias("ordinal")] if kept is not None else []))
 
 
 def number_in_name(path: Column, pattern: str, offset: int = 0) -> Column:
@@ -41,9 +60,10 @@ def corpora(spark: SparkSession, folder: str, supported: Sequence[str], suffix:
 def documents(spark: SparkSession, path: str, ordinal: bool = False) -> DataFrame:
     """(path, doc_id, text): a document a non-blank line, numbered by physical line,
     or with ``ordinal`` by its place among the non-blank ones."""
-    rows = _lines(spark, path).where(F.trim("line") != "")
     if ordinal:
-        return rows.select("path", F.row_number().over(Window.partitionBy("path").orderBy("line_no")).alias("doc_id"), F.col("line").alias("text"))
+        rows = _lines(spark, path, F.trim("line") != "")
+        return rows.select("path", F.col("ordinal").alias("doc_id"), F.col("line").alias("text"))
+    rows = _lines(spark, path).where(F.trim("line") != "")
     return rows.select("path", F.col("line_no").alias("doc_id"), F.trim("line").alias("text"))
 
 
@@ -121,12 +141,12 @@ def inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def score_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(model, n_gram, row_no, value) of <model>/context_<n>.txt files, a number a line."""
-    rows = _lines(spark, path).where(F.trim("line") != "")
+    rows = _lines(spark, path, F.trim("line") != "")
     parts = F.split("path", "/")
     return rows.select(
         F.element_at(parts, -2).alias("model"),
         number_in_name(F.col("path"), r"context_(\d+)\.txt").alias("n_gram"),
-        F.row_number().over(Window.partitionBy("path").orderBy("line_no")).alias("row_no"),
+        F.col("ordinal").alias("row_no"),
         F.trim("line").cast("double").alias("value"),
     )
 
