@@ -289,14 +289,13 @@ def kernel_density(df: DataFrame, value: str, grid: Sequence[float], bandwidth:
 
 def automatic_bins(df: DataFrame, value: str) -> tuple[float, float, int]:
     """(low, high, bins): the narrower of the widths by Freedman and Diaconis (2 IQR / cube
-    root of n) and Sturges (range / (log2 n + 1)); the latter if the quartiles agree."""
+    root of n, range / (2 root of n) at least) and Sturges (range / (log2 n + 1))."""
     found = describe(df, [], value).first()
     n, low, high = found["count"], found["min"], found["max"]
     if not n or low == high:
         return (low or 0.0) - 0.5, (high or 0.0) + 0.5, 1
-    width, iqr = (high - low) / (math.log2(n) + 1), found["q75"] - found["q25"]
-    if iqr > 0:
-        width = min(width, 2 * iqr / n ** (1 / 3))
+    wide, iqr = high - low, found["q75"] - found["q25"]
+    width = min(max(2 * iqr / n ** (1 / 3), wide / math.sqrt(n) / 2), wide / (math.log2(n) + 1))
     return float(low), float(high), math.ceil((high - low) / width)
 
 

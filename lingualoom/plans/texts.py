@@ -94,7 +94,7 @@ def coref_distance(spark, sf_dir):
 
 
 @query(f"""WITH {DISTANCES_SQL}, s AS (SELECT count(*) AS n, min(distance) AS low, max(distance) AS high, quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS iqr FROM d),
-  b AS (SELECT *, CAST(ceil((high - low) / least((high - low) / (log2(n) + 1), CASE WHEN iqr > 0 THEN 2 * iqr / pow(n, 1 / 3.0) ELSE high - low END)) AS INT) AS bins FROM s),
+  b AS (SELECT *, CAST(ceil((high - low) / least((high - low) / (log2(n) + 1), greatest(2 * iqr / pow(n, 1 / 3.0), (high - low) / sqrt(n) / 2))) AS INT) AS bins FROM s),
   h AS (SELECT least(CAST(floor((distance - low) / ((high - low) / bins)) AS INT), bins - 1) AS bin, count(*) AS k FROM d, b GROUP BY 1)
   SELECT bin, round(low + bin * (high - low) / bins, 6) AS "from", round(low + (bin + 1) * (high - low) / bins, 6) AS "to", k AS n, round(k / (n * (high - low) / bins), 6) AS density FROM h, b""")
 def distance_histogram(spark, sf_dir):

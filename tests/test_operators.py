@@ -305,22 +305,6 @@ def test_ngram_backs_off(spark):
     assert math.isclose(got[0], -math.log2(0.4 * 3 / 6)) and math.isclose(got[3], -math.log2(1 / 2)) and math.isclose(got[5], -math.log2(0.4 * 1 / 6))
 
 
-def test_gibbs_of_slopes_by_group_and_two_intercepts():
-    rng = np.random.default_rng(6)
-    pos, corpus, model = rng.integers(0, 3, 600), rng.integers(0, 5, 600), rng.integers(0, 4, 600)
-    x, levels = stats.indicators(pos)
-    assert levels == [0, 1, 2] and (x.sum(axis=1) == 1).all()
-    slopes = rng.normal(0, 0.3, (5, 3))
-    y = x @ [1.0, -1.0, 2.0] + np.einsum("ij,ij->i", x, slopes[corpus]) + 0.2 * rng.normal(size=600)
-    got = stats.gibbs(y, x, [(corpus, x)], 400, 200)
-    of_group = got["b"].mean(axis=0) + got["u0"].mean(axis=0)
-    assert np.abs(of_group - (np.array([1.0, -1.0, 2.0]) + slopes)).max() < 0.12 and abs(got["sigma"].mean() - 0.2) < 0.03
-    a, b = rng.normal(0, 0.5, 5), rng.normal(0, 0.5, 4)
-    z = rng.normal(size=600)
-    got = stats.gibbs(3 * z + a[corpus] + b[model] + 0.1 * rng.normal(size=600), np.column_stack([np.ones(600), z]), [(corpus, np.ones(600)), (model, np.ones(600))], 400, 200)
-    assert abs(got["b"][:, 1].mean() - 3) < 0.02
-
-
 def test_vectors_of_another_length(spark):
     a = spark.createDataFrame([(0, "x"), (1, "y")], "row_no int, w string")
     v = spark.createDataFrame([(0, 1.0)], "row_no int, value double")
@@ -345,15 +329,6 @@ def test_null_keys_match(spark):
     assert sorted((r.x, r.y) for r in frames.join_null_safe(a, b, ["k"]).collect()) == [(1, 10), (2, 20)]
 
 
-def test_gibbs_recovers_a_slope():
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=200)
-    g = np.repeat(list("abcd"), 50)
-    y = 1 + 2 * x + pd.Series(g).map({"a": 0.5, "b": -0.5, "c": 0.2, "d": -0.2}).to_numpy() + 0.1 * rng.normal(size=200)
-    draws = stats.gibbs_random_intercept(pd.DataFrame({"y": y, "x": x, "g": g}), "y", "x", "g", 500, 200)
-    assert abs(draws["x"].median() - 2) < 0.05
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from lingualoom.streaming.outcomes import windowed_outcomes
 

@@ -104,15 +104,6 @@ def test_corpora(spark, put, tmp_path):
     assert sorted(r.corpus for r in readers.corpora(spark, str(tmp_path), ["ns", "brown", "provo"]).collect()) == ["brown", "ns"]
 
 
-def test_settings(put):
-    from lingualoom.sources import settings
-
-    held = {"KEPT": "old"}
-    settings.load(put("env", '# note\n\nKEPT=new\nNAME = "a=b" \nnothing\nEMPTY=\n'), held)
-    settings.load("/nowhere/env", held)
-    assert held == {"KEPT": "old", "NAME": "a=b", "EMPTY": ""}
-
-
 def test_one_file_a_document(spark, tmp_path):
     df = spark.createDataFrame([("a b", 2, "y"), ("a b", 1, "x"), ("c/d", 1, "z")], "name string, k int, line string")
     writers.document_files(df, F.col("line"), F.concat("name", F.lit(".txt")), f"file://{tmp_path}/out", ["k"])
