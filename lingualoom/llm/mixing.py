@@ -1,15 +1,16 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The mix is a sequence of 2**m slots of equal word counts. Slot k lies at the
-k-th van der Corput point (the m bits of k in reverse); the cumulative target
-shares map that point to a source, and the r-th slot of a source takes that
-source's r-th block. A source's blocks are cut from its stream: its documents,
-shuffled by a seeded key, and then the same once more, so that a document is
-taken at most twice. Nothing but the slots decides what is taken; as the first
-2**m points lie evenly, a source's words are within one block of its target.
-
-A block has BLOCK words or less: 2**m slots are the fewest that allow it, but
-2**LEAST_BITS at least, where there are as many words.
+The mix is a sequence of K slots of equal word counts. Slot k lies at the k-th
+van der Corput point (the POINT_BITS bits of k in reverse, as a fraction); the
+cumulative target shares map that point to a source, and the r-th slot of a
+source takes that source's r-th block. A source's blocks are cut from its
+stream: its documents, shuffled by a seeded key, and then the same once more, so
+that a document is taken at most twice. How many slots a source gets is what
+the first K points give it: nothing else decides what is taken. Of the first K
+points an interval of length s holds K * s, up to 2 * log2(K + 1), so a source's
+words are within so many blocks of its target.
+
+A block has BLOCK words, or less where that would make fewer than SLOTS slots.
 
 Defined results: a null source is a source of its own and comes last; a null
 text has size 0; documents of size 0 are never taken; repeated rows are
@@ -29,21 +30,22 @@ from .support import WORD, buckets_for, key_bucket, row_key, running_sum, source
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Words of a block at most, and bits of the number of slots at least.
-BLOCK = 1024
-LEAST_BITS = 16
-#: The points are cut into 2**CELL_BITS cells to find a point's source by an equi-join.
+#: Words of a block at most, and slots at least where there are as many words.
+BLOCK = 256
+SLOTS = 10_000
+#: Bits of a point; the points are cut into 2**CELL_BITS cells to find a point's source by an equi-join.
+POINT_BITS = 52
 CELL_BITS = 12
 
 
-def slot_bits(words: int, block: int = BLOCK, least: int = LEAST_BITS) -> int:
-    """m: the mix has 2**m slots, each of ``block`` words or less and one word or more."""
-    return max(0, min(words.bit_length() - 1, max(least, (-(-words // block) - 1).bit_length())))
+def slot_count(words: int, block: int = BLOCK, least: int = SLOTS) -> int:
+    """K: the mix has so many slots, each of ``block`` words or less and one word or more."""
+    return min(words, max(least, -(-words // block)))
 
 
-def radical_inverse(k: Column, bits: int) -> Column:
+def radical_inverse(k: Column, bits: int = POINT_BITS) -> Column:
     """The van der Corput point of k in base 2, as a multiple of 2**-bits: its bits in reverse."""
-    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -68,28 +70,27 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return s.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(full)).select("source_key", "source_size", "target")
 
 
-def schedule(sources: DataFrame, bits: int, step: float) -> DataFrame:
+def schedule(sources: DataFrame, slots: int, words: int) -> DataFrame:
     """(slot, source_key, block): which block of which source each slot of the mix takes.
 
-    ``sources`` has (source_key, quota), the quotas adding up to ``step`` * 2**bits words.
+    ``sources`` has (source_key, quota), the quotas adding up to ``words``.
     """
     upto = F.sum("quota").over(Window.orderBy("source_key"))
-    point = lambda words: F.ceil(words.cast("double") / F.lit(step)).cast("long")
+    point = lambda w: F.ceil(w.cast("double") / F.lit(float(words)) * F.lit(float(1 << POINT_BITS))).cast("long")
     shares = sources.where("quota > 0").select("source_key", point(upto - F.col("quota")).alias("from"), point(upto).alias("to")).where("from < to")
-    shift = max(0, bits - CELL_BITS)
+    shift = POINT_BITS - CELL_BITS
     cells = shares.withColumn("cell", F.explode(F.sequence(F.shiftright("from", shift), F.shiftright(F.col("to") - 1, shift))))
     spark = sources.sparkSession
-    n = 1 << bits
-    points = spark.range(n).select(F.col("id").alias("slot"), radical_inverse(F.col("id"), bits).alias("point"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), radical_inverse(F.col("id")).alias("point"))
     given = points.withColumn("cell", F.shiftright("point", shift)).join(cells, "cell").where("point >= from AND point < to").select("slot", "source_key")
-    width = -(-n // buckets_for(spark, n))
+    width = -(-slots // buckets_for(spark, slots))
     given = given.withColumn("bucket", F.expr(f"slot div {width}L"))
     return running_sum(given, group=["source_key"], bucket="bucket", order=["slot"], measure=F.lit(1), name="block").select("slot", "source_key", "block")
 
 
 def mix(
     df: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", block: int = BLOCK,
-    least_bits: int = LEAST_BITS, keep: Sequence[str] = (),
+    slots: int = SLOTS, keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """The documents and the pieces of the mix.
 
@@ -113,8 +114,10 @@ def mix(
     sizes = base.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = written(targets(sizes), "mix-sources").withColumn("quota", F.round("target").cast("long"))
     words = sources.agg(F.sum("quota")).first()[0] or 0
-    bits = slot_bits(words, block, least_bits)
-    step = words / (1 << bits)
+    k = slot_count(words, block, slots)
+    step = words / max(1, k)
+    # blocks beyond its quota that the points may give a source
+    beyond = 2 * (k + 1).bit_length() + 2
 
     base = base.withColumn("bucket", key_bucket(F.col("key"), n))
     docs = running_sum(base, group=["source_key"], bucket="bucket", order=["key", "id", "size", "text_key"], measure=F.col("size"), name="start")
@@ -122,14 +125,14 @@ def mix(
 
     edge = lambda b: F.floor(b.cast("double") * F.lit(step)).cast("long")
     spans = docs.where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(MOST)])))
-    spans = spans.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where(F.col("at") < F.col("quota") + 2 * step)
+    spans = spans.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where(F.col("at") < F.col("quota") + beyond * step)
     spans = spans.withColumn("end", F.col("at") + F.col("size"))
     # a block more on either side, for rounding: what doesn't overlap goes
-    reach = F.sequence(F.greatest(F.floor(F.col("at") / F.lit(step)) - 1, F.lit(0)), F.least(F.floor(F.col("end") / F.lit(step)), F.ceil((F.col("quota") + 2) / F.lit(step))) + 1)
+    reach = F.sequence(F.greatest(F.floor(F.col("at") / F.lit(step)) - 1, F.lit(0)), F.least(F.floor(F.col("end") / F.lit(step)), F.ceil(F.col("quota") / F.lit(step)) + beyond) + 1)
     pieces = spans.withColumn("block", F.explode(reach))
     pieces = pieces.withColumn("from_word", F.greatest("at", edge(F.col("block"))) - F.col("at"))
     pieces = pieces.withColumn("to_word", F.least("end", edge(F.col("block") + 1)) - F.col("at")).where("from_word < to_word")
-    pieces = pieces.join(schedule(sources, bits, step), ["source_key", "block"]) if words else pieces.withColumn("slot", F.col("block")).where("false")
+    pieces = pieces.join(schedule(sources, k, words), ["source_key", "block"]) if words else pieces.withColumn("slot", F.col("block")).where("false")
     return docs, pieces.select("slot", "epoch", "source_key", "block", "id", "start", "size", "source_size", "target", "from_word", "to_word", *keep)
 
 

@@ -191,14 +191,12 @@ filled AS (SELECT source_key, source_size, weight, most, arg_min(level, ROW(most
 goals AS (SELECT source_key, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(most, coalesce(fill, 'inf'::DOUBLE) * weight) END AS target FROM filled),
 quotas AS (SELECT *, CAST(round(target) AS BIGINT) AS quota FROM goals),
 words AS (SELECT CAST(sum(quota) AS BIGINT) AS words FROM quotas),
--- bits of the number of slots
-bits AS (SELECT words, greatest(0, least(length(bin(words)) - 1, greatest({mixing.LEAST_BITS}, CASE WHEN words <= {mixing.BLOCK} THEN 0 ELSE length(bin((words + {mixing.BLOCK - 1}) // {mixing.BLOCK} - 1)) END))) AS m FROM words),
-slots AS (SELECT m, words / pow(2, m) AS step FROM bits),
+slots AS (SELECT words, k, words / k AS step FROM (SELECT words, least(words, greatest({mixing.SLOTS}, (words + {mixing.BLOCK - 1}) // {mixing.BLOCK})) AS k FROM words)),
 upto AS (SELECT source_key, quota, CAST(sum(quota) OVER (ORDER BY source_key) AS BIGINT) AS upto FROM quotas),
-shares AS (SELECT source_key, ceil((upto - quota)::DOUBLE / step) AS from_, ceil(upto::DOUBLE / step) AS to_ FROM upto, slots WHERE quota > 0),
+shares AS (SELECT source_key, ceil((upto - quota)::DOUBLE / words::DOUBLE * {float(1 << mixing.POINT_BITS)}) AS from_, ceil(upto::DOUBLE / words::DOUBLE * {float(1 << mixing.POINT_BITS)}) AS to_ FROM upto, slots WHERE quota > 0),
 -- van der Corput points: the bits of the slot's number in reverse
-points AS (SELECT CAST(list_sum(list_transform(range(0, m), lambda i: ((k >> i) & 1) << (m - 1 - i))) AS BIGINT) AS point FROM (SELECT m, unnest(range(0, 1::BIGINT << m)) AS k FROM slots)),
-given AS (SELECT source_key, count(*) AS n FROM shares JOIN points ON coalesce(point, 0) >= from_ AND coalesce(point, 0) < to_ GROUP BY source_key),
+points AS (SELECT CAST(list_sum(list_transform(range(0, {mixing.POINT_BITS}), lambda i: ((k >> i) & 1) << ({mixing.POINT_BITS - 1} - i))) AS BIGINT) AS point FROM (SELECT unnest(range(0, k)) AS k FROM slots)),
+given AS (SELECT source_key, count(*) AS n FROM shares JOIN points ON point >= from_ AND point < to_ GROUP BY source_key),
 -- a source's slots take its first blocks
 ends AS (SELECT q.*, coalesce(CAST(floor(n * step) AS BIGINT), 0) AS stop FROM quotas q LEFT JOIN given USING (source_key), slots),
 streams AS (
