@@ -4,9 +4,11 @@ Pages of one host are aligned by simple tree matching. The wrapper is the
 merged tree: each of its slots counts the pages that have it and, in a bounded
 summary (Misra-Gries, so every frequent text is in it), the texts found there.
 The frequent texts are then counted exactly, by aligning every page with the
-wrapper. A text that most pages of a host share at its slot is template; the varying
-texts are content. Tags decide what pages alone can't show: elements which never hold an article (menus, forms, scripts,
-...) are passed over, and pages that mark their article keep to it.
+wrapper. A text that most pages of a host share at its slot is template, inside a
+marked article too; the varying texts are content. Tags settle what is open then:
+elements which never hold an article (menus, forms, scripts, ...) are passed over,
+and pages that mark their article keep to it. Trees are merged in an order that
+follows from their contents, so a wrapper doesn't depend on how pages arrive.
 
 Runs of equal siblings are merged into one node before matching, so a wrapper
 has few nodes however many paragraphs or menu entries the pages have; of more
@@ -403,19 +405,22 @@ def _kept(blocks: list[tuple[Node, Block, str]]) -> list[tuple[Node, Block, str]
 
 
 def main_text(page: str | None, wrapper: Node | None) -> str:
-    """What the wrapper doesn't know as template is content. Tags decide what the
-    wrapper can't: varying texts in elements that never hold an article aren't
-    content, nor is what lies outside a marked article; and in a marked article a
-    text stays though it recurs."""
+    """What the wrapper knows as template goes, inside a marked article too. Tags
+    decide what is left open: varying texts in elements that never hold an article
+    aren't content, nor is what lies outside a marked article. A marked article
+    that would lose more than half of its characters is a near copy of others and
+    stays whole; so does a page of which nothing would be left."""
     if not page:
         return ""
     tree, blocks = tree_of(page)
-    kept = _kept(blocks)
-    if any(b.article for _, b, _ in kept):
-        return "\n\n".join([b.text for _, b, _ in kept if b.article])
     template = {} if wrapper is None else {id(n): w.texts for w, n in aligned(wrapper, tree)}
-    content = [b.text for n, b, h in kept if h not in template.get(id(n), ())]
-    return "\n\n".join(content or [b.text for _, b, _ in kept])
+    kept = _kept(blocks)
+    marked = [x for x in kept if x[1].article]
+    own = [b.text for _, b, _ in marked or kept]
+    content = [b.text for n, b, h in marked or kept if h not in template.get(id(n), ())]
+    if not content or marked and 2 * sum(map(len, content)) < sum(map(len, own)):
+        content = own
+    return "\n\n".join(content)
 
 
 def host(url):
@@ -425,12 +430,13 @@ def host(url):
 
 
 def _joined(last: bool):
-    """A function that merges the trees of a group; the last one keeps texts only that may be template."""
+    """A function that merges the trees of a group, the largest first and then in the order
+    of their contents, however they arrive; the last one keeps texts only that may be template."""
 
     def join(table: pa.Table) -> pa.Table:
         own = None
-        for x in table["tree"]:
-            tree = load(json.loads(x.as_py()))
+        for x in sorted(table["tree"].to_pylist(), key=lambda x: (-len(x), x)):
+            tree = load(json.loads(x))
             own = tree if own is None else merge(own, tree)
         own = candidates(own) if last else own
         return pa.table({"host": table["host"][:1], "part": table["part"][:1], "tree": pa.array([json.dumps(dump(own), separators=(",", ":"))])})
@@ -454,7 +460,7 @@ def induce(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), pa.array(made, pa.string())], names=["host", "digest", "tree"])
 
     own = df.select(host(F.col(url)).alias("host"), F.col(page).alias("page")).where("host IS NOT NULL AND page IS NOT NULL")
-    pages = now = written(spread(own).mapInArrow(trees, "host string, digest long, tree string").dropDuplicates(["host", "digest"]), "page-trees")
+    pages = now = written(spread(own).mapInArrow(trees, "host string, digest long, tree string").groupBy("host", "digest").agg(F.min("tree").alias("tree")), "page-trees")
     most = now.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = 1
     while parts * PAGES_AT_ONCE < most:

@@ -124,6 +124,38 @@ def test_wrapper_against_brute_force_on_pages_without_helpful_tags(spark):
         assert got[page_id].split("\n\n") == [x for p in parts for x in p if share[page_id // 100][x] < 0.7 * 12]
 
 
+def test_wrapper_decides_inside_marked_articles(spark):
+    """Marked and unmarked pages of several hosts against brute force: a text on 70 % of a host's
+    pages is template, in an article too; without wrappers, the notices would stay."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for h in range(3):
+        for k in range(14):
+            own = [f"Paragraph {h} {k} {j} {rng.integers(10**6)} of some length" for j in range(rng.integers(2, 6))]
+            notice = ["Read on in our app"] * bool(rng.random() < 0.85)
+            body = "".join(f"<p>{x}" for x in [*notice, *own, "Share this"])
+            tag = ("article", "main", "div")[h]
+            rows.append((100 * h + k, f"https://h{h}.org/{k}", f"<div>Site {h}</div><{tag}>{body}</{tag}>"))
+            want[100 * h + k] = [[f"Site {h}"] * (tag == "div"), notice, own, ["Share this"]]
+    share = {h: Counter(x for k in range(14) for p in want[100 * h + k] for x in p) for h in range(3)}
+    got = {r.page_id: r.main_text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page_id, parts in want.items():
+        assert got[page_id].split("\n\n") == [x for p in parts for x in p if share[page_id // 100][x] < 0.7 * 14]
+    plain = {k: html.main_text(page, None) for k, _, page in rows}
+    assert all(plain[k] != got[k] and "Share this" in plain[k] for k in plain)
+
+
+def test_wrapper_does_not_depend_on_the_order_of_pages(spark):
+    pages = ["<div>Menu<p>Notice<p>own {}", "<div>Notice<p>Menu<p>own {}", "<div>Menu<p>Notice<p>Menu<p>own {}", "<ul><li>Menu</ul><div>own {}<p>Notice"]
+    rows = [(k, "http://a.org/", page.format(k)) for k, page in enumerate(pages * 2)]
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3], sorted(rows, key=lambda r: r[2])):
+        for parts in (1, 5):
+            df = spark.createDataFrame(order, "page_id long, url string, html string").repartition(parts)
+            seen.add(tuple(sorted((r.page_id, r.main_text) for r in html.extract(df).collect())))
+    assert len(seen) == 1
+
+
 def test_pages_nested_deeply(spark):
     deep = lambda k: "<div>" * 5000 + f"<p>Text {k}" + "</div>" * 2000 + f"<b>{k}"
     rows = [(k, "http://a.org/" if k % 2 else None, deep(k)) for k in range(6)]
