@@ -1,11 +1,9 @@
-"""Text functions. All but the detokenizer are built-in column expressions."""
+"""Text functions, as built-in column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The rules of the annotation format.
 CLOSING = (".", ",", "!", "?", ";", ":", "%", ")", "]", "}", "…")
@@ -117,40 +115,43 @@ def without_fence(reply: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
-#: How a mark joins its neighbours: (to the left, to the right).
-_JOINS = (
-    {t: (True, False) for t in (*CLOSING, *CONTRACTIONS, "”")}
-    | {t: (False, True) for t in (*OPENING, *CURRENCY)}
-    | {t: (True, True) for t in BOTH_SIDES}
-)
-
-
-def detokenized(text: str | None) -> str | None:
-    """Undo the blanks between tokens; quotes open and close in turn."""
-    if text is None:
-        return None
-    words = text.split()
-    joins, double, single = [], False, False
-    for before, word in zip(["", *words], words):
-        left, right = _JOINS.get(word, (False, False))
-        if word == '"':
-            left, right, double = double, not double, not double
-        elif word == "'":
-            opens = not single and not before.lower().endswith("s")
-            left, right = not opens, opens
-            single = opens
-        elif word in ("‘", "’"):
-            single = word == "‘"
-            left, right = not single, single
-        joins.append((left, right))
-    out = []
-    for k, word in enumerate(words):
-        if k and not joins[k][0] and not joins[k - 1][1]:
-            out.append(" ")
-        out.append(word)
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def detokenize(text: pd.Series) -> pd.Series:
-    return text.map(detokenized, na_action="ignore")
+#: Marks that join what stands left or right of them; quotes do so by turns.
+_JOIN_LEFT = (*CLOSING, *CONTRACTIONS, "”", *BOTH_SIDES)
+_JOIN_RIGHT = (*OPENING, *CURRENCY, *BOTH_SIDES)
+_QUOTES = ('"', "'", "‘", "’")
+
+
+def detokenize(text: Column) -> Column:
+    """Undo the blanks between tokens; quotes open and close in turn.
+
+    The turn is a fold over the quotes alone, so a text costs one step a token.
+    """
+    words = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    flags = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
+
+    def turn(state: Column, q: Column) -> Column:
+        word = q["word"]
+        opens_single = ~state["single"] & ~F.coalesce(q["before"], F.lit("")).rlike("[sS]$")
+        opens = F.when(word == '"', ~state["double"]).when(word == "'", opens_single).otherwise(word == "‘")
+        double = F.when(word == '"', ~state["double"]).otherwise(state["double"])
+        single = F.when(word == '"', state["single"]).otherwise(opens)
+        mark = F.struct(q["at"].alias("at"), flags(~opens, opens).alias("joins"))
+        return F.struct(double.alias("double"), single.alias("single"), F.concat(state["marks"], F.array(mark)).alias("marks"))
+
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.get(words, i - 1).alias("before")))
+    quotes = F.filter(placed, lambda q: q["word"].isin(*_QUOTES))
+    none = F.array().cast("array<struct<at:int,joins:struct<left:boolean,right:boolean>>>")
+    start = F.struct(F.lit(False).alias("double"), F.lit(False).alias("single"), none.alias("marks"))
+    turns = F.aggregate(quotes, start, turn, lambda s: F.map_from_entries(s["marks"]))
+    joins = F.transform(
+        words, lambda w, i: F.when(w.isin(*_QUOTES), F.try_element_at(turns, i)).otherwise(flags(w.isin(*_JOIN_LEFT), w.isin(*_JOIN_RIGHT)))
+    )
+    # each is bound once: a lambda over an array of one
+    bound = F.transform(F.array(F.struct(words.alias("words"), joins.alias("joins"))), _spaced)
+    return F.when(text.isNotNull(), F.array_join(bound[0], ""))
+
+
+def _spaced(x: Column) -> Column:
+    """Words with a blank before those that nothing joins to the one before."""
+    joined = lambda i: F.get(x["joins"], i)["left"] | F.get(x["joins"], i - 1)["right"]
+    return F.transform(x["words"], lambda w, i: F.when((i == 0) | joined(i), w).otherwise(F.concat(F.lit(" "), w)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import forget, written
 from .ranges import summarised
 
 Z95 = 1.96
@@ -184,6 +185,75 @@ def coefficients(df: DataFrame, by: Sequence[str], terms: Sequence[str], y: str)
     return stats.mapInPandas(solve, ", ".join([*keys, "term string, estimate double, sigma double"]))
 
 
+def triangles(df: DataFrame, by: Sequence[str], terms: Sequence[str], y: str, block: int = 4096, fan: int = 64) -> DataFrame:
+    """(by, n, r): the triangular factor of (1, terms, y) of each group, row by row.
+
+    A task factors blocks of rows and passes its factors on; groups of ``fan``
+    factors are then stacked and factored again until one is left, so no task holds
+    a group, and nothing is squared.
+    """
+    names, p = [*terms, y], len(terms) + 2
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long, r array<double>, part long"])
+
+    def factor(rows: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.vstack([rows, np.zeros((max(0, p - len(rows)), p))]), mode="r")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(list(by), dropna=False) if by else [((), batch)]
+            out = []
+            for k, (key, own) in enumerate(groups):
+                rows = np.column_stack([np.ones(len(own)), own[names].to_numpy(float)])
+                r = np.zeros((0, p))
+                for i in range(0, len(rows), block):
+                    r = factor(np.vstack([r, rows[i : i + block]]))
+                out.append((*(None if x != x else x for x in key), len(own), r.ravel().tolist(), k + id(batch) % 1_000_003))
+            yield pd.DataFrame(out, columns=[*by, "n", "r", "part"])
+
+    def stack(rows: pd.DataFrame) -> pd.DataFrame:
+        r = factor(np.vstack([np.reshape(x, (p, p)) for x in rows["r"]]))
+        return rows.iloc[:1].assign(n=rows["n"].sum(), r=[r.ravel().tolist()])
+
+    use = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names]).dropna(subset=names)
+    now = written(use.mapInPandas(first, schema), "triangles")
+    most = now.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        most = -(-most // fan)
+        part = F.pmod(F.xxhash64("part", "n", "r"), F.lit(most))
+        then = written(now.withColumn("part", part).groupBy(*by, "part").applyInPandas(stack, schema), "triangles")
+        forget(now)
+        now = then
+    return now.drop("part")
+
+
+def stable_coefficients(df: DataFrame, by: Sequence[str], terms: Sequence[str], y: str, block: int = 4096, fan: int = 64) -> DataFrame:
+    """(by, term, estimate, sigma) of least squares in each group, from triangular factors; aliased terms get zero."""
+    names, p = ["intercept", *terms], len(terms) + 2
+    factors = triangles(df, by, terms, y, block, fan)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for _, row in rows.iterrows():
+                r = np.reshape(row["r"], (p, p))
+                kept: list[int] = []
+                for i in range(p - 1):  # a term that the ones before it explain counts as none
+                    if abs(r[i, i]) > 1e-12 * max(np.linalg.norm(r[:, i]), 1e-300):
+                        kept.append(i)
+                beta = np.zeros(p - 1)
+                if kept:
+                    beta[kept] = np.linalg.lstsq(r[: p - 1, kept], r[: p - 1, -1], rcond=None)[0]
+                rest = r[:, -1] - r[:, : p - 1] @ beta
+                free = row["n"] - len(kept)
+                sigma = float(np.sqrt(rest @ rest / free)) if free > 0 else None
+                out += [(*[row[c] for c in by], t, e, sigma) for t, e in zip(names, beta.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=[*by, "term", "estimate", "sigma"])
+
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in factors.schema if f.name in by]
+    return factors.mapInPandas(solve, ", ".join([*keys, "term string, estimate double, sigma double"]))
+
+
 def log_density(y: Column, mu: Column, sigma: Column) -> Column:
     return -F.ln(sigma) - 0.5 * F.ln(2 * F.pi()) - F.pow(y - mu, F.lit(2.0)) / (2 * F.pow(sigma, F.lit(2.0)))
 

@@ -143,6 +143,15 @@ def corpus_files(spark, sf_dir):
     return readers.corpora(spark, path, ["ASIA", "EUROPE", "NOWHERE"]).select("corpus")
 
 
+@query("""SELECT event_id, CAST(user_id AS INT) AS user_id, event_type, CASE WHEN event_id % 5 <> 0 THEN round(value, 6) END AS value, value > 50 AS large FROM events""")
+def r_table_files(spark, sf_dir):
+    """Integers, doubles with NA, logicals and a factor through binary R tables."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("int").alias("user_id"), "event_type", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), (F.col("value") > 50).alias("large"))
+    path = shared_path(spark, "rtables")
+    writers.r_tables(e.repartition(4, "event_id"), path, ["event_type"])
+    return rounded(readers.r_table(spark, path, "event_id long, user_id int, event_type string, value double, large boolean"))
+
+
 @query("""SELECT conv_id, turn, text FROM conversations""")
 def json_line_files(spark, sf_dir):
     path = shared_path(spark, "json")

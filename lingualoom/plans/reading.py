@@ -208,6 +208,14 @@ def ttest_p(spark, sf_dir):
     return stats.t_test(df, ["l_returnflag"], "x")
 
 
+@query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity / 1e6), -1) AS slope FROM lineitem GROUP BY 1""")
+def stable_regression(spark, sf_dir):
+    """A predictor that varies by millionths of itself: triangular factors keep what sums of products lose."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", (F.col("l_quantity") / 1e6 + 1).alias("x"))
+    found = stats.stable_coefficients(rows, ["l_returnflag"], ["x"], "l_extendedprice")
+    return found.where("term = 'x'").select("l_returnflag", F.round("estimate", -1).alias("slope"))
+
+
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, l_linestatus FROM lineitem GROUP BY l_linestatus""")
 def linear_smoother(spark, sf_dir):
     c = stats.coefficients(table(spark, sf_dir, "lineitem"), ["l_linestatus"], ["l_quantity"], "l_extendedprice")

@@ -327,7 +327,7 @@ def pronoun_additional_context(spark, sf_dir):
 @query()
 def detokenize(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(fn.tokens(F.col("text")), " ").alias("t"))
-    return c.select("conv_id", "turn", fn.detokenize("t").alias("text"))
+    return c.select("conv_id", "turn", fn.detokenize(F.col("t")).alias("text"))
 
 
 def _records(spark, sf_dir):

@@ -134,6 +134,14 @@ def table(spark: SparkSession, path: str, schema: str, missing: Sequence[str] =
     return raw.select(*[clean(f).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def r_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Columns by name of binary R tables, a file a partition; NA is null, factors are their labels."""
+    from .rtables import RTables
+
+    spark.dataSource.register(RTables)
+    return spark.read.format("rtable").schema(schema).load(path)
+
+
 def inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A table with header whose types follow from its values: one pass more over the files."""
     return spark.read.csv(path, header=True, inferSchema=True, sep=sep)

@@ -39,6 +39,14 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def r_tables(df: DataFrame, path: str, factors: Sequence[str] = ()) -> None:
+    """Binary R tables, one a partition."""
+    from .rtables import RTables
+
+    df.sparkSession.dataSource.register(RTables)
+    df.write.format("rtable").mode("append").option("factors", ",".join(factors)).save(path)
+
+
 def document_files(df: DataFrame, line: Column, name: Column, path: str, order: Sequence[str]) -> None:
     """One text file a document, ``path``/``name``, its lines in order.
 

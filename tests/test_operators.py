@@ -142,8 +142,10 @@ def test_rendering_cases_pronouns(spark):
         (None, None),
     ],
 )
-def test_detokenize(text, want):
-    assert fn.detokenized(text) == want
+def test_detokenize(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string").select(fn.detokenize(F.col("t")).alias("t"))
+    assert df.first().t == want
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_text_functions(spark):
@@ -221,8 +223,16 @@ def test_a_colon_opens_text_but_no_tokens(spark):
     assert [tuple(r) for r in got] == [(False, True), (True, True)]
 
 
-def test_quotes_of_two_signs_are_a_word():
-    assert fn.detokenized("a ‘’ b") == "a ‘’ b"
+def test_detokenize_against_a_plain_loop(spark):
+    import random
+
+    from brute import detokenized
+
+    r = random.Random(4)
+    marks = ["a", "dogs", "S", "s", '"', "'", "‘", "’", "“", "”", ".", "-", "$", "n't", "(", "‘’", "\x1cb"]
+    texts = [r.choice([" ", "  ", "\n"]).join(r.choice(marks) for _ in range(r.randrange(0, 14))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fn.detokenize(F.col("t")).alias("d")).collect()
+    assert [x.d for x in got] == [detokenized(t) for t in texts]
 
 
 def test_larger_spans_starting_anywhere(spark):
@@ -352,3 +362,28 @@ def test_few_splits_are_dealt_out(spark):
     assert spread(many) is many
     behind = one.groupBy("id").count()
     assert spread(behind) is behind
+
+
+def test_least_squares_of_nearly_equal_lags(spark):
+    """Sums of products square the condition number; factors by blocks agree with least squares."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=3000)
+    lag = x + 1e-7 * rng.normal(size=3000)
+    y = 2 + x - lag + 0.1 * rng.normal(size=3000)
+    rows = pd.DataFrame({"g": np.where(np.arange(3000) % 3 == 0, "a", "b"), "x": x, "lag": lag, "y": y})
+    df = spark.createDataFrame(rows).repartition(7)
+    got = {(r.g, r.term): r.estimate for r in stats.stable_coefficients(df, ["g"], ["x", "lag"], "y", block=100, fan=3).collect()}
+    plain = {(r.g, r.term): r.estimate for r in stats.coefficients(df, ["g"], ["x", "lag"], "y").collect()}
+    for g, own in rows.groupby("g"):
+        design = np.column_stack([np.ones(len(own)), own.x, own.lag])
+        want = np.linalg.lstsq(design, own.y, rcond=None)[0]
+        assert [got[g, t] for t in ("intercept", "x", "lag")] == pytest.approx(want, rel=1e-5)
+        assert abs(plain[g, "x"] - want[1]) > abs(want[1]) * 1e-2  # the sums have lost it
+
+
+def test_least_squares_of_odd_groups(spark):
+    rows = [("one", 1.0, 2.0), ("same", 3.0, 1.0), ("same", 3.0, 5.0), (None, 0.0, 1.0), (None, 1.0, 3.0), ("none", None, 1.0)]
+    got = {(r.g, r.term): (r.estimate, r.sigma) for r in stats.stable_coefficients(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], ["x"], "y").collect()}
+    assert got[None, "x"][0] == pytest.approx(2) and got[None, "intercept"][0] == pytest.approx(1)
+    assert got["same", "x"][0] == 0 and got["same", "intercept"][0] == pytest.approx(3)
+    assert got["one", "intercept"] == (pytest.approx(2), None) and ("none", "x") not in got

@@ -1,11 +1,15 @@
 """Readers and writers on small files."""
 
+import bz2
+import gzip
+import lzma
 import os
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from lingualoom.sources import readers, writers
+from lingualoom.sources import readers, rtables, writers
 
 
 @pytest.fixture
@@ -109,3 +113,43 @@ def test_one_file_a_document(spark, tmp_path):
     writers.document_files(df, F.col("line"), F.concat("name", F.lit(".txt")), f"file://{tmp_path}/out", ["k"])
     assert (tmp_path / "out/a b.txt").read_text() == "x\ny\n" and (tmp_path / "out/c/d.txt").read_text() == "z\n"
     assert not (tmp_path / "out/_parts").exists()
+
+
+def chars(text):
+    return struct.pack(">ii", 0x40009, len(text)) + text.encode()
+
+
+def test_binary_r_tables_round_trip(spark, tmp_path):
+    rows = [(1, 2, 0.5, "a", True, "x"), (2**40, None, None, None, None, None), (3, -7, float("nan"), "é", False, "b"), (4, 0, float("inf"), "", True, "x")]
+    schema = "k long, i int, d double, s string, l boolean, f string"
+    writers.r_tables(spark.createDataFrame(rows, schema).repartition(3), f"{tmp_path}/r", ["f"])
+    assert all(f.startswith("part-") for f in os.listdir(tmp_path / "r"))
+    got = sorted(readers.r_table(spark, f"{tmp_path}/r", schema + ", lacking int").collect())
+    assert len(got) == 4 and all(r.lacking is None for r in got)
+    for r, want in zip(got, sorted(rows), strict=True):
+        assert repr(tuple(r)[:6]) == repr(want)
+    one = next((tmp_path / "r").iterdir())
+    assert readers.r_table(spark, str(one), "k long").count() >= 1
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, lzma.compress, bz2.compress])
+def test_binary_r_table_of_version_3(spark, tmp_path, pack):
+    """A compact sequence, a wrapped factor, NA and NaN; symbols are referred to."""
+    name = lambda x: struct.pack(">i", 1) + chars(x)
+    pair = lambda x: struct.pack(">i", 0x402) + name(x)
+    strings = lambda *x: struct.pack(">ii", 16, len(x)) + b"".join(map(chars, x))
+    none = struct.pack(">i", 254)
+    of_class = lambda x: struct.pack(">ii", 238, 2) + name(x) + struct.pack(">i", 2) + name("base") + struct.pack(">i", 2) + struct.pack(">iii", 13, 1, 13) + none
+    sequence = of_class("compact_intseq") + struct.pack(">ii3d", 14, 3, 3, 5, 1) + none
+    factor = struct.pack(">ii3i", 13 | 0x300, 3, 2, -(2**31), 1) + pair("levels") + strings("lo", "hi") + pair("class") + strings("factor") + none
+    wrapped = of_class("wrap_integer") + struct.pack(">ii", 19, 2) + factor + struct.pack(">ii2i", 13, 2, 0, 0) + none
+    doubles = struct.pack(">ii", 14, 3) + struct.pack(">d", 1.5) + bytes.fromhex("7ff00000000007a2") + bytes.fromhex("7ff8000000000000")
+    frame = struct.pack(">ii", 19 | 0x300, 3) + sequence + wrapped + doubles + pair("names") + strings("seq", "f", "d")
+    frame += pair("row.names") + struct.pack(">ii2i", 13, 2, -(2**31), -3) + none
+    header = b"X\n" + struct.pack(">iii", 3, 0x40300, 0x30500) + struct.pack(">i", 5) + b"UTF-8"
+    (tmp_path / "t.rds").write_bytes(pack(header + frame))
+    got = readers.r_table(spark, str(tmp_path / "t.rds"), "seq int, f string, d double").collect()
+    assert [tuple(r)[:2] for r in got] == [(5, "hi"), (6, None), (7, "lo")]
+    assert got[0].d == 1.5 and got[1].d is None and got[2].d != got[2].d
+    with pytest.raises(ValueError, match="XDR"):
+        rtables.table_of(b"A\n")
