@@ -166,6 +166,15 @@ def batch_rows(token_budget: int, size: int) -> int:
     return max(1, token_budget // size)
 
 
+def context_plan(models: DataFrame, requested: Sequence[int], token_budget: int) -> DataFrame:
+    """(model, context, batch_rows): the requested contexts that each model can take, with the
+    rows of a batch within the budget. ``models``: (model, max_positions, offset_positions)."""
+    limit = F.coalesce("max_positions", F.lit(DEFAULT_CONTEXT)) - F.when(F.col("offset_positions"), 2).otherwise(0)
+    sizes = F.array(*[F.lit(c) for c in sorted({c for c in requested if c > 0})])
+    each = models.select("model", F.explode(F.filter(sizes, lambda c: c <= limit)).alias("context"))
+    return each.withColumn("batch_rows", F.greatest(F.lit(1), F.expr(f"{token_budget} div context").cast("int")))
+
+
 #: Fixed value: families whose models take no position ids.
 WITHOUT_POSITION_IDS = ("opt",)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import ranks
 from .stats import correlation, mean_ci
 
 
@@ -25,10 +26,11 @@ def missed_rows(answers: DataFrame) -> DataFrame:
     return wrong.withColumn("generated_answer", chosen("generated_label", "option_a", "option_b"))
 
 
-def in_report_order(rows: DataFrame) -> DataFrame:
-    """By condition and numeric ids, for a report that is written out; ids that aren't numbers come last."""
+def in_report_order(rows: DataFrame, out: str = "row_no") -> DataFrame:
+    """Add the row's number from 1 in a report: by condition and numeric ids, then the ids as
+    text; ids that aren't numbers come last. Rows of one condition and ids must be one."""
     number = lambda c: (F.col(c).try_cast("long").isNull(), F.col(c).try_cast("long"), F.col(c).cast("string"))
-    return rows.orderBy("condition", *number("story_index"), *number("question_index"))
+    return ranks(rows, [F.col("condition"), *number("story_index"), *number("question_index")], out)
 
 
 def first_levels(rows: DataFrame, order: Sequence[Column], n: int = 11) -> DataFrame:

@@ -167,3 +167,21 @@ def text_line_files(spark, sf_dir):
     got = readers.documents(spark, path)
     got = got.withColumn("name", F.element_at(F.split("path", "/"), -1))
     return ranges.ranks(got, ["name", "doc_id"], "row_no").select("row_no", "text")
+
+
+@query("""SELECT row_number() OVER (ORDER BY event_id) AS row_no, round(value, 6) AS value FROM events""")
+def score_vector_lines(spark, sf_dir):
+    """A number a line in the order of a table, found again by place."""
+    path = shared_path(spark, "scores")
+    writers.score_vector(table(spark, sf_dir, "events"), "value", path, ["event_id"])
+    got = readers.documents(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return rounded(ranges.ranks(got, ["name", "doc_id"], "row_no").select("row_no", F.col("text").cast("double").alias("value")))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN '"' || c_name END AS name FROM customer""")
+def table_without_quotes(spark, sf_dir):
+    """Quote marks that quote nothing."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit('"'), "c_name")).otherwise("NA").alias("name"))
+    path = shared_path(spark, "tsv")
+    writers.tsv(c, path)
+    return readers.table(spark, path, "id long, name string", sep="\t", quote="")

@@ -273,3 +273,23 @@ def printed_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     each = rows.rollup("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
     return report.summary_lines(each, "%s: %d texts, %d good, %d toxic", ["lang", "n", "good", "toxic"])
+
+
+@query("""SELECT row_number() OVER (ORDER BY condition, TRY_CAST(story_index AS BIGINT) IS NULL, TRY_CAST(story_index AS BIGINT) NULLS FIRST, story_index, TRY_CAST(question_index AS BIGINT) IS NULL, TRY_CAST(question_index AS BIGINT) NULLS FIRST, question_index) AS row_no,
+  condition, story_index, question_index FROM (SELECT lang AS condition, CASE WHEN doc_id % 7 = 0 THEN 'q' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS story_index, CAST(quality AS VARCHAR) AS question_index FROM labels JOIN documents USING (doc_id))""")
+def report_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    story = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("q"), "doc_id")).otherwise(F.col("doc_id").cast("string"))
+    rows = rows.select(F.col("lang").alias("condition"), story.alias("story_index"), F.col("quality").cast("string").alias("question_index"))
+    return report.in_report_order(rows).select("row_no", "condition", "story_index", "question_index")
+
+
+@query("""SELECT n_name AS model, c AS context, greatest(1, CAST(6000 // c AS INT)) AS batch_rows FROM nation, (SELECT unnest([5, 100, 700, 2000, 2047, 4096]) AS c)
+  WHERE c <= coalesce(CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey * 200 END, 2048) - CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 0 END""")
+def context_plan(spark, sf_dir):
+    """Longest contexts of models and rows of a batch."""
+    from ..operators import context
+
+    key = F.col("n_nationkey")
+    models = table(spark, sf_dir, "nation").select(F.col("n_name").alias("model"), F.when(key % 4 != 0, key * 200).alias("max_positions"), (key % 3 == 0).alias("offset_positions"))
+    return context.context_plan(models, [4096, 5, 100, 700, 100, 2000, 0, 2047], 6000)

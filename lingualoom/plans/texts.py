@@ -411,3 +411,33 @@ def scored_words(spark, sf_dir):
     tokens = doc_tokens(spark, sf_dir).select(F.col("doc"), "pos", "word")
     scored = score.with_scorer(tokens, scorer, "doc long, pos int, surprisal double", rows_at_once=1000)
     return rounded(score.word_surprisal(scored.withColumn("word", F.expr("CAST(pos div 4 AS INT)"))))
+
+
+@query("""SELECT l_orderkey AS doc, array_to_string(list_transform(list_sort(list_distinct(list(l_partkey % 13 + 5))), lambda x: CAST(x AS VARCHAR)), '|') AS cell FROM lineitem GROUP BY 1""")
+def chain_cells(spark, sf_dir):
+    """Chain numbers as text, in numeric order."""
+    ids = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list((F.col("l_partkey") % 13 + 5).cast("string")).alias("ids"))
+    return ids.select("doc", fn.chain_cell(F.col("ids")).alias("cell"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS at_, max(CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END) AS b FROM lineitem GROUP BY 1, 2),
+  p AS (SELECT doc, at_, greatest(sum(b) OVER (PARTITION BY doc ORDER BY at_) - 1, 0) AS id FROM m)
+  SELECT doc, string_agg(CAST(CAST(id AS INT) AS VARCHAR), ',' ORDER BY at_) AS ids FROM p GROUP BY 1""")
+def position_ids(spark, sf_dir):
+    """Position ids of masks."""
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("at")).agg(F.max(F.when(F.col("l_returnflag") == "N", 0).otherwise(1)).alias("b"))
+    m = m.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "b"))).alias("m"))
+    return m.select("doc", F.array_join(context.position_ids(F.col("m.b")).cast("array<string>"), ",").alias("ids"))
+
+
+@query("""WITH s AS (SELECT c.conv_id, c.turn, v.version FROM conversations c, (SELECT unnest([1, 2]) AS version) v)
+  SELECT conv_id, turn, CASE WHEN max(version) = 2 THEN 'they2' END AS pronoun FROM s GROUP BY 1, 2""")
+def replayed(spark, sf_dir):
+    """Saved pronouns joined to prepared records: of two saved versions the later counts."""
+    mark = "[[TARGET_0]]"
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(mark + " "), F.md5("text")).alias("masked"))
+    target = F.array(F.struct(F.lit(mark).alias("placeholder"), F.lit("x").alias("phrase")))
+    saved = c.withColumn("file_pos", F.explode(F.array(F.lit(2), F.lit(1))))
+    saved = saved.withColumn("pronoun_mapping", F.create_map(F.lit(mark), F.concat(F.lit("they"), "file_pos")))
+    found = spans.replay(c.withColumn("target_mapping", target), saved, ["conv_id", "turn"])
+    return found.select("conv_id", "turn", found.pronoun_mapping[mark].alias("pronoun"))

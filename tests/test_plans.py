@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from brute import BRUTE
@@ -51,7 +52,37 @@ def test_against_brute_force(spark, name):
 
 
 def test_every_query_is_held_against_something():
-    assert set(plans.queries()) == set(plans.oracle_sql()) | set(BRUTE)
+    assert set(plans.queries()) == set(plans.oracle_sql()) | set(BRUTE) | {"mixed_model_summary"}
+
+
+def test_mixed_model_query_against_a_grid(spark, duck):
+    """Posterior means by sums over a grid of deviations, from the rows' own design."""
+    t = duck.sql("SELECT l_discount, ln(l_quantity) AS q, l_returnflag AS f, l_linenumber AS k FROM lineitem").df()
+    y, n = t.l_discount.to_numpy(), len(t)
+    one = lambda c: np.eye(c.nunique())[c.astype("category").cat.codes]
+    x = np.column_stack([np.ones(n), t.q - t.q.mean()])
+    w = np.column_stack([x, one(t.f), one(t.k)])
+    cross, wy, yy, sizes = w.T @ w, w.T @ y, y @ y, (t.f.nunique(), t.k.nunique())
+    total, slope, effect = 0.0, 0.0, 0.0
+    grid = np.exp(np.linspace(np.log(1e-6), np.log(2), 60))
+    best = None
+    for sigma in np.linspace(0.97, 1.03, 13) * y.std():
+        for a in grid:
+            for b in grid:
+                prior = np.r_[25.0, 0.01, np.full(sizes[0], a * a), np.full(sizes[1], b * b)]
+                inner = np.diag(1 / prior) + cross / sigma**2
+                mean = np.linalg.solve(inner, wy) / sigma**2
+                log = -n * np.log(sigma) - 0.5 * (np.log(prior).sum() + np.linalg.slogdet(inner)[1] + yy / sigma**2 - wy @ mean / sigma**2) - a - b - sigma
+                log += np.log(a) + np.log(b)  # the grid is even in logarithms
+                best = log if best is None else best
+                v = np.exp(log - best)
+                total, slope, effect = total + v, slope + v * mean[1], effect + v * b
+    got = {r.parameter: r for r in plans.queries()["mixed_model_summary"](spark, DATA).collect()}
+    assert len(got) == 2 + sizes[0] + sizes[1] + 3
+    assert got["b_log_quantity"]["mean"] == pytest.approx(slope / total, abs=2e-4)
+    assert got["sigma"]["mean"] == pytest.approx(y.std(), rel=0.01)
+    assert got["sd_l_linenumber__intercept"]["mean"] == pytest.approx(effect / total, rel=0.25, abs=2e-4)
+    assert all(r.rhat < 1.1 for r in got.values())
 
 
 def test_entry(spark):
