@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import log_share, surprisal
+from ..shared import written
 
 
 def logits_surprisal(df: DataFrame, logits: str, target: str, context: str | None = None) -> DataFrame:
@@ -26,31 +27,40 @@ def ngram_surprisal(tokens: DataFrame, size: int, by: Sequence[str] = ("doc",),
     """Add ``surprisal`` of a count model over all tokens, with back-off.
 
     The longest seen context of up to ``size`` - 1 tokens counts; each step to a
-    shorter one costs a factor. Counts are groups and equi-joins only; of equal
-    grams and contexts that are frequent Spark splits the join.
+    shorter one costs a factor. Tokens are grouped by their gram once; shorter
+    grams are counted from longer ones, contexts from grams by their prefix, and a
+    share is found once a different gram, so tokens meet their grams in one join.
     """
     w = Window.partitionBy(*by).orderBy(at)
-    rows = tokens
-    for k in range(size):
-        before = [F.lag(token, j).over(w) for j in range(k, 0, -1)]
-        there = F.row_number().over(w) > k
-        rows = rows.withColumn(f"__g{k}", F.when(there, F.concat_ws("\x01", *before, F.col(token))))
+    before = [F.lag(token, j).over(w) for j in range(size - 1, 0, -1)]
+    rows = written(tokens.withColumn("__g", F.concat_ws("\x01", *before, F.col(token))), "grams")
+    part = lambda first, last: F.substring_index(F.substring_index(F.col("__g"), "\x01", first), "\x01", last)
+    counts = {size - 1: rows.groupBy("__g").agg(F.count("*").alias("__n"))}
+    counts[size - 1] = written(counts[size - 1].withColumn("__k", F.size(F.split("__g", "\x01")) - 1), "grams")
+    for k in range(size - 2, -1, -1):
+        # grams of k + 1 tokens end longer ones, or begin a document
+        counts[k] = counts[k + 1].groupBy(part(size, -(k + 1)).alias("__g")).agg(F.sum("__n").alias("__n"))
+        counts[k] = counts[k].withColumn("__k", F.size(F.split("__g", "\x01")) - 1)
         if k:
-            rows = rows.withColumn(f"__c{k}", F.when(there, F.concat_ws("\x01", *before)))
+            counts[k] = written(counts[k], "grams")
     # without a context there is one count for all: a row, joined by broadcast
-    out = rows.crossJoin(F.broadcast(tokens.agg(F.count("*").alias("__m0"))))
-    for k in range(size):
-        n = rows.where(F.col(f"__g{k}").isNotNull()).groupBy(f"__g{k}").agg(F.count("*").alias(f"__n{k}"))
-        out = out.join(n, f"__g{k}", "left")
-        if k:
-            m = rows.where(F.col(f"__c{k}").isNotNull()).groupBy(f"__c{k}").agg(F.count("*").alias(f"__m{k}"))
-            out = out.join(m, f"__c{k}", "left")
-    # counts include the token itself: leave it out, so that a gram seen once backs off
-    p = F.col("__n0") / F.col("__m0")
+    every = counts[0].agg(F.sum("__n").alias("__m"))
+    shares = counts[0].crossJoin(F.broadcast(every)).select("__g", (F.col("__n") / F.col("__m")).alias("__p"))
+    found = None
     for k in range(1, size):
-        seen = (F.col(f"__n{k}") > 1) & (F.col(f"__m{k}") > 1)
-        p = F.when(seen, (F.col(f"__n{k}") - 1) / (F.col(f"__m{k}") - 1)).otherwise(discount * p)
-    return out.withColumn("surprisal", -F.log2(p)).drop(*[f"__{c}{k}" for k in range(size) for c in "gcnm"])
+        own = counts[k].where(F.col("__k") == k)
+        contexts = own.groupBy(part(k, k).alias("__c")).agg(F.sum("__n").alias("__m"))
+        last = shares.withColumnsRenamed({"__g": "__s", "__p": "__q"})
+        both = own.join(contexts, part(k, k) == F.col("__c")).join(last, part(k + 1, -k) == F.col("__s"))
+        # counts include the token itself: leave it out, so that a gram seen once backs off
+        seen = (F.col("__n") > 1) & (F.col("__m") > 1)
+        p = F.when(seen, (F.col("__n") - 1) / (F.col("__m") - 1)).otherwise(discount * F.col("__q"))
+        # of shorter grams, those that begin a document are looked up, which lack the longer contexts
+        short = shares.withColumn("__p", F.col("__p") * discount ** (size - k))
+        found = short if found is None else found.unionByName(short)
+        shares = both.select("__g", p.alias("__p"))
+    found = shares if found is None else found.unionByName(shares)
+    return rows.join(found, "__g").withColumn("surprisal", -F.log2("__p")).drop("__g", "__p")
 
 
 def word_surprisal(tokens: DataFrame, by: Sequence[str] = ("doc",), word: str = "word", value: str = "surprisal") -> DataFrame:
