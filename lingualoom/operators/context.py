@@ -125,7 +125,7 @@ def pronoun_windows(tokens: DataFrame, pronouns: dict[tuple[str, bool, bool], li
     """(doc, at, target, window) of tokens (doc, at, id, piece, replacement).
 
     ``pronouns``: ids by (pronoun, starts a sentence, at document start), a small
-    lookup. A sentence starts where, past opening marks, the up to 16 pieces
+    lookup; a replacement that it lacks is an error. A sentence starts where, past opening marks, the up to 16 pieces
     before the span end in . ! or ? or are blank.
     """
     from ..functions.text import OPENING_MARKS
@@ -142,7 +142,10 @@ def pronoun_windows(tokens: DataFrame, pronouns: dict[tuple[str, bool, bool], li
             before = "".join(pieces[max(0, start - 16) : start]).rstrip()
             while before and before[-1] in marks:
                 before = before[:-1].rstrip()
-            return pronouns[text, not before or before[-1] in ".!?", start == 0]
+            key = (text, not before or before[-1] in ".!?", start == 0)
+            if key not in pronouns:
+                raise ValueError(f"no ids for the replacement {text!r} (starts a sentence: {key[1]}, a document: {key[2]})")
+            return pronouns[key]
 
         return pd.DataFrame({doc: rows[doc], "at": rows["at"], "target": ids, "window": collapsed_windows(ids, given, size, pronoun, extend)})
 
