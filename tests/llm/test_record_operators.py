@@ -580,3 +580,29 @@ def test_pipeline_stages_against_brute_force(spark):
     done = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.tokens(spark, docs, DATA).collect())
     ids = lambda t: " ".join(map(str, library.encode(t, add_special_tokens=False).ids))
     assert done == Counter((r.doc_id, hashlib.sha256(ids(r.text).encode()).hexdigest()) for r in mixed)
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs([]).coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_last_stages_of_rows_without_id_or_source(spark, docs, odd):
+    """Mixing takes rows without id or source as others, repeated ones each; every row gets its tokens."""
+    import corpus_pipeline
+
+    rows = [(None, f"lost {k} " * 40, "en", None) for k in range(12)] + [(7, "seven words " * 30, None, "a")] * 3
+    mixed = corpus_pipeline.mixture(spark, docs(rows), "").collect()
+    assert mixed and {r.source for r in mixed} <= {None, "a"}
+    assert max(Counter((r.doc_id, r.text) for r in mixed).values()) <= 6  # three rows, twice at most
+    done = corpus_pipeline.tokens(spark, odd, "").collect()
+    assert len(done) == odd.count() and all(r.n_tokens == 0 for r in done if r.doc_id in (1, 2, 3))
+
+
+def test_vectors_beside_clashing_names(spark, clashing):
+    rows = [(1, [1.0, 0.0], 3), (2, [2.0, 0.0], 4), (3, [0.0, 1.0], 3), (None, [1.0, 0.0], 1), (4, None, 2)]
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = {r.id: (r.n_links, r.component) for r in embeddings.near_vectors(df, least=0.9).collect() if r.id is not None}
+    assert got == {1: (got[1][0], 1), 2: (got[2][0], 1), 3: (0, 3), 4: (0, 4)} and got[1][0] >= 1
