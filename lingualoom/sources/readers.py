@@ -24,7 +24,7 @@ def _lines(spark: SparkSession, path: str | Sequence[str], kept: Column | None =
     Files are read in byte ranges, as many tasks as there are: lines are counted by
     range, the counts of earlier ranges of a file are summed, and a line's number is
     that sum and its place in the range. CR, LF and both end a line; a byte-order
-    mark is dropped.
+    mark is dropped. Rows come in no order.
     """
     where = ["path", "__block"]
     rows = spark.read.text(path).select(
