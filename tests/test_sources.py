@@ -153,3 +153,17 @@ def test_binary_r_table_of_version_3(spark, tmp_path, pack):
     assert got[0].d == 1.5 and got[1].d is None and got[2].d != got[2].d
     with pytest.raises(ValueError, match="XDR"):
         rtables.table_of(b"A\n")
+
+
+def test_binary_r_tables_of_many_rows_are_several_files(spark, tmp_path, monkeypatch):
+    """A task holds the rows of a file, not of its partition."""
+    from lingualoom.sources import rtables
+
+    held = []
+    monkeypatch.setattr(rtables, "ROWS_A_FILE", 3)
+    monkeypatch.setattr(rtables.Encoder, "table", lambda self, columns, rows: held.append(rows) or b"")
+    w = rtables.Writer(spark.createDataFrame([], "k long").schema, f"{tmp_path}/r", set())
+    done = [w.write(iter([(k,) for k in range(n)])) for n in (7, 0, 3)]
+    assert held == [3, 3, 1, 0, 3]
+    w.commit(done)
+    assert len(list((tmp_path / "r").glob("part-*.rds"))) == 5
