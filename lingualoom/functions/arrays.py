@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def bound(value: str, name: str, then: str) -> str:
     """``then`` with ``value`` evaluated once and bound to ``name``."""
     return f"transform(array({value}), {name} -> {then})[0]"
 
 
+def once(columns: str) -> Column:
+    """Columns (SQL of a struct's fields) that Spark evaluates once: no filter behind them is pushed before them."""
+    return F.inline_outer(F.expr(f"array(struct({columns}))"))
+
+
+def held(array: str) -> str:
+    """The array as objects: ``slice`` unpacks the whole of one that a row holds packed, each time."""
+    return f"transform({array}, h -> h)"
+
+
 def running(array: str, merge: str = "x + y") -> str:
     """Values merged up to each place, itself included: ``y`` the earlier ones, ``x`` the place's own.
     Doubles the reach a step, so nothing is copied for each place."""
@@ -16,9 +29,9 @@ def running(array: str, merge: str = "x + y") -> str:
 
 
 def starts(array: str, new: str) -> str:
-    """Places (from 0) where ``new`` holds of an element ``x`` and the one before it, ``y``; the first too."""
-    test = f"i = 0 OR transform(array(struct(s0[i] AS x, s0[i - 1] AS y)), b -> {new})[0]"
-    return bound(array, "s0", f"if(size(s0) = 0, cast(array() AS array<int>), filter(sequence(0, size(s0) - 1), i -> {test}))")
+    """Places (from 0) where ``new`` holds of an element ``b.x`` and the one before it, ``b.y``; the first too."""
+    test = new.replace("b.x", "s0[i]").replace("b.y", "s0[i - 1]")
+    return bound(array, "s0", f"if(size(s0) = 0, cast(array() AS array<int>), filter(sequence(0, size(s0) - 1), i -> i = 0 OR {test}))")
 
 
 def runs(array: str, new: str) -> str:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import held
+
 
 def windows(tokens: DataFrame, size: int, by: Sequence[str] = ("doc",), at: str = "at", token: str = "token", pad: Column | None = None) -> DataFrame:
     """Add ``window`` (the last ``size`` tokens up to and with the target, padded on
@@ -33,6 +35,14 @@ def window_rows(docs: DataFrame, size: int, tokens: str = "tokens") -> DataFrame
     return docs.select(*kept, F.explode(slices).alias("__w")).select(*kept, "__w.*")
 
 
+def window_arrays(docs: DataFrame, size: int, tokens: str = "tokens", sep: str = " ") -> DataFrame:
+    """As ``window_rows``, a row a document: (..., windows, sizes), the windows joined by ``sep``."""
+    kept = [c for c in docs.columns if c != tokens]
+    part = f"slice(w, greatest(i - {size - 2}, 1), least(i + 1, {size}))"
+    both = f"transform(w, (t, i) -> array_join({part}, '{sep}')) AS windows, transform(w, (t, i) -> least(i + 1, {size})) AS sizes"
+    return docs.select(*kept, F.inline_outer(F.expr(f"transform(array({held(tokens)}), w -> struct({both}))")))
+
+
 def masked_windows(tokens: DataFrame, size: int, hidden: str, by: Sequence[str] = ("doc",), at: str = "at", token: str = "token") -> DataFrame:
     """As ``windows``; tokens flagged ``hidden`` get mask 0, but never the target."""
     w = Window.partitionBy(*by).orderBy(at).rowsBetween(-(size - 1), 0)
