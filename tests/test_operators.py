@@ -387,3 +387,65 @@ def test_least_squares_of_odd_groups(spark):
     assert got[None, "x"][0] == pytest.approx(2) and got[None, "intercept"][0] == pytest.approx(1)
     assert got["same", "x"][0] == 0 and got["same", "intercept"][0] == pytest.approx(3)
     assert got["one", "intercept"] == (pytest.approx(2), None) and ("none", "x") not in got
+
+
+def _random_chains(spark, n=12):
+    import random
+
+    r = random.Random(7)
+    docs = []
+    for k in range(n):
+        words = [{"word": r.choice(["a", "b", "."]), "upos": r.choice(["PRON", "ADV", "NOUN"]), "chains": r.sample(["c", "d", "e"], r.choice([0, 1, 1, 2, 3]))} for _ in range(r.choice([0, 1, 2, 40]))]
+        docs.append((k, words))
+    docs.append((n, [{"word": "a", "upos": "NOUN", "chains": ["c"]}]))
+    return spark.createDataFrame(docs, "doc long, words array<struct<word:string,upos:string,chains:array<string>>>")
+
+
+@pytest.mark.parametrize("repeated", [True, False])
+def test_chain_rows_agree_with_rows_of_words(spark, repeated):
+    """Several chains a word, nested mentions; nothing of it shuffles."""
+    docs = _random_chains(spark)
+    words = docs.select("doc", F.posexplode("words").alias("pos", "x")).select("doc", "pos", "x.*")
+    rows, plain = spans.chain_rows(docs), spans.sentences(words)
+    found, starts = spans.mentions(plain), spans.mention_starts(words)
+    rowed = lambda df, *names: sorted(map(str, (tuple(x) for x in df.select(*names).collect())))
+    one = rows.select("doc", F.inline("found"))
+    assert rowed(one.where("n > 0"), "doc", "chain", "n") == rowed(starts, "doc", "chain", "n")
+    assert rowed(one.select("doc", "chain", F.inline("mentions")), "doc", "sentence", "chain", "start", "end") == rowed(found, "doc", "sentence", "chain", "start", "end")
+    names = ("doc", "chains", "selected_chains", "raw", "selected", "nested")
+    want = rowed(spans.selection_stats(found, starts, repeated), *names)
+    assert rowed(spans.selection_rows(rows, repeated), *names) == want
+    assert any(not x.endswith(" 0)") for x in want) or not repeated
+    targets = spans.targets(plain, spans.select_mentions(found, starts, repeated))
+    assert rowed(spans.target_rows(rows, repeated), "doc", "sentence", "original", "phrases") == rowed(targets, "doc", "sentence", "original", "phrases")
+    whole = spans.chain_rows(docs, by_sentence=False)
+    islands = spans.islands(words.withColumn("chain", F.explode("chains")), ["doc", "chain"], "pos").withColumn("lone", F.col("start") % 3 == 0)
+    far = spans.previous_mention_distance(islands, ["doc", "chain"], "lone")
+    assert rowed(spans.distance_rows(whole, "m.start % 3 = 0"), "doc", "chain", "start", "end", "distance") == rowed(far, "doc", "chain", "start", "end", "distance")
+    for df in (spans.selection_rows(rows, repeated), spans.target_rows(rows, repeated), spans.distance_rows(whole, "false")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_arrays_agree_with_window_rows(spark):
+    docs = spark.createDataFrame([(1, list("abcdef")), (2, []), (3, ["x"])], "doc long, tokens array<string>")
+    got = context.window_arrays(docs, 3).select("doc", F.explode(F.arrays_zip("windows", "sizes")).alias("w")).select("doc", "w.*")
+    want = context.window_rows(docs, 3).select("doc", F.array_join("window", " "), F.size("window"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expand_tokens_sorts_words_not_copies(spark):
+    df = spark.createDataFrame([("s", 2, "3"), ("s", 1, "2"), ("t", 1, "1")], "story string, row_no int, num_tokens string")
+    got = align.expand_tokens(df)
+    assert sorted((r.story, r.row_no, r.piece, r.token_index) for r in got.collect()) == [("s", 1, 1, 0), ("s", 1, 2, 1), ("s", 2, 1, 2), ("s", 2, 2, 3), ("s", 2, 3, 4), ("t", 1, 1, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
+
+
+def test_scorer_over_rows_of_documents(spark):
+    docs = spark.createDataFrame([(1, list("abcde")), (2, []), (3, ["x"])], "doc long, tokens array<string>")
+    got = score.with_scorer_rows(docs, lambda f: f.assign(surprisal=f.doc * 10.0 + f.pos), rows_at_once=2)
+    assert {r.doc: r.surprisal for r in got.collect()} == {1: [10, 11, 12, 13, 14], 2: [], 3: [30]}
+    sums = score.word_sums(got, 2)
+    assert sorted(map(tuple, sums.collect())) == [(1, 0, 21.0), (1, 1, 25.0), (1, 2, 14.0), (3, 0, 30.0)]
+    assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
