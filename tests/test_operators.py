@@ -1,6 +1,7 @@
 """Small fixtures for the rules that the large tables don't reach."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingualoom.functions import text as fn
-from lingualoom.operators import align, context, frames, score, spans, stats
+from lingualoom.operators import align, context, frames, grams, score, spans, stats
 
 
 def test_spillover_drops_gaps_and_multiplies_repeats(spark):
@@ -315,6 +316,19 @@ def test_ngram_backs_off(spark):
     assert math.isclose(got[0], -math.log2(0.4 * 3 / 6)) and math.isclose(got[3], -math.log2(1 / 2)) and math.isclose(got[5], -math.log2(0.4 * 1 / 6))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_ngrams_of_rows_agree_with_rows_of_tokens(spark, size):
+    """Slices of few tokens, so grams are counted over many; documents of no, one and two tokens, and one longer than a slice."""
+    rng = random.Random(size)
+    rows = [(k, [rng.choice("ab.cé") for _ in range(rng.choice((0, 1, 2, 3, 9, 70)))]) for k in range(60)] + [(60, None), (61, ["x"] * 200)]
+    docs = spark.createDataFrame(rows, "doc int, tokens array<string>")
+    want = score.ngram_surprisal(docs.select("doc", F.posexplode("tokens").alias("at", "token")), size)
+    got = grams.ngram_surprisal_rows(docs.repartition(3), size, slice_tokens=50)
+    made = {(r.doc, k): v for r in got.collect() for k, v in enumerate(r.surprisal)}
+    assert made == pytest.approx({(r.doc, r["at"]): r.surprisal for r in want.collect()}) and len(made) == sum(len(t or ()) for _, t in rows)
+    assert grams.ngram_surprisal_rows(docs.limit(0), size).count() == 0
+
+
 def test_vectors_of_another_length(spark):
     a = spark.createDataFrame([(0, "x"), (1, "y")], "row_no int, w string")
     v = spark.createDataFrame([(0, 1.0)], "row_no int, value double")
