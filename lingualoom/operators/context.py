@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +103,8 @@ def collapsed_windows(ids: Sequence[int], replacements: Sequence, size: int, pro
             length[i + 1] = length[i] + 1
         elif i == spans[k][1] - 1:
             length[i + 1] = length[spans[k][0]] + len(made[k])
-    out = []
+    # numbers of lists, which are read far faster than those of numpy
+    ids, span_of, length, out = [int(i) for i in ids], span_of.tolist(), length.tolist(), []
     for t in range(n):
         # a span that reaches the target stays raw: from its start on, tokens count singly
         last = spans[span_of[t]][0] if span_of[t] >= 0 else t
@@ -112,7 +114,7 @@ def collapsed_windows(ids: Sequence[int], replacements: Sequence, size: int, pro
                 return t + 1 - s
             k = span_of[s]
             head, raw = (spans[k][1], spans[k][1] - s) if k >= 0 and s > spans[k][0] else (s, 0)
-            return int(raw + length[last] - length[head] + t + 1 - last)
+            return raw + length[last] - length[head] + t + 1 - last
 
         s = max(0, t + 1 - size)
         if extend:
@@ -125,7 +127,7 @@ def collapsed_windows(ids: Sequence[int], replacements: Sequence, size: int, pro
                 window += made[k]
                 i = spans[k][1]
             else:
-                window.append(int(ids[i]))
+                window.append(ids[i])
                 i += 1
         out.append(window[-size:])
     return out
@@ -138,28 +140,50 @@ def pronoun_windows(tokens: DataFrame, pronouns: dict[tuple[str, bool, bool], li
     lookup; a replacement that it lacks is an error. A sentence starts where, past opening marks, the up to 16 pieces
     before the span end in . ! or ? or are blank.
     """
-    from ..functions.text import OPENING_MARKS
-
-    marks = "".join(OPENING_MARKS)
     kind = tokens.schema[doc].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")
-        ids, pieces = rows["id"].tolist(), rows["piece"].tolist()
-        given = [None if r is None or r != r else r for r in rows["replacement"]]
+        ids, given = rows["id"].tolist(), [None if r is None or r != r else r for r in rows["replacement"]]
+        return pd.DataFrame({doc: rows[doc], "at": rows["at"], "target": ids, "window": _document_windows(ids, rows["piece"].tolist(), given, pronouns, size, extend)})
 
-        def pronoun(text: str, start: int) -> list[int]:
-            before = "".join(pieces[max(0, start - 16) : start]).rstrip()
-            while before and before[-1] in marks:
-                before = before[:-1].rstrip()
-            key = (text, not before or before[-1] in ".!?", start == 0)
-            if key not in pronouns:
-                raise ValueError(f"no ids for the replacement {text!r} (starts a sentence: {key[1]}, a document: {key[2]})")
-            return pronouns[key]
+    return tokens.select(doc, "at", "id", "piece", "replacement").groupBy(doc).applyInPandas(run, f"{doc} {kind}, at int, target long, window array<long>")
 
-        return pd.DataFrame({doc: rows[doc], "at": rows["at"], "target": ids, "window": collapsed_windows(ids, given, size, pronoun, extend)})
 
-    return tokens.select(doc, "at", "id", "piece", "replacement").groupBy(doc).applyInPandas(run, f"{doc} {kind}, at int, target long, window array<long>")
+def _document_windows(ids: list[int], pieces: list[str], given: list, pronouns: dict[tuple[str, bool, bool], list[int]], size: int, extend: bool) -> list[list[int]]:
+    from ..functions.text import OPENING_MARKS
+
+    marks = "".join(OPENING_MARKS)
+
+    def pronoun(text: str, start: int) -> list[int]:
+        before = "".join(pieces[max(0, start - 16) : start]).rstrip()
+        while before and before[-1] in marks:
+            before = before[:-1].rstrip()
+        key = (text, not before or before[-1] in ".!?", start == 0)
+        if key not in pronouns:
+            raise ValueError(f"no ids for the replacement {text!r} (starts a sentence: {key[1]}, a document: {key[2]})")
+        return pronouns[key]
+
+    return collapsed_windows(ids, given, size, pronoun, extend)
+
+
+def pronoun_window_rows(docs: DataFrame, pronouns: dict[tuple[str, bool, bool], list[int]], size: int, extend: bool, doc: str = "doc", tokens: str = "tokens", rows_at_once: int = 256) -> DataFrame:
+    """As ``pronoun_windows`` for one row a document with its tokens in an array of (id, piece,
+    replacement): (doc, an array of windows, one a token) without a shuffle."""
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows_at_once):
+                b = whole.slice(k, rows_at_once)
+                ends = np.cumsum(np.asarray(b.column(1).value_lengths().fill_null(0), dtype=np.int64)).tolist()
+                found = b.column(1).flatten()
+                ids, pieces, given = (x.to_pylist() for x in found.flatten())
+                made = [_document_windows(ids[i:j], pieces[i:j], given[i:j], pronouns, size, extend) for i, j in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.list_(pa.int64())))], names=[doc, "windows"])
+
+    rows = docs.select(doc, F.transform(tokens, lambda x: F.struct(x["id"].cast("long").alias("id"), x["piece"].alias("piece"), x["replacement"].alias("replacement"))).alias(tokens))
+    return rows.mapInArrow(run, f"{doc} {kind}, windows array<array<bigint>>")
 
 
 #: Longest contexts of model families; others have DEFAULT_CONTEXT.

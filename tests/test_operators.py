@@ -288,6 +288,18 @@ def test_collapsed_windows_against_brute_force(extend):
             assert context.collapsed_windows(ids, replacements, size, pronoun, extend) == naive_windows(ids, replacements, size, pronoun, extend)
 
 
+@pytest.mark.parametrize("extend", [False, True])
+def test_pronoun_windows_of_rows_are_the_same(spark, extend):
+    rng = np.random.default_rng(5)
+    rows = [(k, [(int(i), rng.choice([" a", " .", ' "']), [None, "they", "it"][int(rng.integers(0, 3))]) for i in rng.integers(0, 99, n)]) for k, n in enumerate(rng.integers(0, 30, 40))]
+    docs = spark.createDataFrame([*rows, (40, None)], "doc int, tokens array<struct<id:int,piece:string,replacement:string>>").repartition(3)
+    ids = {(p, s, d): [1000 + len(p)] * (1 + s + d) for p in ("they", "it") for s in (False, True) for d in (False, True)}
+    flat = docs.select("doc", F.posexplode("tokens").alias("at", "t")).select("doc", "at", "t.*")
+    want = {(r.doc, r["at"]): r.window for r in context.pronoun_windows(flat, ids, 4, extend).collect()}
+    made = context.pronoun_window_rows(docs, ids, 4, extend, rows_at_once=7)
+    assert {(r.doc, k): w for r in made.collect() for k, w in enumerate(r.windows)} == want
+
+
 def test_windows_pad_and_mask(spark):
     df = spark.createDataFrame([(1, k, 10 + k, k == 1) for k in range(4)], "doc int, at int, token int, hid boolean")
     got = [(r.window, r["mask"], r.target) for r in context.windows(df, 3, pad=F.lit(0)).orderBy("at").collect()]
