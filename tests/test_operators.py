@@ -288,6 +288,25 @@ def test_collapsed_windows_against_brute_force(extend):
             assert context.collapsed_windows(ids, replacements, size, pronoun, extend) == naive_windows(ids, replacements, size, pronoun, extend)
 
 
+def test_distance_counts_agree_with_rows_of_words(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [[None, "the", "cat", "dog", "le"][int(c)] for c in rng.integers(0, 5, n)]) for k, n in enumerate(rng.integers(0, 40, 50))] + [(50, None), (51, ["cat"]), (52, [])]
+    docs = spark.createDataFrame(rows, "doc int, chains array<string>").repartition(3)
+    words = docs.select("doc", F.posexplode("chains").alias("pos", "chain")).where("chain IS NOT NULL")
+    m = spans.islands(words, ["doc", "chain"], "pos").withColumn("lone", F.col("chain").isin("the", "le"))
+    each = spans.previous_mention_distance(m, ["doc", "chain"], "lone").select(F.col("distance").cast("long").alias("d"))
+    counts = spans.distance_counts(docs.select("chains"), ["the", "le"], rows_at_once=4)
+    assert {r.distance: r.n for r in counts.collect()} == {r.d: r["count"] for r in each.groupBy("d").count().collect()}
+    # what is made of counts is what is made of rows
+    n = counts.withColumnRenamed("distance", "d")
+    assert tuple(stats.describe_counts(n, "d", "n").first()) == pytest.approx(tuple(stats.describe(each, [], "d").first()))
+    for made in (stats.automatic_histogram, stats.automatic_density):
+        a, b = (sorted(map(tuple, x.collect())) for x in (made(n, "d", weight="n"), made(each, "d")))
+        assert len(a) == len(b) and all(x == pytest.approx(y) for x, y in zip(a, b, strict=True))
+    none = spans.distance_counts(docs.limit(0).select("chains"), ["the"])
+    assert none.count() == 0 and tuple(stats.describe_counts(none, "distance", "n").first()) == (0, *[None] * 7)
+
+
 @pytest.mark.parametrize("extend", [False, True])
 def test_pronoun_windows_of_rows_are_the_same(spark, extend):
     rng = np.random.default_rng(5)
