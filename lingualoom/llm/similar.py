@@ -1,19 +1,22 @@
 """Near-duplicate documents: word shingles with a Jaccard similarity of 0.8 or more.
 
-Fingerprints, shingles and components are those of :mod:`simhash`. At this
-similarity fingerprints differ in 15 % of their bits, where vantage points rule
-out next to nothing; so candidates come from bands of minimal hashes instead,
-and wide fingerprints (256 bits) within WIDE_REACH make them links. Two texts
-right at 0.8 share a band with probability 0.99997 and are within that distance
-with 0.99997. Components of such links are a coarse partition: their texts are read again,
-and linked by the similarity itself.
-
-Both steps (fingerprints in a band's cell, shingles in a component) work alike
-on groups of any size. Every member is first compared with its group's least
-member, in one join. Members near it are linked; of the others ("rest"), if
-there are any, each is compared with all members, in blocks of bounded bytes.
-So a large group of copies costs one comparison a member, no group meets in one
-task, and no pair of two near members is listed.
+Fingerprints, shingles, the tree of vantage points and components are those of
+:mod:`simhash`; fingerprints are of the set of shingles. The tree deals points
+out to pieces, by distances to vantage points and then by ranges of sizes, and
+a point meets each piece that neither the triangle bound nor the ratio of sizes
+rules out for its radius; so all pairs within the radius are met, and none is
+left to a chance of meeting. At this similarity fingerprints differ in 15 % of
+their bits, a radius which rules out little but what sizes rule out: comparisons,
+of 8 bytes each, grow as the square of the points. Pairs within reach in the
+first 64 bits and within WIDE_REACH in all 256 are links of a coarse partition:
+texts of its components are read again, and linked by the similarity itself. A
+pair right at 0.8 is within both with probability 0.9999.
+
+The latter step works alike on components of any size. Every member is first
+compared with its component's least member, in one join. Members near it are linked; of the
+others ("rest"), if there are any, each is compared with all members, in blocks
+of bounded bytes. So a large group of copies costs one comparison of shingles a
+member, no component meets in one task, and no pair of two near members is listed.
 
 Defined results: texts of equal shingles are one point, so all texts without a
 word are near each other; fewer words than a shingle are one shingle; repeated
@@ -25,6 +28,7 @@ the input, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,46 +36,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .simhash import _counted, shingles
+from .components import Forest, components
+from .simhash import SAMPLE_PER_SHARD, TOP_SHARDS, VantageTree, _counted, _far, shingles
 from .support import Scratch, parallelism, spread, texts_to_batches, written
 
 WIDTH, LEAST = 5, 0.8
-#: Of 256 bits 38.7 differ at a similarity of 0.8, with a deviation of 5.7: this is 4 deviations more.
-WORDS, WIDE_REACH = 4, 64
-#: 1 - (1 - 0.8**ROWS)**BANDS is the probability that a pair right at 0.8 shares a band.
-BANDS, ROWS = 20, 4
+#: Of 64 bits 9.7 differ at a similarity of 0.8, with a deviation of 2.9; of 256 bits 38.7, with
+#: a deviation of 5.7: these are more than 4 deviations more.
+WORDS, REACH, WIDE_REACH = 4, 22, 64
+#: Four of five shingles are the one case of more: 12 of 64 bits, and 48 of 256.
+SMALL, SMALL_REACH, SMALL_WIDE_REACH = 5, 25, 74
+#: Points of a piece, of some 60 bytes each: two pieces meet in a task.
+PIECE_ROWS = 200_000
+#: Points of a piece at least, where tasks ask for more pieces.
+LEAST_PIECE_ROWS = 1000
+#: Rows of the driver's sample at most.
+MAX_SAMPLE = 1 << 18
 #: Bytes of a block of a group, and of what a task reads.
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCK_BYTES = 32 << 10
 #: For rounding: a similarity of exactly 0.8 counts.
 SLACK = 1e-9
-_SEEDS = np.random.default_rng(20240105).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 _WIDE = [f"w{k}" for k in range(WORDS)]
 
 
-def bands(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
-    """A 64-bit key of each band of minimal hashes of a set; none of an empty set."""
-    if not len(hashes):
-        return np.zeros(0, dtype=np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(hashes), block):
-        # the sum's upper bits depend on all of the hash
-        mixed = hashes[k : k + block, None] * _SEEDS[0] + _SEEDS[1]
-        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key * np.uint64(0x9E3779B97F4A7C15) + column) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
 def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def sketches(df: DataFrame, id_col: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(id, set_key, n, w0, ..., bands) of the different shingles of each text: one narrow pass over whole texts."""
+    """(id, set_key, n, w0, ...) of the different shingles of each text: one narrow pass over whole texts."""
 
     def make(texts: list) -> list[pa.Array]:
         sets = [shingles(t, width) for t in texts]
@@ -79,43 +73,171 @@ def sketches(df: DataFrame, id_col: str, text: str, width: int = WIDTH) -> DataF
         for k, own in enumerate(sets):
             total, n = _counted([own], WORDS)
             wide[k] = np.packbits(2 * total > n, bitorder="little").view("<i8")
-        keys = [bands(own) for own in sets]
-        ends = np.cumsum([0, *map(len, keys)])
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        return [pa.array([set_key(own) for own in sets], pa.binary()), pa.array([len(own) for own in sets], pa.int64()), *[pa.array(w) for w in wide.T], listed]
+        return [pa.array([set_key(own) for own in sets], pa.binary()), pa.array([len(own) for own in sets], pa.int64()), *[pa.array(w) for w in wide.T]]
 
-    names = ["set_key", "n", *_WIDE, "bands"]
+    names = ["set_key", "n", *_WIDE]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return texts_to_batches(rows, "text", make, names, 4 << 20)
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return spread(own).mapInArrow(run, "id long, set_key binary, n long, " + ", ".join(f"{w} long" for w in _WIDE) + ", bands array<long>")
+    return spread(own).mapInArrow(run, "id long, set_key binary, n long, " + ", ".join(f"{w} long" for w in _WIDE))
 
 
 def _close(least: float, prefix: str = "l_") -> Column:
     """Whether wide fingerprints and numbers of shingles allow the similarity."""
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(prefix + w))).cast("int") for w in _WIDE[1:]), F.bit_count(F.col(_WIDE[0]).bitwiseXOR(F.col(prefix + _WIDE[0]))).cast("int"))
     sizes = F.least("n", prefix + "n") >= (least - SLACK) * F.greatest("n", prefix + "n")
-    return (differ <= WIDE_REACH) & sizes
+    return (differ <= F.when(F.greatest("n", prefix + "n") <= SMALL, SMALL_WIDE_REACH).otherwise(WIDE_REACH)) & sizes
+
+
+class Pieces:
+    """Pieces of points: leaves of a tree of vantage points, and ranges of sizes in each leaf.
+
+    Leaves get ranges by their part of the sample. A size shared by many is cut by a hash of the point.
+    """
+
+    def __init__(self, fp: np.ndarray, n: np.ndarray, rep: np.ndarray, pieces: int, least: float):
+        self.least = least
+        self.tree = VantageTree(fp, min(TOP_SHARDS, max(1, round(pieces**0.5))))
+        self.cuts = [np.zeros(0, dtype=np.int64)] * self.tree.shards
+        key = self._key(n, rep)
+        for leaf, at, home in self.tree.visit(fp, 0):
+            own = np.sort(key[at[home]])
+            ranges = max(1, round(pieces * len(own) / len(fp)))
+            if len(own):
+                self.cuts[leaf] = own[np.arange(1, ranges) * len(own) // ranges]
+        self.base = np.cumsum([0, *(len(c) + 1 for c in self.cuts)])
+        self.count = int(self.base[-1])
+
+    @staticmethod
+    def _key(n: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        mixed = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (n << 20) + (mixed >> np.uint64(44)).astype(np.int64)
+
+    def meet(self, fp: np.ndarray, n: np.ndarray, rep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, their home, a piece they meet), in parts: each point meets its home once, and
+        each other piece that may hold a point near it."""
+        key = self._key(n, rep)
+        small = np.ceil(self.least * n - SLACK).astype(np.int64) << 20
+        large = (np.floor(n / self.least + SLACK).astype(np.int64) + 1 << 20) - 1
+        visits = list(self.tree.visit(fp, SMALL_REACH))
+        homes = np.zeros(len(fp), dtype=np.int64)
+        for leaf, at, home in visits:
+            homes[at[home]] = self.base[leaf] + np.searchsorted(self.cuts[leaf], key[at[home]], "right")
+        for leaf, at, _ in visits:
+            first, last = (np.searchsorted(self.cuts[leaf], x[at], "right") for x in (small, large))
+            for k in range(len(self.cuts[leaf]) + 1):
+                some = at[(first <= k) & (k <= last)]
+                if len(some):
+                    yield some, homes[some], np.full(len(some), self.base[leaf] + k)
+
+
+def near_prints(t: np.ndarray, q: np.ndarray, fp: np.ndarray, n: np.ndarray, least: float, seen: Callable, slice_rows: int = 1024) -> None:
+    """Call ``seen(rows of t, rows of q)`` for all pairs within reach in 64 bits whose sizes, but for
+    the slice's width, allow the similarity. If q is t, each pair comes at least once.
+
+    In a slice of sizes both sides are ordered by their distance to a vantage point.
+    """
+    same = q is t
+    t = t[np.argsort(n[t], kind="stable")]
+    q = t if same else q[np.argsort(n[q], kind="stable")]
+    nq = n[q]
+    for k in range(0, len(t), slice_rows):
+        own = t[k : k + slice_rows]
+        start = np.searchsorted(nq, least * n[own[0]] - SLACK)
+        other = q[max(start, k if same else 0) : np.searchsorted(nq, n[own[-1]] / least + SLACK, "right")]
+        reach = SMALL_REACH if n[own[0]] <= SMALL else REACH
+        vantage = int(fp[own[len(own) // 2]])
+        dt, dq = _far(fp[own], vantage), _far(fp[other], vantage)
+        own, other = own[np.argsort(dt, kind="stable")], other[np.argsort(dq, kind="stable")]
+        dt.sort()
+        dq.sort()
+        ft, fq = fp[own], fp[other]
+        # blocks of half a megabyte stay in a core's cache
+        for i in range(0, len(own), 16):
+            block = ft[i : i + 16, None]
+            stop = np.searchsorted(dq, dt[i : i + 16][-1] + reach, "right")
+            for j in range(np.searchsorted(dq, dt[i] - reach), stop, 4096):
+                some = fq[j : min(j + 4096, stop)]
+                at = np.flatnonzero(np.bitwise_count(block ^ some) <= reach)
+                if len(at):
+                    seen(own[i + at // len(some)], other[j + at % len(some)])
+
+
+def vantage_links(points: DataFrame, least: float, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(a, b): links that connect points (rep, n, w0, ...) whose fingerprints and sizes are near.
+
+    Two pieces meet in a task, which returns a spanning forest of their links, not the links.
+    """
+    spark = points.sparkSession
+    total = points.count()
+    pieces = max(-(-total // piece_rows), min(math.ceil((4 * parallelism(spark)) ** 0.5), -(-total // LEAST_PIECE_ROWS)))
+    rows = min(MAX_SAMPLE, SAMPLE_PER_SHARD * pieces) if pieces > 1 else 0
+    sample = points.select("w0", "n", "rep").orderBy(F.xxhash64("w0", "n"), "rep").limit(rows).toArrow()
+    dealt_by = Pieces(sample["w0"].to_numpy().view(np.uint64), sample["n"].to_numpy(), sample["rep"].to_numpy(), pieces, least)
+    count = dealt_by.count
+    names = ["rep", "n", *_WIDE]
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The piece of two with the lesser number has the targets."""
+        for batch in rows:
+            rep, n, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for at, home, met in dealt_by.meet(fp.view(np.uint64), n, rep):
+                cell = np.minimum(home, met) * count + np.maximum(home, met)
+                some = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home <= met), *some.columns], names=["cell", "target", *names])
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        target, rep, n = (table[c].to_numpy() for c in ("target", "rep", "n"))
+        wide = np.stack([table[w].to_numpy() for w in _WIDE], axis=1).view(np.uint64)
+        forest = Forest(len(rep))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def unite() -> None:
+            if held:
+                forest.unite(*(np.concatenate(x) for x in zip(*held)))
+                held.clear()
+
+        def seen(x: np.ndarray, y: np.ndarray) -> None:
+            new = forest.label[x] != forest.label[y]
+            x, y = x[new], y[new]
+            less, more = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= np.where(more <= SMALL, SMALL_WIDE_REACH, WIDE_REACH)
+            ok &= less >= (least - SLACK) * more
+            if ok.any():
+                held.append((x[ok], y[ok]))
+                if sum(len(x) for x, _ in held) >= 1 << 14:
+                    unite()
+
+        t, q = np.flatnonzero(target), np.flatnonzero(~target)
+        cell = table["cell"][0].as_py()
+        if len(q) or cell // count == cell % count:
+            near_prints(t, q if len(q) else t, np.ascontiguousarray(wide[:, 0]), n, least, seen)
+        unite()
+        moved = np.flatnonzero(forest.label != np.arange(len(rep)))
+        return pa.table({"a": rep[moved], "b": rep[forest.label[moved]]})
+
+    kinds = "cell long, target boolean, " + ", ".join(f"{c} long" for c in names)
+    return points.select("rep", "n", *_WIDE).mapInArrow(deal, kinds).groupBy("cell").applyInArrow(search, "a long, b long")
 
 
 def group_links(members: DataFrame, near: Column, least: float, block_bytes: int, scratch: Scratch) -> DataFrame:
     """(a, b): links that connect what is near in each group.
 
-    Members: (g, lead, rep, n, w0, ...) and maybe ``shingles``, each rep once a
-    group g, ``lead`` being its least rep. ``near`` tells whether a member is near its leader (columns l_...).
+    Members: (g, lead, rep, n, w0, ..., shingles), each rep once a group g,
+    ``lead`` being its least rep. ``near`` tells whether a member is near its leader (columns l_...).
     """
     spark = members.sparkSession
-    exact = "shingles" in members.columns
-    carried = ["n", *_WIDE, *(["shingles"] if exact else [])]
+    carried = ["n", *_WIDE, "shingles"]
     leaders = members.where("rep = lead").select(F.col("g").alias("l_g"), *[F.col(c).alias(f"l_{c}") for c in carried])
     # a hot group's join is split by Spark: what follows doesn't rely on its partitioning
     led = members.where("rep != lead").join(leaders, F.col("g") == F.col("l_g")).select("g", "lead", "rep", near.alias("near"))
     led = scratch(led, "led")
     stars = led.where("near").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
 
-    weight = F.lit(64) + (8 * F.col("n") if exact else F.lit(0))
+    weight = F.lit(64) + 8 * F.col("n")
     rest = led.where("NOT near").groupBy("g").agg(F.count("*").alias("n_rest"))
     left = members.join(rest, "g").join(led.select("g", "rep", "near"), ["g", "rep"], "left")
     left = scratch(left.withColumn("near", F.coalesce("near", F.lit(True))), "left")
@@ -136,11 +258,11 @@ def group_links(members: DataFrame, near: Column, least: float, block_bytes: int
     asked = left.withColumn("j", block("all")).withColumn("i", to("some")).withColumn("asks", F.lit(False))
     names = ["g", "i", "j", "asks", "near", "lead", "rep", *carried]
     both = asking.select(*names).unionByName(asked.select(*names)).withColumn("task", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)))
-    found = both.groupBy("task").applyInArrow(_search(least, exact), "a long, b long")
+    found = both.groupBy("task").applyInArrow(_search(least), "a long, b long")
     return stars.unionAll(found)
 
 
-def _search(least: float, exact: bool) -> Callable[[pa.Table], pa.Table]:
+def _search(least: float) -> Callable[[pa.Table], pa.Table]:
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         col = {c: table[c].to_numpy() for c in ("g", "i", "j", "asks", "near", "lead", "rep", "n", *_WIDE)}
@@ -150,7 +272,7 @@ def _search(least: float, exact: bool) -> Callable[[pa.Table], pa.Table]:
         for c in ("g", "i", "j"):
             same[1:] &= col[c][order][1:] == col[c][order][:-1]
         starts = np.flatnonzero(~same) if not same[0] else np.concatenate([[0], np.flatnonzero(~same)])
-        sets = table["shingles"].chunk(0) if exact else None
+        sets = table["shingles"].chunk(0)
         a, b = [], []
         for start, stop in zip(starts, [*starts[1:], len(order)]):
             rows = order[start:stop]
@@ -163,7 +285,7 @@ def _search(least: float, exact: bool) -> Callable[[pa.Table], pa.Table]:
     return search
 
 
-def _block(q: np.ndarray, t: np.ndarray, col: dict, wide: np.ndarray, sets: pa.Array | None, least: float) -> Iterator[tuple[int, int]]:
+def _block(q: np.ndarray, t: np.ndarray, col: dict, wide: np.ndarray, sets: pa.Array, least: float) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest between rows q, each compared with all rows t."""
     rep, n = col["rep"], col["n"]
     label: dict[int, int] = {}
@@ -183,17 +305,16 @@ def _block(q: np.ndarray, t: np.ndarray, col: dict, wide: np.ndarray, sets: pa.A
         return known[row]
 
     for k in q.tolist():
-        ok = np.bitwise_count(wide[t] ^ wide[k]).sum(axis=1, dtype=np.int64) <= WIDE_REACH
+        ok = np.bitwise_count(wide[t] ^ wide[k]).sum(axis=1, dtype=np.int64) <= np.where(np.maximum(n[t], n[k]) <= SMALL, SMALL_WIDE_REACH, WIDE_REACH)
         ok &= np.minimum(n[t], n[k]) >= (least - SLACK) * np.maximum(n[t], n[k])
         for at in np.flatnonzero(ok).tolist():
             row, me = int(t[at]), root(int(rep[k]))
             other = root(int(names[at]))
             if me == other:
                 continue
-            if sets is not None:
-                both = len(np.intersect1d(shingles_of(k), shingles_of(row), assume_unique=True))
-                if both < least * (n[k] + n[row] - both) - SLACK:
-                    continue
+            both = len(np.intersect1d(shingles_of(k), shingles_of(row), assume_unique=True))
+            if both < least * (n[k] + n[row] - both) - SLACK:
+                continue
             label[max(me, other)] = min(me, other)
             yield int(rep[k]), int(rep[row])
 
@@ -201,21 +322,17 @@ def _block(q: np.ndarray, t: np.ndarray, col: dict, wide: np.ndarray, sets: pa.A
 def near_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, component): the least id reachable by links of a similarity of ``least`` (0.8 or more) or above."""
     prints = written(sketches(df, id_col, text, width), "sketches")
-    packed = F.max(F.struct("n", *_WIDE, "bands")).alias("x")
+    packed = F.max(F.struct("n", *_WIDE)).alias("x")
     points = prints.where("id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), packed)
     # points have numbers of their own: an id may be repeated
     scratch = Scratch()
     points = scratch(points.select("set_key", "id", F.monotonically_increasing_id().alias("rep"), "x.*"), "points")
 
-    # candidates: cells of one band that have several points
-    cells = points.select("rep", "n", *_WIDE, F.posexplode("bands").alias("band", "key")).withColumn("g", F.xxhash64("band", "key")).drop("band", "key")
-    several = cells.groupBy("g").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1").select("g", "lead")
-    cells = scratch(cells.join(scratch(several, "cells"), "g"), "cell-rows")
-    candidates = scratch(components(group_links(cells, _close(least), least, block_bytes >> 3, scratch)), "candidates")
+    candidates = scratch(components(vantage_links(points, least)), "candidates")
 
     # the texts of candidates, and what holds of them
     both = candidates.select("node", F.col("component").alias("g")).unionAll(candidates.select("component", "component").distinct())
-    own = points.drop("bands").join(both, F.col("rep") == F.col("node"))
+    own = points.join(both, F.col("rep") == F.col("node"))
     own = own.join(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), "id")
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -436,6 +436,44 @@ def test_near_documents_against_brute_force(docs, block_bytes):
     assert got == {k: int(forest.label[k]) for k in range(len(rows))}
 
 
+def test_near_documents_of_few_words(docs):
+    """Four of five shingles are shared: fingerprints differ most there."""
+    rows = []
+    for k in range(2000):
+        w = [f"w{k}x{j}" for j in range(9)]
+        rows += [(2 * k, " ".join(w), "en", "a"), (2 * k + 1, " ".join(w[:8]), "en", "a")]
+    got = {r.id: r.component for r in similar.near_documents(docs(rows)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(4000)}
+
+
+@pytest.mark.parametrize("piece_rows", [10**6, 60])
+def test_vantage_points_leave_out_no_near_point(spark, piece_rows):
+    """Points within reach are linked wherever they lie, whether or not they have a minimal hash in common:
+    random ones, pairs and a chain at the limits of distance and of size, and a crowd of one size."""
+    rng = np.random.default_rng(16)
+    flipped = lambda w, bits: w ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, bits, replace=False)), np.uint64(0))
+    prints = [list(rng.integers(0, 2**64, 4, dtype=np.uint64)) for _ in range(300)]
+    sizes = rng.integers(6, 400, 300).tolist()
+    for k in range(100):
+        prints.append([flipped(w, 22 if at == 0 else 14) for at, w in enumerate(prints[k])])
+        sizes.append(-(-4 * sizes[k] // 5) - (k % 5 == 0))
+    for k in range(40):
+        prints.append([flipped(w, (6, 12, 20, 16)[at] + (k % 10 == 0) * 30 * (at == 3)) for at, w in enumerate(prints[-1])])
+        sizes.append(100)
+    for _ in range(100):
+        prints.append([flipped(w, 3) for w in prints[0]])
+        sizes.append(sizes[0])
+    fp, n = np.array(prints, dtype=np.uint64), np.array(sizes)
+    far = np.bitwise_count(fp[:, None] ^ fp[None])
+    near = (far[..., 0] <= 22) & (far.sum(axis=2, dtype=int) <= 64) & (5 * np.minimum(n[:, None], n) >= 4 * np.maximum(n[:, None], n))
+    forest = components.Forest(len(n))
+    forest.unite(*np.nonzero(near))
+    rows = [(k, int(n[k]), *fp[k].view(np.int64).tolist()) for k in range(len(n))]
+    df = spark.createDataFrame(rows, "rep long, n long, w0 long, w1 long, w2 long, w3 long")
+    got = {r.node: r.component for r in components.components(similar.vantage_links(df, 0.8, piece_rows)).collect()}
+    assert got == {k: int(root) for k, root in enumerate(forest.label) if k != root} and len(got) > 200
+
+
 def test_rows_of_one_id_are_apart(docs):
     text = lambda k: " ".join(f"w{k}x{j}" for j in range(50))
     rows = [(5, text(2)), (5, text(3)), (5, text(3)), (4, text(3) + " end"), (9, text(2) + " end"), (None, text(2))]
