@@ -46,6 +46,8 @@ WIDTH, LEAST = 5, 0.8
 WORDS, REACH, WIDE_REACH = 4, 22, 64
 #: Four of five shingles are the one case of more: 12 of 64 bits, and 48 of 256.
 SMALL, SMALL_REACH, SMALL_WIDE_REACH = 5, 25, 74
+#: Of the second 64 bits, to see soon which pairs are near in the first by chance: lost with a probability below 0.00001.
+SECOND_REACH = 27
 #: Points of a piece, of some 60 bytes each: two pieces meet in a task.
 PIECE_ROWS = 200_000
 #: Points of a piece at least, where tasks ask for more pieces.
@@ -192,6 +194,7 @@ def vantage_links(points: DataFrame, least: float, piece_rows: int = PIECE_ROWS)
         table = table.combine_chunks()
         target, rep, n = (table[c].to_numpy() for c in ("target", "rep", "n"))
         wide = np.stack([table[w].to_numpy() for w in _WIDE], axis=1).view(np.uint64)
+        first, second = (np.ascontiguousarray(wide[:, k]) for k in range(2))
         forest = Forest(len(rep))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -201,6 +204,8 @@ def vantage_links(points: DataFrame, least: float, piece_rows: int = PIECE_ROWS)
                 held.clear()
 
         def seen(x: np.ndarray, y: np.ndarray) -> None:
+            near = np.flatnonzero(np.bitwise_count(second[x] ^ second[y]) <= SECOND_REACH)
+            x, y = x[near], y[near]
             new = forest.label[x] != forest.label[y]
             x, y = x[new], y[new]
             less, more = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
@@ -214,7 +219,7 @@ def vantage_links(points: DataFrame, least: float, piece_rows: int = PIECE_ROWS)
         t, q = np.flatnonzero(target), np.flatnonzero(~target)
         cell = table["cell"][0].as_py()
         if len(q) or cell // count == cell % count:
-            near_prints(t, q if len(q) else t, np.ascontiguousarray(wide[:, 0]), n, least, seen)
+            near_prints(t, q if len(q) else t, first, n, least, seen)
         unite()
         moved = np.flatnonzero(forest.label != np.arange(len(rep)))
         return pa.table({"a": rep[moved], "b": rep[forest.label[moved]]})
