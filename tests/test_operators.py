@@ -491,6 +491,47 @@ def test_chain_rows_agree_with_rows_of_words(spark, repeated):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("repeated", [True, False])
+def test_masked_rows_agree_with_chain_rows(spark, repeated):
+    """Several chains a word, nested mentions, slices of few words; then one chain a word, pronouns among them."""
+    names = ("doc", "sentence", "original", "masked", "target_mapping")
+    rowed = lambda df: sorted(str(tuple(x)) for x in df.select(*names).collect())
+    docs = _random_chains(spark, 30)
+    want = rowed(spans.masked(spans.target_rows(spans.chain_rows(docs), repeated)))
+    none = spark.createDataFrame([(77, None)], docs.schema)
+    arrays = docs.unionAll(none).select("doc", F.col("words.word").alias("words"), F.col("words.upos").alias("upos"), F.col("words.chains").alias("chains"))
+    for most in (1, 50, 500_000):
+        got = spans.masked_rows(arrays, repeated, words_at_once=most)
+        assert rowed(got) == want and (any("TARGET_1" in x for x in want) or not repeated)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    letters = docs.select("doc", F.transform("words", lambda x: F.struct(x["word"].alias("word"), F.when(x["word"] == "b", "PRON").otherwise("X").alias("upos"), F.array(F.when(x["word"] != ".", x["word"])).alias("chains"))).alias("words"))
+    letters = letters.withColumn("words", F.transform("words", lambda x: x.withField("chains", F.filter(x["chains"], lambda c: c.isNotNull()))))
+    want = rowed(spans.masked(spans.target_rows(spans.chain_rows(letters), repeated)))
+    flat = letters.select("doc", F.col("words.word").alias("words"), F.transform("words", lambda x: F.get(x["chains"], 0)).alias("chains"))
+    assert rowed(spans.masked_rows(flat, repeated, upos=None, pronouns=["b"])) == want
+
+
+def test_masking_of_a_long_document(spark, tmp_path):
+    """Different mentions were found by comparing each with all: 70 seconds for this one."""
+    import time
+
+    import brute
+
+    from lingualoom import plans
+
+    r, n = random.Random(3), 40_000
+    words = [r.choice([".", "the", "One", "one"]) if k % 5 == 0 else f"name{r.randrange(n // 4)}" for k in range(n)]
+    texts = [" ".join(words), "", "no end", "Names. names NAMES, name names. the the the. \u0130stanbul \u0130stanbul; and \u0130stanbul.", "TARGET_0 is [[TARGET_1]]. arget target. target [[TARGET_1]] TARGET_0."]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    query = plans.queries()["targets_masking"]
+    began = time.perf_counter()
+    got = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    assert time.perf_counter() - began < 30
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(brute, "DATA", str(tmp_path))
+        assert got == sorted(brute.targets_masking())
+
+
 def test_window_arrays_agree_with_window_rows(spark):
     docs = spark.createDataFrame([(1, list("abcdef")), (2, []), (3, ["x"])], "doc long, tokens array<string>")
     got = context.window_arrays(docs, 3).select("doc", F.explode(F.arrays_zip("windows", "sizes")).alias("w")).select("doc", "w.*")
